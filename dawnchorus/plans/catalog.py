@@ -143,31 +143,33 @@ def q_best_stations(spark, sf_dir):
         weather.nearby_stations(t.stations(), weather.last_position(t.by_type()))))
 
 
-# Observation files as the weather service ships them: one file per group of
-# variables, headers "<code>.<German name>".
+# Observation files as the weather service ships them: one file per station
+# and product, headers "<code>.<German name>".
 _FILE_GROUPS = {
-    "temperature": {"tt_tu_lufttemperatur": "TT_TU.Lufttemperatur",
-                    "rf_tu_relative_feuchte": "RF_TU.Relative_Feuchte"},
-    "pressure_soil": {"p_luftdruck_nn": "P.Luftdruck_NN",
-                      "v_te005_erdbodentemperatur_005cm": "V_TE005.Erdbodentemperatur_005cm"},
-    "sky": {"v_n_bedeckungsgrad": "V_N.Bedeckungsgrad",
-            "rs_ind_niederschlagsindikator": "RS_IND.Niederschlagsindikator",
-            "r1_niederschlagshoehe": "R1.Niederschlagshöhe",
-            "sd_so_sonnenscheindauer": "SD_SO.Sonnenscheindauer",
-            "f_windgeschwindigkeit": "F.Windgeschwindigkeit"},
+    1: {"tt_tu_lufttemperatur": "TT_TU.Lufttemperatur",
+        "rf_tu_relative_feuchte": "RF_TU.Relative_Feuchte"},
+    2: {"p_luftdruck_nn": "P.Luftdruck_NN",
+        "v_te005_erdbodentemperatur_005cm": "V_TE005.Erdbodentemperatur_005cm"},
+    3: {"rs_ind_niederschlagsindikator": "RS_IND.Niederschlagsindikator",
+        "v_n_bedeckungsgrad": "V_N.Bedeckungsgrad",
+        "r1_niederschlagshoehe": "R1.Niederschlagshöhe",
+        "sd_so_sonnenscheindauer": "SD_SO.Sonnenscheindauer",
+        "f_windgeschwindigkeit": "F.Windgeschwindigkeit"},
 }
 
 
 def q_weather_files(spark, sf_dir):
-    """W3 (+W4–W6): observations staged as service files, loaded and collapsed."""
+    """W3 (+W4–W6): each station's observations staged as a service file,
+    loaded, stacked and collapsed."""
     obs = _t(spark, sf_dir).observations()
     base = scratch_path(spark, "weather_files")
     paths = []
-    for name, cols in _FILE_GROUPS.items():
-        out = obs.select(F.col("stations_id").alias("STATIONS_ID"),  # noqa: E501
-                         F.col("mess_datum").alias("MESS_DATUM"),
-                         *[F.col(src).alias(dst) for src, dst in cols.items()])
-        p = f"{base}/{name}"
+    for station, cols in _FILE_GROUPS.items():
+        out = (obs.where(F.col("stations_id") == station)
+               .select(F.col("stations_id").alias("STATIONS_ID"),
+                       F.col("mess_datum").alias("MESS_DATUM"),
+                       *[F.col(src).alias(dst) for src, dst in cols.items()]))
+        p = f"{base}/station_{station}"
         write_observation_file(out, p)
         paths.append(p)
     return rounded(weather.weather_table(load_weather(spark, paths)))

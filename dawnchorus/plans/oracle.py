@@ -53,17 +53,20 @@ DO = """dord AS (SELECT o_orderdate AS zeitstempel, lower(o_orderpriority) AS wi
     CAST(51.85 AS DOUBLE) AS breitengrad, CAST(6.62 AS DOUBLE) AS laengengrad,
     CAST(0.0 AS DOUBLE) AS ueberlappung FROM orders)"""
 
-OBS = """obs AS (SELECT user_id % 3 + 1 AS stations_id, date_trunc('hour', ts) AS mess_datum,
-    CAST(floor(value) % 2 AS DOUBLE) AS rs_ind_niederschlagsindikator,
-    CAST(floor(value) % 9 AS DOUBLE) AS v_n_bedeckungsgrad,
-    value % 30 - 5 AS tt_tu_lufttemperatur,
-    value % 100 AS rf_tu_relative_feuchte,
-    (value * 7) % 40 + 990 AS p_luftdruck_nn,
-    sqrt(value) AS v_te005_erdbodentemperatur_005cm,
-    (value % 7) / 10 AS r1_niederschlagshoehe,
-    CAST(floor(value) % 61 AS DOUBLE) AS sd_so_sonnenscheindauer,
-    CASE WHEN user_id % 4 = 0 THEN NULL ELSE value / 40 END AS f_windgeschwindigkeit
-  FROM events WHERE event_type = 'error')"""
+OBS = """hr AS (SELECT date_trunc('hour', ts) AS mess_datum, max(value) AS v, min(user_id) AS u
+    FROM events WHERE event_type = 'error' GROUP BY 1),
+obs AS (
+  SELECT CAST(1 AS BIGINT) AS stations_id, mess_datum, v % 30 - 5 AS tt_tu_lufttemperatur,
+    v % 100 AS rf_tu_relative_feuchte, CAST(NULL AS DOUBLE) AS p_luftdruck_nn,
+    CAST(NULL AS DOUBLE) AS v_te005_erdbodentemperatur_005cm,
+    CAST(NULL AS DOUBLE) AS rs_ind_niederschlagsindikator, CAST(NULL AS DOUBLE) AS v_n_bedeckungsgrad,
+    CAST(NULL AS DOUBLE) AS r1_niederschlagshoehe, CAST(NULL AS DOUBLE) AS sd_so_sonnenscheindauer,
+    CAST(NULL AS DOUBLE) AS f_windgeschwindigkeit FROM hr
+  UNION ALL
+  SELECT 2, mess_datum, NULL, NULL, (v * 7) % 40 + 990, sqrt(v), NULL, NULL, NULL, NULL, NULL FROM hr
+  UNION ALL
+  SELECT 3, mess_datum, NULL, NULL, NULL, NULL, CAST(floor(v) % 3 AS DOUBLE), CAST(floor(v) % 10 AS DOUBLE),
+    (v % 7) / 10, CAST(floor(v) % 61 AS DOUBLE), CASE WHEN u % 4 = 0 THEN NULL ELSE v / 40 END FROM hr)"""
 
 _RAW = ["rs_ind_niederschlagsindikator", "v_n_bedeckungsgrad", "tt_tu_lufttemperatur",
         "rf_tu_relative_feuchte", "p_luftdruck_nn", "v_te005_erdbodentemperatur_005cm",

@@ -80,28 +80,38 @@ def detections_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def weather_observations(events: DataFrame) -> DataFrame:
-    """Raw hourly readings: one per 'error' event, three stations.
-
-    Several readings can share an hour (and a station); the collapse step sums
-    them, so codes can leave their legal range and become NULL, and wind is
-    missing for a quarter of the readings.
+    """Raw hourly readings of three stations, stacked like the loaded files.
+
+    The 'error' events of an hour give one reading (their largest value and
+    smallest user id).  Station 1 measures temperature and humidity, station 2
+    pressure and soil temperature, station 3 the sky: precipitation, cloud
+    cover, sunshine and wind.  Columns a station does not measure are NULL, so
+    the collapse step (W4) sums exactly one value per hour and column.  Codes
+    can leave their legal range (precipitation 2, cloud 9) and wind is missing
+    for a quarter of the hours.
     """
-    v = F.col("value")
-    fv = F.floor(v)
-    return events.where(F.col("event_type") == "error").select(
-        (F.col("user_id") % 3 + 1).alias("stations_id"),
-        floor_hour("ts").alias("mess_datum"),
-        (fv % 2).cast("double").alias("rs_ind_niederschlagsindikator"),
-        (fv % 9).cast("double").alias("v_n_bedeckungsgrad"),
-        (v % 30 - 5).alias("tt_tu_lufttemperatur"),
-        (v % 100).alias("rf_tu_relative_feuchte"),
-        ((v * 7) % 40 + 990).alias("p_luftdruck_nn"),
-        F.sqrt(v).alias("v_te005_erdbodentemperatur_005cm"),
-        ((v % 7) / 10).alias("r1_niederschlagshoehe"),
-        (fv % 61).cast("double").alias("sd_so_sonnenscheindauer"),
-        F.when(F.col("user_id") % 4 == 0, F.lit(None).cast("double"))
-         .otherwise(v / 40).alias("f_windgeschwindigkeit"),
-    )
+    hourly = (events.where(F.col("event_type") == "error")
+              .groupBy(floor_hour("ts").alias("mess_datum"))
+              .agg(F.max("value").alias("_v"), F.min("user_id").alias("_u")))
+    v, fv, u = F.col("_v"), F.floor(F.col("_v")), F.col("_u")
+    null = F.lit(None).cast("double")
+    cols = {
+        "tt_tu_lufttemperatur": (1, v % 30 - 5),
+        "rf_tu_relative_feuchte": (1, v % 100),
+        "p_luftdruck_nn": (2, (v * 7) % 40 + 990),
+        "v_te005_erdbodentemperatur_005cm": (2, F.sqrt(v)),
+        "rs_ind_niederschlagsindikator": (3, (fv % 3).cast("double")),
+        "v_n_bedeckungsgrad": (3, (fv % 10).cast("double")),
+        "r1_niederschlagshoehe": (3, (v % 7) / 10),
+        "sd_so_sonnenscheindauer": (3, (fv % 61).cast("double")),
+        "f_windgeschwindigkeit": (3, F.when(u % 4 == 0, null).otherwise(v / 40)),
+    }
+    frames = []
+    for station in (1, 2, 3):
+        frames.append(hourly.select(
+            F.lit(station).cast("long").alias("stations_id"), "mess_datum",
+            *[(expr if st == station else null).alias(name) for name, (st, expr) in cols.items()]))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 def detections_without_errors(events: DataFrame) -> DataFrame:
