@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.functions.calendar import date_seq, hour24, pick, season_ordinal
 from dawnchorus.functions.labels import SEASONS
-from dawnchorus.operators.species import SPECIES, daily, top_species
+from dawnchorus.operators.species import SPECIES, daily
 
 
 def _day(ts: str = "zeitstempel"):
@@ -102,25 +102,40 @@ def outage_labels(outage_df: DataFrame, period: DataFrame) -> DataFrame:
                     .alias("label")))
 
 
+def _top_of(counts: DataFrame, species: str, n_col: str, k: int) -> DataFrame:
+    """Top-``k`` species of an aggregated count frame (ties by name); at most k rows."""
+    per = counts.groupBy(species).agg(F.sum(n_col).alias("_n"))
+    return per.orderBy(F.desc("_n"), F.asc_nulls_last(species)).limit(k).select(species)
+
+
 def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES) -> DataFrame:
     """Share (%) of all detections for each of the top-``k`` species.
 
-    The top-k list has at most ``k`` rows, so broadcasting it is size-safe.
+    One scan: counts per species, the top-k list and the total all derive from
+    the same aggregate (its shuffle is reused).  The top-k list has at most
+    ``k`` rows, so broadcasting it is size-safe.
     """
-    total = df.select(F.count(F.lit(1))).scalar()
-    top = top_species(df, k, species, None).select(species)
     counts = df.groupBy(species).agg(F.count(F.lit(1)).alias("absolut"))
+    total = df.select(F.count(F.lit(1))).scalar()
+    top = _top_of(counts, species, "absolut", k)
     return (counts.join(F.broadcast(top), species, "left_semi")
             .withColumn("relativ", F.col("absolut") / total * 100))
 
 
 def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str = SPECIES) -> DataFrame:
-    """Daily detections of each top-``k`` species (semi join on the k names
-    *before* the aggregation, so only their rows are shuffled)."""
-    top = top_species(df, k, species, None).select(species)
-    return (df.join(F.broadcast(top), species, "left_semi")
-            .groupBy(species, _day(ts).alias("datum"))
-            .agg(F.count(F.lit(1)).alias("anzahl")))
+    """Daily detections of each top-``k`` species.
+
+    Counts per (species, day) are aggregated once (map-side partial counts);
+    the top-k list is derived from them and applied as a broadcast semi join
+    on the aggregate, so the raw rows are read once.
+    """
+    # NULL species never match the semi join; filtering them up front keeps
+    # both uses of ``per_day`` identical, so its shuffle is reused.
+    per_day = (df.where(F.col(species).isNotNull())
+               .groupBy(species, _day(ts).alias("datum"))
+               .agg(F.count(F.lit(1)).alias("anzahl")))
+    top = _top_of(per_day, species, "anzahl", k)
+    return per_day.join(F.broadcast(top), species, "left_semi")
 
 
 def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",

@@ -167,19 +167,30 @@ def weekly_change(df: DataFrame, as_of: str, ts: str = "zeitstempel",
             .where(F.col("kalenderwoche") < iso_week(F.to_date(F.lit(as_of)))))
     counts = (base.groupBy("jahr", "kalenderwoche", species)
               .agg(F.count(F.lit(1)).alias("erkennungen")))
+    # The side branches below keep an (order-sensitive) sum over the counts so
+    # that Catalyst does not re-derive them from the raw rows: all branches then
+    # share the one shuffle of ``counts`` (exchange reuse) — one scan in total.
+    species_list = (counts.groupBy(species).agg(F.sum("erkennungen").alias("_n"))
+                    .where(F.col("_n") > 0).select(species))
     if existing_weeks_only:
-        yw = base.select(F.sort_array(F.collect_set(F.struct("jahr", "kalenderwoche")))).scalar()
-        grid = (counts.select(species).distinct()
-                .select(species, F.explode(yw).alias("_yw"))
+        yw = counts.agg(F.sort_array(F.collect_set(F.struct("jahr", "kalenderwoche"))),
+                        F.sum("erkennungen")).scalar()
+        grid = (species_list.select(species, F.explode(yw).alias("_yw"))
                 .select(species, "_yw.jahr", "_yw.kalenderwoche"))
     else:
-        years = counts.select(F.sort_array(F.collect_set("jahr"))).scalar()
-        weeks = counts.select(F.sort_array(F.collect_set("kalenderwoche"))).scalar()
-        grid = (counts.select(species).distinct()
-                .select(species, F.explode(years).alias("jahr"))
-                .select(species, "jahr", F.explode(weeks).alias("kalenderwoche")))
-    full = (grid.join(counts, ["jahr", "kalenderwoche", species], "left")
-            .withColumn("erkennungen", F.coalesce("erkennungen", F.lit(0)).cast("long")))
+        dims = counts.agg(F.struct(F.sort_array(F.collect_set("jahr")).alias("y"),
+                                   F.sort_array(F.collect_set("kalenderwoche")).alias("w"),
+                                   F.sum("erkennungen").alias("n"))).scalar()
+        grid = (species_list
+                .select(species, F.explode(dims.getField("y")).alias("jahr"))
+                .select(species, "jahr", F.explode(dims.getField("w")).alias("kalenderwoche")))
+    # Densify by union + sum (no join): the grid rows carry 0.  Hash
+    # partitioning by species alone satisfies both the aggregate and the window.
+    keys = ["jahr", "kalenderwoche", species]
+    full = (grid.select(*keys, F.lit(0).cast("long").alias("erkennungen"))
+            .unionByName(counts.select(*keys, F.col("erkennungen").cast("long")))
+            .repartition(species)
+            .groupBy(*keys).agg(F.sum("erkennungen").alias("erkennungen")))
     w = Window.partitionBy(species).orderBy("jahr", "kalenderwoche")
     prev = F.lag("erkennungen").over(w)
     out = full.withColumn("erkennungen_vorwoche", prev)

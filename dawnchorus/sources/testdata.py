@@ -106,12 +106,13 @@ def weather_observations(events: DataFrame) -> DataFrame:
         "sd_so_sonnenscheindauer": (3, (fv % 61).cast("double")),
         "f_windgeschwindigkeit": (3, F.when(u % 4 == 0, null).otherwise(v / 40)),
     }
-    frames = []
-    for station in (1, 2, 3):
-        frames.append(hourly.select(
-            F.lit(station).cast("long").alias("stations_id"), "mess_datum",
-            *[(expr if st == station else null).alias(name) for name, (st, expr) in cols.items()]))
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    # one row per station and hour from the single hourly aggregate (no re-scan)
+    stations = F.array(*[
+        F.struct(F.lit(station).cast("long").alias("stations_id"),
+                 *[(expr if st == station else null).alias(name) for name, (st, expr) in cols.items()])
+        for station in (1, 2, 3)])
+    return hourly.select("mess_datum", F.inline(stations)).select(
+        "stations_id", "mess_datum", *cols)
 
 
 def detections_without_errors(events: DataFrame) -> DataFrame:
