@@ -38,17 +38,17 @@ _DET_TAIL = """
 _CUTOFF = "TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100"
 
 DT = f"""dt AS (SELECT ts AS zeitstempel, upper(event_type) AS wissenschaftlicher_name,
-    event_type AS deutscher_name, value / 500 AS erkennungswahrscheinlichkeit,
+    event_type AS deutscher_name, floor(value) / 512 AS erkennungswahrscheinlichkeit,
     {_CUTOFF} AS schwellenwert, {_DET_TAIL} FROM events)"""
 
 DU = f"""du AS (SELECT ts AS zeitstempel,
     'Species ' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS wissenschaftlicher_name,
     'Art ' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS deutscher_name,
-    value / 500 AS erkennungswahrscheinlichkeit, {_CUTOFF} AS schwellenwert, {_DET_TAIL},
+    floor(value) / 512 AS erkennungswahrscheinlichkeit, {_CUTOFF} AS schwellenwert, {_DET_TAIL},
     user_id AS station FROM events)"""
 
 DO = """dord AS (SELECT o_orderdate AS zeitstempel, lower(o_orderpriority) AS wissenschaftlicher_name,
-    o_orderpriority AS deutscher_name, o_totalprice / 600000 AS erkennungswahrscheinlichkeit,
+    o_orderpriority AS deutscher_name, floor(o_totalprice / 1000) / 512 AS erkennungswahrscheinlichkeit,
     CAST(0.7 AS DOUBLE) AS schwellenwert, CAST(1.25 AS DOUBLE) AS empfindlichkeit,
     CAST(51.85 AS DOUBLE) AS breitengrad, CAST(6.62 AS DOUBLE) AS laengengrad,
     CAST(0.0 AS DOUBLE) AS ueberlappung FROM orders)"""

@@ -44,6 +44,13 @@ def _detection_cols(ts, species, sci, confidence, cutoff, lat, lon, extra=()):
     ]
 
 
+def _confidence(x) -> F.Column:
+    """A confidence in [0, 1): whole units / 512.  Binary fractions add up
+    exactly in floating point, so means do not depend on summation order."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.floor(x) / 512
+
+
 def _cutoff_from_props() -> F.Column:
     return F.regexp_extract("props", "([0-9]+)", 1).cast("double") / 100
 
@@ -59,7 +66,7 @@ def _lon() -> F.Column:
 def detections_by_type(events: DataFrame) -> DataFrame:
     """Few species: the event type is the species."""
     return events.select(*_detection_cols(
-        "ts", F.col("event_type"), F.upper("event_type"), F.col("value") / 500,
+        "ts", F.col("event_type"), F.upper("event_type"), _confidence("value"),
         _cutoff_from_props(), _lat(), _lon()))
 
 
@@ -68,7 +75,7 @@ def detections_by_user(events: DataFrame) -> DataFrame:
     uid = F.lpad(F.col("user_id").cast("string"), 6, "0")
     return events.select(*_detection_cols(
         "ts", F.concat(F.lit("Art "), uid), F.concat(F.lit("Species "), uid),
-        F.col("value") / 500, _cutoff_from_props(), _lat(), _lon(),
+        _confidence("value"), _cutoff_from_props(), _lat(), _lon(),
         extra=[F.col("user_id").alias("station")]))
 
 
@@ -76,7 +83,7 @@ def detections_from_orders(orders: DataFrame) -> DataFrame:
     """Long calendar: order dates over several years, priority = species."""
     return orders.select(*_detection_cols(
         "o_orderdate", F.col("o_orderpriority"), F.lower("o_orderpriority"),
-        F.col("o_totalprice") / 600000, F.lit(0.7), F.lit(51.85), F.lit(6.62)))
+        _confidence(F.col("o_totalprice") / 1000), F.lit(0.7), F.lit(51.85), F.lit(6.62)))
 
 
 def weather_observations(events: DataFrame) -> DataFrame:
