@@ -208,6 +208,19 @@ def q_snapshot_archive(spark, sf_dir):
     return rounded(archive.merge_snapshots(spark, cur, d))
 
 
+def q_archive_stream(spark, sf_dir):
+    """E3 + E4 incrementally: parquet snapshots (the current rows, a copy without
+    one column, then a repeat) streamed into a date-partitioned archive."""
+    from dawnchorus.streaming import archive_stream, read_archive
+    cur = _t(spark, sf_dir).enriched()
+    base = scratch_path(spark, "archive_stream")
+    incoming, arch = f"{base}/incoming", f"{base}/archive"
+    for i, snap in enumerate([cur, cur.drop("jahreszeit_nr"), cur]):
+        archive.write_snapshot(snap, incoming, f"run{i}", fmt="parquet")
+        archive_stream(spark, incoming, arch, f"{base}/checkpoint").awaitTermination()
+    return rounded(read_archive(spark, arch))
+
+
 # --- species statistics -----------------------------------------------------
 
 def q_species_count(spark, sf_dir):
@@ -495,6 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched": q_enriched,
     "orders_by_season": q_orders_by_season,
     "snapshot_archive": q_snapshot_archive,
+    "archive_stream": q_archive_stream,
     "species_count": q_species_count,
     "daily": q_daily,
     "top_species": q_top_species,

@@ -297,6 +297,8 @@ def build() -> dict[str, str]:
         """SELECT DISTINCT * FROM (SELECT * FROM en UNION ALL
         SELECT * REPLACE (CAST(NULL AS INTEGER) AS jahreszeit_nr) FROM en) _u""", EN_DOUBLES)
 
+    s["archive_stream"] = s["snapshot_archive"]
+
     s["species_count"] = f"""WITH {DU} SELECT count(*) FILTER (WHERE n >= 10) AS anzahl_vogelarten
         FROM (SELECT deutscher_name, count(*) AS n FROM du GROUP BY 1) _c"""
 
