@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.functions.calendar import date_seq, hour24, pick, season_ordinal
 from dawnchorus.functions.labels import SEASONS
+from dawnchorus.operators.counting import n_rows
 from dawnchorus.operators.species import SPECIES, daily
 
 
@@ -31,15 +32,16 @@ def complete_days_grid(per_day: DataFrame, date_col: str = "datum") -> DataFrame
     return calendar(per_day, date_col).join(per_day, date_col, "left")
 
 
-def daily_counts_grid(df: DataFrame, ts: str = "zeitstempel") -> DataFrame:
+def daily_counts_grid(df: DataFrame, ts: str = "zeitstempel", weight: str | None = None) -> DataFrame:
     """C1 applied to the daily detection count."""
-    per_day = df.groupBy(_day(ts).alias("datum")).agg(F.count(F.lit(1)).alias("anzahl_erkennungen"))
+    per_day = df.groupBy(_day(ts).alias("datum")).agg(n_rows(weight).alias("anzahl_erkennungen"))
     return complete_days_grid(per_day)
 
 
-def daily_species_grid(df: DataFrame, ts: str = "zeitstempel", species: str = SPECIES) -> DataFrame:
+def daily_species_grid(df: DataFrame, ts: str = "zeitstempel", species: str = SPECIES,
+                       weight: str | None = None) -> DataFrame:
     """C1 applied to the daily number of species (with ``ymin`` = 0 for a ribbon)."""
-    per_day = daily(df, ts, species).select("datum", F.col("vogelarten").alias("anzahl_vogelarten"))
+    per_day = daily(df, ts, species, weight).select("datum", F.col("vogelarten").alias("anzahl_vogelarten"))
     return complete_days_grid(per_day).withColumn("ymin", F.lit(0))
 
 
@@ -108,21 +110,23 @@ def _top_of(counts: DataFrame, species: str, n_col: str, k: int) -> DataFrame:
     return per.orderBy(F.desc("_n"), F.asc_nulls_last(species)).limit(k).select(species)
 
 
-def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES) -> DataFrame:
+def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES,
+               weight: str | None = None) -> DataFrame:
     """Share (%) of all detections for each of the top-``k`` species.
 
     One scan: counts per species, the top-k list and the total all derive from
     the same aggregate (its shuffle is reused).  The top-k list has at most
     ``k`` rows, so broadcasting it is size-safe.
     """
-    counts = df.groupBy(species).agg(F.count(F.lit(1)).alias("absolut"))
-    total = df.select(F.count(F.lit(1))).scalar()
+    counts = df.groupBy(species).agg(n_rows(weight).alias("absolut"))
+    total = df.select(n_rows(weight)).scalar()
     top = _top_of(counts, species, "absolut", k)
     return (counts.join(F.broadcast(top), species, "left_semi")
             .withColumn("relativ", F.col("absolut") / total * 100))
 
 
-def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str = SPECIES) -> DataFrame:
+def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str = SPECIES,
+              weight: str | None = None) -> DataFrame:
     """Daily detections of each top-``k`` species.
 
     Counts per (species, day) are aggregated once (map-side partial counts);
@@ -133,13 +137,13 @@ def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str
     # both uses of ``per_day`` identical, so its shuffle is reused.
     per_day = (df.where(F.col(species).isNotNull())
                .groupBy(species, _day(ts).alias("datum"))
-               .agg(F.count(F.lit(1)).alias("anzahl")))
+               .agg(n_rows(weight).alias("anzahl")))
     top = _top_of(per_day, species, "anzahl", k)
     return per_day.join(F.broadcast(top), species, "left_semi")
 
 
 def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",
-              species: str = SPECIES) -> DataFrame:
+              species: str = SPECIES, weight: str | None = None) -> DataFrame:
     """Heat map data over (date, hour 1..24).
 
     * ``agg='count'``: detections; ``agg='species'``: distinct species.
@@ -152,7 +156,7 @@ def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",
     d = _day(ts)
     base = df.where(F.col(ts).isNotNull())
     if agg == "count":
-        value = F.count(F.lit(1))
+        value = n_rows(weight)
         name = "anzahl_erkennungen"
     else:
         value = F.countDistinct(species) + F.max(F.col(species).isNull()).cast("long")

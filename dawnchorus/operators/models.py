@@ -17,27 +17,30 @@ from pyspark.sql import types as T
 from dawnchorus.functions.calendar import hour24
 from dawnchorus.functions.labels import CI_Z, SIGNIFICANCE, TERM_LABELS
 from dawnchorus.functions.stats import f_sf, t_sf2, weighted_kendall_tau_b
+from dawnchorus.operators.counting import n_rows
 from dawnchorus.operators.species import SPECIES, top_species
 
 FEATURES = list(TERM_LABELS)
 
 
-def top_names(df: DataFrame, k: int = 10, species: str = SPECIES) -> list[str]:
+def top_names(df: DataFrame, k: int = 10, species: str = SPECIES,
+              weight: str | None = None) -> list[str]:
     """The top-``k`` species names in frequency order (at most ``k`` values to
     the driver — needed as pivot values)."""
-    return [r[0] for r in top_species(df, k, species, None).select(species).collect()]
+    return [r[0] for r in top_species(df, k, species, None, weight).select(species).collect()]
 
 
 def hour_counts(df: DataFrame, names: list[str], ts: str = "zeitstempel",
-                species: str = SPECIES) -> DataFrame:
+                species: str = SPECIES, weight: str | None = None) -> DataFrame:
     """Detections per (species, date, hour 1..24) for the given species."""
     return (df.where(F.col(species).isin(*names))
             .groupBy(species, F.to_date(ts).alias("datum"), hour24(ts).alias("stunde"))
-            .agg(F.count(F.lit(1)).alias("anzahl_erkennungen")))
+            .agg(n_rows(weight).alias("anzahl_erkennungen")))
 
 
 def hour_matrix(df: DataFrame, k: int = 10, fill: int | None = None, ts: str = "zeitstempel",
-                species: str = SPECIES, names: list[str] | None = None) -> DataFrame:
+                species: str = SPECIES, names: list[str] | None = None,
+                weight: str | None = None) -> DataFrame:
     """M1: one row per (date, hour) with at least one top-``k`` detection, one
     column per top species holding its count.
 
@@ -46,8 +49,8 @@ def hour_matrix(df: DataFrame, k: int = 10, fill: int | None = None, ts: str = "
     gives the intended zeros.  Pivot values are passed explicitly (no extra
     distinct job).
     """
-    names = names if names is not None else top_names(df, k, species)
-    m = (hour_counts(df, names, ts, species)
+    names = names if names is not None else top_names(df, k, species, weight)
+    m = (hour_counts(df, names, ts, species, weight)
          .groupBy("datum", "stunde").pivot(species, names).agg(F.first("anzahl_erkennungen")))
     if fill is not None:
         m = m.fillna(fill, subset=names)
@@ -101,11 +104,11 @@ def kendall(matrix: DataFrame, cols: list[str], triangle: bool = False) -> DataF
 
 
 def corr_pairs(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str = SPECIES,
-               fill: int | None = None, digits: int = 2) -> DataFrame:
+               fill: int | None = None, digits: int = 2, weight: str | None = None) -> DataFrame:
     """M3: one triangle of the top-``k`` Kendall matrix in long form, NULLs
     removed, rounded.  Variable order = frequency rank."""
-    names = top_names(df, k, species)
-    m = hour_matrix(df, k, fill, ts, species, names)
+    names = top_names(df, k, species, weight)
+    m = hour_matrix(df, k, fill, ts, species, names, weight)
     return (kendall(m, names, triangle=True)
             .where(F.col("korrelation").isNotNull())
             .select("term", "vogelart", F.round("korrelation", digits).alias("korrelation")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.functions.calendar import iso_week, iso_year, simple_week
 from dawnchorus.functions.labels import MIN_OBSERVATIONS
+from dawnchorus.operators.counting import n_rows
 from dawnchorus.operators.ranking import global_row_number
 
 SPECIES = "deutscher_name"
@@ -19,44 +20,45 @@ def _day(ts: str = "zeitstempel"):
 
 
 def species_count(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
-                  species: str = SPECIES) -> DataFrame:
+                  species: str = SPECIES, weight: str | None = None) -> DataFrame:
     """One row, number of species with at least ``min_obs`` detections."""
-    per = df.groupBy(species).agg(F.count(F.lit(1)).alias("n"))
+    per = df.groupBy(species).agg(n_rows(weight).alias("n"))
     return per.agg(F.count_if(F.col("n") >= min_obs).alias("anzahl_vogelarten"))
 
 
-def daily(df: DataFrame, ts: str = "zeitstempel", species: str = SPECIES) -> DataFrame:
+def daily(df: DataFrame, ts: str = "zeitstempel", species: str = SPECIES,
+          weight: str | None = None) -> DataFrame:
     """R2: per day the number of detections and of distinct species.
 
     A NULL species counts as one more species (as R's ``n_distinct``).
     """
     return (df.groupBy(_day(ts).alias("datum"))
-            .agg(F.count(F.lit(1)).alias("erkennungen"),
+            .agg(n_rows(weight).alias("erkennungen"),
                  (F.countDistinct(species)
                   + F.max(F.col(species).isNull()).cast("long")).alias("vogelarten")))
 
 
 def _frequencies(df: DataFrame, species: str, scientific: str | None,
-                 abs_name: str, rel_name: str) -> DataFrame:
+                 abs_name: str, rel_name: str, weight: str | None = None) -> DataFrame:
     """Absolute count per species and its share of *all* detections (%).
 
     The total is a scalar subquery over the input (one global count), so the
     share needs no single-partition window over the species table.
     """
     keys = [species] + ([scientific] if scientific else [])
-    total = df.select(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(abs_name))
+    total = df.select(n_rows(weight)).scalar()
+    counts = df.groupBy(*keys).agg(n_rows(weight).alias(abs_name))
     return counts.withColumn(rel_name, F.col(abs_name) / total * 100)
 
 
 def top_species(df: DataFrame, k: int = 10, species: str = SPECIES,
-                scientific: str | None = SCIENTIFIC) -> DataFrame:
+                scientific: str | None = SCIENTIFIC, weight: str | None = None) -> DataFrame:
     """The ``k`` most frequent species with their share of all detections.
 
     Exactly ``k`` rows; ties broken by name.  ``orderBy().limit()`` becomes a
     per-partition top-k plus a final merge of k rows per partition.
     """
-    f = _frequencies(df, species, scientific, "absolute_haeufigkeit", "relative_haeufigkeit")
+    f = _frequencies(df, species, scientific, "absolute_haeufigkeit", "relative_haeufigkeit", weight)
     order = [F.desc("absolute_haeufigkeit"), F.asc_nulls_last(species)]
     if scientific:
         order.append(F.asc_nulls_last(scientific))
@@ -64,10 +66,11 @@ def top_species(df: DataFrame, k: int = 10, species: str = SPECIES,
 
 
 def bottom_species(df: DataFrame, k: int = 10, min_obs: int = MIN_OBSERVATIONS,
-                   species: str = SPECIES, scientific: str | None = SCIENTIFIC) -> DataFrame:
+                   species: str = SPECIES, scientific: str | None = SCIENTIFIC,
+                   weight: str | None = None) -> DataFrame:
     """The ``k`` least frequent species among those with ``>= min_obs``;
     the share is taken over all detections *before* the threshold."""
-    f = _frequencies(df, species, scientific, "absolute_haeufigkeit", "relative_haeufigkeit")
+    f = _frequencies(df, species, scientific, "absolute_haeufigkeit", "relative_haeufigkeit", weight)
     order = [F.asc("absolute_haeufigkeit"), F.asc_nulls_last(species)]
     if scientific:
         order.append(F.asc_nulls_last(scientific))
@@ -76,14 +79,14 @@ def bottom_species(df: DataFrame, k: int = 10, min_obs: int = MIN_OBSERVATIONS,
 
 def species_frequency(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
                       species: str = SPECIES, scientific: str | None = SCIENTIFIC,
-                      ranked: bool = True) -> DataFrame:
+                      ranked: bool = True, weight: str | None = None) -> DataFrame:
     """Every species with ``>= min_obs`` detections, absolute and relative
     frequency, ranked 1..n by descending count (name breaks ties).
 
     The rank is computed with a distributed global numbering, not a
     single-partition window.
     """
-    f = _frequencies(df, species, scientific, "absolut", "relativ")
+    f = _frequencies(df, species, scientific, "absolut", "relativ", weight)
     f = f.where(F.col("absolut") >= min_obs)
     if not ranked:
         return f
@@ -93,15 +96,15 @@ def species_frequency(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
     return global_row_number(f, order, "rang")
 
 
-def _frequent(df: DataFrame, min_obs: int, species: str) -> DataFrame:
+def _frequent(df: DataFrame, min_obs: int, species: str, weight: str | None = None) -> DataFrame:
     """Rows of species with at least ``min_obs`` detections (HAVING + semi join)."""
-    keep = (df.groupBy(species).agg(F.count(F.lit(1)).alias("_n"))
+    keep = (df.groupBy(species).agg(n_rows(weight).alias("_n"))
             .where(F.col("_n") >= min_obs).select(species))
     return df.join(keep, species, "left_semi")
 
 
 def new_species(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeitstempel",
-                species: str = SPECIES) -> DataFrame:
+                species: str = SPECIES, weight: str | None = None) -> DataFrame:
     """Per (year, non-ISO week) the species seen for the first time.
 
     The reference folds a running set union over the ordered weeks; the same
@@ -110,7 +113,7 @@ def new_species(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeits
     Week = complete 7-day blocks since 1 January, plus one.
     """
     d = _day(ts)
-    first = (_frequent(df, min_obs, species)
+    first = (_frequent(df, min_obs, species, weight)
              .where(F.col(ts).isNotNull())
              .groupBy(species)
              .agg(F.min(F.struct(F.year(d).alias("jahr"),
@@ -121,7 +124,8 @@ def new_species(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeits
 
 
 def running_species_set(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
-                        ts: str = "zeitstempel", species: str = SPECIES) -> DataFrame:
+                        ts: str = "zeitstempel", species: str = SPECIES,
+                        weight: str | None = None) -> DataFrame:
     """Per observed week the running union of species seen so far
     (``alle_vogelarten``, sorted) and the week's new ones.
 
@@ -130,10 +134,10 @@ def running_species_set(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
     one row per week, which is bounded by the calendar, not by the data.
     """
     d = _day(ts)
-    weeks = (_frequent(df, min_obs, species).where(F.col(ts).isNotNull())
+    weeks = (_frequent(df, min_obs, species, weight).where(F.col(ts).isNotNull())
              .select(F.year(d).alias("jahr"), simple_week(d).alias("kalenderwoche"))
              .distinct())
-    news = (new_species(df, min_obs, ts, species)
+    news = (new_species(df, min_obs, ts, species, weight)
             .groupBy("jahr", "kalenderwoche")
             .agg(F.collect_list("neue_vogelarten").alias("_new")))
     wk = weeks.join(news, ["jahr", "kalenderwoche"], "left")
@@ -145,7 +149,8 @@ def running_species_set(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
 
 
 def weekly_change(df: DataFrame, as_of: str, ts: str = "zeitstempel",
-                  species: str = SPECIES, existing_weeks_only: bool = False) -> DataFrame:
+                  species: str = SPECIES, existing_weeks_only: bool = False,
+                  weight: str | None = None) -> DataFrame:
     """Week-over-week change of detections per species (ISO weeks).
 
     * keeps weeks whose ISO number is below the ISO week of ``as_of`` — in
@@ -163,10 +168,11 @@ def weekly_change(df: DataFrame, as_of: str, ts: str = "zeitstempel",
     d = _day(ts)
     base = (df.where(F.col(ts).isNotNull())
             .select(iso_year(d).alias("jahr"), iso_week(d).alias("kalenderwoche"),
-                    F.col(species).alias(species))
+                    F.col(species).alias(species),
+                    *([F.col(weight)] if weight else []))
             .where(F.col("kalenderwoche") < iso_week(F.to_date(F.lit(as_of)))))
     counts = (base.groupBy("jahr", "kalenderwoche", species)
-              .agg(F.count(F.lit(1)).alias("erkennungen")))
+              .agg(n_rows(weight).alias("erkennungen")))
     # The side branches below keep an (order-sensitive) sum over the counts so
     # that Catalyst does not re-derive them from the raw rows: all branches then
     # share the one shuffle of ``counts`` (exchange reuse) — one scan in total.

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from dawnchorus.functions.calendar import week_start_sunday
 from dawnchorus.functions.formatting import de_number
 from dawnchorus.functions.labels import STUDY_END, STUDY_MARK_FROM, STUDY_SPECIES, STUDY_START
+from dawnchorus.operators.counting import n_rows, n_where
 from dawnchorus.operators.species import SPECIES
 
 
 def weekly_share(df: DataFrame, species_name: str = STUDY_SPECIES, start: str = STUDY_START,
                  end: str = STUDY_END, ts: str = "zeitstempel",
-                 species: str = SPECIES) -> DataFrame:
+                 species: str = SPECIES, weight: str | None = None) -> DataFrame:
     """Per week (weeks start on Sunday) within [start, end]: all detections,
     detections of ``species_name`` and its share.
 
@@ -24,8 +25,8 @@ def weekly_share(df: DataFrame, species_name: str = STUDY_SPECIES, start: str =
     d = F.to_date(F.col(ts))
     return (df.where(d.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
             .groupBy(week_start_sunday(d).alias("woche"))
-            .agg(F.count(F.lit(1)).alias("erkennungen"),
-                 F.count_if(F.col(species) == species_name).alias("erkennungen_art"))
+            .agg(n_rows(weight).alias("erkennungen"),
+                 n_where(F.col(species) == species_name, weight).alias("erkennungen_art"))
             .withColumn("anteil_art", F.col("erkennungen_art") / F.col("erkennungen")))
 
 

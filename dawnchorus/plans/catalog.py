@@ -466,6 +466,49 @@ def q_report_sink(spark, sf_dir):
     return spark.read.parquet(paths["top_bottom_vogelarten"])
 
 
+# --- the same outputs from the count cube -----------------------------------
+
+def _cube(frame):
+    from dawnchorus.plans.cube import detection_cube
+    return detection_cube(frame)
+
+
+def q_cube_daily(spark, sf_dir):
+    """R2 from the count cube"""
+    return species.daily(_cube(_t(spark, sf_dir).by_type()), weight="n")
+
+
+def q_cube_top_species(spark, sf_dir):
+    """R3 from the count cube"""
+    return rounded(species.top_species(_cube(_t(spark, sf_dir).by_user()), weight="n"))
+
+
+def q_cube_new_species(spark, sf_dir):
+    """R6 from the count cube"""
+    return species.new_species(_cube(_t(spark, sf_dir).by_user()), weight="n")
+
+
+def q_cube_weekly_change(spark, sf_dir):
+    """R7 from the count cube"""
+    return rounded(species.weekly_change(_cube(_t(spark, sf_dir).orders()), ORDERS_AS_OF, weight="n"))
+
+
+def q_cube_hour_matrix(spark, sf_dir):
+    """M1 from the count cube"""
+    return models.hour_matrix(_cube(_t(spark, sf_dir).by_type()), weight="n")
+
+
+def q_cube_hour_grid(spark, sf_dir):
+    """C8 from the count cube"""
+    return grids.hour_grid(_cube(_t(spark, sf_dir).orders()), "count", weight="n")
+
+
+def q_cube_weekly_share(spark, sf_dir):
+    """U1 from the count cube"""
+    return rounded(study.weekly_share(_cube(_t(spark, sf_dir).orders()), STUDY_SPECIES,
+                                      STUDY_START, STUDY_END, weight="n"))
+
+
 # --- event study ------------------------------------------------------------
 
 def _weekly(spark, sf_dir):
@@ -550,6 +593,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "formatted_top_bottom": q_formatted_top_bottom,
     "report_sink": q_report_sink,
     "weekly_share": q_weekly_share,
+    "cube_daily": q_cube_daily,
+    "cube_top_species": q_cube_top_species,
+    "cube_new_species": q_cube_new_species,
+    "cube_weekly_change": q_cube_weekly_change,
+    "cube_hour_matrix": q_cube_hour_matrix,
+    "cube_hour_grid": q_cube_hour_grid,
+    "cube_weekly_share": q_cube_weekly_share,
     "share_extrema": q_share_extrema,
     "study_total": q_study_total,
     "marked_weeks": q_marked_weeks,

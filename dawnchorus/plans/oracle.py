@@ -491,6 +491,12 @@ def build() -> dict[str, str]:
     s["marked_weeks"] = f"WITH {DO}, {weekly} " + rounded(
         f"""SELECT *, woche >= DATE '{STUDY_MARK}' AS markiert, DATE '{STUDY_MARK}' AS markierung_beginn,
             (SELECT max(CAST(zeitstempel AS DATE)) FROM dord) AS markierung_ende FROM ws""", ["anteil_art"])
+    # the count-cube variants must give exactly the raw answers
+    for cube_name, raw in (("cube_daily", "daily"), ("cube_top_species", "top_species"),
+                           ("cube_new_species", "new_species"), ("cube_weekly_change", "weekly_change"),
+                           ("cube_hour_matrix", "hour_matrix"), ("cube_hour_grid", "hour_grid_detections"),
+                           ("cube_weekly_share", "weekly_share")):
+        s[cube_name] = s[raw]
     return s
 
 
