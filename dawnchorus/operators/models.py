@@ -263,19 +263,33 @@ def poisson_trend(per_day: DataFrame, y: str, date_col: str = "datum") -> DataFr
 
 
 def grouped_poisson_trend(per_group_day: DataFrame, y: str, group: str,
-                          date_col: str = "datum") -> DataFrame:
-    """One Poisson trend per group (facet) in a single fit.
-
-    Features are a per-group indicator and indicator·x (no common intercept):
-    the likelihood separates, so the coefficients equal separate per-group
-    fits, while the data are scanned once per IRLS iteration for all groups.
-    Group names (at most a handful of facets) are read to build the design.
+                          date_col: str = "datum", method: str = "auto",
+                          max_joint_groups: int = 50) -> DataFrame:
+    """One Poisson trend per group (facet).
+
+    ``method='joint'``: a single GLM whose features are a per-group indicator
+    and indicator·x (no common intercept); the likelihood separates, so the
+    coefficients equal separate per-group fits while the data are scanned once
+    per IRLS iteration for all groups.  The design has two columns per group,
+    so it suits a handful of facets (the reference plots the top 10).
+
+    ``method='per_group'``: each group's daily rows (bounded by the number of
+    days) are fitted by a 2-parameter IRLS inside ``applyInPandas``; groups
+    are independent tasks, so any number of groups scales out.
+
+    ``'auto'`` picks ``joint`` up to ``max_joint_groups`` groups.  x is days
+    since the first date over all groups, centred, in both methods.
     """
-    groups = sorted(r[0] for r in per_group_day.select(group).distinct().collect())
     first = per_group_day.select(F.min(date_col)).scalar()
     span = per_group_day.select((F.datediff(F.max(date_col), F.min(date_col)) / 2.0)).scalar()
     x = (F.datediff(F.col(date_col), first) - span).cast("double")
     data = per_group_day.withColumn("_x", x)
+    if method == "auto":
+        n_groups = per_group_day.select(group).distinct().limit(max_joint_groups + 1).count()
+        method = "joint" if n_groups <= max_joint_groups else "per_group"
+    if method == "per_group":
+        return _per_group_poisson(data, y, group)
+    groups = sorted(r[0] for r in data.select(group).distinct().collect())
     ind = {g: (F.col(group) == F.lit(g)).cast("double") for g in groups}
     cols = {}
     for i, g in enumerate(groups):
@@ -295,6 +309,23 @@ def grouped_poisson_trend(per_group_day: DataFrame, y: str, group: str,
             .drop("_x"))
 
 
+def _per_group_poisson(data: DataFrame, y: str, group: str) -> DataFrame:
+    out_schema = T.StructType(list(data.schema.fields) + [T.StructField("trend", T.DoubleType())])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        ok = pdf[y].notna()
+        xs = pdf.loc[ok, "_x"].to_numpy(dtype=float)
+        ys = pdf.loc[ok, y].to_numpy(dtype=float)
+        if len(xs) == 0:
+            trend = np.full(len(pdf), np.nan)
+        else:
+            a, b = irls_poisson(xs, ys)
+            trend = np.exp(a + b * pdf["_x"].to_numpy(dtype=float))
+        return pdf.assign(trend=trend)
+
+    return data.groupBy(group).applyInPandas(fit, out_schema).drop("_x")
+
+
 def irls_poisson(x: np.ndarray, y: np.ndarray, iters: int = 100) -> tuple[float, float]:
     """Reference IRLS for a 2-parameter Poisson fit (used by tests)."""
     X = np.column_stack([np.ones_like(x), x])
@@ -303,7 +334,10 @@ def irls_poisson(x: np.ndarray, y: np.ndarray, iters: int = 100) -> tuple[float,
         mu = np.exp(X @ beta)
         z = X @ beta + (y - mu) / mu
         W = mu
-        new = np.linalg.solve(X.T @ (W[:, None] * X), X.T @ (W * z))
+        try:
+            new = np.linalg.solve(X.T @ (W[:, None] * X), X.T @ (W * z))
+        except np.linalg.LinAlgError:
+            return math.log(max(y.mean(), 1e-300)), 0.0
         if np.max(np.abs(new - beta)) < 1e-12:
             beta = new
             break

@@ -101,9 +101,13 @@ def to_weather(collapsed: DataFrame, key: str = "mess_datum") -> DataFrame:
     Labels and their numeric codes are both kept (the code is what a model
     uses as a number).
     """
-    p_label, p_code = recode("rs_ind_niederschlagsindikator", PRECIPITATION_LABELS)
-    c_label, c_code = recode("v_n_bedeckungsgrad", CLOUD_LABELS)
     have = set(collapsed.columns)
+
+    def src(c):  # a variable without any station file is NULL, not an error
+        return F.col(c) if c in have else F.lit(None).cast("double")
+
+    p_label, p_code = recode(src("rs_ind_niederschlagsindikator"), PRECIPITATION_LABELS)
+    c_label, c_code = recode(src("v_n_bedeckungsgrad"), CLOUD_LABELS)
     measures = [
         (F.col(src) if src in have else F.lit(None).cast("double")).alias(dst)
         for src, dst in WEATHER_RENAMES.items()

@@ -117,6 +117,11 @@ def test_grouped_poisson_equals_separate(spark):
             for i, c in enumerate(np.round(20 * np.exp(k * np.arange(12))))]
     df = spark.createDataFrame(rows, "g string, datum date, n long")
     joint = {(r.g, r.datum): r.trend for r in models.grouped_poisson_trend(df, "n", "g").collect()}
+    per = {(r.g, r.datum): r.trend
+           for r in models.grouped_poisson_trend(df, "n", "g", method="per_group").collect()}
+    assert set(per) == set(joint)
+    for key, v in joint.items():
+        assert per[key] == pytest.approx(v, rel=1e-6)
     for g in ("a", "b"):
         xs = np.arange(12, dtype=float) - 5.5
         ys = np.array([c for gg, _, c in rows if gg == g], dtype=float)
