@@ -9,6 +9,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,11 +214,17 @@ def ols(df: DataFrame, y: str, xs: list[str], standardize: bool = True) -> OlsFi
     (one distributed pass builds XᵀX)."""
     data = normalize(df.select(y, *xs), [y] + xs) if standardize else df.select(y, *xs)
     data = data.dropna(subset=[y] + xs)
-    vec = VectorAssembler(inputCols=xs, outputCol="_features").transform(data)
-    lr = LinearRegression(featuresCol="_features", labelCol=y, solver="normal",
-                          standardization=False, regParam=0.0, fitIntercept=True)
-    model = lr.fit(vec)
-    return OlsFit(df.sparkSession, model, y, xs, int(model.summary.numInstances))
+    vec = (VectorAssembler(inputCols=xs, outputCol="_features").transform(data)
+           .select(y, "_features").persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        lr = LinearRegression(featuresCol="_features", labelCol=y, solver="normal",
+                              standardization=False, regParam=0.0, fitIntercept=True)
+        model = lr.fit(vec)
+        # the summary's statistics are computed (several passes) while the
+        # assembled rows are still persisted
+        return OlsFit(df.sparkSession, model, y, xs, int(model.summary.numInstances))
+    finally:
+        vec.unpersist()
 
 
 def forest(tidy: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
@@ -239,9 +246,15 @@ def forest(tidy: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
 
 
 def _poisson(features: DataFrame, label: str, intercept: bool):
-    glr = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_features",
-                                      labelCol=label, fitIntercept=intercept, maxIter=50, tol=1e-10)
-    return glr.fit(features)
+    """IRLS makes one pass per iteration: keep the (aggregated) rows persisted."""
+    rows = features.select(label, "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        glr = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_features",
+                                          labelCol=label, fitIntercept=intercept, maxIter=50,
+                                          tol=1e-10)
+        return glr.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def poisson_trend(per_day: DataFrame, y: str, date_col: str = "datum") -> DataFrame:

@@ -8,7 +8,6 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnchorus.sources.schemas import RAW_DETECTIONS
 
 # --- fixed values: German transliteration of clean_names ---------------------
 GERMAN_TRANSLITERATION = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss",
@@ -49,17 +48,19 @@ def clean_names(df: DataFrame, german: bool = False) -> DataFrame:
     return df.toDF(*out)
 
 
-def read_detections(spark: SparkSession, path: str, schema=RAW_DETECTIONS) -> DataFrame:
-    """The detections CSV with header, declared schema (no inference).
+def read_detections(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The detections CSV with header.
 
-    ``enforceSchema=False`` checks the header names against the schema instead
-    of silently mapping columns by position.
+    Without ``schema`` every column is read as a string by its header name —
+    no inference pass over the data, and files with additional columns work;
+    ``to_detections`` picks and types the nine it needs.  With ``schema``
+    (e.g. ``RAW_DETECTIONS``) the header is checked against it
+    (``enforceSchema=False``) instead of mapping columns by position.
     """
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if schema is not None:
+        reader = reader.schema(schema).option("enforceSchema", False)
+    return reader.csv(path)
 
 
 def to_detections(raw: DataFrame) -> DataFrame:
@@ -77,10 +78,10 @@ def to_detections(raw: DataFrame) -> DataFrame:
         parsed.cast("timestamp_ntz").alias("zeitstempel"),
         F.col("sci_name").alias("wissenschaftlicher_name"),
         F.col("com_name").alias("deutscher_name"),
-        F.col("confidence").cast("double").alias("erkennungswahrscheinlichkeit"),
-        F.col("cutoff").cast("double").alias("schwellenwert"),
-        F.col("sens").cast("double").alias("empfindlichkeit"),
-        F.col("lat").cast("double").alias("breitengrad"),
-        F.col("lon").cast("double").alias("laengengrad"),
-        F.col("overlap").cast("double").alias("ueberlappung"),
+        F.col("confidence").try_cast("double").alias("erkennungswahrscheinlichkeit"),
+        F.col("cutoff").try_cast("double").alias("schwellenwert"),
+        F.col("sens").try_cast("double").alias("empfindlichkeit"),
+        F.col("lat").try_cast("double").alias("breitengrad"),
+        F.col("lon").try_cast("double").alias("laengengrad"),
+        F.col("overlap").try_cast("double").alias("ueberlappung"),
     )

@@ -80,3 +80,19 @@ def test_profile_quartiles(spark):
     r = {row.spalte: row for row in cleaning.profile(df).collect()}
     assert (r["x"].minimum, r["x"].q1, r["x"].median, r["x"].q3, r["x"].maximum) == (1, 2, 3, 4, 5)
     assert r["y"].anzahl_na == 1 and r["x"].anzahl_na == 0
+
+
+def test_read_detections_extra_columns_and_bad_values(spark):
+    import tempfile
+    from dawnchorus.sources.detections import read_detections, to_detections
+    from dawnchorus.sources.schemas import RAW_DETECTIONS
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with open(f"{d}/detections.csv", "w", encoding="utf-8") as f:
+        f.write("Date,Time,Sci_Name,Com_Name,Confidence,Cutoff,Sens,Lat,Lon,Overlap,File_Name\n")
+        f.write("2024-03-01,06:15:00,Turdus merula,Amsel,0.91,0.7,1.25,51.8,6.6,0.0,a.wav\n")
+        f.write("2024-03-01,25:99:00,Erithacus rubecula,Rotkehlchen,n/a,0.7,1.25,51.8,6.6,0.0,b.wav\n")
+    rows = to_detections(read_detections(spark, d)).orderBy("deutscher_name").collect()
+    assert rows[0].zeitstempel == dt.datetime(2024, 3, 1, 6, 15) and rows[0].erkennungswahrscheinlichkeit == 0.91
+    assert rows[1].zeitstempel is None and rows[1].erkennungswahrscheinlichkeit is None
+    typed = read_detections(spark, f"{d}/detections.csv", schema=RAW_DETECTIONS)
+    assert typed.schema["Confidence"].dataType.simpleString() == "double"
