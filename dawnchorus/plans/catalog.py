@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,8 +204,12 @@ def q_snapshot_archive(spark, sf_dir):
     column) merged with the current rows."""
     cur = _t(spark, sf_dir).enriched()
     d = scratch_path(spark, "archive")
-    archive.write_snapshot(cur, d, "2024-01-30")
-    archive.write_snapshot(cur.drop("jahreszeit_nr"), d, "2024-01-31")
+    cur.persist(StorageLevel.MEMORY_AND_DISK)   # written twice below
+    try:
+        archive.write_snapshot(cur, d, "2024-01-30")
+        archive.write_snapshot(cur.drop("jahreszeit_nr"), d, "2024-01-31")
+    finally:
+        cur.unpersist()
     return rounded(archive.merge_snapshots(spark, cur, d))
 
 
@@ -215,9 +220,13 @@ def q_archive_stream(spark, sf_dir):
     cur = _t(spark, sf_dir).enriched()
     base = scratch_path(spark, "archive_stream")
     incoming, arch = f"{base}/incoming", f"{base}/archive"
-    for i, snap in enumerate([cur, cur.drop("jahreszeit_nr"), cur]):
-        archive.write_snapshot(snap, incoming, f"run{i}", fmt="parquet")
-        archive_stream(spark, incoming, arch, f"{base}/checkpoint").awaitTermination()
+    cur.persist(StorageLevel.MEMORY_AND_DISK)   # written three times below
+    try:
+        for i, snap in enumerate([cur, cur.drop("jahreszeit_nr"), cur]):
+            archive.write_snapshot(snap, incoming, f"run{i}", fmt="parquet")
+            archive_stream(spark, incoming, arch, f"{base}/checkpoint").awaitTermination()
+    finally:
+        cur.unpersist()
     return rounded(read_archive(spark, arch))
 
 

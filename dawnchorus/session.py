@@ -42,12 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session; only when it is unset (local tests) a fresh
     directory is created and registered as the checkpoint directory.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = None
+    try:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        d = None
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (no SparkContext, e.g. a remote session)
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc is not None:
+            sc.setCheckpointDir(d)
+            d = sc.getCheckpointDir() or d
+        else:
+            spark.conf.set("spark.checkpoint.dir", d)
+    elif sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
     return d.rstrip("/")
 
 

@@ -50,16 +50,26 @@ def _merge_batch(archive_dir: str, schema: T.StructType):
 
     def merge(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001
         spark = batch.sparkSession
-        new = batch.select(*cols).distinct().withColumn(PART, F.to_date("zeitstempel"))
+        row = F.struct(*[F.col(c) for c in cols])
+        new = (batch.select(*cols).distinct()
+               .withColumn(PART, F.to_date("zeitstempel"))
+               .withColumn("_h", F.xxhash64(row)))
         if _archive_exists(spark, archive_dir):
             days = [r[0] for r in new.select(PART).distinct().collect()]
             day_filter = F.col(PART).isin(*[d for d in days if d is not None])
             if None in days:
                 day_filter = day_filter | F.col(PART).isNull()
-            old = spark.read.parquet(archive_dir).where(day_filter).select(*cols, PART)
-            cond = [new[c].eqNullSafe(old[c]) for c in cols]
+            old = (spark.read.parquet(archive_dir).where(day_filter)
+                   .select(PART, F.struct(*[F.col(c) for c in cols]).alias("_row"))
+                   .withColumn("_h", F.xxhash64("_row")))
+            # equi keys: row hash + date; the full null-safe row comparison
+            # guards against hash collisions
+            cond = [(new["_h"] == old["_h"]), new[PART].eqNullSafe(old[PART]),
+                    F.struct(*[new[c] for c in cols]).eqNullSafe(old["_row"])]
             new = new.join(old, cond, "left_anti")
-        new.write.mode("append").partitionBy(PART).parquet(archive_dir)
+        # rebalance on the date: AQE coalesces small days and splits a hot one
+        (new.drop("_h").hint("rebalance", PART)
+         .write.mode("append").partitionBy(PART).parquet(archive_dir))
 
     return merge
 
