@@ -127,25 +127,32 @@ def running_species_set(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
                         ts: str = "zeitstempel", species: str = SPECIES,
                         weight: str | None = None) -> DataFrame:
     """Per observed week the running union of species seen so far
-    (``alle_vogelarten``, sorted) and the week's new ones.
+    (``alle_vogelarten``, sorted) and the week's new ones (``neue_vogelarten``).
 
-    Built from R6: new species are collected per week (arrays bounded by the
-    species list) and flattened along the ordered weeks.  The window runs over
-    one row per week, which is bounded by the calendar, not by the data.
+    Built from R6 without an ordered fold: observed weeks get a dense index
+    (a window over one row per week, bounded by the calendar); every species
+    emits the indices from its first week to the last one; the sets are then
+    collected *per week*, so no task ever holds more than one week's set.
     """
     d = _day(ts)
     weeks = (_frequent(df, min_obs, species, weight).where(F.col(ts).isNotNull())
              .select(F.year(d).alias("jahr"), simple_week(d).alias("kalenderwoche"))
              .distinct())
-    news = (new_species(df, min_obs, ts, species, weight)
-            .groupBy("jahr", "kalenderwoche")
-            .agg(F.collect_list("neue_vogelarten").alias("_new")))
-    wk = weeks.join(news, ["jahr", "kalenderwoche"], "left")
-    w = Window.orderBy("jahr", "kalenderwoche").rowsBetween(Window.unboundedPreceding, 0)
-    acc = F.array_sort(F.flatten(F.collect_list(F.coalesce("_new", F.array().cast("array<string>"))).over(w)))
-    return wk.select("jahr", "kalenderwoche",
-                     acc.alias("alle_vogelarten"),
-                     F.array_sort(F.coalesce("_new", F.array().cast("array<string>"))).alias("neue_vogelarten"))
+    idx = weeks.withColumn("_i", F.dense_rank().over(Window.orderBy("jahr", "kalenderwoche")))
+    last = idx.select(F.max("_i")).scalar()
+    first = (new_species(df, min_obs, ts, species, weight)
+             .join(idx, ["jahr", "kalenderwoche"])
+             .select(F.col("neue_vogelarten").alias("_s"), F.col("_i").alias("_first")))
+    member = first.select("_s", "_first", F.explode(F.sequence("_first", last)).alias("_i"))
+    sets = (member.groupBy("_i")
+            .agg(F.array_sort(F.collect_list("_s")).alias("alle_vogelarten"),
+                 F.array_sort(F.collect_list(F.when(F.col("_first") == F.col("_i"), F.col("_s"))))
+                 .alias("neue_vogelarten")))
+    empty = F.array().cast("array<string>")
+    return (idx.join(sets, "_i", "left")
+            .select("jahr", "kalenderwoche",
+                    F.coalesce("alle_vogelarten", empty).alias("alle_vogelarten"),
+                    F.coalesce("neue_vogelarten", empty).alias("neue_vogelarten")))
 
 
 def weekly_change(df: DataFrame, as_of: str, ts: str = "zeitstempel",
