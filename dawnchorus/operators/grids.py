@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dawnchorus.functions.calendar import date_seq, hour24, pick, season_ordinal
 from dawnchorus.functions.labels import SEASONS
 from dawnchorus.operators.counting import n_rows
-from dawnchorus.operators.species import SPECIES, daily
+from dawnchorus.operators.species import SPECIES, daily, distinct_species
 
 
 def _day(ts: str = "zeitstempel"):
@@ -143,7 +143,8 @@ def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str
 
 
 def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",
-              species: str = SPECIES, weight: str | None = None) -> DataFrame:
+              species: str = SPECIES, weight: str | None = None,
+              approx: bool = False) -> DataFrame:
     """Heat map data over (date, hour 1..24).
 
     * ``agg='count'``: detections; ``agg='species'``: distinct species.
@@ -159,7 +160,7 @@ def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",
         value = n_rows(weight)
         name = "anzahl_erkennungen"
     else:
-        value = F.countDistinct(species) + F.max(F.col(species).isNull()).cast("long")
+        value = distinct_species(species, approx)
         name = "anzahl_vogelarten"
     cells = base.groupBy(d.alias("datum"), hour24(ts).alias("stunde")).agg(value.alias(name))
     grid = (calendar(base.select(d.alias("datum")))

@@ -97,3 +97,13 @@ def test_species_frequency_rank_is_global(spark):
     assert [r.rang for r in got] == list(range(1, 41))
     keys = [(-r.absolut, r.deutscher_name) for r in got]
     assert keys == sorted(keys)
+
+
+def test_daily_approx_distinct_close(spark):
+    rows = [(dt.datetime(2024, 3, 1 + d % 3, 8), f"s{i}") for d in range(3) for i in range(200)]
+    df = _df(spark, rows)
+    exact = {r.datum: r.vogelarten for r in species.daily(df).collect()}
+    approx = {r.datum: r.vogelarten for r in species.daily(df, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for k in exact:
+        assert abs(exact[k] - approx[k]) <= 0.05 * exact[k]
