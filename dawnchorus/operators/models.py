@@ -140,17 +140,29 @@ def hourly_features(df: DataFrame, target: str = "count", ts: str = "zeitstempel
     )
 
 
-def normalize(df: DataFrame, cols: list[str]) -> DataFrame:
+def normalize(df: DataFrame, cols: list[str], eager: bool = False) -> DataFrame:
     """M6: z-score each column with its mean and sample sd (NULLs skipped).
 
-    The statistics are one global aggregate delivered as a single struct
-    scalar subquery; a column with sd 0 becomes NULL instead of dividing by 0.
+    The statistics are one global aggregate.  Lazily (default) they enter as a
+    single struct scalar subquery.  ``eager=True`` computes them once (2 values
+    per column) and embeds them as literals — preferable when the result feeds
+    an iterative consumer such as a model fit, whose every pass would
+    otherwise re-plan the subquery.  A column with sd 0 becomes NULL instead of
+    dividing by 0.
     """
-    stats = df.agg(F.struct(*[
-        F.struct(F.avg(F.col(c).cast("double")).alias("m"),
-                 F.stddev_samp(F.col(c).cast("double")).alias("s")).alias(f"c{i}")
-        for i, c in enumerate(cols)])).scalar()
+    aggs = [F.struct(F.avg(F.col(c).cast("double")).alias("m"),
+                     F.stddev_samp(F.col(c).cast("double")).alias("s")).alias(f"c{i}")
+            for i, c in enumerate(cols)]
     out = {}
+    if eager:
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(cols):
+            m, sd = row[f"c{i}"]["m"], row[f"c{i}"]["s"]
+            mean = F.lit(m).cast("double")
+            scale = F.lit(None).cast("double") if sd in (None, 0.0) else F.lit(sd)
+            out[c] = (F.col(c).cast("double") - mean) / scale
+        return df.withColumns(out)
+    stats = df.agg(F.struct(*aggs)).scalar()
     for i, c in enumerate(cols):
         st = stats.getField(f"c{i}")
         out[c] = (F.col(c).cast("double") - st.getField("m")) / F.nullif(st.getField("s"), F.lit(0.0))
@@ -210,21 +222,23 @@ class OlsFit:
 
 def ols(df: DataFrame, y: str, xs: list[str], standardize: bool = True) -> OlsFit:
     """M6 + M7: standardise every column (target included, statistics over all
-    rows), keep complete cases, fit OLS with intercept by the normal equations
-    (one distributed pass builds XᵀX)."""
-    data = normalize(df.select(y, *xs), [y] + xs) if standardize else df.select(y, *xs)
-    data = data.dropna(subset=[y] + xs)
-    vec = (VectorAssembler(inputCols=xs, outputCol="_features").transform(data)
-           .select(y, "_features").persist(StorageLevel.MEMORY_AND_DISK))
+    rows), keep complete cases, fit OLS with intercept by the normal equations.
+
+    The model columns are persisted (memory, spilling to disk) for the fit's
+    passes — statistics, XᵀX, summary — so the upstream plan runs once.
+    """
+    base = df.select(y, *xs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        data = normalize(base, [y] + xs, eager=True) if standardize else base
+        data = data.dropna(subset=[y] + xs)
+        vec = VectorAssembler(inputCols=xs, outputCol="_features").transform(data)
         lr = LinearRegression(featuresCol="_features", labelCol=y, solver="normal",
                               standardization=False, regParam=0.0, fitIntercept=True)
         model = lr.fit(vec)
-        # the summary's statistics are computed (several passes) while the
-        # assembled rows are still persisted
+        # the summary's statistics are computed while the rows are persisted
         return OlsFit(df.sparkSession, model, y, xs, int(model.summary.numInstances))
     finally:
-        vec.unpersist()
+        base.unpersist()
 
 
 def forest(tidy: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:

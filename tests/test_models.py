@@ -150,3 +150,11 @@ def test_forest_labels(spark):
     assert out[0].p_label == "p = 0.30" and out[1].p_label == "p < 0.01"
     assert out[1].signifikant and not out[0].signifikant
     assert out[1].ci_unten == pytest.approx(0.3 - 0.196)
+
+
+def test_normalize_eager_equals_lazy(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, None, 2.0), (4.0, 7.0, 2.0)], "a double, b double, c double")
+    lazy = sorted(map(tuple, models.normalize(df, ["a", "b", "c"]).collect()), key=str)
+    eager = sorted(map(tuple, models.normalize(df, ["a", "b", "c"], eager=True).collect()), key=str)
+    assert lazy == eager
+    assert all(r[2] is None for r in eager)            # sd 0 -> NULL
