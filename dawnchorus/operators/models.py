@@ -271,6 +271,19 @@ def _poisson(features: DataFrame, label: str, intercept: bool):
         rows.unpersist()
 
 
+def _centred_days(df: DataFrame, date_col: str):
+    """Days since the first date minus half the span (x of the trend models).
+
+    The two bounds are one global aggregate, fetched once and embedded as
+    literals: the IRLS passes then do not re-plan a subquery each time.
+    """
+    lo, hi = df.agg(F.min(date_col), F.max(date_col)).first()
+    if lo is None:
+        return F.lit(None).cast("double")
+    span = (hi - lo).days / 2.0
+    return (F.datediff(F.col(date_col), F.lit(lo)) - F.lit(span)).cast("double")
+
+
 def poisson_trend(per_day: DataFrame, y: str, date_col: str = "datum") -> DataFrame:
     """Log-linear Poisson trend of a daily count on the date.
 
@@ -278,10 +291,7 @@ def poisson_trend(per_day: DataFrame, y: str, date_col: str = "datum") -> DataFr
     calendar days) are not fitted but receive the fitted value.  Adds
     ``trend`` = exp(a + b·x).
     """
-    first = per_day.select(F.min(date_col)).scalar()
-    span = per_day.select((F.datediff(F.max(date_col), F.min(date_col)) / 2.0)).scalar()
-    x = (F.datediff(F.col(date_col), first) - span).cast("double")
-    data = per_day.withColumn("_x", x)
+    data = per_day.withColumn("_x", _centred_days(per_day, date_col))
     vec = VectorAssembler(inputCols=["_x"], outputCol="_features")
     fit_rows = vec.transform(data.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double")))
     model = _poisson(fit_rows, y, True)
@@ -307,10 +317,7 @@ def grouped_poisson_trend(per_group_day: DataFrame, y: str, group: str,
     ``'auto'`` picks ``joint`` up to ``max_joint_groups`` groups.  x is days
     since the first date over all groups, centred, in both methods.
     """
-    first = per_group_day.select(F.min(date_col)).scalar()
-    span = per_group_day.select((F.datediff(F.max(date_col), F.min(date_col)) / 2.0)).scalar()
-    x = (F.datediff(F.col(date_col), first) - span).cast("double")
-    data = per_group_day.withColumn("_x", x)
+    data = per_group_day.withColumn("_x", _centred_days(per_group_day, date_col))
     if method == "auto":
         n_groups = per_group_day.select(group).distinct().limit(max_joint_groups + 1).count()
         method = "joint" if n_groups <= max_joint_groups else "per_group"
