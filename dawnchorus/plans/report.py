@@ -37,7 +37,7 @@ def report_tables(df: DataFrame, outage_df: DataFrame, as_of: str) -> dict[str,
 def report_charts(df: DataFrame, period: DataFrame, outage_df: DataFrame) -> dict[str, DataFrame]:
     """The data behind each chart (rendering is not part of the library)."""
     return {
-        "entwicklung_taegliche_vogelerkennungen": chart_daily_detections(df),
+        "taegliche_erkennungen_trend": chart_daily_detections(df),
         "taegliche_vogelarten": chart_daily_species(df),
         "jahreszeiten": grids.season_spans(df),
         "unterbrechungen_anmerkungen": grids.outage_labels(outage_df, period),

@@ -59,7 +59,7 @@ def test_report_datasets_and_sink(spark):
         "4_neue_vogelarten", "5_unterbrechungen"]
     assert spark.read.parquet(paths["unterbrechungen"]).count() == out.count()
     assert charts["heatmap_erkennungen"].count() % 24 == 0
-    assert charts["entwicklung_taegliche_vogelerkennungen"].where(F.col("trend").isNull()).count() == 0
+    assert charts["taegliche_erkennungen_trend"].where(F.col("trend").isNull()).count() == 0
 
 
 def test_event_study_plan(spark):
