@@ -190,9 +190,10 @@ def weekly_change(df: DataFrame, as_of: str, ts: str = "zeitstempel",
     species_list = (counts.groupBy(species).agg(F.sum("erkennungen").alias("_n"))
                     .where(F.col("_n") > 0).select(species))
     if existing_weeks_only:
-        yw = counts.agg(F.sort_array(F.collect_set(F.struct("jahr", "kalenderwoche"))),
-                        F.sum("erkennungen")).scalar()
-        grid = (species_list.select(species, F.explode(yw).alias("_yw"))
+        yw = counts.agg(F.struct(
+            F.sort_array(F.collect_set(F.struct("jahr", "kalenderwoche"))).alias("yw"),
+            F.sum("erkennungen").alias("n"))).scalar()
+        grid = (species_list.select(species, F.explode(yw.getField("yw")).alias("_yw"))
                 .select(species, "_yw.jahr", "_yw.kalenderwoche"))
     else:
         dims = counts.agg(F.struct(F.sort_array(F.collect_set("jahr")).alias("y"),

@@ -85,12 +85,13 @@ def archive_stream(spark: SparkSession, incoming_dir: str, archive_dir: str,
     stream keeps running.  The checkpoint lives in the shared folder.
     """
     checkpoint_dir = checkpoint_dir or f"{shared_dir(spark)}/dawnchorus/archive-stream"
-    reader = spark.readStream.schema(schema)
+    # snapshots are directories of part files: look into them
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if fmt == "csv":
         from dawnchorus.sources.archive import CSV_OPTIONS
         src = reader.options(**CSV_OPTIONS).option("enforceSchema", False).csv(incoming_dir)
     else:
-        src = reader.option("recursiveFileLookup", "true").parquet(incoming_dir)
+        src = reader.parquet(incoming_dir)
     w = (src.writeStream.foreachBatch(_merge_batch(archive_dir, schema))
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

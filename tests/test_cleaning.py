@@ -96,3 +96,9 @@ def test_read_detections_extra_columns_and_bad_values(spark):
     assert rows[1].zeitstempel is None and rows[1].erkennungswahrscheinlichkeit is None
     typed = read_detections(spark, f"{d}/detections.csv", schema=RAW_DETECTIONS)
     assert typed.schema["Confidence"].dataType.simpleString() == "double"
+
+
+def test_profile_approx(spark):
+    df = spark.range(1, 1001).selectExpr("cast(id as double) as x")
+    r = cleaning.profile(df, exact=False).first()
+    assert abs(r.median - 500) <= 2 and r.minimum == 1 and r.maximum == 1000

@@ -107,3 +107,13 @@ def test_daily_approx_distinct_close(spark):
     assert set(exact) == set(approx)
     for k in exact:
         assert abs(exact[k] - approx[k]) <= 0.05 * exact[k]
+
+
+def test_weekly_change_existing_weeks_only(spark):
+    rows = ([(dt.datetime(2024, 1, 1, 8), "a")] * 2 + [(dt.datetime(2024, 1, 15, 8), "a")] * 4
+            + [(dt.datetime(2023, 1, 10, 8), "a")])
+    full = species.weekly_change(_df(spark, rows), "2024-01-22").count()
+    only = {(r.jahr, r.kalenderwoche) for r in
+            species.weekly_change(_df(spark, rows), "2024-01-22", existing_weeks_only=True).collect()}
+    assert full == 5                                     # 2 years x 3 weeks, first dropped
+    assert only == {(2024, 1), (2024, 3)}                # (2023, 2) is the first -> dropped

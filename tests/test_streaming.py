@@ -35,3 +35,14 @@ def test_archive_stream_dedups_across_runs(spark):
     # nothing new: a further run appends nothing
     archive_stream(spark, inc, arch, ck).awaitTermination()
     assert read_archive(spark, arch).count() == 4
+
+
+def test_archive_stream_csv_snapshots(spark):
+    base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    inc, arch, ck = f"{base}/in", f"{base}/arch", f"{base}/ck"
+    archive.write_snapshot(_rows(spark, [1, 2]), inc, "a", fmt="csv")
+    archive.write_snapshot(_rows(spark, [2]), inc, "b", fmt="csv")
+    archive_stream(spark, inc, arch, ck, fmt="csv").awaitTermination()
+    out = read_archive(spark, arch).collect()
+    assert len(out) == 2
+    assert {r.zeitstempel.microsecond for r in out} == {123456}
