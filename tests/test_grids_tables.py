@@ -98,3 +98,13 @@ def test_caption(spark):
     c = tables.caption(df, per, r_squared=0.456).first()
     assert (c.n_text, c.beginn_text, c.ende_text, c.konfidenz_prozent, c.r2_text) == \
         ("1.200", "01.03.2024", "01.03.2024", 75.0, "0,46")
+
+
+def test_weekly_change_wide_year_collision(spark):
+    rows = []
+    for y in (2023, 2024):
+        for d in range(1, 15):
+            rows += [(dt.datetime(y, 1, d, 8), "a")] * (d % 3 + 1)
+    wide = tables.weekly_change_wide(_df(spark, rows), "2024-01-17", n_weeks=4)  # ISO week 3
+    # weeks 1 and 2 of both years; the first week overall has no previous week
+    assert wide.columns[1:] == ["KW 2/2023", "KW 1/2024", "KW 2/2024"]

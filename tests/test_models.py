@@ -158,3 +158,16 @@ def test_normalize_eager_equals_lazy(spark):
     eager = sorted(map(tuple, models.normalize(df, ["a", "b", "c"], eager=True).collect()), key=str)
     assert lazy == eager
     assert all(r[2] is None for r in eager)            # sd 0 -> NULL
+
+
+def test_grouped_poisson_auto_switches_to_per_group(spark):
+    base = dt.date(2024, 3, 1)
+    rows = [(g, base + dt.timedelta(days=i), 5 + i + j) for j, g in enumerate("abc") for i in range(6)]
+    df = spark.createDataFrame(rows, "g string, datum date, n long")
+    auto = models.grouped_poisson_trend(df, "n", "g", max_joint_groups=2)
+    joint = models.grouped_poisson_trend(df, "n", "g", method="joint")
+    a = {(r.g, r.datum): r.trend for r in auto.collect()}
+    b = {(r.g, r.datum): r.trend for r in joint.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-6)

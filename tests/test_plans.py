@@ -69,3 +69,12 @@ def test_event_study_plan(spark):
     assert weeks and all(0 <= r.anteil_art <= 1 for r in weeks)
     assert res["gesamt"].first().gesamt == sum(r.erkennungen for r in weeks)
     assert 1 <= res["extrema"].count() <= len(weeks)
+
+
+def test_write_report_csv(spark):
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    paths = report.write_report({"eins": df, "zwei": df}, d, fmt="csv")
+    assert os.path.basename(paths["zwei"]) == "2_zwei"
+    back = spark.read.option("header", True).csv(paths["eins"]).collect()
+    assert [tuple(r) for r in back] == [("1", "a")]
