@@ -69,3 +69,30 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared folder for intermediate tables."""
     return f"{shared_dir(spark)}/dawnchorus/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a large cluster, derived from the input size.
+
+    * Scans: 512 MB splits — the heavy stages are scans with map-side partial
+      aggregation, so fewer, larger scan tasks cost less scheduling.
+    * Shuffles: the large shuffles (an un-broadcast enrichment join, the
+      batch archive de-duplication, global sorts) get about 1 GB per initial
+      partition and at least 3 waves of the cluster's cores; AQE coalesces the
+      many small post-aggregation shuffles to 256 MB partitions and splits
+      skewed join partitions.
+    * Broadcast: 64 MB covers several years of hourly weather; larger sides
+      stay shuffle joins (the size is measured at runtime by AQE).
+    """
+    gib = 1 << 30
+    partitions = max(3 * cores, min(100_000, input_bytes // gib))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.shuffle.partitions": str(int(partitions)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
