@@ -3,6 +3,8 @@ complete-day filter (I7), column profile (I8)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,18 +84,32 @@ def observation_period(df: DataFrame, ts: str = "zeitstempel", from_ts: str = PE
 
 
 def complete_days(df: DataFrame, period: DataFrame, outage_df: DataFrame,
-                  ts: str = "zeitstempel", partition: str | None = None) -> DataFrame:
+                  ts: str = "zeitstempel", partition: str | None = None,
+                  eager_bounds: bool = True) -> DataFrame:
     """Keep detections inside the period, drop dates that start or end an outage.
 
-    The period is one row: its bounds enter as scalar subqueries (evaluated
-    once, then literals in the filter, which Catalyst can push toward the
-    scan).  Outage edge dates are matched with a left-anti join on the date
-    (and the station when outages are per station).  NULL timestamps drop.
+    The period is one row.  By default its two dates are fetched once and
+    applied as a time-stamp range on ``ts`` — a literal predicate that reaches
+    the parquet scan, where row groups outside the period are skipped by
+    their min/max statistics.  ``eager_bounds=False`` keeps the bounds as
+    scalar subqueries (fully lazy, no pushdown).  Outage edge dates are
+    matched with a left-anti join on the date (and the station when outages
+    are per station).  NULL timestamps drop.
     """
     d = F.to_date(F.col(ts))
-    lo = period.select("beginn").scalar()
-    hi = period.select("ende").scalar()
-    inside = df.where(d.between(lo, hi))
+    if eager_bounds:
+        lo, hi = period.select("beginn", "ende").first() or (None, None)
+        if lo is None or hi is None:
+            inside = df.where(F.lit(False))
+        else:
+            t = F.col(ts)
+            start = F.lit(dt.datetime.combine(lo, dt.time())).cast("timestamp_ntz")
+            stop = F.lit(dt.datetime.combine(hi + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
+            inside = df.where((t >= start) & (t < stop))
+    else:
+        lo = period.select("beginn").scalar()
+        hi = period.select("ende").scalar()
+        inside = df.where(d.between(lo, hi))
     keys = [partition] if partition else []
     edges = (outage_df.select(*keys, F.col("beginn").alias("_d"))
              .unionByName(outage_df.select(*keys, F.col("ende").alias("_d")))
