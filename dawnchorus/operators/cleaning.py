@@ -119,7 +119,7 @@ def complete_days(df: DataFrame, period: DataFrame, outage_df: DataFrame,
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """I8: per numeric column min, quartiles, mean, max and NULL count.
+    """I8: per numeric column its type, min, quartiles, mean, max and NULL count.
 
     One aggregate pass over all columns, then ``stack`` to long form.  Quartiles
     follow R's default (linear interpolation): ``percentile`` (exact) or
@@ -142,8 +142,10 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = True) ->
                  q(c, 0.75).alias(f"a{i}_q3"), F.max(x).alias(f"a{i}_max"),
                  F.count_if(F.col(c).isNull()).alias(f"a{i}_na")]
     wide = df.agg(*aggs)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     parts = ", ".join(
-        f"'{c}', a{i}_min, a{i}_q1, a{i}_med, a{i}_mean, a{i}_q3, a{i}_max, a{i}_na"
+        f"'{c}', '{types[c]}', a{i}_min, a{i}_q1, a{i}_med, a{i}_mean, a{i}_q3, a{i}_max, a{i}_na"
         for i, c in enumerate(cols))
     return wide.selectExpr(
-        f"stack({len(cols)}, {parts}) as (spalte, minimum, q1, median, mittelwert, q3, maximum, anzahl_na)")
+        f"stack({len(cols)}, {parts}) as "
+        "(spalte, typ, minimum, q1, median, mittelwert, q3, maximum, anzahl_na)")

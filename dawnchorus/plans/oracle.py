@@ -265,7 +265,8 @@ def build() -> dict[str, str]:
                         AND e.d = CAST(du.zeitstempel AS DATE))"""
 
     prof_cols = ["niederschlagsindikator_code", "bedeckungsgrad_in_okta"] + WX_DOUBLES
-    parts = [f"""SELECT '{c}' AS spalte, CAST(min({c}) AS DOUBLE) AS minimum,
+    prof_types = {"niederschlagsindikator_code": "int", "bedeckungsgrad_in_okta": "int"}
+    parts = [f"""SELECT '{c}' AS spalte, '{prof_types.get(c, "double")}' AS typ, CAST(min({c}) AS DOUBLE) AS minimum,
         quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
         avg(CAST({c} AS DOUBLE)) AS mittelwert, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3,
         CAST(max({c}) AS DOUBLE) AS maximum, count(*) FILTER (WHERE {c} IS NULL) AS anzahl_na FROM wx"""
