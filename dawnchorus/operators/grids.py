@@ -121,7 +121,9 @@ def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES,
     counts = df.groupBy(species).agg(n_rows(weight).alias("absolut"))
     total = df.select(n_rows(weight)).scalar()
     top = _top_of(counts, species, "absolut", k)
-    return (counts.join(F.broadcast(top), species, "left_semi")
+    # inner join on the (unique) top names: unlike a semi join it is not pushed
+    # below the aggregate, so the raw rows are scanned once
+    return (counts.join(F.broadcast(top), species, "inner")
             .withColumn("relativ", F.col("absolut") / total * 100))
 
 
@@ -130,8 +132,8 @@ def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str
     """Daily detections of each top-``k`` species.
 
     Counts per (species, day) are aggregated once (map-side partial counts);
-    the top-k list is derived from them and applied as a broadcast semi join
-    on the aggregate, so the raw rows are read once.
+    the top-k list is derived from them and applied as a broadcast join on the
+    aggregate, so the raw rows are read once.
     """
     # NULL species never match the semi join; filtering them up front keeps
     # both uses of ``per_day`` identical, so its shuffle is reused.
@@ -139,7 +141,9 @@ def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str
                .groupBy(species, _day(ts).alias("datum"))
                .agg(n_rows(weight).alias("anzahl")))
     top = _top_of(per_day, species, "anzahl", k)
-    return per_day.join(F.broadcast(top), species, "left_semi")
+    # inner join on the (unique) top names: unlike a semi join it is not pushed
+    # below the aggregate, so the raw rows are scanned once
+    return per_day.join(F.broadcast(top), species, "inner")
 
 
 def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",
