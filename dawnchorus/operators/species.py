@@ -100,11 +100,20 @@ def species_frequency(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
     return global_row_number(f, order, "rang")
 
 
-def _frequent(df: DataFrame, min_obs: int, species: str, weight: str | None = None) -> DataFrame:
-    """Rows of species with at least ``min_obs`` detections (HAVING + semi join)."""
-    keep = (df.groupBy(species).agg(n_rows(weight).alias("_n"))
-            .where(F.col("_n") >= min_obs).select(species))
-    return df.join(keep, species, "left_semi")
+def _species_weeks(df: DataFrame, ts: str, species: str, weight: str | None) -> DataFrame:
+    """Detections per (species, year, non-ISO week); rows without a time stamp
+    form the (NULL, NULL) week so that species totals still count them."""
+    d = _day(ts)
+    return (df.groupBy(species, F.year(d).alias("jahr"), simple_week(d).alias("kalenderwoche"))
+            .agg(n_rows(weight).alias("_n")))
+
+
+def _first_weeks(sw: DataFrame, min_obs: int, species: str) -> DataFrame:
+    """Per species with ``>= min_obs`` detections: its first (year, week)."""
+    per = sw.groupBy(species).agg(
+        F.sum("_n").alias("_tot"),
+        F.min(F.when(F.col("jahr").isNotNull(), F.struct("jahr", "kalenderwoche"))).alias("_f"))
+    return per.where((F.col("_tot") >= min_obs) & F.col("_f").isNotNull())
 
 
 def new_species(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeitstempel",
@@ -112,16 +121,13 @@ def new_species(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeits
     """Per (year, non-ISO week) the species seen for the first time.
 
     The reference folds a running set union over the ordered weeks; the same
-    answer is, per species, the smallest (year, week) in which it occurs — one
-    grouped aggregate, no ordered fold.  Weeks without news do not appear.
-    Week = complete 7-day blocks since 1 January, plus one.
+    answer is, per species with enough detections, the smallest (year, week)
+    in which it occurs.  One scan: counts per (species, week), then per
+    species the total (threshold) and the first week — no ordered fold, no
+    join.  Weeks without news do not appear.  Week = complete 7-day blocks
+    since 1 January, plus one.
     """
-    d = _day(ts)
-    first = (_frequent(df, min_obs, species, weight)
-             .where(F.col(ts).isNotNull())
-             .groupBy(species)
-             .agg(F.min(F.struct(F.year(d).alias("jahr"),
-                                 simple_week(d).alias("kalenderwoche"))).alias("_f")))
+    first = _first_weeks(_species_weeks(df, ts, species, weight), min_obs, species)
     return first.select(F.col("_f.jahr").alias("jahr"),
                         F.col("_f.kalenderwoche").alias("kalenderwoche"),
                         F.col(species).alias("neue_vogelarten"))
@@ -133,21 +139,24 @@ def running_species_set(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
     """Per observed week the running union of species seen so far
     (``alle_vogelarten``, sorted) and the week's new ones (``neue_vogelarten``).
 
-    Built from R6 without an ordered fold: observed weeks get a dense index
-    (a window over one row per week, bounded by the calendar); every species
-    emits the indices from its first week to the last one; the sets are then
-    collected *per week*, so no task ever holds more than one week's set.
+    Built from the same per-(species, week) counts as R6 (one scan), without
+    an ordered fold: observed weeks of the qualifying species get a dense
+    index (a window over one row per week, bounded by the calendar); every
+    species emits the indices from its first week to the last one; the sets
+    are collected *per week*, so no task ever holds more than one week's set.
     """
-    d = _day(ts)
-    weeks = (_frequent(df, min_obs, species, weight).where(F.col(ts).isNotNull())
-             .select(F.year(d).alias("jahr"), simple_week(d).alias("kalenderwoche"))
-             .distinct())
+    sw = _species_weeks(df, ts, species, weight)
+    first = _first_weeks(sw, min_obs, species)
+    weeks = (sw.join(first.select(species), species, "inner")
+             .where(F.col("jahr").isNotNull())
+             .select("jahr", "kalenderwoche").distinct())
     idx = weeks.withColumn("_i", F.dense_rank().over(Window.orderBy("jahr", "kalenderwoche")))
     last = idx.select(F.max("_i")).scalar()
-    first = (new_species(df, min_obs, ts, species, weight)
-             .join(idx, ["jahr", "kalenderwoche"])
-             .select(F.col("neue_vogelarten").alias("_s"), F.col("_i").alias("_first")))
-    member = first.select("_s", "_first", F.explode(F.sequence("_first", last)).alias("_i"))
+    firsts = (first.select(F.col(species).alias("_s"), F.col("_f.jahr").alias("jahr"),
+                           F.col("_f.kalenderwoche").alias("kalenderwoche"))
+              .join(idx, ["jahr", "kalenderwoche"])
+              .select("_s", F.col("_i").alias("_first")))
+    member = firsts.select("_s", "_first", F.explode(F.sequence("_first", last)).alias("_i"))
     sets = (member.groupBy("_i")
             .agg(F.array_sort(F.collect_list("_s")).alias("alle_vogelarten"),
                  F.array_sort(F.collect_list(F.when(F.col("_first") == F.col("_i"), F.col("_s"))))
