@@ -20,29 +20,48 @@ def _day(ts: str = "zeitstempel"):
     return F.to_date(F.col(ts))
 
 
-def calendar(df: DataFrame, date_col: str = "datum") -> DataFrame:
-    """Every date from the minimum to the maximum of ``date_col`` (one column)."""
-    return (df.agg(F.min(date_col).alias("_a"), F.max(date_col).alias("_b"))
-            .where(F.col("_a").isNotNull())
+def calendar(df: DataFrame, date_col: str = "datum", measure: str | None = None) -> DataFrame:
+    """Every date from the minimum to the maximum of ``date_col`` (one column).
+
+    ``measure`` names a positive column of ``df`` (the count of an aggregate);
+    it is summed along with the bounds, so the bounds must be read from ``df``
+    itself: when ``df`` is an aggregate its shuffle is then shared with the
+    other uses of ``df`` instead of Catalyst re-deriving the dates from the
+    raw rows (one scan instead of two).
+    """
+    aggs = [F.min(date_col).alias("_a"), F.max(date_col).alias("_b")]
+    keep = F.col("_a").isNotNull()
+    if measure is not None:
+        aggs.append(F.sum(measure).alias("_m"))
+        keep = keep & (F.col("_m") > 0)   # referenced, so it is not pruned away
+    return (df.agg(*aggs).where(keep)
             .select(F.explode(date_seq("_a", "_b")).alias(date_col)))
 
 
-def complete_days_grid(per_day: DataFrame, date_col: str = "datum") -> DataFrame:
-    """A per-day frame completed with every missing date (values NULL)."""
-    return calendar(per_day, date_col).join(per_day, date_col, "left")
+def complete_days_grid(per_day: DataFrame, date_col: str = "datum",
+                       count_col: str | None = None) -> DataFrame:
+    """A per-day frame completed with every missing date (values NULL).
+
+    ``count_col`` names a positive per-day count of ``per_day`` (lets the
+    calendar share ``per_day``'s shuffle, see ``calendar``).
+    """
+    # a NULL date never matches the calendar; filtering it up front keeps both
+    # uses of ``per_day`` identical (one shared shuffle)
+    per_day = per_day.where(F.col(date_col).isNotNull())
+    return calendar(per_day, date_col, count_col).join(per_day, date_col, "left")
 
 
 def daily_counts_grid(df: DataFrame, ts: str = "zeitstempel", weight: str | None = None) -> DataFrame:
     """C1 applied to the daily detection count."""
     per_day = df.groupBy(_day(ts).alias("datum")).agg(n_rows(weight).alias("anzahl_erkennungen"))
-    return complete_days_grid(per_day)
+    return complete_days_grid(per_day, count_col="anzahl_erkennungen")
 
 
 def daily_species_grid(df: DataFrame, ts: str = "zeitstempel", species: str = SPECIES,
                        weight: str | None = None) -> DataFrame:
     """C1 applied to the daily number of species (with ``ymin`` = 0 for a ribbon)."""
     per_day = daily(df, ts, species, weight).select("datum", F.col("vogelarten").alias("anzahl_vogelarten"))
-    return complete_days_grid(per_day).withColumn("ymin", F.lit(0))
+    return complete_days_grid(per_day, count_col="anzahl_vogelarten").withColumn("ymin", F.lit(0))
 
 
 def _reference_season(d):
@@ -73,7 +92,9 @@ def season_spans(df: DataFrame, ts: str = "zeitstempel", by_year: bool = False,
     reference, all springs form one span.  ``mode='reference'`` reproduces the
     reference's season test (see ``_reference_season``).
     """
-    days = calendar(df.select(_day(ts).alias("datum")).where(F.col("datum").isNotNull()))
+    per_day = (df.where(F.col(ts).isNotNull())
+               .groupBy(_day(ts).alias("datum")).agg(F.count(F.lit(1)).alias("_n")))
+    days = calendar(per_day, "datum", "_n")
     if mode == "reference":
         nr = _reference_season(F.col("datum"))
     else:
@@ -84,7 +105,7 @@ def season_spans(df: DataFrame, ts: str = "zeitstempel", by_year: bool = False,
         days = days.withColumn(
             "saisonjahr", F.year("datum") + F.when(F.month("datum") == 12, 1).otherwise(0))
         keys = ["saisonjahr", "jahreszeit_nr"]
-    last = df.select(F.max(_day(ts))).scalar()
+    last = per_day.agg(F.struct(F.max("datum").alias("d"), F.count("_n").alias("m"))).scalar().getField("d")
     spans = days.groupBy(*keys).agg(F.min("datum").alias("beginn"), F.max("datum").alias("ende"))
     labels = pick("jahreszeit_nr", SEASONS)
     return spans.select(
@@ -166,8 +187,9 @@ def hour_grid(df: DataFrame, agg: str = "count", ts: str = "zeitstempel",
     else:
         value = distinct_species(species, approx)
         name = "anzahl_vogelarten"
-    cells = base.groupBy(d.alias("datum"), hour24(ts).alias("stunde")).agg(value.alias(name))
-    grid = (calendar(base.select(d.alias("datum")))
+    cells = (base.groupBy(d.alias("datum"), hour24(ts).alias("stunde")).agg(value.alias(name))
+             .where(F.col("datum").isNotNull() & F.col("stunde").isNotNull()))
+    grid = (calendar(cells, "datum", name)
             .select("datum", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("stunde")))
     joined = grid.join(cells, ["datum", "stunde"], "left")
     observed = F.count(name).over(Window.partitionBy("datum")) > 0
