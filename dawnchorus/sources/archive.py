@@ -81,12 +81,28 @@ def merge_snapshots(spark: SparkSession, current: DataFrame, directory: str,
                     schema: T.StructType = ENRICHED, fmt: str = "csv") -> DataFrame:
     """Current rows ∪ every snapshot, by name, exact full-row de-duplication.
 
+    Parquet snapshots (recommended at scale) are read in one scan; CSV
+    snapshots one read each, because their headers may differ.
+
     ``distinct`` is a hash aggregate with a map-side partial step, so a
     snapshot that repeats the current rows collapses before the shuffle.
     Never overwrite a snapshot that this frame still reads.
     """
-    cur = current.select(*[
-        (F.col(f.name).cast(f.dataType) if f.name in current.columns
+    cur = _conform(current, schema)
+    paths = list_snapshots(spark, directory, fmt)
+    if fmt == "parquet" and paths:
+        # one read for all snapshots: parquet merges the file schemas by name
+        # (a column absent from a snapshot reads as NULL), so the plan does not
+        # grow with the number of snapshots
+        snaps = [_conform(spark.read.option("mergeSchema", "true").parquet(*paths), schema)]
+    else:
+        # CSV headers may differ between snapshots: one read per snapshot
+        snaps = [read_snapshot(spark, p, schema, fmt) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b), snaps, cur).distinct()
+
+
+def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with exactly the columns of ``schema`` (absent ones NULL), by name."""
+    return df.select(*[
+        (F.col(f.name).cast(f.dataType) if f.name in df.columns
          else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
-    snaps = [read_snapshot(spark, p, schema, fmt) for p in list_snapshots(spark, directory, fmt)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), snaps, cur).distinct()
