@@ -239,6 +239,42 @@ b AS (SELECT *, (c11 * ry1 + c12 * ry2 + c13 * ry3) / det AS b1, (c12 * ry1 + c2
 r AS (SELECT *, b1 * ry1 + b2 * ry2 + b3 * ry3 AS r2, CAST(n - 4 AS DOUBLE) AS dfr FROM b)"""
 
 
+def _newton(data: str, group: str | None = None, iters: int = 50) -> str:
+    """Poisson log-link fit y ~ 1 + x by Newton steps in a recursive CTE.
+
+    ``data`` is a CTE name with columns y, x (and ``g`` when grouped).
+    Produces CTE ``fit`` with columns [g,] a, b.
+    """
+    gsel = "g, " if group else ""
+    gkey = "it.g, " if group else ""
+    gjoin = "JOIN " + data + " d ON d.g = it.g" if group else ", " + data + " d"
+    mu = "exp(it.a + it.b * d.x)"
+    return f"""it(k, {gsel}a, b) AS (
+    SELECT 0, {gsel}ln(avg(y)), CAST(0 AS DOUBLE) FROM {data} {"GROUP BY g" if group else ""}
+    UNION ALL
+    SELECT k + 1, {gsel}a + (s2 * u0 - s1 * u1) / (s0 * s2 - s1 * s1),
+        b + (s0 * u1 - s1 * u0) / (s0 * s2 - s1 * s1)
+    FROM (SELECT it.k, {gkey}it.a, it.b, sum({mu}) AS s0, sum(d.x * {mu}) AS s1,
+            sum(d.x * d.x * {mu}) AS s2, sum(d.y - {mu}) AS u0, sum(d.x * (d.y - {mu})) AS u1
+          FROM it {gjoin} WHERE it.k < {iters} GROUP BY it.k, {gkey}it.a, it.b) _s),
+fit AS (SELECT {gsel}a, b FROM it WHERE k = {iters})"""
+
+
+def _trend_sql(src_ctes: str, grid_sql: str, ycol: str, group: str | None = None,
+               extra: str = "") -> str:
+    """Oracle of a Poisson trend chart: ``grid`` rows plus exp(a + b·x)."""
+    g = f"{group} AS g, " if group else ""
+    on = f"JOIN fit ON fit.g = grid.{group}" if group else ", fit"
+    return f"""WITH RECURSIVE {src_ctes},
+grid AS ({grid_sql}),
+bnd AS (SELECT min(datum) AS lo, max(datum) AS hi FROM grid),
+d AS (SELECT {g}CAST({ycol} AS DOUBLE) AS y, CAST(datum - lo AS DOUBLE) - (hi - lo) / 2.0 AS x
+      FROM grid, bnd WHERE {ycol} IS NOT NULL),
+{_newton("d", group)}
+SELECT grid.*{extra}, {q6("exp(fit.a + fit.b * (CAST(grid.datum - bnd.lo AS DOUBLE) - (bnd.hi - bnd.lo) / 2.0))")} AS trend
+FROM grid {on}, bnd"""
+
+
 def _q4(expr: str) -> str:
     return f"(round(({expr}) * 1e4) / 1e4 + 0.0)"
 
@@ -492,6 +528,27 @@ def build() -> dict[str, str]:
     s["marked_weeks"] = f"WITH {DO}, {weekly} " + rounded(
         f"""SELECT *, woche >= DATE '{STUDY_MARK}' AS markiert, DATE '{STUDY_MARK}' AS markierung_beginn,
             (SELECT max(CAST(zeitstempel AS DATE)) FROM dord) AS markierung_ende FROM ws""", ["anteil_art"])
+    # Poisson trends: Newton iterations in a recursive CTE (independent of
+    # the Spark GLM)
+    s["daily_trend"] = _trend_sql(
+        f"""{DO}, {_calendar('dord')},
+        pd AS (SELECT CAST(zeitstempel AS DATE) AS datum, count(*) AS anzahl_erkennungen FROM dord
+               WHERE zeitstempel IS NOT NULL GROUP BY 1)""",
+        "SELECT cal.datum, pd.anzahl_erkennungen FROM cal LEFT JOIN pd USING (datum)",
+        "anzahl_erkennungen")
+    s["species_trend"] = _trend_sql(
+        f"""{DU}, {_calendar('du')},
+        pd AS (SELECT CAST(zeitstempel AS DATE) AS datum,
+               count(DISTINCT deutscher_name) + max(CASE WHEN deutscher_name IS NULL THEN 1 ELSE 0 END)
+               AS anzahl_vogelarten FROM du WHERE zeitstempel IS NOT NULL GROUP BY 1)""",
+        "SELECT cal.datum, pd.anzahl_vogelarten, 0 AS ymin FROM cal LEFT JOIN pd USING (datum)",
+        "anzahl_vogelarten")
+    s["top_trend"] = _trend_sql(
+        f"""{DT}, {_top_names('dt')}""",
+        """SELECT deutscher_name, CAST(zeitstempel AS DATE) AS datum, count(*) AS anzahl FROM dt
+           WHERE deutscher_name IN (SELECT deutscher_name FROM top) GROUP BY 1, 2""",
+        "anzahl", group="deutscher_name")
+
     # the count-cube variants must give exactly the raw answers
     for cube_name, raw in (("cube_daily", "daily"), ("cube_top_species", "top_species"),
                            ("cube_new_species", "new_species"), ("cube_weekly_change", "weekly_change"),
