@@ -346,6 +346,11 @@ def q_weather_regression(spark, sf_dir):
     return rounded(_weather_fit(spark, sf_dir, "count").tidy())
 
 
+def q_weather_coefficients(spark, sf_dir):
+    """M4 → M6 → M7 → M9 without p-values (estimates, std. errors, t values)"""
+    return rounded(_weather_fit(spark, sf_dir, "count").tidy(p_values=False))
+
+
 def q_confidence_regression(spark, sf_dir):
     """M5 → M6 → M7 → M8"""
     return rounded(_weather_fit(spark, sf_dir, "confidence").glance())
@@ -579,6 +584,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ols_glance": q_ols_glance,
     "ols_tidy": q_ols_tidy,
     "weather_regression": q_weather_regression,
+    "weather_coefficients": q_weather_coefficients,
     "confidence_regression": q_confidence_regression,
     "weather_forest": q_weather_forest,
     "daily_trend": q_daily_trend,

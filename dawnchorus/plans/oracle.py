@@ -275,6 +275,47 @@ SELECT grid.*{extra}, {q6("exp(fit.a + fit.b * (CAST(grid.datum - bnd.lo AS DOUB
 FROM grid {on}, bnd"""
 
 
+def _ols_gauss_jordan(y: str, xs: list[str], source_ctes: str, frame: str) -> str:
+    """OLS with intercept on z-scored columns, solved by Gauss-Jordan
+    elimination in a recursive CTE (window functions read the pivot row and
+    column of each step).  Statistics over all rows of ``frame`` per column,
+    fit on complete cases; returns term, estimate, std_error, statistic."""
+    cols = [y] + xs
+    p = len(xs) + 1
+    z = ", ".join(f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) "
+                  f"/ nullif(stddev_samp(CAST({c} AS DOUBLE)) OVER (), 0) AS {c}" for c in cols)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    unp = " UNION ALL ".join(["SELECT rid, 0 AS j, CAST(1 AS DOUBLE) AS v, y FROM zr"]
+                             + [f"SELECT rid, {i + 1}, {c}, y FROM zr" for i, c in enumerate(xs)])
+    terms = "[" + ", ".join(["'(Intercept)'"] + [f"'{c}'" for c in xs]) + "]"
+    return f"""WITH RECURSIVE {source_ctes},
+zz AS (SELECT {z} FROM {frame}),
+zr AS (SELECT row_number() OVER () AS rid, {y} AS y, * EXCLUDE ({y}) FROM zz WHERE {complete}),
+lng AS ({unp}),
+a AS (SELECT l1.j AS i, l2.j AS j, sum(l1.v * l2.v) AS v FROM lng l1 JOIN lng l2 USING (rid) GROUP BY 1, 2),
+xy AS (SELECT j AS i, {p} AS j, sum(v * y) AS v FROM lng GROUP BY 1),
+aug AS (SELECT * FROM a UNION ALL SELECT * FROM xy
+        UNION ALL SELECT i, j, CASE WHEN j = {p} + 1 + i THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+        FROM range({p}) r(i), range({p} + 1, 2 * {p} + 1) c(j)),
+m(step, i, j, v) AS (
+  SELECT 0, i, j, v FROM aug
+  UNION ALL
+  SELECT step + 1, i, j, CASE WHEN i = step THEN v / piv ELSE v - rowk * colj / piv END
+  FROM (SELECT step, i, j, v,
+          max(CASE WHEN i = step AND j = step THEN v END) OVER () AS piv,
+          max(CASE WHEN j = step THEN v END) OVER (PARTITION BY i) AS rowk,
+          max(CASE WHEN i = step THEN v END) OVER (PARTITION BY j) AS colj
+        FROM m WHERE step < {p}) _w),
+sol AS (SELECT i, max(CASE WHEN j = {p} THEN v END) AS beta, max(CASE WHEN j = {p} + 1 + i THEN v END) AS inv
+        FROM m WHERE step = {p} GROUP BY i),
+fitstat AS (SELECT (SELECT count(*) FROM zr) AS n,
+        (SELECT sum(y * y) FROM zr) - (SELECT sum(sol.beta * xy.v) FROM sol JOIN xy USING (i)) AS rss)
+SELECT ({terms})[sol.i + 1] AS term, {q6("sol.beta")} AS estimate,
+    {q6(f"sqrt(fitstat.rss / (fitstat.n - {p}) * sol.inv)")} AS std_error,
+    {q6(f"sol.beta / sqrt(fitstat.rss / (fitstat.n - {p}) * sol.inv)")} AS statistic
+FROM sol, fitstat"""
+
+
 def _q4(expr: str) -> str:
     return f"(round(({expr}) * 1e4) / 1e4 + 0.0)"
 
@@ -549,6 +590,9 @@ def build() -> dict[str, str]:
            WHERE deutscher_name IN (SELECT deutscher_name FROM top) GROUP BY 1, 2""",
         "anzahl", group="deutscher_name")
 
+    s["weather_coefficients"] = _ols_gauss_jordan(
+        "anzahl_erkennungen", FEATURES, f"{DT}, {EN}, feat AS ({_features('count')})", "feat")
+
     # the count-cube variants must give exactly the raw answers
     for cube_name, raw in (("cube_daily", "daily"), ("cube_top_species", "top_species"),
                            ("cube_new_species", "new_species"), ("cube_weekly_change", "weekly_change"),
