@@ -356,6 +356,11 @@ def q_confidence_regression(spark, sf_dir):
     return rounded(_weather_fit(spark, sf_dir, "confidence").glance())
 
 
+def q_confidence_glance(spark, sf_dir):
+    """M5 → M6 → M7 → M8 (closed-form fields, without the F test's p-value)"""
+    return rounded(_weather_fit(spark, sf_dir, "confidence").glance(p_value=False), 4)
+
+
 def q_weather_forest(spark, sf_dir):
     """M10"""
     return rounded(models.forest(_weather_fit(spark, sf_dir, "count").tidy()))
@@ -586,6 +591,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weather_regression": q_weather_regression,
     "weather_coefficients": q_weather_coefficients,
     "confidence_regression": q_confidence_regression,
+    "confidence_glance": q_confidence_glance,
     "weather_forest": q_weather_forest,
     "daily_trend": q_daily_trend,
     "species_trend": q_species_trend,

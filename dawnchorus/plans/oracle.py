@@ -275,7 +275,8 @@ SELECT grid.*{extra}, {q6("exp(fit.a + fit.b * (CAST(grid.datum - bnd.lo AS DOUB
 FROM grid {on}, bnd"""
 
 
-def _ols_gauss_jordan(y: str, xs: list[str], source_ctes: str, frame: str) -> str:
+def _ols_gauss_jordan(y: str, xs: list[str], source_ctes: str, frame: str,
+                     glance: bool = False) -> str:
     """OLS with intercept on z-scored columns, solved by Gauss-Jordan
     elimination in a recursive CTE (window functions read the pivot row and
     column of each step).  Statistics over all rows of ``frame`` per column,
@@ -310,12 +311,37 @@ sol AS (SELECT i, max(CASE WHEN j = {p} THEN v END) AS beta, max(CASE WHEN j = {
         FROM m WHERE step = {p} GROUP BY i),
 fitstat AS (SELECT (SELECT count(*) FROM zr) AS n,
         (SELECT sum(y * y) FROM zr) - (SELECT sum(sol.beta * xy.v) FROM sol JOIN xy USING (i)) AS rss)
-SELECT ({terms})[sol.i + 1] AS term, {q6("sol.beta")} AS estimate,
+{_glance_select(p) if glance else _tidy_select(terms, p)}"""
+
+
+def _tidy_select(terms: str, p: int) -> str:
+    return f"""SELECT ({terms})[sol.i + 1] AS term, {q6("sol.beta")} AS estimate,
     {q6(f"sqrt(fitstat.rss / (fitstat.n - {p}) * sol.inv)")} AS std_error,
     {q6(f"sol.beta / sqrt(fitstat.rss / (fitstat.n - {p}) * sol.inv)")} AS statistic
 FROM sol, fitstat"""
 
 
+def _glance_select(p: int) -> str:
+    """R-style model summary (without the F test's p-value) from RSS, TSS, n."""
+    k = p - 1
+    ll = "(-n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1))"
+    fields = {
+        "r_squared": "1 - rss / tss",
+        "adj_r_squared": f"1 - (rss / tss) * (n - 1) / (n - {p})",
+        "sigma": f"sqrt(rss / (n - {p}))",
+        "statistic": f"((1 - rss / tss) / {k}) / ((rss / tss) / (n - {p}))",
+        "df": f"CAST({k} AS DOUBLE)",
+        "loglik": ll,
+        "aic": f"-2 * {ll} + 2 * {k + 2}",
+        "bic": f"-2 * {ll} + ln(n) * {k + 2}",
+        "deviance": "rss",
+    }
+    sel = ", ".join(f"{_q4(e)} AS {c}" for c, e in fields.items())
+    return f"""SELECT {sel}, CAST(n - {p} AS BIGINT) AS df_residual, CAST(n AS BIGINT) AS nobs
+FROM (SELECT CAST(fitstat.n AS DOUBLE) AS n, fitstat.rss AS rss,
+        (SELECT sum((y - m) * (y - m)) FROM zr, (SELECT avg(y) AS m FROM zr) _m) AS tss FROM fitstat) _g"""
+
+
 def _q4(expr: str) -> str:
     return f"(round(({expr}) * 1e4) / 1e4 + 0.0)"
 
@@ -593,6 +619,10 @@ def build() -> dict[str, str]:
     s["weather_coefficients"] = _ols_gauss_jordan(
         "anzahl_erkennungen", FEATURES, f"{DT}, {EN}, feat AS ({_features('count')})", "feat")
 
+    s["confidence_glance"] = _ols_gauss_jordan(
+        "erkennungswahrscheinlichkeit_in_prozent", FEATURES,
+        f"{DT}, {EN}, feat AS ({_features('confidence')})", "feat", glance=True)
+
     # the count-cube variants must give exactly the raw answers
     for cube_name, raw in (("cube_daily", "daily"), ("cube_top_species", "top_species"),
                            ("cube_new_species", "new_species"), ("cube_weekly_change", "weekly_change"),
