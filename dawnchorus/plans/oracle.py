@@ -8,7 +8,7 @@ Spark implementation.  Floating outputs are rounded with the same
 from __future__ import annotations
 
 from dawnchorus.functions.labels import (
-    CLOUD_LABELS, PRECIPITATION_LABELS, SEASONS, WEATHER_VARIABLES,
+    CI_Z, CLOUD_LABELS, PRECIPITATION_LABELS, SEASONS, SIGNIFICANCE, TERM_LABELS, WEATHER_VARIABLES,
 )
 from dawnchorus.plans.catalog import (
     EVENTS_FROM, ORDERS_AS_OF, STUDY_END, STUDY_MARK, STUDY_SPECIES, STUDY_START,
@@ -276,7 +276,7 @@ FROM grid {on}, bnd"""
 
 
 def _ols_gauss_jordan(y: str, xs: list[str], source_ctes: str, frame: str,
-                     glance: bool = False) -> str:
+                     glance: bool = False, p_values: bool = False, forest: bool = False) -> str:
     """OLS with intercept on z-scored columns, solved by Gauss-Jordan
     elimination in a recursive CTE (window functions read the pivot row and
     column of each step).  Statistics over all rows of ``frame`` per column,
@@ -311,7 +311,44 @@ sol AS (SELECT i, max(CASE WHEN j = {p} THEN v END) AS beta, max(CASE WHEN j = {
         FROM m WHERE step = {p} GROUP BY i),
 fitstat AS (SELECT (SELECT count(*) FROM zr) AS n,
         (SELECT sum(y * y) FROM zr) - (SELECT sum(sol.beta * xy.v) FROM sol JOIN xy USING (i)) AS rss)
-{_glance_select(p) if glance else _tidy_select(terms, p)}"""
+{_gj_output(terms, p, glance, p_values, forest)}"""
+
+
+def _gj_output(terms: str, p: int, glance: bool, p_values: bool, forest: bool) -> str:
+    if not p_values:
+        return _glance_select(p) if glance else _tidy_select(terms, p)
+    k = p - 1
+    if glance:
+        return f""",
+gl AS (SELECT CAST(fitstat.n AS DOUBLE) AS n, fitstat.rss AS rss,
+        (SELECT sum((y - m) * (y - m)) FROM zr, (SELECT avg(y) AS m FROM zr) _m) AS tss FROM fitstat),
+pv AS (SELECT 'F' AS id, (n - {p}) / 2.0 AS a, {k} / 2.0 AS b,
+        (n - {p}) / ((n - {p}) + {k} * (((1 - rss / tss) / {k}) / ((rss / tss) / (n - {p})))) AS x FROM gl),
+{_betainc('pv')}
+SELECT * REPLACE ({", ".join(f"{q6(c)} AS {c}" for c in GLANCE_DOUBLES)}) FROM (
+  SELECT g.*, (SELECT v FROM ibeta) AS p_value
+  FROM ({_glance_select(p, digits=None).replace("FROM fitstat) _g", "FROM fitstat) _g0")}) g) _gp"""
+    tidy = f"""SELECT ({terms})[sol.i + 1] AS term, sol.beta AS estimate,
+        sqrt(fitstat.rss / (fitstat.n - {p}) * sol.inv) AS std_error,
+        sol.beta / sqrt(fitstat.rss / (fitstat.n - {p}) * sol.inv) AS statistic,
+        CAST(fitstat.n - {p} AS DOUBLE) AS dfr FROM sol, fitstat"""
+    head = f""",
+tid AS ({tidy}),
+pv AS (SELECT term AS id, dfr / 2 AS a, CAST(0.5 AS DOUBLE) AS b, dfr / (dfr + statistic * statistic) AS x
+       FROM tid),
+{_betainc('pv')}
+"""
+    if not forest:
+        return head + rounded("""SELECT tid.term, tid.estimate, tid.std_error, tid.statistic, ibeta.v AS p_value
+            FROM tid JOIN ibeta ON ibeta.id = tid.term""", ["estimate", "std_error", "statistic", "p_value"])
+    label = "CASE tid.term " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TERM_LABELS.items()) \
+        + " ELSE tid.term END"
+    return head + rounded(f"""SELECT {label} AS term,
+            tid.estimate, tid.std_error, ibeta.v AS p_value, ibeta.v <= {SIGNIFICANCE} AS signifikant,
+            tid.estimate - {CI_Z} * tid.std_error AS ci_unten, tid.estimate + {CI_Z} * tid.std_error AS ci_oben,
+            'p ' || CASE WHEN ibeta.v < 0.01 THEN '< 0.01' ELSE '= ' || format('{{:,.2f}}', ibeta.v) END AS p_label
+        FROM tid JOIN ibeta ON ibeta.id = tid.term WHERE tid.term <> '(Intercept)'""",
+        ["estimate", "std_error", "p_value", "ci_unten", "ci_oben"])
 
 
 def _tidy_select(terms: str, p: int) -> str:
@@ -321,7 +358,11 @@ def _tidy_select(terms: str, p: int) -> str:
 FROM sol, fitstat"""
 
 
-def _glance_select(p: int) -> str:
+GLANCE_DOUBLES = ["r_squared", "adj_r_squared", "sigma", "statistic", "p_value", "df", "loglik",
+                  "aic", "bic", "deviance"]
+
+
+def _glance_select(p: int, digits: int | None = 4) -> str:
     """R-style model summary (without the F test's p-value) from RSS, TSS, n."""
     k = p - 1
     ll = "(-n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1))"
@@ -336,12 +377,48 @@ def _glance_select(p: int) -> str:
         "bic": f"-2 * {ll} + ln(n) * {k + 2}",
         "deviance": "rss",
     }
-    sel = ", ".join(f"{_q4(e)} AS {c}" for c, e in fields.items())
+    sel = ", ".join(f"{_q4(e) if digits == 4 else '(' + e + ')'} AS {c}" for c, e in fields.items())
     return f"""SELECT {sel}, CAST(n - {p} AS BIGINT) AS df_residual, CAST(n AS BIGINT) AS nobs
 FROM (SELECT CAST(fitstat.n AS DOUBLE) AS n, fitstat.rss AS rss,
         (SELECT sum((y - m) * (y - m)) FROM zr, (SELECT avg(y) AS m FROM zr) _m) AS tss FROM fitstat) _g"""
 
 
+def _betainc(src: str, iters: int = 5000) -> str:
+    """Regularized incomplete beta I_x(a, b) for the rows of CTE ``src``
+    (columns id, a, b, x) by its continued fraction (modified Lentz), one
+    recursion step per term.  Produces CTE ``ibeta(id, v)``."""
+    g = "CASE WHEN abs({e}) > 1e-300 THEN {e} ELSE 1e-300 END"
+    return f"""bsw AS (SELECT id, a, b, x,
+        x < (a + 1) / (a + b + 2) AS direct,
+        CASE WHEN x < (a + 1) / (a + b + 2) THEN a ELSE b END AS p,
+        CASE WHEN x < (a + 1) / (a + b + 2) THEN b ELSE a END AS q,
+        CASE WHEN x < (a + 1) / (a + b + 2) THEN x ELSE 1 - x END AS z,
+        CASE WHEN x > 0 AND x < 1 THEN exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x))
+             END AS front
+      FROM {src}),
+cf(id, m, c, d, h, fin) AS (
+  SELECT id, 0, CAST(1 AS DOUBLE), 1 / ({g.format(e="1 - (p + q) * z / (p + 1)")}),
+         1 / ({g.format(e="1 - (p + q) * z / (p + 1)")}), false FROM bsw WHERE front IS NOT NULL
+  UNION ALL
+  SELECT id, m, c2, d2, h2, abs(d2 * c2 - 1) < 1e-15 FROM (
+    SELECT cf.id, cf.m + 1 AS m,
+      (cf.m + 1) * (bsw.q - cf.m - 1) * bsw.z / ((bsw.p - 1 + 2 * (cf.m + 1)) * (bsw.p + 2 * (cf.m + 1))) AS e1,
+      -(bsw.p + cf.m + 1) * (bsw.p + bsw.q + cf.m + 1) * bsw.z
+        / ((bsw.p + 2 * (cf.m + 1)) * (bsw.p + 1 + 2 * (cf.m + 1))) AS e2,
+      1 / ({g.format(e="1 + e1 * cf.d")}) AS d1,
+      {g.format(e="1 + e1 / cf.c")} AS c1,
+      cf.h * d1 * c1 AS h1,
+      1 / ({g.format(e="1 + e2 * d1")}) AS d2,
+      {g.format(e="1 + e2 / c1")} AS c2,
+      h1 * d2 * c2 AS h2
+    FROM cf JOIN bsw USING (id) WHERE NOT cf.fin AND cf.m < {iters}) _s),
+ibeta AS (SELECT bsw.id,
+    CASE WHEN bsw.x <= 0 THEN CAST(0 AS DOUBLE) WHEN bsw.x >= 1 THEN CAST(1 AS DOUBLE)
+         WHEN bsw.direct THEN bsw.front * last.h / bsw.p
+         ELSE 1 - bsw.front * last.h / bsw.p END AS v
+  FROM bsw LEFT JOIN (SELECT id, arg_max(h, m) AS h FROM cf GROUP BY id) last USING (id))"""
+
+
 def _q4(expr: str) -> str:
     return f"(round(({expr}) * 1e4) / 1e4 + 0.0)"
 
@@ -469,6 +546,19 @@ def build() -> dict[str, str]:
         UNION ALL SELECT 'l_tax', b3, sqrt((1 - r2) / dfr * c33 / det), b3 / sqrt((1 - r2) / dfr * c33 / det) FROM r""",
         ["estimate", "std_error", "statistic"])
 
+    coef = """coef AS (
+        SELECT '(Intercept)' AS term, CAST(0 AS DOUBLE) AS estimate,
+            sqrt((1 - r2) * (n - 1) / dfr / n) AS std_error, CAST(0 AS DOUBLE) AS statistic, dfr FROM r
+        UNION ALL SELECT 'l_quantity', b1, sqrt((1 - r2) / dfr * c11 / det), b1 / sqrt((1 - r2) / dfr * c11 / det), dfr FROM r
+        UNION ALL SELECT 'l_discount', b2, sqrt((1 - r2) / dfr * c22 / det), b2 / sqrt((1 - r2) / dfr * c22 / det), dfr FROM r
+        UNION ALL SELECT 'l_tax', b3, sqrt((1 - r2) / dfr * c33 / det), b3 / sqrt((1 - r2) / dfr * c33 / det), dfr FROM r),
+    pv AS (SELECT term AS id, dfr / 2 AS a, CAST(0.5 AS DOUBLE) AS b, dfr / (dfr + statistic * statistic) AS x
+           FROM coef)"""
+    s["ols_tidy"] = f"WITH RECURSIVE {_OLS}, {coef}, {_betainc('pv')} " + rounded(
+        """SELECT coef.term, coef.estimate, coef.std_error, coef.statistic, ibeta.v AS p_value
+        FROM coef JOIN ibeta ON ibeta.id = coef.term""",
+        ["estimate", "std_error", "statistic", "p_value"])
+
     g = """SELECT r2 AS r_squared, 1 - (1 - r2) * (n - 1) / dfr AS adj_r_squared,
         sqrt((n - 1) * (1 - r2) / dfr) AS sigma, (r2 / 3) / ((1 - r2) / dfr) AS statistic,
         CAST(3 AS DOUBLE) AS df,
@@ -619,6 +709,13 @@ def build() -> dict[str, str]:
     s["weather_coefficients"] = _ols_gauss_jordan(
         "anzahl_erkennungen", FEATURES, f"{DT}, {EN}, feat AS ({_features('count')})", "feat")
 
+    wsrc = f"{DT}, {EN}, feat AS ({_features('count')})"
+    s["weather_regression"] = _ols_gauss_jordan("anzahl_erkennungen", FEATURES, wsrc, "feat", p_values=True)
+    s["weather_forest"] = _ols_gauss_jordan("anzahl_erkennungen", FEATURES, wsrc, "feat",
+                                            p_values=True, forest=True)
+    s["confidence_regression"] = _ols_gauss_jordan(
+        "erkennungswahrscheinlichkeit_in_prozent", FEATURES,
+        f"{DT}, {EN}, feat AS ({_features('confidence')})", "feat", glance=True, p_values=True)
     s["confidence_glance"] = _ols_gauss_jordan(
         "erkennungswahrscheinlichkeit_in_prozent", FEATURES,
         f"{DT}, {EN}, feat AS ({_features('confidence')})", "feat", glance=True)
