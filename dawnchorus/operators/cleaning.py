@@ -103,8 +103,10 @@ def complete_days(df: DataFrame, period: DataFrame, outage_df: DataFrame,
             inside = df.where(F.lit(False))
         else:
             t = F.col(ts)
-            start = F.lit(dt.datetime.combine(lo, dt.time())).cast("timestamp_ntz")
-            stop = F.lit(dt.datetime.combine(hi + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
+            # date literals: casting a date to timestamp_ntz is zone-free
+            # (a Python datetime literal would be a session-zone timestamp)
+            start = F.lit(lo).cast("timestamp_ntz")
+            stop = F.lit(hi + dt.timedelta(days=1)).cast("timestamp_ntz")
             inside = df.where((t >= start) & (t < stop))
     else:
         lo = period.select("beginn").scalar()

@@ -102,3 +102,20 @@ def test_profile_approx(spark):
     df = spark.range(1, 1001).selectExpr("cast(id as double) as x")
     r = cleaning.profile(df, exact=False).first()
     assert abs(r.median - 500) <= 2 and r.minimum == 1 and r.maximum == 1000
+
+
+def test_complete_days_independent_of_session_zone(spark):
+    rows = [(dt.datetime(2024, 3, d, h), "A") for d in (1, 2, 3, 6) for h in (0, 12, 23)]
+    df = spark.createDataFrame(rows, "zeitstempel timestamp_ntz, deutscher_name string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = {}
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            period = cleaning.observation_period(df, from_ts="2024-03-02", min_per_day=3)
+            kept = cleaning.complete_days(df, period, cleaning.outages(df))
+            got[tz] = sorted(r[0] for r in kept.select("zeitstempel").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got["UTC"] == got["America/Los_Angeles"] == got["Asia/Tokyo"]
+    assert [t.day for t in got["UTC"]] == [2, 2, 2]      # Mar 3 and Mar 6 end/start the outage
