@@ -1,7 +1,7 @@
 """Operator 3, quality rules: cross-document line frequency (DataFrame functions only).
 
-Lines are normalised (A-Z lower-cased, runs of digits as one 0, white space as
-one space) and hashed.  For each host and line the distinct documents are
+Lines are normalised (lower case, runs of digits as one 0, no white space) and
+hashed.  For each host and line the distinct documents are
 counted; a line that stands in more than ``max_documents`` of them and in more
 than ``max_share`` of the host's documents is removed, and a document that keeps
 less than ``least_left`` of its word characters is rejected as depleted.  Copies of one
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import SPACE, ascii_lower, hash60, materialize, rest, space_words, spaced
+from dawnchorus.llm.common import SPACE, hash60, materialize, rest, space_words, spaced
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -43,8 +43,14 @@ class Limits:
     least_left: float = 0.3
 
 
-def normalised_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(line), "[0-9]+", "0"), f"[{SPACE}]+", " "))
+def bare_line(line: Column) -> Column:
+    """The line without ASCII white space."""
+    return F.replace(spaced(line), F.lit(" "), F.lit(""))
+
+
+def line_key(host: Column, bare: Column) -> Column:
+    """Hash of a host and a line in lower case, each run of digits as one 0."""
+    return hash60(F.concat(host, F.lit("\n"), F.regexp_replace(F.lower(bare), "[0-9]+", "0")))
 
 
 def with_windows(frame: DataFrame, words: str = "words", windows: str = "windows") -> DataFrame:
@@ -53,8 +59,8 @@ def with_windows(frame: DataFrame, words: str = "words", windows: str = "windows
     Each step is a column of its own, as an expression that holds the step below
     twice would be computed twice.
     """
-    frame = frame.withColumn(windows, F.transform(words, lambda w: F.xxhash64(w)))
-    reach = 1
+    frame = frame.withColumn(windows, F.zip_with(words, rest(F.col(words), 2), lambda a, b: F.xxhash64(a, b)))
+    reach = 2
     while reach < WINDOW:
         frame = frame.withColumn(windows, F.zip_with(windows, rest(F.col(windows), reach + 1),
                                                      lambda a, b: F.xxhash64(a, b)))
@@ -85,25 +91,25 @@ def repeated_words(hashes: Column) -> Column:
 def document_facts(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: the counts of its own rules, and its lines (key, word characters)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    bare = body
-    for symbol in SYMBOLS:
-        bare = F.replace(bare, F.lit(symbol), F.lit(""))
     split = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.length(F.replace(spaced(body), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(bare)).cast("long").alias("n_symbols"),
+        F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         space_words(body).alias("words"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"))
-    keyed = F.transform("lines", lambda x: F.struct(
-        hash60(F.concat(F.col("host"), F.lit("\n"), normalised_line(x))).alias("key"),
-        F.length(F.replace(spaced(x), F.lit(" "), F.lit(""))).alias("chars")))
-    counted = with_windows(split.withColumn("n_words", F.size("words").cast("long"))).select(
-        "rid", "doc_id", "host", "n_words", "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "windows", keyed.alias("lines"))
-    return counted.select("rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                          repeated_words(F.col("windows")).alias("n_repeat_words"),
-                          F.array_min(F.transform("lines", lambda x: x["key"])).alias("family"), "lines")
+    counted = split.select(
+        "rid", "doc_id", "host", F.size("words").cast("long").alias("n_words"), "n_symbols", "words",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("lines", bare_line).alias("bare"))
+    keyed = with_windows(counted).select(
+        "rid", "doc_id", "host", "n_words", "n_symbols", "n_dup_lines", "windows",
+        F.transform("bare", lambda x: F.struct(line_key(F.col("host"), x).alias("key"),
+                                               F.length(x).alias("chars"))).alias("lines"))
+    return keyed.select(
+        "rid", "doc_id", "host", "n_words",
+        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("word_chars"),
+        "n_symbols", "n_dup_lines", repeated_words(F.col("windows")).alias("n_repeat_words"),
+        F.array_min(F.transform("lines", lambda x: x["key"])).alias("family"), "lines")
 
 
 def frequent_lines(facts: DataFrame, limits: Limits) -> DataFrame:

@@ -138,8 +138,7 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_b
 def _op3_sql() -> str:
     p = Limits()
     space = r"[\x20\x09-\x0D]+"
-    lower = _LOWER.format("line")
-    norm = f"trim(regexp_replace(regexp_replace({lower}, '[0-9]+', '0', 'g'), '{space}', ' ', 'g'))"
+    norm = f"regexp_replace(lower(regexp_replace(line, '{space}', '', 'g')), '[0-9]+', '0', 'g')"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS body FROM documents),
 w AS (SELECT rid, list_filter(string_split_regex(body, '{space}'), lambda x: x <> '') AS words FROM d),
