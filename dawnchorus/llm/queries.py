@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from dawnchorus.llm.common import hash60_sql, read_table, uniform_sql
 from dawnchorus.llm.license_diagonals import K, LICENSES, PHRASES, scan_licenses
 from dawnchorus.llm.line_frequency import Limits, apply_quality_rules
+from dawnchorus.llm.partition_jaccard import jaccard_components
 from dawnchorus.llm.poisson_mixing import mix_sources
+from dawnchorus.llm.recursive_bpe import round_trip_digests
 from dawnchorus.llm.url_reputation import Reputation, judge_urls, path_of
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -43,13 +45,29 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def bpe_vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that splits text."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), *bpe_vocabulary())
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources alike in expectation: ``alpha = 0``; as many rows as there are documents."""
     return mix_sources(read_table(spark, sf_dir, "documents"), alpha=0.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_license_diagonals, op3_line_frequency,
-                                   op7_poisson_mixing)}
+def op8_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_reputation, op2_license_diagonals, op3_line_frequency, op6_recursive_bpe, op7_poisson_mixing,
+    op8_partition_jaccard)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
