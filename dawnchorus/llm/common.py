@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dawnchorus.session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+_SPARK = {"long": T.LongType, "double": T.DoubleType, "int": T.IntegerType, "string": T.StringType,
+          "boolean": T.BooleanType}
+_ARROW = {"long": pa.int64, "double": pa.float64, "int": pa.int32, "string": pa.string, "boolean": pa.bool_}
 #: ASCII white space, as a regular-expression class body (space, tab to carriage return).
 SPACE = r"\x20\x09-\x0D"
 
@@ -79,3 +84,29 @@ def uniform(seed: str, *parts: Column) -> Column:
 def uniform_sql(seed: str, *parts: str) -> str:
     key = " || '|' || ".join([f"'{seed}'", *[f"coalesce(CAST({p} AS VARCHAR), 'null')" for p in parts]])
     return f"(({hash60_sql(key)} + 0.5) / {float(1 << 60)!r})"
+
+
+def score_rows(docs: DataFrame, text: str, fields: dict[str, str], make_scorer) -> DataFrame:
+    """Add to each row what a scorer says of its text; the row itself stays packed in the column ``row``.
+
+    ``make_scorer()`` is called once in each task and returns a function from a list of
+    texts (null: "") to one list per field.  Rows pass through in Arrow batches, which
+    Spark bounds by bytes.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    schema = T.StructType([packed.schema["row"], *[T.StructField(k, _SPARK[v]()) for k, v in fields.items()]])
+
+    def run(batches):
+        scorer = make_scorer()
+        for batch in batches:
+            found = scorer(batch.column("body").to_pylist())
+            columns = [pa.array(found[i], _ARROW[t]()) for i, t in enumerate(fields.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", *fields])
+
+    return packed.mapInArrow(run, schema)
+
+
+def unpack(columns: list[str]) -> list[Column]:
+    """The columns of the packed row."""
+    return [F.col("row").getField(c).alias(c) for c in columns]

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.llm.common import hash60_sql, read_table, uniform_sql
+from dawnchorus.llm.importance_resampling import resample
 from dawnchorus.llm.license_diagonals import K, LICENSES, PHRASES, scan_licenses
 from dawnchorus.llm.line_frequency import Limits, apply_quality_rules
+from dawnchorus.llm.ordinal_toxicity import judge_toxicity
 from dawnchorus.llm.partition_jaccard import jaccard_components
 from dawnchorus.llm.poisson_mixing import mix_sources
 from dawnchorus.llm.recursive_bpe import round_trip_digests
@@ -45,6 +47,25 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+
+
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+
+
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_toxicity(docs, toxic_labels(spark, sf_dir)).select(
+        "row.doc_id", "severity", "toxic", (~F.col("toxic")).alias("kept"))
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, good_labels(spark, sf_dir)).select("row.doc_id", "n_grams", "log_weight", "key", "kept")
+
+
 def bpe_vocabulary() -> tuple[str, str]:
     """Path of the rank file and the pattern that splits text."""
     import public_tokenizers
@@ -66,8 +87,8 @@ def op8_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_reputation, op2_license_diagonals, op3_line_frequency, op6_recursive_bpe, op7_poisson_mixing,
-    op8_partition_jaccard)}
+    op1_url_reputation, op2_license_diagonals, op3_line_frequency, op4_ordinal_toxicity,
+    op5_importance_resampling, op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
