@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dawnchorus.llm.cap_filters import near_duplicates
 from dawnchorus.llm.common import hash60_sql, read_table, uniform_sql
 from dawnchorus.llm.importance_resampling import resample
 from dawnchorus.llm.license_diagonals import K, LICENSES, PHRASES, scan_licenses
@@ -86,9 +87,13 @@ def op8_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_url_reputation, op2_license_diagonals, op3_line_frequency, op4_ordinal_toxicity,
-    op5_importance_resampling, op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard)}
+    op1_url_reputation, op2_license_diagonals, op3_line_frequency, op4_ordinal_toxicity, op5_importance_resampling,
+    op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard, op9_cap_filters)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
