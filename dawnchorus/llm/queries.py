@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.llm.cap_filters import near_duplicates
 from dawnchorus.llm.common import hash60_sql, read_table, uniform_sql
+from dawnchorus.llm.dom_marginals import extract_main_text
 from dawnchorus.llm.importance_resampling import resample
 from dawnchorus.llm.license_diagonals import K, LICENSES, PHRASES, scan_licenses
 from dawnchorus.llm.line_frequency import Limits, apply_quality_rules
@@ -91,9 +92,13 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_reputation, op2_license_diagonals, op3_line_frequency, op4_ordinal_toxicity, op5_importance_resampling,
-    op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard, op9_cap_filters)}
+    op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard, op9_cap_filters, op10_dom_marginals)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
