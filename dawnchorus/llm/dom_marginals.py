@@ -237,7 +237,7 @@ def _features(look: tuple) -> Iterator[tuple]:
 
 #: How much a feature counts.  Amounts of the texts in one container depend on one another,
 #: so each is given little weight; names say most.
-WEIGHTS = {"tag element": 0.8, "tag landmark": 0.5, "tag text": 0.1, "name": 1.5, "size element": 0.3, "size text": 0.3, "links element": 0.2,
+WEIGHTS = {"tag element": 0.8, "tag landmark": 0.5, "tag text": 0.1, "name": 1.0, "size element": 0.3, "size text": 0.3, "links element": 0.2,
            "links text": 0.2, "end": 0.3}
 
 

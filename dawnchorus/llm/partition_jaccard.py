@@ -296,3 +296,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
            .join(label.select(F.col("id").alias("doc"), "component"), "doc", "left"))
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"),
                       F.coalesce("component", "doc").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, once each; rows with a null id stay.
+
+    Only ids are compared and joined; those that go are broadcast as long as they are few.
+    """
+    members = materialize(jaccard_components(docs, text, doc_id), "members").filter("doc_id is not null")
+    ids = members.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("goes"),
+                                        F.count(F.lit(1)).alias("rows"))
+    special = materialize(ids.filter("goes = 1 or rows > 1").select(F.col("doc_id").alias("special_id"), "goes"), "special-ids")
+    side = F.broadcast(special) if special.count() <= MOST_BROADCAST else special
+    of = docs[f"`{doc_id}`"] == side["special_id"]
+    repeated = docs.join(side.filter("goes = 0"), of, "left_semi").dropDuplicates([doc_id])
+    return docs.join(side, of, "left_anti").unionByName(repeated)

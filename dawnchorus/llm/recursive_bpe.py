@@ -24,8 +24,10 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +86,7 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("merges", pair=pa.array(self.merges.keys(), pa.int64()), rank=pa.array(self.merges.values(), pa.int64()))
         self._table("vocabulary", token=pa.array(ranks.values(), pa.int64()), hex=pa.array([t.hex() for t in ranks]))
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes, bytes]] = {}
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
@@ -145,19 +147,20 @@ class Codec:
         return [t for t in tokens if t is not None]
 
     def learn(self, units: Iterable[str]) -> None:
-        """Encode units that are not known yet: their ids as text, how many, and the decoded bytes."""
+        """Encode units that are not known yet: their ids as text, packed as 32-bit numbers, and decoded."""
         new = [u for u in units if u not in self.known]
         pieces = {u: [u] if u.lstrip(" ").isalpha() and u.rfind(" ") < 1 else self.split(u) for u in new}
         words = list(dict.fromkeys(p.encode() for ps in pieces.values() for p in ps))
         tokens = self.encode_words(words)
-        found = {w: (",".join(map(str, t)), len(t), b) for w, t, b in
+        found = {w: (",".join(map(str, t)), array("i", t).tobytes(), b) for w, t, b in
                  zip(words, tokens, self.decode_words(tokens), strict=True)}
         for u, ps in pieces.items():
             parts = [found[p.encode()] for p in ps]
-            self.known[u] = (",".join(p[0] for p in parts), sum(p[1] for p in parts), b"".join(p[2] for p in parts))
+            self.known[u] = parts[0] if len(parts) == 1 else (
+                ",".join(p[0] for p in parts), b"".join(p[1] for p in parts), b"".join(p[2] for p in parts))
 
-    def texts(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """For each text its units as (ids, number of ids, decoded bytes)."""
+    def texts(self, texts: list[str]) -> Iterator[list[tuple[str, bytes, bytes]]]:
+        """For each text its units as (ids as text, packed ids, decoded bytes)."""
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -191,16 +194,25 @@ def _over_batches(docs: DataFrame, text: str, doc_id: str, vocabulary: str, patt
     return given.mapInArrow(run, schema)
 
 
+def _id_lists(packed: list[bytes]) -> pa.Array:
+    sizes = [len(p) // 4 for p in packed]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
                      doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array of int) of each row's whole text."""
+    """doc_id, ids (array of int) of each row's whole text, and whether they decode to the text's bytes."""
 
     def work(codec: Codec, texts: list) -> dict[str, pa.Array]:
-        ids = [[int(x) for part in parts if part[0] for x in part[0].split(",")]
-               for parts in codec.texts([t or "" for t in texts])]
-        return {"ids": pa.array(ids, pa.list_(pa.int32()))}
+        bodies, packed, same = [t or "" for t in texts], [], []
+        for body, parts in zip(bodies, codec.texts(bodies), strict=True):
+            packed.append(b"".join([p[1] for p in parts]))
+            same.append(b"".join([p[2] for p in parts]) == body.encode())
+        return {"ids": _id_lists(packed), "round_trip": pa.array(same, pa.bool_())}
 
-    return _over_batches(docs, text, doc_id, vocabulary, pattern, {"ids": T.ArrayType(T.IntegerType())}, work)
+    columns = {"ids": T.ArrayType(T.IntegerType()), "round_trip": T.BooleanType()}
+    return _over_batches(docs, text, doc_id, vocabulary, pattern, columns, work)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids",
@@ -220,7 +232,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str
     def work(codec: Codec, texts: list) -> dict[str, pa.Array]:
         sizes, ids, decoded = [], [], []
         for parts in codec.texts([t or "" for t in texts]):
-            sizes.append(sum(p[1] for p in parts))
+            sizes.append(sum([len(p[1]) for p in parts]) // 4)
             ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
             decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
         return {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
