@@ -61,7 +61,7 @@ class ProductCode:
 
     def __init__(self, length: int, size: int, seed: int = 0):
         self.length, self.size = length, size
-        self.width = max(2, 1 << (length - 1).bit_length())
+        self.width = max(64, 1 << (length - 1).bit_length())
         rng = np.random.default_rng([20240, seed, length, size])
         self.signs = rng.choice([-1.0, 1.0], (2, self.width))
         books = rng.standard_normal((2, size, self.width // 2))

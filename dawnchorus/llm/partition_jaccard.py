@@ -104,7 +104,7 @@ class Band:
     @property
     def segments(self) -> int:
         need = self.differ + 1
-        return need if self.most <= 24 else need + need // 16
+        return need if self.most <= 24 else need + need // 5
 
     @property
     def deletions(self) -> int:
@@ -226,16 +226,32 @@ def _shared_buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _allocate(buckets: DataFrame) -> DataFrame:
-    """Rows (key, doc, own, probes): each set passes over its costliest segments as far as there are some to spare."""
-    facts = buckets.repartition("doc").select("key", "doc", "cost", _fact(0, _SPARE_BITS).alias("spare"), _fact(_SPARE_BITS, 1).alias("below"),
-                           (1 + _fact(_SPARE_BITS + 1, 1)).alias("weight"), _fact(_SPARE_BITS + 2, 0).alias("segment"))
+    """Bucket rows with own (is it the set's own band) and probes.
+
+    Each set passes over its costliest segments as far as there are some to spare; it
+    probes with the others.
+    """
+    facts = buckets.repartition("doc").select(
+        "key", "doc", "cost", _fact(0, _SPARE_BITS).alias("spare"), _fact(_SPARE_BITS, 1).alias("below"),
+        (1 + _fact(_SPARE_BITS + 1, 1)).alias("weight"), _fact(_SPARE_BITS + 2, 0).alias("segment"))
     one = Window.partitionBy("doc", "below", "segment")
     ordered = Window.partitionBy("doc", "below").orderBy(F.desc("segment_cost"), "segment", "key")
     facts = facts.withColumn("segment_cost", F.sum("cost").over(one))
     facts = facts.withColumn("first", F.row_number().over(one.orderBy("key")) == 1)
     facts = facts.withColumn("used", F.sum(F.when(F.col("first"), F.col("weight")).otherwise(0)).over(
         ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return facts.select("key", "doc", (F.col("below") == 0).alias("own"), (F.col("used") > F.col("spare")).alias("probes"))
+    return facts.select("key", "doc", "segment", "weight", "spare", (F.col("below") == 0).alias("own"),
+                        (F.col("used") > F.col("spare")).alias("probes"))
+
+
+def _sharing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Only pairs that agree on more segments than may be passed over, as every similar pair does."""
+    side = lambda c: rows.select("key", F.col("doc").alias(c), F.col("own").alias(f"own_{c}"), "segment", "weight", "spare")
+    common = (pairs.join(side("a"), "a").join(side("b").drop("segment", "weight", "spare"), ["key", "b"])
+              .filter("own_a or own_b"))
+    return (common.groupBy("a", "b", "segment").agg(F.first("weight").alias("weight"), F.first("spare").alias("spare"))
+            .groupBy("a", "b").agg(F.sum("weight").alias("agree"), F.max("spare").alias("spare"))
+            .filter("agree > spare").select("a", "b"))
 
 
 def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -246,13 +262,14 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
     sizes, buckets = _shared_buckets(docs)
-    rows = _allocate(buckets)
+    rows = materialize(_allocate(buckets), "bucket-rows")
     # First round: the members of a bucket against its smallest probing document.
     first = F.min(F.when(F.col("probes"), F.col("doc"))).over(Window.partitionBy("key"))
-    starred = materialize(rows.withColumn("rep", first).filter("rep is not null and (own or probes)"), "starred")
+    starred = materialize(rows.select("key", "doc", "own", "probes").withColumn("rep", first)
+                          .filter("rep is not null and (own or probes)"), "starred")
     stars = materialize(_sized(starred.filter("doc <> rep").select(
         F.greatest("doc", "rep").alias("a"), F.least("doc", "rep").alias("b")).distinct(), sizes), "stars")
-    links = verified(stars, docs, percent)
+    links = verified(_sharing(stars, rows), docs, percent)
     # Second round: buckets in which some member has another component than the representative.
     label = connected_components(links)
     named = lambda c, name: label.select(F.col("id").alias(c), F.col("component").alias(name))
@@ -267,7 +284,7 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
             .filter("l.label <> r.label")
             .select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct())
     more = materialize(_sized(more.join(stars, ["a", "b"], "left_anti"), sizes), "more-pairs")
-    return sizes, links.unionByName(verified(more, docs, percent))
+    return sizes, links.unionByName(verified(_sharing(more, rows), docs, percent))
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

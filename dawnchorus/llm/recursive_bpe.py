@@ -94,7 +94,7 @@ class Codec:
         self.db.unregister("given")
 
     def _rows(self, sql: str, column: str) -> list:
-        return self.db.execute(sql).to_arrow_table()[column].to_pylist()
+        return self.db.sql(sql).to_arrow_table()[column].to_pylist()
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word, by the recursive query in blocks of words."""
