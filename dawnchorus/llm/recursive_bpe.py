@@ -24,7 +24,6 @@ import base64
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import types as T
 
 WORDS = 20_000
 KNOWN = 300_000
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 36_000_000
 LONG = 96
 
 #: Unicode white space, as a character-class body.
@@ -44,7 +43,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: a run of other characters with the space before it, or white space.
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
-ENCODE_SQL = """
+FIXPOINT = """
 WITH RECURSIVE state(word, tokens, step) AS (
   SELECT word, tokens, 0 FROM words
   UNION ALL
@@ -53,13 +52,18 @@ WITH RECURSIVE state(word, tokens, step) AS (
     SELECT word, min(rank) AS rank, min(rank * 1048576 + pos) % 1048576 AS pos
     FROM (SELECT word, pos, tokens[pos] * 65536 + tokens[pos + 1] AS pair
           FROM (SELECT word, tokens, unnest(range(1, len(tokens))) AS pos FROM state))
-    JOIN merges USING (pair) GROUP BY word) best USING (word))
-SELECT word, arg_max(tokens, step) AS tokens FROM state GROUP BY word ORDER BY word"""
+    JOIN merges USING (pair) GROUP BY word) best USING (word)),
+encoded AS (SELECT word, arg_max(tokens, step) AS tokens FROM state GROUP BY word)"""
 
-DECODE_SQL = """
-SELECT word, string_agg(hex, '' ORDER BY pos) AS hex
+DECODED = """
+SELECT word, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded
 FROM (SELECT word, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM encoded)
-JOIN vocabulary USING (token) GROUP BY word ORDER BY word"""
+JOIN vocabulary USING (token) GROUP BY word"""
+
+ENCODE_SQL = f"{FIXPOINT} SELECT word, tokens FROM encoded ORDER BY word"
+DECODE_SQL = f"WITH encoded AS (FROM words) {DECODED} ORDER BY word"
+TRANSLATE_SQL = f"""{FIXPOINT}, bytes AS ({DECODED})
+SELECT array_to_string(tokens, ',') AS ids, len(tokens) AS n, decoded FROM encoded JOIN bytes USING (word) ORDER BY word"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,41 +90,46 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("merges", pair=pa.array(self.merges.keys(), pa.int64()), rank=pa.array(self.merges.values(), pa.int64()))
         self._table("vocabulary", token=pa.array(ranks.values(), pa.int64()), hex=pa.array([t.hex() for t in ranks]))
-        self.known: dict[str, tuple[str, bytes, bytes]] = {}
+        self.known: dict[str, tuple[str, int, bytes]] = {}
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _rows(self, sql: str, column: str) -> list:
-        return self.db.sql(sql).to_arrow_table()[column].to_pylist()
+    def _ask(self, sql: str, tokens: list[list[int]]) -> pa.Table:
+        """Run a query over words given as lists of tokens; its rows come in their order."""
+        self._table("words", word=pa.array(range(len(tokens)), pa.int64()), tokens=pa.array(tokens, pa.list_(pa.int64())))
+        return self.db.sql(sql).to_arrow_table()
+
+    def _start(self, word: bytes) -> list[int]:
+        """Where the recursion starts: a word of the vocabulary is one token, any other its bytes."""
+        if word in self.ranks:
+            return [self.ranks[word]]
+        return [self.first[b] for b in word] if len(word) <= LONG else self._merge_long(word)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word, by the recursive query in blocks of words."""
-        done: dict[bytes, list[int]] = {w: [self.ranks[w]] for w in words if w in self.ranks}
-        rest = [w for w in dict.fromkeys(words) if w not in done]
-        done.update((w, self._merge_long(w)) for w in rest if len(w) > LONG)
-        short = [w for w in rest if len(w) <= LONG]
-        for start in range(0, len(short), WORDS):
-            block = short[start:start + WORDS]
-            self._table("words", word=pa.array(range(len(block)), pa.int64()),
-                        tokens=pa.array([[self.first[b] for b in w] for w in block], pa.list_(pa.int64())))
-            done.update(zip(block, self._rows(ENCODE_SQL, "tokens"), strict=True))
-        return [done[w] for w in words]
+        out: list[list[int]] = []
+        for i in range(0, len(words), WORDS):
+            out += self._ask(ENCODE_SQL, [self._start(w) for w in words[i:i + WORDS]])["tokens"].to_pylist()
+        return out
 
     def decode_words(self, tokens: list[list[int]]) -> list[bytes]:
         """Bytes of each list of tokens, by ordered aggregation in blocks."""
         out: list[bytes] = []
-        for start in range(0, len(tokens), WORDS):
-            block = tokens[start:start + WORDS]
-            full = [i for i, t in enumerate(block) if t]
-            self._table("encoded", word=pa.array(full, pa.int64()),
-                        tokens=pa.array([block[i] for i in full], pa.list_(pa.int64())))
-            got = dict(zip(full, map(bytes.fromhex, self._rows(DECODE_SQL, "hex")), strict=True))
-            out += [got.get(i, b"") for i in range(len(block))]
+        for i in range(0, len(tokens), WORDS):
+            found = self._ask(DECODE_SQL, tokens[i:i + WORDS])
+            by_word = dict(zip(found["word"].to_pylist(), found["decoded"].to_pylist(), strict=True))
+            out += [by_word.get(j, b"") for j in range(len(tokens[i:i + WORDS]))]
         return out
 
+    def translate_words(self, words: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
+        """For each word its ids as text, how many, and the bytes that they decode to."""
+        for i in range(0, len(words), WORDS):
+            found = self._ask(TRANSLATE_SQL, [self._start(w) for w in words[i:i + WORDS]])
+            yield from zip(*(found[c].to_pylist() for c in ("ids", "n", "decoded")), strict=True)
+
     def _merge_long(self, word: bytes) -> list[int]:
         """The same rule for one long word: a heap of its pairs by rank and place."""
         tokens: list[int | None] = [self.first[b] for b in word]
@@ -147,20 +156,20 @@ class Codec:
         return [t for t in tokens if t is not None]
 
     def learn(self, units: Iterable[str]) -> None:
-        """Encode units that are not known yet: their ids as text, packed as 32-bit numbers, and decoded."""
+        """Translate units that are not known yet, by their pieces."""
         new = [u for u in units if u not in self.known]
         pieces = {u: [u] if u.lstrip(" ").isalpha() and u.rfind(" ") < 1 else self.split(u) for u in new}
-        words = list(dict.fromkeys(p.encode() for ps in pieces.values() for p in ps))
-        tokens = self.encode_words(words)
-        found = {w: (",".join(map(str, t)), array("i", t).tobytes(), b) for w, t, b in
-                 zip(words, tokens, self.decode_words(tokens), strict=True)}
+        words = list(dict.fromkeys(p for ps in pieces.values() for p in ps))
+        found = dict(zip(words, self.translate_words([w.encode() for w in words]), strict=True))
         for u, ps in pieces.items():
-            parts = [found[p.encode()] for p in ps]
-            self.known[u] = parts[0] if len(parts) == 1 else (
-                ",".join(p[0] for p in parts), b"".join(p[1] for p in parts), b"".join(p[2] for p in parts))
-
-    def texts(self, texts: list[str]) -> Iterator[list[tuple[str, bytes, bytes]]]:
-        """For each text its units as (ids as text, packed ids, decoded bytes)."""
+            if len(ps) == 1:
+                self.known[u] = found[ps[0]]
+            else:
+                ids, sizes, decoded = zip(*[found[p] for p in ps], strict=True)
+                self.known[u] = ",".join(ids), sum(sizes), b"".join(decoded)
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], tuple[bytes, ...]]]:
+        """For each text, of its units: the ids as text, how many they are, the decoded bytes."""
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -172,7 +181,7 @@ class Codec:
                 self.known.clear()
             self.learn(set().union(*units))
             for u in units:
-                yield [self.known[x] for x in u]
+                yield tuple(zip(*map(self.known.__getitem__, u), strict=True)) if u else ((), (), ())
             start = stop
 
 
@@ -194,10 +203,10 @@ def _over_batches(docs: DataFrame, text: str, doc_id: str, vocabulary: str, patt
     return given.mapInArrow(run, schema)
 
 
-def _id_lists(packed: list[bytes]) -> pa.Array:
-    sizes = [len(p) // 4 for p in packed]
+def _id_lists(sizes: list[int], ids: list[str]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+    flat = np.fromstring(",".join(filter(None, ids)), np.int32, sep=",")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
@@ -205,11 +214,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     """doc_id, ids (array of int) of each row's whole text, and whether they decode to the text's bytes."""
 
     def work(codec: Codec, texts: list) -> dict[str, pa.Array]:
-        bodies, packed, same = [t or "" for t in texts], [], []
-        for body, parts in zip(bodies, codec.texts(bodies), strict=True):
-            packed.append(b"".join([p[1] for p in parts]))
-            same.append(b"".join([p[2] for p in parts]) == body.encode())
-        return {"ids": _id_lists(packed), "round_trip": pa.array(same, pa.bool_())}
+        bodies, sizes, ids, same = [t or "" for t in texts], [], [], []
+        for body, (texts_of, sizes_of, decoded) in zip(bodies, codec.texts(bodies), strict=True):
+            ids.append(",".join(texts_of))
+            sizes.append(sum(sizes_of))
+            same.append(b"".join(decoded) == body.encode())
+        return {"ids": _id_lists(sizes, ids), "round_trip": pa.array(same, pa.bool_())}
 
     columns = {"ids": T.ArrayType(T.IntegerType()), "round_trip": T.BooleanType()}
     return _over_batches(docs, text, doc_id, vocabulary, pattern, columns, work)
@@ -231,10 +241,10 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str
 
     def work(codec: Codec, texts: list) -> dict[str, pa.Array]:
         sizes, ids, decoded = [], [], []
-        for parts in codec.texts([t or "" for t in texts]):
-            sizes.append(sum([len(p[1]) for p in parts]) // 4)
-            ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+        for texts_of, sizes_of, bytes_of in codec.texts([t or "" for t in texts]):
+            sizes.append(sum(sizes_of))
+            ids.append(hashlib.sha256(",".join(texts_of).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(bytes_of)).hexdigest())
         return {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
                 "decoded_sha256": pa.array(decoded, pa.string())}
 
