@@ -20,6 +20,7 @@ from dawnchorus.functions.labels import CI_Z, SIGNIFICANCE, TERM_LABELS
 from dawnchorus.functions.stats import f_sf, t_sf2, weighted_kendall_tau_b
 from dawnchorus.operators.counting import n_rows
 from dawnchorus.operators.species import SPECIES, top_species
+from dawnchorus.session import ship_package, written
 
 FEATURES = list(TERM_LABELS)
 
@@ -85,6 +86,7 @@ def kendall(matrix: DataFrame, cols: list[str], triangle: bool = False) -> DataF
     ``triangle=True`` returns one triangle: ``term`` is the later column in
     ``cols`` order and ``vogelart`` the earlier one; otherwise both directions.
     """
+    ship_package(matrix.sparkSession)
     pairs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -259,14 +261,20 @@ def forest(tidy: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
             .orderBy("signifikant", "estimate"))
 
 
+MAX_STEPS = 50
+
+
 def _poisson(features: DataFrame, label: str, intercept: bool):
     """IRLS makes one pass per iteration: keep the (aggregated) rows persisted."""
     rows = features.select(label, "_features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         glr = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_features",
-                                          labelCol=label, fitIntercept=intercept, maxIter=50,
+                                          labelCol=label, fitIntercept=intercept, maxIter=MAX_STEPS,
                                           tol=1e-10)
-        return glr.fit(rows)
+        model = glr.fit(rows)
+        if model.summary.numIterations >= MAX_STEPS:
+            raise ArithmeticError(f"Poisson trend did not converge in {MAX_STEPS} steps")
+        return model
     finally:
         rows.unpersist()
 
@@ -291,6 +299,7 @@ def poisson_trend(per_day: DataFrame, y: str, date_col: str = "datum") -> DataFr
     calendar days) are not fitted but receive the fitted value.  Adds
     ``trend`` = exp(a + b·x).
     """
+    per_day = written(per_day, "trend-days")  # bounds, fit and result read it: one row per day
     data = per_day.withColumn("_x", _centred_days(per_day, date_col))
     vec = VectorAssembler(inputCols=["_x"], outputCol="_features")
     fit_rows = vec.transform(data.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double")))
@@ -300,80 +309,48 @@ def poisson_trend(per_day: DataFrame, y: str, date_col: str = "datum") -> DataFr
 
 
 def grouped_poisson_trend(per_group_day: DataFrame, y: str, group: str,
-                          date_col: str = "datum", method: str = "auto",
-                          max_joint_groups: int = 50) -> DataFrame:
-    """One Poisson trend per group (facet).
-
-    ``method='joint'``: a single GLM whose features are a per-group indicator
-    and indicator·x (no common intercept); the likelihood separates, so the
-    coefficients equal separate per-group fits while the data are scanned once
-    per IRLS iteration for all groups.  The design has two columns per group,
-    so it suits a handful of facets (the reference plots the top 10).
-
-    ``method='per_group'``: each group's daily rows (bounded by the number of
-    days) are fitted by a 2-parameter IRLS inside ``applyInPandas``; groups
-    are independent tasks, so any number of groups scales out.
-
-    ``'auto'`` picks ``joint`` up to ``max_joint_groups`` groups.  x is days
-    since the first date over all groups, centred, in both methods.
+                          date_col: str = "datum") -> DataFrame:
+    """One Poisson trend per group (facet), for any number of groups.
+
+    Each group's daily rows (bounded by the number of days) are fitted by a
+    2-parameter IRLS inside ``applyInPandas``; groups are independent tasks.
+    x is days since the first date over all groups, centred.  A NULL group is a
+    group of its own; a group whose counts are all 0 has the trend 0, one seen
+    on a single day its count; a fit that does not converge raises.
     """
-    data = per_group_day.withColumn("_x", _centred_days(per_group_day, date_col))
-    if method == "auto":
-        n_groups = per_group_day.select(group).distinct().limit(max_joint_groups + 1).count()
-        method = "joint" if n_groups <= max_joint_groups else "per_group"
-    if method == "per_group":
-        return _per_group_poisson(data, y, group)
-    groups = sorted(r[0] for r in data.select(group).distinct().collect())
-    ind = {g: (F.col(group) == F.lit(g)).cast("double") for g in groups}
-    cols = {}
-    for i, g in enumerate(groups):
-        cols[f"_i{i}"] = ind[g]
-        cols[f"_s{i}"] = ind[g] * F.col("_x")
-    design = data.withColumns(cols)
-    names = [f"_i{i}" for i in range(len(groups))] + [f"_s{i}" for i in range(len(groups))]
-    vec = VectorAssembler(inputCols=names, outputCol="_features")
-    fit_rows = vec.transform(design.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double")))
-    model = _poisson(fit_rows, y, False)
-    coef = list(model.coefficients)
-    g_count = len(groups)
-    a = F.create_map(*[v for i, g in enumerate(groups) for v in (F.lit(g), F.lit(float(coef[i])))])
-    b = F.create_map(*[v for i, g in enumerate(groups)
-                       for v in (F.lit(g), F.lit(float(coef[g_count + i])))])
-    return (data.withColumn("trend", F.exp(a[F.col(group)] + b[F.col(group)] * F.col("_x")))
-            .drop("_x"))
-
-
-def _per_group_poisson(data: DataFrame, y: str, group: str) -> DataFrame:
+    ship_package(per_group_day.sparkSession)
+    daily_rows = written(per_group_day, "group-days")
+    data = daily_rows.withColumn("_x", _centred_days(daily_rows, date_col))
     out_schema = T.StructType(list(data.schema.fields) + [T.StructField("trend", T.DoubleType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ok = pdf[y].notna()
-        xs = pdf.loc[ok, "_x"].to_numpy(dtype=float)
-        ys = pdf.loc[ok, y].to_numpy(dtype=float)
-        if len(xs) == 0:
-            trend = np.full(len(pdf), np.nan)
-        else:
-            a, b = irls_poisson(xs, ys)
-            trend = np.exp(a + b * pdf["_x"].to_numpy(dtype=float))
-        return pdf.assign(trend=trend)
+        if not ok.any():
+            return pdf.assign(trend=np.nan)
+        a, b = irls_poisson(pdf.loc[ok, "_x"].to_numpy(dtype=float), pdf.loc[ok, y].to_numpy(dtype=float))
+        return pdf.assign(trend=np.exp(a + b * pdf["_x"].to_numpy(dtype=float)))
 
-    return data.groupBy(group).applyInPandas(fit, out_schema).drop("_x")
+    fitted = data.groupBy(group).applyInPandas(fit, out_schema).drop("_x")
+    return fitted.withColumn("trend", F.nanvl("trend", F.lit(None).cast("double")))
 
 
 def irls_poisson(x: np.ndarray, y: np.ndarray, iters: int = 100) -> tuple[float, float]:
-    """Reference IRLS for a 2-parameter Poisson fit (used by tests)."""
-    X = np.column_stack([np.ones_like(x), x])
-    beta = np.array([math.log(max(y.mean(), 1e-9)), 0.0])
+    """Intercept and slope of a log-linear Poisson fit.
+
+    Without a positive count the intercept is -inf (trend 0); with a single
+    distinct x the slope is 0.  Raises when ``iters`` steps do not converge.
+    """
+    if y.sum() <= 0:
+        return -math.inf, 0.0
+    if np.ptp(x) == 0:
+        return math.log(y.mean()), 0.0
+    design = np.column_stack([np.ones_like(x), x])
+    beta = np.array([math.log(y.mean()), 0.0])
     for _ in range(iters):
-        mu = np.exp(X @ beta)
-        z = X @ beta + (y - mu) / mu
-        W = mu
-        try:
-            new = np.linalg.solve(X.T @ (W[:, None] * X), X.T @ (W * z))
-        except np.linalg.LinAlgError:
-            return math.log(max(y.mean(), 1e-300)), 0.0
-        if np.max(np.abs(new - beta)) < 1e-12:
-            beta = new
-            break
-        beta = new
-    return float(beta[0]), float(beta[1])
+        mu = np.exp(design @ beta)
+        step = np.linalg.solve(design.T @ (mu[:, None] * design), design.T @ (y - mu))
+        largest = np.max(np.abs(step) * [1.0, np.abs(x).max()])
+        beta = beta + step / max(1.0, largest / 5.0)  # a long step is shortened
+        if largest < 1e-10:
+            return float(beta[0]), float(beta[1])
+    raise ArithmeticError(f"Poisson trend did not converge in {iters} steps")

@@ -46,12 +46,13 @@ def _frequencies(df: DataFrame, species: str, scientific: str | None,
                  abs_name: str, rel_name: str, weight: str | None = None) -> DataFrame:
     """Absolute count per species and its share of *all* detections (%).
 
-    The total is a scalar subquery over the input (one global count), so the
-    share needs no single-partition window over the species table.
+    The total is the sum of the counts, as a scalar subquery that reuses their
+    shuffle: the input is read once, and the share needs no single-partition
+    window over the species table.
     """
     keys = [species] + ([scientific] if scientific else [])
-    total = df.select(n_rows(weight)).scalar()
     counts = df.groupBy(*keys).agg(n_rows(weight).alias(abs_name))
+    total = counts.agg(F.sum(abs_name)).scalar()
     return counts.withColumn(rel_name, F.col(abs_name) / total * 100)
 
 
@@ -179,14 +180,15 @@ def weekly_change(df: DataFrame, as_of: str, ts: str = "zeitstempel",
       years × observed weeks × species with 0 (``existing_weeks_only`` keeps
       only (year, week) pairs that occur in the data);
     * change % = 0 when the previous week has 0, else (n − p) / p · 100;
-      the first week of each species is dropped.
+      the first week of each species, and rows without a species name, are
+      dropped.
 
     The grid is generated per species row by exploding the (calendar-bounded)
     arrays of years and weeks, delivered as scalar subqueries — no cross join
     operator.  The window per species runs over years × weeks rows.
     """
     d = _day(ts)
-    base = (df.where(F.col(ts).isNotNull())
+    base = (df.where(F.col(ts).isNotNull() & F.col(species).isNotNull())
             .select(iso_year(d).alias("jahr"), iso_week(d).alias("kalenderwoche"),
                     F.col(species).alias(species),
                     *([F.col(weight)] if weight else []))

@@ -12,6 +12,7 @@ from dawnchorus.functions.labels import MIN_OBSERVATIONS
 from dawnchorus.operators.species import (
     SPECIES, bottom_species, new_species, species_frequency, top_species, weekly_change,
 )
+from dawnchorus.session import written
 
 
 def top_bottom(df: DataFrame, k: int = 10, min_obs: int = MIN_OBSERVATIONS,
@@ -61,16 +62,20 @@ def _week_slots(changes: DataFrame, n_weeks: int) -> list[tuple[int, int]]:
 
 
 def weekly_change_wide(df: DataFrame, as_of: str, k: int = 10, n_weeks: int = 4,
-                       species: str = SPECIES, ts: str = "zeitstempel") -> DataFrame:
+                       species: str = SPECIES, ts: str = "zeitstempel",
+                       slots: list[tuple[int, int]] | None = None) -> DataFrame:
     """rows = top-k species, columns = change % of the last ``n_weeks``
-    weeks (``KW <week>``), oldest to newest.
+    weeks (``KW <week>``), oldest to newest; rows by the newest week's change,
+    descending.
 
-    The last weeks are chosen *before* pivoting; the pivot runs on an integer
+    The change is computed once and written (species × years × weeks rows).
+    The weeks are chosen *before* pivoting — the last ones of the data, or the
+    given ``slots`` (ISO year, week) — and the pivot runs on an integer
     (year·100 + week) with explicit values, so columns come out in calendar
     order and two years with the same week number cannot collide.
     """
-    ch = weekly_change(df, as_of, ts, species)
-    slots = _week_slots(ch, n_weeks)
+    ch = written(weekly_change(df, as_of, ts, species), "weekly-change")
+    slots = sorted(slots) if slots is not None else _week_slots(ch, n_weeks)
     keys = [y * 100 + w for y, w in slots]
     top = top_species(df, k, species, None).select(species)
     wide = (ch.join(F.broadcast(top), species, "left_semi")
@@ -79,18 +84,23 @@ def weekly_change_wide(df: DataFrame, as_of: str, k: int = 10, n_weeks: int = 4,
             .groupBy(species).pivot("_slot", keys).agg(F.first("prozentuale_veraenderung")))
     names = {str(key): f"KW {w}" if len({w for _, w in slots}) == len(slots) else f"KW {w}/{y}"
              for key, (y, w) in zip(keys, slots)}
+    if keys:
+        wide = wide.orderBy(F.desc_nulls_last(f"`{keys[-1]}`"), species)
     return wide.withColumnsRenamed(names)
 
 
 def new_species_wide(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeitstempel",
-                     species: str = SPECIES) -> DataFrame:
+                     species: str = SPECIES, weeks: list[int] | None = None) -> DataFrame:
     """T4: new species per week as columns ``KW <week>``, numbered rows, blanks
     for missing cells.  Like the reference, weeks are grouped by their label
-    (week number), across years."""
-    ns = new_species(df, min_obs, ts, species)
+    (week number), across years; columns stand in the order in which the weeks
+    first appear, or as given in ``weeks``."""
+    ns = written(new_species(df, min_obs, ts, species), "new-species")  # one row per species
     w = Window.partitionBy("kalenderwoche").orderBy("jahr", "neue_vogelarten")
     numbered = ns.withColumn("nummer", F.row_number().over(w))
-    weeks = sorted(r[0] for r in ns.select("kalenderwoche").distinct().collect())
+    if weeks is None:
+        first = ns.groupBy("kalenderwoche").agg(F.min("jahr").alias("jahr")).orderBy("jahr", "kalenderwoche")
+        weeks = [r["kalenderwoche"] for r in first.collect()]  # at most 53
     wide = (numbered.groupBy("nummer").pivot("kalenderwoche", weeks)
             .agg(F.first("neue_vogelarten")))
     wide = wide.withColumnsRenamed({str(x): f"KW {x}" for x in weeks})

@@ -25,6 +25,9 @@ from dawnchorus.sources.weather import load_weather, write_observation_file
 # refer to its own calendar; the test tables cover other dates).
 EVENTS_FROM = "2024-01-03"      # observation period start for `events`
 ORDERS_AS_OF = "1998-07-01"     # "today" of the weekly change on `orders`
+# Columns of the wide outputs, the same at every scale factor.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+LAST_WEEKS = [(2001, 23), (2001, 24), (2001, 25), (2001, 26)]
 STUDY_SPECIES = "1-URGENT"
 STUDY_START, STUDY_END, STUDY_MARK = "1996-03-01", "1996-12-31", "1996-05-01"
 
@@ -60,6 +63,9 @@ class Tables:
     def orders(self):
         return td.detections_from_orders(self.raw("orders"))
 
+    def by_customer(self):
+        return td.detections_by_customer(self.raw("orders"))
+
     def observations(self):
         return td.weather_observations(self.raw("events"))
 
@@ -280,7 +286,7 @@ def q_weekly_change(spark, sf_dir):
 
 def q_hour_matrix(spark, sf_dir):
     """M1"""
-    return models.hour_matrix(_t(spark, sf_dir).by_type())
+    return models.hour_matrix(_t(spark, sf_dir).by_type(), names=EVENT_TYPES)
 
 
 def q_species_kendall(spark, sf_dir):
@@ -445,12 +451,12 @@ def q_frequency_table(spark, sf_dir):
 
 def q_weekly_change_wide(spark, sf_dir):
     """T3"""
-    return rounded(tables.weekly_change_wide(_t(spark, sf_dir).orders(), ORDERS_AS_OF))
+    return rounded(tables.weekly_change_wide(_t(spark, sf_dir).orders(), ORDERS_AS_OF, slots=LAST_WEEKS))
 
 
 def q_new_species_wide(spark, sf_dir):
     """T4"""
-    return tables.new_species_wide(_t(spark, sf_dir).by_user())
+    return tables.new_species_wide(_t(spark, sf_dir).by_user(), weeks=[1, 2, 3, 4, 5])
 
 
 def q_outage_table(spark, sf_dir):
@@ -485,6 +491,48 @@ def q_report_sink(spark, sf_dir):
     return spark.read.parquet(paths["top_bottom_vogelarten"])
 
 
+# --- many species over several years: thresholds cut, first weeks spread ------
+
+def q_species_count_customers(spark, sf_dir):
+    """R1"""
+    return species.species_count(_t(spark, sf_dir).by_customer())
+
+
+def q_top_species_customers(spark, sf_dir):
+    """R3"""
+    return rounded(species.top_species(_t(spark, sf_dir).by_customer()))
+
+
+def q_bottom_species_customers(spark, sf_dir):
+    """R4"""
+    return rounded(species.bottom_species(_t(spark, sf_dir).by_customer()))
+
+
+def q_species_frequency_customers(spark, sf_dir):
+    """R5"""
+    return rounded(species.species_frequency(_t(spark, sf_dir).by_customer()))
+
+
+def q_new_species_customers(spark, sf_dir):
+    """R6"""
+    return species.new_species(_t(spark, sf_dir).by_customer())
+
+
+def q_new_species_wide_customers(spark, sf_dir):
+    """T4"""
+    return tables.new_species_wide(_t(spark, sf_dir).by_customer(), weeks=list(range(1, 54)))
+
+
+def q_top_trend_users(spark, sf_dir):
+    """The top ten of many species, with days on which some are not seen"""
+    return rounded(report.chart_top_daily(_t(spark, sf_dir).by_user()))
+
+
+def q_single_trend(spark, sf_dir):
+    """M12 for a single group"""
+    return rounded(report.chart_top_daily(_t(spark, sf_dir).orders(), k=1))
+
+
 # --- the same outputs from the count cube -----------------------------------
 
 def _cube(frame):
@@ -514,7 +562,7 @@ def q_cube_weekly_change(spark, sf_dir):
 
 def q_cube_hour_matrix(spark, sf_dir):
     """M1 from the count cube"""
-    return models.hour_matrix(_cube(_t(spark, sf_dir).by_type()), weight="n")
+    return models.hour_matrix(_cube(_t(spark, sf_dir).by_type()), names=EVENT_TYPES, weight="n")
 
 
 def q_cube_hour_grid(spark, sf_dir):
@@ -613,6 +661,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labelled_frequency": q_labelled_frequency,
     "formatted_top_bottom": q_formatted_top_bottom,
     "report_sink": q_report_sink,
+    "species_count_customers": q_species_count_customers,
+    "top_species_customers": q_top_species_customers,
+    "bottom_species_customers": q_bottom_species_customers,
+    "species_frequency_customers": q_species_frequency_customers,
+    "new_species_customers": q_new_species_customers,
+    "new_species_wide_customers": q_new_species_wide_customers,
+    "top_trend_users": q_top_trend_users,
+    "single_trend": q_single_trend,
     "weekly_share": q_weekly_share,
     "cube_daily": q_cube_daily,
     "cube_top_species": q_cube_top_species,

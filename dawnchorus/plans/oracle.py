@@ -11,7 +11,7 @@ from dawnchorus.functions.labels import (
     CI_Z, CLOUD_LABELS, PRECIPITATION_LABELS, SEASONS, SIGNIFICANCE, TERM_LABELS, WEATHER_VARIABLES,
 )
 from dawnchorus.plans.catalog import (
-    EVENTS_FROM, ORDERS_AS_OF, STUDY_END, STUDY_MARK, STUDY_SPECIES, STUDY_START,
+    EVENT_TYPES, EVENTS_FROM, LAST_WEEKS, ORDERS_AS_OF, STUDY_END, STUDY_MARK, STUDY_SPECIES, STUDY_START,
 )
 
 
@@ -47,6 +47,13 @@ DU = f"""du AS (SELECT ts AS zeitstempel,
     floor(value) / 512 AS erkennungswahrscheinlichkeit, {_CUTOFF} AS schwellenwert, {_DET_TAIL},
     user_id AS station FROM events)"""
 
+# every customer a species, under the name of the many-species relation
+DC = """du AS (SELECT o_orderdate AS zeitstempel,
+    'Species ' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS wissenschaftlicher_name,
+    'Art ' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS deutscher_name,
+    floor(o_totalprice / 1000) / 512 AS erkennungswahrscheinlichkeit, CAST(0.7 AS DOUBLE) AS schwellenwert
+    FROM orders)"""
+
 DO = """dord AS (SELECT o_orderdate AS zeitstempel, lower(o_orderpriority) AS wissenschaftlicher_name,
     o_orderpriority AS deutscher_name, floor(o_totalprice / 1000) / 512 AS erkennungswahrscheinlichkeit,
     CAST(0.7 AS DOUBLE) AS schwellenwert, CAST(1.25 AS DOUBLE) AS empfindlichkeit,
@@ -518,7 +525,8 @@ def build() -> dict[str, str]:
         "SELECT * FROM wc", ["prozentuale_veraenderung"])
 
     s["hour_matrix"] = f"""WITH {DT}, {_hour_counts('dt')}
-        SELECT * FROM (PIVOT hc ON deutscher_name USING first(n) GROUP BY datum, stunde) _p"""
+        SELECT datum, stunde, {", ".join(f"max(n) FILTER (WHERE deutscher_name = '{e}') AS {e}" for e in EVENT_TYPES)}
+        FROM hc GROUP BY datum, stunde"""
 
     s["species_kendall"] = f"WITH {DT}, {_hour_counts('dt')}, {_KENDALL} " + rounded(
         "SELECT * FROM kt", ["korrelation"])
@@ -651,18 +659,22 @@ def build() -> dict[str, str]:
                                                 wn='"Wissenschaftlicher Name"', ab='"Absolut"',
                                                 re='"Relativ"')
 
+    weeks = ", ".join(f"max(v) FILTER (WHERE jahr = {y} AND kalenderwoche = {w}) AS \"KW {w}\"" for y, w in LAST_WEEKS)
     s["weekly_change_wide"] = f"""WITH {DO}, {_weekly_change('dord')}, {_top_names('dord')},
-        slots AS (SELECT DISTINCT jahr, kalenderwoche FROM wc ORDER BY jahr DESC, kalenderwoche DESC LIMIT 4),
-        x AS (SELECT wc.deutscher_name, 'KW ' || CAST(wc.kalenderwoche AS VARCHAR) AS lbl,
-            {q6('wc.prozentuale_veraenderung')} AS v FROM wc JOIN slots USING (jahr, kalenderwoche)
-            WHERE wc.deutscher_name IN (SELECT deutscher_name FROM top))
-        SELECT * FROM (PIVOT x ON lbl USING first(v) GROUP BY deutscher_name) _p"""
-
-    s["new_species_wide"] = f"""WITH {DU}, {_new_species()},
+        x AS (SELECT jahr, kalenderwoche, deutscher_name, {q6('prozentuale_veraenderung')} AS v FROM wc
+            WHERE deutscher_name IN (SELECT deutscher_name FROM top)
+              AND (jahr, kalenderwoche) IN ({", ".join(str(x) for x in LAST_WEEKS)}))
+        SELECT deutscher_name, {weeks} FROM x GROUP BY deutscher_name"""
+
+    def new_wide(last: int) -> str:
+        cells = ", ".join(f"coalesce(max(neue_vogelarten) FILTER (WHERE kalenderwoche = {w}), '') AS \"KW {w}\""
+                          for w in range(1, last + 1))
+        return f"""WITH {DU}, {_new_species()},
         num AS (SELECT CAST(row_number() OVER (PARTITION BY kalenderwoche ORDER BY jahr, neue_vogelarten) AS INTEGER)
-            AS nummer, 'KW ' || CAST(kalenderwoche AS VARCHAR) AS lbl, neue_vogelarten FROM ns)
-        SELECT nummer, coalesce(COLUMNS(* EXCLUDE (nummer)), '')
-        FROM (PIVOT num ON lbl USING first(neue_vogelarten) GROUP BY nummer) _p"""
+            AS nummer, kalenderwoche, neue_vogelarten FROM ns)
+        SELECT nummer, {cells} FROM num GROUP BY nummer"""
+
+    s["new_species_wide"] = new_wide(5)
 
     s["outage_table"] = f"""WITH {DU}, {_outages('du')}
         SELECT station, strftime(beginn, '%d.%m.%Y') AS beginn, strftime(ende, '%d.%m.%Y') AS ende,
@@ -720,6 +732,20 @@ def build() -> dict[str, str]:
         "erkennungswahrscheinlichkeit_in_prozent", FEATURES,
         f"{DT}, {EN}, feat AS ({_features('confidence')})", "feat", glance=True)
 
+    s["top_trend_users"] = _trend_sql(
+        f"""{DU}, {_top_names('du')}""",
+        """SELECT deutscher_name, CAST(zeitstempel AS DATE) AS datum, count(*) AS anzahl FROM du
+           WHERE deutscher_name IN (SELECT deutscher_name FROM top) GROUP BY 1, 2""",
+        "anzahl", group="deutscher_name")
+    s["single_trend"] = _trend_sql(
+        f"""{DO}, {_top_names('dord').replace('LIMIT 10', 'LIMIT 1')}""",
+        """SELECT deutscher_name, CAST(zeitstempel AS DATE) AS datum, count(*) AS anzahl FROM dord
+           WHERE deutscher_name IN (SELECT deutscher_name FROM top) GROUP BY 1, 2""",
+        "anzahl", group="deutscher_name")
+    for name in ("species_count", "top_species", "bottom_species", "species_frequency", "new_species"):
+        s[f"{name}_customers"] = s[name].replace(DU, DC)
+    s["new_species_wide_customers"] = new_wide(53).replace(DU, DC)
+
     # the count-cube variants must give exactly the raw answers
     for cube_name, raw in (("cube_daily", "daily"), ("cube_top_species", "top_species"),
                            ("cube_new_species", "new_species"), ("cube_weekly_change", "weekly_change"),

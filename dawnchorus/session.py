@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -39,8 +41,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local tests) a fresh
-    directory is created and registered as the checkpoint directory.
+    Read from the session.  When it is unset, a fresh directory is created and
+    registered, but only in local mode, where driver and executors are one
+    process; on a cluster a machine-local folder would lose data, so it raises.
     """
     d = None
     try:
@@ -54,21 +57,56 @@ def shared_dir(spark: SparkSession) -> str:
         sc = None
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    if not d and (sc is None or not (sc.master == "local" or sc.master.startswith("local["))):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-        if sc is not None:
-            sc.setCheckpointDir(d)
-            d = sc.getCheckpointDir() or d
-        else:
-            spark.conf.set("spark.checkpoint.dir", d)
+        sc.setCheckpointDir(d)
+        d = sc.getCheckpointDir() or d
     elif sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder for intermediate tables."""
-    return f"{shared_dir(spark)}/dawnchorus/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path below the shared folder for intermediate tables.
+
+    What is written there is deleted when the session's JVM ends.
+    """
+    path = f"{shared_dir(spark)}/dawnchorus/{name}-{uuid.uuid4().hex[:12]}"
+    sc = spark.sparkContext
+    file = sc._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(file)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: computed once, with no lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application.
+
+    Functions that run in workers are pickled by name, so the workers import
+    them; they find the package in an archive that Spark sends along, whatever
+    folder the driver was started from.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / "dawnchorus-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
 
 
 def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:

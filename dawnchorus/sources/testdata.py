@@ -10,6 +10,7 @@ lazy projection of the whole table; the matching SQL lives in
 | detections, few species     | events: ts, species = event_type                       |
 | detections, many species    | events: ts, species = user_id, station = user_id       |
 | detections, long calendar   | orders: o_orderdate, species = o_orderpriority         |
+| many species, long calendar | orders: o_orderdate, species = o_custkey               |
 | raw weather observations    | events of type 'error', one reading per event          |
 | detections next to weather  | events of the other types                              |
 | station index               | supplier + latest l_shipdate per supplier (lineitem)   |
@@ -86,6 +87,15 @@ def detections_from_orders(orders: DataFrame) -> DataFrame:
         _confidence(F.col("o_totalprice") / 1000), F.lit(0.7), F.lit(51.85), F.lit(6.62)))
 
 
+def detections_by_customer(orders: DataFrame) -> DataFrame:
+    """Many species over a long calendar: every customer is a species.  Some have
+    fewer than ten rows, and first weeks spread over several years."""
+    key = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    return orders.select(*_detection_cols(
+        "o_orderdate", F.concat(F.lit("Art "), key), F.concat(F.lit("Species "), key),
+        _confidence(F.col("o_totalprice") / 1000), F.lit(0.7), F.lit(51.85), F.lit(6.62)))
+
+
 def weather_observations(events: DataFrame) -> DataFrame:
     """Raw hourly readings of three stations, stacked like the loaded files.
 

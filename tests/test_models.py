@@ -118,7 +118,7 @@ def test_grouped_poisson_equals_separate(spark):
     df = spark.createDataFrame(rows, "g string, datum date, n long")
     joint = {(r.g, r.datum): r.trend for r in models.grouped_poisson_trend(df, "n", "g").collect()}
     per = {(r.g, r.datum): r.trend
-           for r in models.grouped_poisson_trend(df, "n", "g", method="per_group").collect()}
+           for r in models.grouped_poisson_trend(df, "n", "g").collect()}
     assert set(per) == set(joint)
     for key, v in joint.items():
         assert per[key] == pytest.approx(v, rel=1e-6)
@@ -160,14 +160,22 @@ def test_normalize_eager_equals_lazy(spark):
     assert all(r[2] is None for r in eager)            # sd 0 -> NULL
 
 
-def test_grouped_poisson_auto_switches_to_per_group(spark):
+def test_grouped_poisson_number_of_groups_does_not_matter(spark):
+    """One group, a NULL group, a one-day group, an all-zero group and many groups: each as fitted alone."""
     base = dt.date(2024, 3, 1)
-    rows = [(g, base + dt.timedelta(days=i), 5 + i + j) for j, g in enumerate("abc") for i in range(6)]
-    df = spark.createDataFrame(rows, "g string, datum date, n long")
-    auto = models.grouped_poisson_trend(df, "n", "g", max_joint_groups=2)
-    joint = models.grouped_poisson_trend(df, "n", "g", method="joint")
-    a = {(r.g, r.datum): r.trend for r in auto.collect()}
-    b = {(r.g, r.datum): r.trend for r in joint.collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == pytest.approx(b[k], rel=1e-6)
+    rows = [(g, base + dt.timedelta(days=i), 5 + i + j) for j, g in enumerate(["a", None, *map(str, range(60))]) for i in range(6)]
+    rows += [("one", base, 7)] + [("zero", base + dt.timedelta(days=i), 0) for i in range(4)]
+    schema = "g string, datum date, n long"
+    every = {(r.g, r.datum): r.trend for r in models.grouped_poisson_trend(spark.createDataFrame(rows, schema), "n", "g").collect()}
+    alone = models.grouped_poisson_trend(spark.createDataFrame([r for r in rows if r[0] == "a"], schema), "n", "g").collect()
+    assert len(every) == len(rows)
+    for r in alone:
+        assert r.trend == pytest.approx(every[r.g, r.datum], rel=1e-9)
+        assert r.trend == pytest.approx(5 + (r.datum - base).days, rel=0.05)
+    assert every[None, base] == pytest.approx(6, rel=0.05)
+    assert every["one", base] == pytest.approx(7) and every["zero", base] == 0
+
+
+def test_poisson_fit_that_does_not_converge_raises():
+    with pytest.raises(ArithmeticError):
+        models.irls_poisson(np.arange(5.0), np.array([1.0, 2, 4, 8, 16]), iters=2)
