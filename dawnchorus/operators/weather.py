@@ -95,15 +95,20 @@ def recode(code, labels: list[str]):
     return label, legal
 
 
-def to_weather(collapsed: DataFrame, key: str = "mess_datum") -> DataFrame:
+def to_weather(collapsed: DataFrame, key: str = "mess_datum", optional: tuple[str, ...] = ()) -> DataFrame:
     """W5 + W6: collapsed observations -> weather schema.
 
     Labels and their numeric codes are both kept (the code is what a model
-    uses as a number).
+    uses as a number).  A measurement without a column raises, as a wrong header
+    would otherwise pass for missing values; those named in ``optional`` (no
+    station nearby measures them) are NULL.
     """
     have = set(collapsed.columns)
+    needed = {"rs_ind_niederschlagsindikator", "v_n_bedeckungsgrad", *WEATHER_RENAMES}
+    if lost := sorted(needed - have - set(optional)):
+        raise ValueError(f"no column for the measurements {', '.join(lost)}")
 
-    def src(c):  # a variable without any station file is NULL, not an error
+    def src(c):
         return F.col(c) if c in have else F.lit(None).cast("double")
 
     p_label, p_code = recode(src("rs_ind_niederschlagsindikator"), PRECIPITATION_LABELS)
@@ -122,9 +127,9 @@ def to_weather(collapsed: DataFrame, key: str = "mess_datum") -> DataFrame:
     )
 
 
-def weather_table(observations: DataFrame, missing: str = "zero") -> DataFrame:
+def weather_table(observations: DataFrame, missing: str = "zero", optional: tuple[str, ...] = ()) -> DataFrame:
     """W4 → W5 → W6 in one lazy plan."""
-    return to_weather(collapse_stations(observations, "mess_datum", missing))
+    return to_weather(collapse_stations(observations, "mess_datum", missing), optional=optional)
 
 
 def season(df: DataFrame, ts: str = "zeitstempel") -> DataFrame:

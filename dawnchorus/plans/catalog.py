@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from dawnchorus.operators import cleaning, grids, models, species, study, tables, weather
 from dawnchorus.plans import report
-from dawnchorus.session import scratch_path
+from dawnchorus.session import scratch_path, written
 from dawnchorus.sources import archive, detections as det_src, testdata as td
-from dawnchorus.sources.weather import load_weather, write_observation_file
+from dawnchorus.sources.weather import PRODUCT_NAMES, load_weather, write_observation_file
 
 # Parameters of the queries over the test tables (the reference's defaults
 # refer to its own calendar; the test tables cover other dates).
@@ -150,32 +150,23 @@ def q_best_stations(spark, sf_dir):
         weather.nearby_stations(t.stations(), weather.last_position(t.by_type()))))
 
 
-# Observation files as the weather service ships them: one file per station
-# and product, headers "<code>.<German name>".
-_FILE_GROUPS = {
-    1: {"tt_tu_lufttemperatur": "TT_TU.Lufttemperatur",
-        "rf_tu_relative_feuchte": "RF_TU.Relative_Feuchte"},
-    2: {"p_luftdruck_nn": "P.Luftdruck_NN",
-        "v_te005_erdbodentemperatur_005cm": "V_TE005.Erdbodentemperatur_005cm"},
-    3: {"rs_ind_niederschlagsindikator": "RS_IND.Niederschlagsindikator",
-        "v_n_bedeckungsgrad": "V_N.Bedeckungsgrad",
-        "r1_niederschlagshoehe": "R1.Niederschlagshöhe",
-        "sd_so_sonnenscheindauer": "SD_SO.Sonnenscheindauer",
-        "f_windgeschwindigkeit": "F.Windgeschwindigkeit"},
-}
+# Observation files as the weather service ships them: one per station, headers
+# are the product codes.
+_STATION_PRODUCTS = {1: ("TT_TU", "RF_TU"), 2: ("P", "V_TE005"),
+                     3: ("RS_IND", "V_N", "R1", "SD_SO", "F")}
 
 
 def q_weather_files(spark, sf_dir):
-    """W3 (+W4–W6): each station's observations staged as a service file,
-    loaded, stacked and collapsed."""
-    obs = _t(spark, sf_dir).observations()
+    """W3 (+W4–W6): each station's observations staged as a service file (product
+    codes, padded cells, -999), loaded, stacked and collapsed."""
+    obs = written(_t(spark, sf_dir).observations(), "observations")
     base = scratch_path(spark, "weather_files")
     paths = []
-    for station, cols in _FILE_GROUPS.items():
+    for station, codes in _STATION_PRODUCTS.items():
         out = (obs.where(F.col("stations_id") == station)
                .select(F.col("stations_id").alias("STATIONS_ID"),
                        F.col("mess_datum").alias("MESS_DATUM"),
-                       *[F.col(src).alias(dst) for src, dst in cols.items()]))
+                       *[F.col(PRODUCT_NAMES[c]).alias(c) for c in codes]))
         p = f"{base}/station_{station}"
         write_observation_file(out, p)
         paths.append(p)
@@ -206,16 +197,13 @@ def q_orders_by_season(spark, sf_dir):
 
 
 def q_snapshot_archive(spark, sf_dir):
-    """E3 + E4: two dated snapshots (one repeats the current rows, one lacks a
-    column) merged with the current rows."""
-    cur = _t(spark, sf_dir).enriched()
+    """E3 + E4: dated snapshots (one repeats the current rows, one lacks a column)
+    and one under another name, merged with the current rows."""
+    cur = written(_t(spark, sf_dir).enriched(), "enriched")
     d = scratch_path(spark, "archive")
-    cur.persist(StorageLevel.MEMORY_AND_DISK)   # written twice below
-    try:
-        archive.write_snapshot(cur, d, "2024-01-30")
-        archive.write_snapshot(cur.drop("jahreszeit_nr"), d, "2024-01-31")
-    finally:
-        cur.unpersist()
+    archive.write_snapshot(cur, d, "2024-01-30")
+    archive.write_snapshot(cur.drop("jahreszeit_nr"), d, "2024-01-31")
+    cur.write.options(**archive.CSV_OPTIONS).csv(f"{d}/older/garden backup.csv")
     return rounded(archive.merge_snapshots(spark, cur, d))
 
 

@@ -13,12 +13,15 @@ dates:
 3. append the new rows, partitioned by ``datum``.
 
 The union of everything written equals the distinct union of all snapshots,
-like the batch merge.  A batch replayed after a failure finds its rows already
-present and appends nothing; each append is committed atomically.
+like the batch merge.  A batch replayed after a failure finds the rows that were
+already committed present and appends only the others.  The append is a plain
+partitioned Parquet append: a reader at the same moment may see part of a batch.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +34,13 @@ PART = "datum"
 
 
 def _archive_exists(spark: SparkSession, path: str) -> bool:
+    """Only a missing or still empty folder means no archive; any other failure is raised."""
     try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except Exception:  # noqa: BLE001  (no files yet)
-        return False
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def read_archive(spark: SparkSession, archive_dir: str, schema: T.StructType = ENRICHED) -> DataFrame:
@@ -53,7 +58,9 @@ def _merge_batch(archive_dir: str, schema: T.StructType):
         row = F.struct(*[F.col(c) for c in cols])
         new = (batch.select(*cols).distinct()
                .withColumn(PART, F.to_date("zeitstempel"))
-               .withColumn("_h", F.xxhash64(row)))
+               .withColumn("_h", F.xxhash64(row))
+               .persist(StorageLevel.MEMORY_AND_DISK))  # read for its dates and for the append
+        batch_rows = new
         if _archive_exists(spark, archive_dir):
             days = [r[0] for r in new.select(PART).distinct().collect()]
             day_filter = F.col(PART).isin(*[d for d in days if d is not None])
@@ -70,6 +77,7 @@ def _merge_batch(archive_dir: str, schema: T.StructType):
         # rebalance on the date: AQE coalesces small days and splits a hot one
         (new.drop("_h").hint("rebalance", PART)
          .write.mode("append").partitionBy(PART).parquet(archive_dir))
+        batch_rows.unpersist()
 
     return merge
 

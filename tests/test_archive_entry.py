@@ -37,6 +37,25 @@ def test_snapshot_with_missing_column(spark):
     assert merged.where(F.col("jahreszeit_nr").isNull()).count() == 1
 
 
+def test_every_csv_counts_and_plan_does_not_grow(spark):
+    """Single files, other names and many snapshots; one scan for each distinct header; bad cells become NULL."""
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    cur = _enriched(spark)
+    header = ",".join(cur.columns)
+    line = ",".join("" if c == "zeitstempel" else "x" if c == "lufttemperatur" else "" for c in cur.columns)
+    for i in range(100):
+        with open(f"{d}/erkennungen_2024-{i}.csv", "w") as f:
+            f.write(f"{header}\n" + line.replace("x", str(i)) + "\n")
+    with open(f"{d}/notes.csv", "w") as f:
+        f.write("deutscher_name,lufttemperatur,zeitstempel\nAmsel,warm,never\n")
+    merged = archive.merge_snapshots(spark, cur, d)
+    assert merged.count() == 1 + 100 + 1
+    odd = merged.where("deutscher_name = 'Amsel' and wissenschaftlicher_name is null").collect()
+    assert len(odd) == 1 and odd[0].lufttemperatur is None and odd[0].zeitstempel is None
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
     df = e.entry(spark)

@@ -16,7 +16,7 @@ def test_codes(spark):
     df = spark.createDataFrame(rows, "mess_datum timestamp_ntz, rs_ind_niederschlagsindikator double, "
                                      "v_n_bedeckungsgrad double")
     got = [(r.niederschlagsindikator, r.niederschlagsindikator_code, r.bedeckungsgrad, r.bedeckungsgrad_in_okta)
-           for r in weather.to_weather(df).orderBy("wetterzeit").collect()]
+           for r in weather.to_weather(df, optional=tuple(weather.WEATHER_RENAMES)).orderBy("wetterzeit").collect()]
     assert got == [(None, None, None, None), ("kein Niederschlag", 0, "wolkenlos", 0),
                    ("Niederschlag", 1, "sonnig", 1), (None, None, "bedeckt", 8),
                    (None, None, None, None), (None, None, None, None)]
@@ -47,3 +47,31 @@ def test_enrich_inner_join_and_season(spark):
     wx = spark.createDataFrame([(dt.datetime(2024, 3, 1, 10), 5.0)], "wetterzeit timestamp_ntz, lufttemperatur double")
     out = weather.enrich(det, wx).collect()
     assert len(out) == 1 and out[0].jahreszeit == "Frühling" and out[0].lufttemperatur == 5.0
+
+
+def test_service_files_as_delivered(spark, tmp_path):
+    """Product codes, padded cells and missing markers; an unknown layout raises."""
+    import pytest
+
+    from dawnchorus.sources.weather import load_weather, read_observation_file
+    one, two = tmp_path / "one.txt", tmp_path / "two.txt"
+    one.write_text("STATIONS_ID;MESS_DATUM;QN_9;TT_TU;RF_TU;eor\n"
+                   "        44;2024030110;    3;   5.5;  80.0;eor\n        44;2024030111;    3;  -999;  -999.0;eor\n"
+                   "        44;bad;    3;   x;   1.0;eor\n")
+    two.write_text("STATIONS_ID;MESS_DATUM;  F;  D;eor\n  7;2024030110; 3.1; 250;eor\n")
+    rows = load_weather(spark, [str(one), str(two)]).collect()
+    by = {(r.stations_id, r.mess_datum): r for r in rows}
+    assert by[44.0, dt.datetime(2024, 3, 1, 10)].tt_tu_lufttemperatur == 5.5
+    gone = by[44.0, dt.datetime(2024, 3, 1, 11)]
+    assert gone.tt_tu_lufttemperatur is None and gone.rf_tu_relative_feuchte is None
+    assert by[44.0, None].tt_tu_lufttemperatur is None and by[44.0, None].rf_tu_relative_feuchte == 1.0
+    assert by[7.0, dt.datetime(2024, 3, 1, 10)].f_windgeschwindigkeit == 3.1
+    other = tmp_path / "other.txt"
+    other.write_text("a;b\n1;2\n")
+    with pytest.raises(ValueError):
+        read_observation_file(spark, str(other))
+    with pytest.raises(ValueError):
+        weather.to_weather(load_weather(spark, [str(one)]))
+    absent = [c for c in weather.WEATHER_RENAMES if c not in rows[0].__fields__]
+    optional = ("rs_ind_niederschlagsindikator", "v_n_bedeckungsgrad", *absent)
+    assert weather.to_weather(load_weather(spark, [str(one)]), optional=(*optional, "f_windgeschwindigkeit")).count() == 3
