@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import materialize
+from dawnchorus.llm.common import map_batches, materialize
 from dawnchorus.llm.components import connected_components
 
 #: Independent product codes, and the filters of each that a vector belongs to on average and at least.
@@ -132,7 +132,7 @@ def filter_lists(vectors: DataFrame, size: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(ids[at], [len(f) for f in listed])), pa.array(filters)], names=["id", "filter"])
 
-    return vectors.select("id", "vector").mapInArrow(run, "id long, filter long")
+    return map_batches(vectors.select("id", "vector"), run, "id long, filter long")
 
 
 def _smallest_connected(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -205,7 +205,7 @@ def bucket_links(buckets: DataFrame, cosine: float) -> DataFrame:
         if held:
             yield solve(held)
 
-    return buckets.mapInArrow(run, "id long, links long, root long")
+    return map_batches(buckets, run, "id long, links long, root long")
 
 
 def near_duplicates(table: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id",

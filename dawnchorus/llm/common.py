@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dawnchorus.session import scratch_path
+from dawnchorus.session import ship_package, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -28,10 +28,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: what a lost executor had computed is read again from the
     shared files, and row ids given before stay as they are.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` whose workers have the package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -104,7 +107,7 @@ def score_rows(docs: DataFrame, text: str, fields: dict[str, str], make_scorer)
             columns = [pa.array(found[i], _ARROW[t]()) for i, t in enumerate(fields.values())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", *fields])
 
-    return packed.mapInArrow(run, schema)
+    return map_batches(packed, run, schema)
 
 
 def unpack(columns: list[str]) -> list[Column]:

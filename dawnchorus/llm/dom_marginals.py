@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.llm.common import map_batches
 from dawnchorus.llm.labelled_pages import labelled_pages
 
 #: A node's text: none of it is main text; some, in an element around the main text or
@@ -356,4 +357,4 @@ def extract_main_text(pages: DataFrame, labelled: list[str] | None = None, page_
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return given.mapInArrow(run, schema)
+    return map_batches(given, run, schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import hash60, materialize, score_rows, uniform, unpack
+from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, uniform, unpack
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, roles: DataFrame, text: str = "text", doc_id: str = "do
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])],
                                          names=["bucket", "raw", "target"])
 
-    rows = (given.mapInArrow(count, "bucket long, raw long, target long")
+    rows = (map_batches(given, count, "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect())
     raw, target = np.zeros(BUCKETS + 2), np.zeros(BUCKETS + 2)
     for row in rows:  # one row a bucket at most

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import hash60, materialize, score_rows, unpack
+from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(3, 8)
@@ -108,7 +108,7 @@ def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3)
     n_toxic, n_clean = size["k"] or 0, size["n"] - (size["k"] or 0)
     if not n_toxic or not n_clean:
         return {}
-    counts = (rows.select("body", "grade").mapInArrow(present, "term string, toxic boolean")
+    counts = (map_batches(rows.select("body", "grade"), present, "term string, toxic boolean")
               .groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= least_documents))
     p = F.col("t") / n_toxic - (F.col("n") - F.col("t")) / n_clean
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, grades: DataFrame, most_labelled: int = 15_000, most_fe
                  pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=["doc_id", "grade", "at", "x"])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grade int, at array<int>, x array<float>"
-    sample = rows.mapInArrow(features, schema).toArrow().sort_by("doc_id")
+    sample = map_batches(rows, features, schema).toArrow().sort_by("doc_id")
     sizes = np.array([len(a) for a in sample["at"].to_pylist()], np.int64)
     at = sample["at"].combine_chunks().flatten().to_numpy().astype(np.int64)
     x = sample["x"].combine_chunks().flatten().to_numpy().astype(np.float64)

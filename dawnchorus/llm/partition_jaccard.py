@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import ascii_lower, materialize
+from dawnchorus.llm.common import ascii_lower, map_batches, materialize
 from dawnchorus.llm.components import connected_components
 
 WORDS = 5
@@ -173,7 +173,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
             if keys:
                 yield _rows(keys, docs_, tags)
 
-    return docs.mapInArrow(run, "key long, doc long, tag long")
+    return map_batches(docs, run, "key long, doc long, tag long")
 
 
 def _rows(keys: list, docs: list, tags: list) -> pa.RecordBatch:
@@ -212,8 +212,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
             ids = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
             yield ids.filter(pa.array(keep, pa.bool_()))
 
-    return materialize(_with_text(pairs, docs).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"),
-                       "verified")
+    texts = _with_text(pairs, docs).select("a", "b", "text_a", "text_b")
+    return materialize(map_batches(texts, run, "a long, b long"), "verified")
 
 
 def _shared_buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

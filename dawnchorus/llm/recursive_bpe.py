@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.llm.common import map_batches
+
 WORDS = 20_000
 KNOWN = 300_000
 BLOCK_CHARS = 36_000_000
@@ -200,7 +202,7 @@ def _over_batches(docs: DataFrame, text: str, doc_id: str, vocabulary: str, patt
         for batch in batches:
             yield _with_column(batch, work(codec, batch.column("body").to_pylist()))
 
-    return given.mapInArrow(run, schema)
+    return map_batches(given, run, schema)
 
 
 def _id_lists(sizes: list[int], ids: list[str]) -> pa.Array:
