@@ -59,6 +59,20 @@ TERM_LABELS = {
     "windgeschwindigkeit_in_m_pro_s": "Windgeschwindigkeit",
 }
 
+# Column labels of the five report tables.  Where the printed table sets two columns of one
+# label under the headings of two groups, the heading stands before the label.
+TABLE_LABELS = {
+    "top_bottom_vogelarten": {
+        "rang": "Rang", "top10": "Top 10 Vogelarten", "top10_haeufigkeit": "Top 10 Erkennungen",
+        "bottom10": "Bottom 10 Vogelarten", "bottom10_haeufigkeit": "Bottom 10 Erkennungen"},
+    "vogelarten_haeufigkeiten": {
+        "rang": "Rang", "deutscher_name": "Deutscher Name",
+        "wissenschaftlicher_name": "Wissenschaftlicher Name", "absolut": "Absolut", "relativ": "Relativ"},
+    "woechentliche_veraenderungen": {"deutscher_name": "Vogelart"},
+    "neue_vogelarten": {"nummer": "Nr."},
+    "unterbrechungen": {"beginn": "Beginn", "ende": "Ende", "dauer_in_tage": "Dauer in tage"},
+}
+
 # Thresholds and defaults.
 MIN_OBSERVATIONS = 10          # detections a species needs to be counted
 MIN_PER_DAY = 250              # detections of a normal (complete) day

@@ -120,13 +120,13 @@ def complete_days(df: DataFrame, period: DataFrame, outage_df: DataFrame,
     return inside.join(edges, cond, "left_anti")
 
 
-def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = False) -> DataFrame:
     """I8: per numeric column its type, min, quartiles, mean, max and NULL count.
 
     One aggregate pass over all columns, then ``stack`` to long form.  Quartiles
-    follow R's default (linear interpolation): ``percentile`` (exact) or
-    ``percentile_approx`` (bounded memory, for very large inputs with many
-    distinct values).
+    are approximate by default (``percentile_approx``: bounded memory);
+    ``exact`` follows R (linear interpolation) and holds every distinct value
+    of a column in one task, for small inputs.
     """
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                T.DoubleType, T.DecimalType)
@@ -151,3 +151,24 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = True) ->
     return wide.selectExpr(
         f"stack({len(cols)}, {parts}) as "
         "(spalte, typ, minimum, q1, median, mittelwert, q3, maximum, anzahl_na)")
+
+
+def profile_levels(df: DataFrame, cols: list[str]) -> DataFrame:
+    """I8 for text columns: (spalte, wert, anzahl) for each level, NULL included, in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("spalte"), F.col(c).cast("string").alias("wert"))
+                                for c in cols]))
+    return df.select(cells.alias("z")).groupBy("z.spalte", "z.wert").agg(F.count(F.lit(1)).alias("anzahl"))
+
+
+def profile_times(df: DataFrame, cols: list[str], exact: bool = False) -> DataFrame:
+    """I8 for time columns: min, quartiles, mean, max (whole seconds) and NULL count in one pass."""
+    frames = []
+    for c in cols:
+        seconds = F.unix_seconds(F.col(c).cast("timestamp"))
+        at = lambda p, x=seconds: (F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, p, 10000))
+        stamp = lambda x: F.timestamp_seconds(F.floor(x)).cast("timestamp_ntz")
+        frames.append(F.struct(
+            F.lit(c).alias("spalte"), stamp(F.min(seconds)).alias("minimum"), stamp(at(0.25)).alias("q1"),
+            stamp(at(0.5)).alias("median"), stamp(F.avg(seconds)).alias("mittelwert"), stamp(at(0.75)).alias("q3"),
+            stamp(F.max(seconds)).alias("maximum"), F.count_if(F.col(c).isNull()).alias("anzahl_na")))
+    return df.agg(F.array(*frames).alias("z")).select(F.inline("z"))

@@ -65,20 +65,13 @@ def daily_species_grid(df: DataFrame, ts: str = "zeitstempel", species: str = SP
 
 
 def _reference_season(d):
-    """The reference chart's season test, kept for ``mode='reference'``.
-
-    Winter there means ``date >= Dec 1 of the previous year and date <= Feb 29
-    of this year``: December never qualifies, and in years without 29 February
-    the bound does not exist, so Jan/Feb get no season either (NULL).
+    """The reference chart's season, kept for ``mode='reference'``: the quarters
+    of the year from March on, and as winter only January and February of leap
+    years (its test asks for a 29 February and never admits December).
     """
-    y = F.year(d)
-    mk = lambda yy, m, dd: F.make_date(yy, F.lit(m), F.lit(dd))
-    feb29 = F.when(F.dayofmonth(F.last_day(F.make_date(y, F.lit(2), F.lit(1)))) == 29,
-                   F.make_date(y, F.lit(2), F.lit(29)))
-    return (F.when((d >= mk(y, 3, 1)) & (d <= mk(y, 5, 31)), F.lit(1))
-            .when((d >= mk(y, 6, 1)) & (d <= mk(y, 8, 31)), F.lit(2))
-            .when((d >= mk(y, 9, 1)) & (d <= mk(y, 11, 30)), F.lit(3))
-            .when((d >= mk(y - 1, 12, 1)) & (d <= feb29), F.lit(4)))
+    month = F.month(d)
+    leap = F.dayofyear(F.make_date(F.year(d), F.lit(12), F.lit(31))) == 366
+    return F.when(month.between(3, 11), F.floor(month / 3).cast("int")).when((month <= 2) & leap, F.lit(4))
 
 
 def season_spans(df: DataFrame, ts: str = "zeitstempel", by_year: bool = False,
@@ -140,7 +133,7 @@ def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES,
     ``k`` rows, so broadcasting it is size-safe.
     """
     counts = df.groupBy(species).agg(n_rows(weight).alias("absolut"))
-    total = df.select(n_rows(weight)).scalar()
+    total = counts.agg(F.sum("absolut")).scalar()
     top = _top_of(counts, species, "absolut", k)
     # inner join on the (unique) top names: unlike a semi join it is not pushed
     # below the aggregate, so the raw rows are scanned once

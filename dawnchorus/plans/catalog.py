@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.functions.labels import TABLE_LABELS
 from dawnchorus.operators import cleaning, grids, models, species, study, tables, weather
 from dawnchorus.plans import report
 from dawnchorus.session import scratch_path, written
@@ -132,7 +133,17 @@ def q_complete_days(spark, sf_dir):
 
 def q_weather_profile(spark, sf_dir):
     """I8"""
-    return rounded(cleaning.profile(_t(spark, sf_dir).weather()))
+    return rounded(cleaning.profile(_t(spark, sf_dir).weather(), exact=True))
+
+
+def q_weather_levels(spark, sf_dir):
+    """I8 for text columns: how often each label occurs"""
+    return cleaning.profile_levels(_t(spark, sf_dir).weather(), ["niederschlagsindikator", "bedeckungsgrad"])
+
+
+def q_weather_times(spark, sf_dir):
+    """I8 for time columns: extremes and quartiles"""
+    return cleaning.profile_times(_t(spark, sf_dir).weather(), ["wetterzeit"], exact=True)
 
 
 # --- weather ----------------------------------------------------------------
@@ -425,6 +436,14 @@ def q_caption(spark, sf_dir):
     return rounded(tables.caption(d, cleaning.observation_period(d, from_ts=EVENTS_FROM)))
 
 
+def q_caption_regression(spark, sf_dir):
+    """C10 with the R² of the weather regression"""
+    t = _t(spark, sf_dir)
+    d = t.by_type()
+    r2 = _weather_fit(spark, sf_dir, "count").r2
+    return rounded(tables.caption(d, cleaning.observation_period(d, from_ts=EVENTS_FROM), r_squared=r2))
+
+
 # --- report tables ----------------------------------------------------------
 
 def q_top_bottom(spark, sf_dir):
@@ -452,14 +471,32 @@ def q_outage_table(spark, sf_dir):
     return tables.outage_table(_t(spark, sf_dir).user_outages())
 
 
-FREQUENCY_LABELS = {"rang": "Rang", "deutscher_name": "Deutscher Name",
-                    "wissenschaftlicher_name": "Wissenschaftlicher Name",
-                    "absolut": "Absolut", "relativ": "Relativ"}
-
-
 def q_labelled_frequency(spark, sf_dir):
     """T6"""
-    return tables.labelled(tables.frequency_table(_t(spark, sf_dir).by_user()), FREQUENCY_LABELS)
+    return tables.labelled(tables.frequency_table(_t(spark, sf_dir).by_user()),
+                           TABLE_LABELS["vogelarten_haeufigkeiten"])
+
+
+def q_labelled_top_bottom(spark, sf_dir):
+    """T6 of T1"""
+    return tables.labelled(q_formatted_top_bottom(spark, sf_dir), TABLE_LABELS["top_bottom_vogelarten"])
+
+
+def q_labelled_weekly_change(spark, sf_dir):
+    """T6 of T3, numbers without decimals"""
+    wide = tables.weekly_change_wide(_t(spark, sf_dir).orders(), ORDERS_AS_OF, slots=LAST_WEEKS)
+    weeks = [c for c in wide.columns if c.startswith("KW ")]
+    return tables.labelled(tables.fmt_number(wide, weeks), TABLE_LABELS["woechentliche_veraenderungen"])
+
+
+def q_labelled_new_species(spark, sf_dir):
+    """T6 of T4"""
+    return tables.labelled(q_new_species_wide(spark, sf_dir), TABLE_LABELS["neue_vogelarten"])
+
+
+def q_labelled_outages(spark, sf_dir):
+    """T6 of T5"""
+    return tables.labelled(q_outage_table(spark, sf_dir), TABLE_LABELS["unterbrechungen"])
 
 
 def q_formatted_top_bottom(spark, sf_dir):
@@ -647,6 +684,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "new_species_wide": q_new_species_wide,
     "outage_table": q_outage_table,
     "labelled_frequency": q_labelled_frequency,
+    "labelled_top_bottom": q_labelled_top_bottom,
+    "labelled_weekly_change": q_labelled_weekly_change,
+    "labelled_new_species": q_labelled_new_species,
+    "labelled_outages": q_labelled_outages,
+    "caption_regression": q_caption_regression,
+    "weather_levels": q_weather_levels,
+    "weather_times": q_weather_times,
     "formatted_top_bottom": q_formatted_top_bottom,
     "report_sink": q_report_sink,
     "species_count_customers": q_species_count_customers,

@@ -746,6 +746,30 @@ def build() -> dict[str, str]:
         s[f"{name}_customers"] = s[name].replace(DU, DC)
     s["new_species_wide_customers"] = new_wide(53).replace(DU, DC)
 
+    s["labelled_top_bottom"] = f"""SELECT rang AS "Rang", top10 AS "Top 10 Vogelarten",
+        top10_haeufigkeit AS "Top 10 Erkennungen", bottom10 AS "Bottom 10 Vogelarten",
+        bottom10_haeufigkeit AS "Bottom 10 Erkennungen" FROM ({s['formatted_top_bottom']}) _l"""
+    german = ", ".join(f"""replace(format('{{:,}}', CAST(round("KW {w}") AS BIGINT)), ',', '.') AS "KW {w}\""""
+                       for _, w in LAST_WEEKS)
+    s["labelled_weekly_change"] = f"""SELECT deutscher_name AS "Vogelart", {german}
+        FROM ({s['weekly_change_wide']}) _l"""
+    s["labelled_new_species"] = f"""SELECT nummer AS "Nr.", * EXCLUDE (nummer) FROM ({s['new_species_wide']}) _l"""
+    s["labelled_outages"] = f"""SELECT station, beginn AS "Beginn", ende AS "Ende", dauer_in_tage AS "Dauer in tage"
+        FROM ({s['outage_table']}) _l"""
+    r2 = _ols_gauss_jordan("anzahl_erkennungen", FEATURES, wsrc, "feat", glance=True)
+    s["caption_regression"] = f"""SELECT c.*, replace(printf('%.2f', round(g.r_squared, 2)), '.', ',') AS r2_text
+        FROM ({s['caption']}) c, ({r2}) g"""
+    s["weather_levels"] = f"""WITH {OBS}, {COL}, {WX}
+        SELECT 'niederschlagsindikator' AS spalte, niederschlagsindikator AS wert, count(*) AS anzahl FROM wx GROUP BY 2
+        UNION ALL SELECT 'bedeckungsgrad', bedeckungsgrad, count(*) FROM wx GROUP BY 2"""
+    stamp = "epoch_ms(CAST(floor({0}) AS BIGINT) * 1000)"
+    seconds = "epoch(wetterzeit)"
+    s["weather_times"] = f"""WITH {OBS}, {COL}, {WX}
+        SELECT 'wetterzeit' AS spalte, {stamp.format(f'min({seconds})')} AS minimum,
+            {stamp.format(f'quantile_cont({seconds}, 0.25)')} AS q1, {stamp.format(f'quantile_cont({seconds}, 0.5)')} AS median,
+            {stamp.format(f'avg({seconds})')} AS mittelwert, {stamp.format(f'quantile_cont({seconds}, 0.75)')} AS q3,
+            {stamp.format(f'max({seconds})')} AS maximum, count(*) FILTER (wetterzeit IS NULL) AS anzahl_na FROM wx"""
+
     # the count-cube variants must give exactly the raw answers
     for cube_name, raw in (("cube_daily", "daily"), ("cube_top_species", "top_species"),
                            ("cube_new_species", "new_species"), ("cube_weekly_change", "weekly_change"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from dawnchorus.functions.labels import TABLE_LABELS
 from dawnchorus.operators import grids, models, species, tables
 
 
@@ -23,15 +24,18 @@ def chart_top_daily(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def report_tables(df: DataFrame, outage_df: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """The named tables of the report, in report order."""
-    return {
+    """The named tables of the report with readable column labels, in report order."""
+    changes = tables.weekly_change_wide(df, as_of)
+    plain = {
         "top_bottom_vogelarten": tables.fmt_number(tables.top_bottom(df),
                                                    ["top10_haeufigkeit", "bottom10_haeufigkeit"]),
         "vogelarten_haeufigkeiten": tables.frequency_table(df),
-        "woechentliche_veraenderungen": tables.weekly_change_wide(df, as_of),
+        "woechentliche_veraenderungen": tables.fmt_number(
+            changes, [c for c in changes.columns if c.startswith("KW ")]),
         "neue_vogelarten": tables.new_species_wide(df),
         "unterbrechungen": tables.outage_table(outage_df),
     }
+    return {name: tables.labelled(table, TABLE_LABELS[name]) for name, table in plain.items()}
 
 
 def report_charts(df: DataFrame, period: DataFrame, outage_df: DataFrame) -> dict[str, DataFrame]:
