@@ -94,8 +94,12 @@ def training_rows(docs: DataFrame, grades: DataFrame, most_labelled: int, text:
                        .select("doc_id", "body", "grade"), "grade-rows")
 
 
-def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3) -> dict[str, int]:
-    """Terms whose share of toxic documents differs most from that of clean ones, in standard errors."""
+def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3, least_errors: float = 4.0) -> dict[str, int]:
+    """Terms whose share of toxic documents differs most from that of clean ones.
+
+    Only differences of ``least_errors`` standard errors and more: with many thousand
+    terms some differ by chance, and in small samples they would carry the fit.
+    """
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +117,8 @@ def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3)
               .filter(F.col("n") >= least_documents))
     p = F.col("t") / n_toxic - (F.col("n") - F.col("t")) / n_clean
     share = (F.col("n") + 1) / (n_toxic + n_clean + 2)
-    score = F.abs(p) / F.sqrt(share * (1 - share))
-    top = counts.select("term", score.alias("score")).orderBy(F.desc("score"), "term").limit(most_features).collect()
+    score = F.abs(p) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    top = counts.select("term", score.alias("score")).filter(F.col("score") >= least_errors).orderBy(F.desc("score"), "term").limit(most_features).collect()
     return {r["term"]: i for i, r in enumerate(top)}
 
 

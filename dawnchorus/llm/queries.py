@@ -139,7 +139,7 @@ sa AS (SELECT s.*, greatest(an, 1) AS an, ak, 0 AS root FROM s, a),
 ds AS (SELECT * FROM d JOIN s USING (suffix)),
 hd AS (SELECT * FROM h JOIN (SELECT domain, dn, dk FROM d) USING (domain)),
 w AS (SELECT {weight('sa', 'sn', 'sk', 'root', 'an', 'ak')} AS ws, {weight('ds', 'dn', 'dk', 'suffix', 'sn', 'sk')} AS wd,
-      {weight('hd', 'n', 'k', 'domain', 'dn', 'dk')} AS wh, (SELECT (ak + 0.5) / (an + 1.0) FROM a) AS rate),
+      {weight('hd', 'n', 'k', 'domain', 'dn', 'dk')} AS wh, (SELECT (ak + 0.1) / (an + 1.0) FROM a) AS rate),
 u AS (SELECT domain, (dk + wd * (sk + ws * rate) / (sn + ws)) / (dn + wd) AS drate FROM ds, w),
 r AS (SELECT host, (k + wh * drate) / (n + wh) AS m, n + wh AS size FROM h JOIN u USING (domain), w),
 v AS (SELECT host, CASE WHEN m - {p.z} * sqrt(m * (1 - m) / (size + 1)) > {p.max_bad_rate} THEN 'block' ELSE 'allow'
@@ -200,9 +200,10 @@ l0 AS (SELECT rid, host, unnest(string_split(body, chr(10))) AS line FROM d),
 l AS (SELECT rid, host, line, {hash60_sql(f"host || chr(10) || {norm}")} AS key,
       length(regexp_replace(line, '{space}', '', 'g')) AS n
       FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-ld AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, min(key) AS family FROM l GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT family) AS hn FROM d LEFT JOIN ld USING (rid) GROUP BY host),
-freq AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT family) AS c FROM l JOIN ld USING (rid) GROUP BY 1, 2)
+ld AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, list_sort(list(DISTINCT key)) AS keys FROM l GROUP BY rid),
+hosts AS (SELECT host, count(DISTINCT keys[1]) AS hn FROM d LEFT JOIN ld USING (rid) GROUP BY host),
+freq AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT coalesce(CASE WHEN key = keys[1] THEN keys[2] ELSE keys[1] END, 0)) AS c
+         FROM l JOIN ld USING (rid) GROUP BY 1, 2)
          JOIN hosts USING (host) WHERE c > {p.max_documents} AND c > {p.max_share} * hn),
 gone AS (SELECT rid, sum(n) AS g FROM l JOIN freq USING (host, key) GROUP BY rid),
 f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(body, '{space}', '', 'g')) AS BIGINT) AS word_chars,

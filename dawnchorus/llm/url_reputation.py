@@ -10,7 +10,8 @@ without labelled pages stands on its domain's or suffix's prior.  Explicit
 rules override the verdict.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
-is never matched by a rule and is judged by the corpus prior.  Repeated rows are
+is never matched by a rule and is judged like any host.  Without labelled pages
+no host is blocked by the method.  Repeated rows are
 judged alike and all returned; an empty table gives an empty result; outcomes
 that are null count as unlabelled.  Other columns of the input are not read.
 """
@@ -123,7 +124,7 @@ def host_reputation(pages: DataFrame, params: Reputation | None = None) -> DataF
         "url-hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     n_all, k_all = total["n"] or 0, total["k"] or 0
-    rate = (k_all + 0.5) / (n_all + 1.0)
+    rate = (k_all + 0.1) / (n_all + 1.0)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("domain_n"), F.sum("k").alias("domain_k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("domain_n").alias("suffix_n"), F.sum("domain_k").alias("suffix_k"))
     w_suffix = _weight(suffixes.select(

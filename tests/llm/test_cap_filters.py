@@ -9,7 +9,8 @@ from tests.llm.helpers import SF
 def brute(rows, cosine=0.95):
     rows = [(i, v) for i, v in rows if i is not None and v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v)]
     rows = list(dict.fromkeys((i, tuple(v)) for i, v in rows))
-    x = [np.array(v, float) / np.linalg.norm(v) for _, v in rows]
+    x = [np.array(v, float) / np.abs(v).max() for _, v in rows]
+    x = [v / np.linalg.norm(v) for v in x]
     parent = {i: i for i, _ in rows}
 
     def find(a):

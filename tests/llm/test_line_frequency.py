@@ -34,7 +34,7 @@ def test_counts_against_brute_force(spark):
 
 
 def _text(rng, n):
-    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n))
 
 
 def test_frequent_lines_are_removed_per_host(spark):
