@@ -89,14 +89,15 @@ def uniform_sql(seed: str, *parts: str) -> str:
     return f"(({hash60_sql(key)} + 0.5) / {float(1 << 60)!r})"
 
 
-def score_rows(docs: DataFrame, text: str, fields: dict[str, str], make_scorer) -> DataFrame:
-    """Add to each row what a scorer says of its text; the row itself stays packed in the column ``row``.
+def score_rows(docs: DataFrame, text: str, fields: dict[str, str], make_scorer,
+               columns: list[str] | None = None) -> DataFrame:
+    """Add to each row what a scorer says of its text; the row (or only its ``columns``) stays packed in ``row``.
 
     ``make_scorer()`` is called once in each task and returns a function from a list of
     texts (null: "") to one list per field.  Rows pass through in Arrow batches, which
     Spark bounds by bytes.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     schema = T.StructType([packed.schema["row"], *[T.StructField(k, _SPARK[v]()) for k, v in fields.items()]])
 

@@ -117,7 +117,7 @@ def fit(docs: DataFrame, roles: DataFrame, text: str = "text", doc_id: str = "do
     return np.log(p_target / p_raw)
 
 
-def weigh(docs: DataFrame, log_ratio: np.ndarray, text: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, log_ratio: np.ndarray, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """row, n_grams and log_weight of every document."""
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio)
 
@@ -127,7 +127,7 @@ def weigh(docs: DataFrame, log_ratio: np.ndarray, text: str = "text") -> DataFra
             return [len(b) for b in found], [float(ratio.value[b].sum()) for b in found]
         return score
 
-    return score_rows(docs, text, {"n_grams": "long", "log_weight": "double"}, make)
+    return score_rows(docs, text, {"n_grams": "long", "log_weight": "double"}, make, columns)
 
 
 def _cut(sample: list, good_counts: float = 2.0) -> float:
@@ -175,8 +175,9 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = "resample",
-             most_labelled: int = 50_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Every row packed as ``row`` with n_grams, log_weight, key and kept.
+             most_labelled: int = 50_000, text: str = "text", doc_id: str = "doc_id",
+             columns: list[str] | None = None) -> DataFrame:
+    """Every row packed as ``row`` (all its columns, or those named) with n_grams, log_weight, key and kept.
 
     ``labels`` (doc_id, good).  Without ``k``, as many documents are drawn as have a log
     weight over the cut that best parts the labelled good from the labelled bad.
@@ -184,7 +185,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str
     roles = materialize(labelled_roles(labels, most_labelled), "resample-roles")
     ratio = fit(docs, roles, text, doc_id)
     key = F.col("log_weight") - F.log(-F.log(uniform(seed, F.col("row").getField(doc_id))))
-    scored = materialize(weigh(docs, ratio, text).withColumn("key", key), "resample-scores")
+    scored = materialize(weigh(docs, ratio, text, columns).withColumn("key", key), "resample-scores")
     if k is None:
         sample = (scored.select(F.col("row").getField(doc_id).alias("doc_id"), "log_weight")
                   .join(F.broadcast(roles.filter("role > 1")), "doc_id").select("log_weight", "role")

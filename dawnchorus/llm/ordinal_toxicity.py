@@ -94,7 +94,7 @@ def training_rows(docs: DataFrame, grades: DataFrame, most_labelled: int, text:
                        .select("doc_id", "body", "grade"), "grade-rows")
 
 
-def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3, least_errors: float = 4.0) -> dict[str, int]:
+def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3, least_errors: float = 3.0) -> dict[str, int]:
     """Terms whose share of toxic documents differs most from that of clean ones.
 
     Only differences of ``least_errors`` standard errors and more: with many thousand
@@ -212,8 +212,8 @@ def grade_by_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = 15_0
     return scored.select("doc_id", F.when(F.col("grade") == 0, 0).otherwise(level).alias("grade"))
 
 
-def score_severity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row packed as ``row`` with severity (expected grade) and toxic."""
+def score_severity(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """Every row packed as ``row`` (all its columns, or those named) with severity (expected grade) and toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -222,15 +222,15 @@ def score_severity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
             return [float(a.sum()) for a in above], [bool(a[0] >= shared.value.level) for a in above]
         return score
 
-    return score_rows(docs, text, {"severity": "double", "toxic": "boolean"}, make)
+    return score_rows(docs, text, {"severity": "double", "toxic": "boolean"}, make, columns)
 
 
 def judge_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 15_000, text: str = "text",
-                   doc_id: str = "doc_id") -> DataFrame:
+                   doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """``labels`` (doc_id, toxic 0/1) -> every row packed as ``row`` with severity and toxic."""
     grades = grade_by_terms(docs, labels, most_labelled, text=text, doc_id=doc_id)
     model = fit(docs, grades, most_labelled, text=text, doc_id=doc_id)
-    return score_severity(docs, model or Model({}, np.zeros(0), np.array([0.0]), 2.0), text)
+    return score_severity(docs, model or Model({}, np.zeros(0), np.array([0.0]), 2.0), text, columns)
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

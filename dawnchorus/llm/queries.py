@@ -58,14 +58,14 @@ def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge_toxicity(docs, toxic_labels(spark, sf_dir)).select(
+    docs = read_table(spark, sf_dir, "documents")
+    return judge_toxicity(docs, toxic_labels(spark, sf_dir), columns=["doc_id"]).select(
         "row.doc_id", "severity", "toxic", (~F.col("toxic")).alias("kept"))
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, good_labels(spark, sf_dir)).select("row.doc_id", "n_grams", "log_weight", "key", "kept")
+    docs = read_table(spark, sf_dir, "documents")
+    return resample(docs, good_labels(spark, sf_dir), columns=["doc_id"]).select("row.doc_id", "n_grams", "log_weight", "key", "kept")
 
 
 def bpe_vocabulary() -> tuple[str, str]:
