@@ -35,8 +35,9 @@ from pyspark.sql import types as T
 from dawnchorus.llm.common import map_batches
 
 WORDS = 20_000
-KNOWN = 300_000
-BLOCK_CHARS = 36_000_000
+KNOWN = 200_000
+BLOCK_CHARS = 28_000_000
+ROWS = 500
 LONG = 96
 
 #: Unicode white space, as a character-class body.
@@ -89,7 +90,7 @@ class Codec:
             ranks[token[:i]] * 65536 + ranks[token[i:]]: rank
             for token, rank in ranks.items() for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self._table("merges", pair=pa.array(self.merges.keys(), pa.int64()), rank=pa.array(self.merges.values(), pa.int64()))
         self._table("vocabulary", token=pa.array(ranks.values(), pa.int64()), hex=pa.array([t.hex() for t in ranks]))
         self.known: dict[str, tuple[str, int, bytes]] = {}
@@ -170,12 +171,12 @@ class Codec:
                 ids, sizes, decoded = zip(*[found[p] for p in ps], strict=True)
                 self.known[u] = ",".join(ids), sum(sizes), b"".join(decoded)
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], tuple[bytes, ...]]]:
+    def texts(self, texts: list[str], block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], tuple[bytes, ...]]]:
         """For each text, of its units: the ids as text, how many they are, the decoded bytes."""
         start = 0
         while start < len(texts):
             stop, size = start, 0
-            while stop < len(texts) and size <= BLOCK_CHARS:
+            while stop < len(texts) and size <= block_chars:
                 size += len(texts[stop])
                 stop += 1
             units = [UNIT.findall(t) for t in texts[start:stop]]
@@ -187,12 +188,9 @@ class Codec:
             start = stop
 
 
-def _with_column(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.values()], names=["doc_id", *columns])
-
-
 def _over_batches(docs: DataFrame, text: str, doc_id: str, vocabulary: str, pattern: str,
                   columns: dict[str, T.DataType], work) -> DataFrame:
+    """``work(codec, values)`` yields the columns of consecutive rows, some hundreds at a time."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
     schema = T.StructType([given.schema["doc_id"], *[T.StructField(k, t) for k, t in columns.items()]])
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))  # as large as the vocabulary file
@@ -200,14 +198,19 @@ def _over_batches(docs: DataFrame, text: str, doc_id: str, vocabulary: str, patt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
         for batch in batches:
-            yield _with_column(batch, work(codec, batch.column("body").to_pylist()))
+            start = 0
+            for found in work(codec, batch.column("body").to_pylist()):
+                rows = len(found[0])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, rows), *found],
+                                                 names=["doc_id", *columns])
+                start += rows
 
     return map_batches(given, run, schema)
 
 
-def _id_lists(sizes: list[int], ids: list[str]) -> pa.Array:
+def _id_lists(ids: list[str], sizes: list[int]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = np.fromstring(",".join(filter(None, ids)), np.int32, sep=",")
+    flat = np.array(",".join(filter(None, ids)).split(",") if sum(sizes) else [], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -215,13 +218,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
                      doc_id: str = "doc_id") -> DataFrame:
     """doc_id, ids (array of int) of each row's whole text, and whether they decode to the text's bytes."""
 
-    def work(codec: Codec, texts: list) -> dict[str, pa.Array]:
-        bodies, sizes, ids, same = [t or "" for t in texts], [], [], []
-        for body, (texts_of, sizes_of, decoded) in zip(bodies, codec.texts(bodies), strict=True):
-            ids.append(",".join(texts_of))
-            sizes.append(sum(sizes_of))
-            same.append(b"".join(decoded) == body.encode())
-        return {"ids": _id_lists(sizes, ids), "round_trip": pa.array(same, pa.bool_())}
+    def work(codec: Codec, texts: list) -> Iterator[list[pa.Array]]:
+        bodies = [t or "" for t in texts]
+        coded = codec.texts(bodies, BLOCK_CHARS // 4)  # the lists of ids need room, too
+        for start in range(0, len(bodies), ROWS):
+            ids, sizes, same = [], [], []
+            for body, (texts_of, sizes_of, decoded) in zip(bodies[start:start + ROWS], coded, strict=False):
+                ids.append(",".join(texts_of))
+                sizes.append(sum(sizes_of))
+                same.append(b"".join(decoded) == body.encode())
+            yield [_id_lists(ids, sizes), pa.array(same, pa.bool_())]
 
     columns = {"ids": T.ArrayType(T.IntegerType()), "round_trip": T.BooleanType()}
     return _over_batches(docs, text, doc_id, vocabulary, pattern, columns, work)
@@ -231,8 +237,9 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str
                      doc_id: str = "doc_id") -> DataFrame:
     """doc_id and bytes (binary) of each row's ids; null ids give no bytes."""
 
-    def work(codec: Codec, rows: list) -> dict[str, pa.Array]:
-        return {"bytes": pa.array(codec.decode_words([r or [] for r in rows]), pa.binary())}
+    def work(codec: Codec, rows: list) -> Iterator[list[pa.Array]]:
+        for start in range(0, len(rows), ROWS):
+            yield [pa.array(codec.decode_words([r or [] for r in rows[start:start + ROWS]]), pa.binary())]
 
     return _over_batches(encoded, ids, doc_id, vocabulary, pattern, {"bytes": T.BinaryType()}, work)
 
@@ -241,14 +248,13 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str
                        doc_id: str = "doc_id") -> DataFrame:
     """Encode, decode, and return per row doc_id, n_tokens and the SHA-256 of ids and decoded bytes."""
 
-    def work(codec: Codec, texts: list) -> dict[str, pa.Array]:
+    def work(codec: Codec, texts: list) -> Iterator[list[pa.Array]]:
         sizes, ids, decoded = [], [], []
         for texts_of, sizes_of, bytes_of in codec.texts([t or "" for t in texts]):
             sizes.append(sum(sizes_of))
             ids.append(hashlib.sha256(",".join(texts_of).encode()).hexdigest())
             decoded.append(hashlib.sha256(b"".join(bytes_of)).hexdigest())
-        return {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
-                "decoded_sha256": pa.array(decoded, pa.string())}
+        yield [pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
 
     columns = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     return _over_batches(docs, text, doc_id, vocabulary, pattern, columns, work)
