@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dawnchorus.functions.calendar import date_seq, hour24, pick, season_ordinal
 from dawnchorus.functions.labels import SEASONS
 from dawnchorus.operators.counting import n_rows
-from dawnchorus.operators.species import SPECIES, daily, distinct_species
+from dawnchorus.operators.species import SCIENTIFIC, SPECIES, daily, distinct_species
 
 
 def _day(ts: str = "zeitstempel"):
@@ -118,23 +118,31 @@ def outage_labels(outage_df: DataFrame, period: DataFrame) -> DataFrame:
                     .alias("label")))
 
 
-def _top_of(counts: DataFrame, species: str, n_col: str, k: int) -> DataFrame:
-    """Top-``k`` species of an aggregated count frame (ties by name); at most k rows."""
-    per = counts.groupBy(species).agg(F.sum(n_col).alias("_n"))
-    return per.orderBy(F.desc("_n"), F.asc_nulls_last(species)).limit(k).select(species)
+def _pair(df: DataFrame, species: str) -> list[str]:
+    """The keys of the top list: the name and, where there is one, the scientific name."""
+    return [species, *([SCIENTIFIC] if SCIENTIFIC in df.columns else [])]
+
+
+def _top_of(counts: DataFrame, keys: list[str], n_col: str, k: int) -> DataFrame:
+    """The names among the top-``k`` key pairs of an aggregated count frame (ties by name): at most k rows."""
+    per = counts.groupBy(*keys).agg(F.sum(n_col).alias("_n"))
+    return per.orderBy(F.desc("_n"), *[F.asc_nulls_last(c) for c in keys]).limit(k).select(keys[0]).distinct()
 
 
 def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES,
                weight: str | None = None) -> DataFrame:
-    """Share (%) of all detections for each of the top-``k`` species.
+    """Share (%) of all detections for each name in the top-``k`` list (R3:
+    ranked by name and scientific name).
 
     One scan: counts per species, the top-k list and the total all derive from
     the same aggregate (its shuffle is reused).  The top-k list has at most
     ``k`` rows, so broadcasting it is size-safe.
     """
-    counts = df.groupBy(species).agg(n_rows(weight).alias("absolut"))
-    total = counts.agg(F.sum("absolut")).scalar()
-    top = _top_of(counts, species, "absolut", k)
+    keys = _pair(df, species)
+    pairs = df.groupBy(*keys).agg(n_rows(weight).alias("_pairs"))
+    total = pairs.agg(F.sum("_pairs")).scalar()
+    counts = pairs.groupBy(species).agg(F.sum("_pairs").alias("absolut"))
+    top = _top_of(pairs, keys, "_pairs", k)
     # inner join on the (unique) top names: unlike a semi join it is not pushed
     # below the aggregate, so the raw rows are scanned once
     return (counts.join(F.broadcast(top), species, "inner")
@@ -143,18 +151,20 @@ def top_shares(df: DataFrame, k: int = 10, species: str = SPECIES,
 
 def top_daily(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str = SPECIES,
               weight: str | None = None) -> DataFrame:
-    """Daily detections of each top-``k`` species.
+    """Daily detections of each name in the top-``k`` list.
 
-    Counts per (species, day) are aggregated once (map-side partial counts);
-    the top-k list is derived from them and applied as a broadcast join on the
-    aggregate, so the raw rows are read once.
+    Counts per (species, scientific name, day) are aggregated once (map-side
+    partial counts); the top-k list is derived from them and applied as a
+    broadcast join on the aggregate, so the raw rows are read once.
     """
     # NULL species never match the semi join; filtering them up front keeps
-    # both uses of ``per_day`` identical, so its shuffle is reused.
-    per_day = (df.where(F.col(species).isNotNull())
-               .groupBy(species, _day(ts).alias("datum"))
-               .agg(n_rows(weight).alias("anzahl")))
-    top = _top_of(per_day, species, "anzahl", k)
+    # both uses of the counts identical, so their shuffle is reused.
+    keys = _pair(df, species)
+    pairs = (df.where(F.col(species).isNotNull())
+             .groupBy(*keys, _day(ts).alias("datum"))
+             .agg(n_rows(weight).alias("_pairs")))
+    per_day = pairs.groupBy(species, "datum").agg(F.sum("_pairs").alias("anzahl"))
+    top = _top_of(pairs, keys, "_pairs", k)
     # inner join on the (unique) top names: unlike a semi join it is not pushed
     # below the aggregate, so the raw rows are scanned once
     return per_day.join(F.broadcast(top), species, "inner")

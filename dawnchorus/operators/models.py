@@ -19,7 +19,7 @@ from dawnchorus.functions.calendar import hour24
 from dawnchorus.functions.labels import CI_Z, SIGNIFICANCE, TERM_LABELS
 from dawnchorus.functions.stats import f_sf, t_sf2, weighted_kendall_tau_b
 from dawnchorus.operators.counting import n_rows
-from dawnchorus.operators.species import SPECIES, top_species
+from dawnchorus.operators.species import SCIENTIFIC, SPECIES, top_species
 from dawnchorus.session import ship_package, written
 
 FEATURES = list(TERM_LABELS)
@@ -27,9 +27,12 @@ FEATURES = list(TERM_LABELS)
 
 def top_names(df: DataFrame, k: int = 10, species: str = SPECIES,
               weight: str | None = None) -> list[str]:
-    """The top-``k`` species names in frequency order (at most ``k`` values to
-    the driver — needed as pivot values)."""
-    return [r[0] for r in top_species(df, k, species, None, weight).select(species).collect()]
+    """The names in the top-``k`` list (R3: ranked by name and scientific name) in
+    its order, each once (at most ``k`` values to the driver — needed as pivot
+    values)."""
+    scientific = SCIENTIFIC if SCIENTIFIC in df.columns else None
+    rows = top_species(df, k, species, scientific, weight).select(species, "absolute_haeufigkeit").collect()
+    return list(dict.fromkeys(r[0] for r in sorted(rows, key=lambda r: -r["absolute_haeufigkeit"])))
 
 
 def hour_counts(df: DataFrame, names: list[str], ts: str = "zeitstempel",

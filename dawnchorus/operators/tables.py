@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dawnchorus.functions.formatting import de_date, de_number
 from dawnchorus.functions.labels import MIN_OBSERVATIONS
 from dawnchorus.operators.species import (
-    SPECIES, bottom_species, new_species, species_frequency, top_species, weekly_change,
+    SCIENTIFIC, SPECIES, bottom_species, new_species, species_frequency, top_species, weekly_change,
 )
 from dawnchorus.session import written
 
@@ -77,7 +77,7 @@ def weekly_change_wide(df: DataFrame, as_of: str, k: int = 10, n_weeks: int = 4,
     ch = written(weekly_change(df, as_of, ts, species), "weekly-change")
     slots = sorted(slots) if slots is not None else _week_slots(ch, n_weeks)
     keys = [y * 100 + w for y, w in slots]
-    top = top_species(df, k, species, None).select(species)
+    top = top_species(df, k, species, SCIENTIFIC if SCIENTIFIC in df.columns else None).select(species).distinct()
     wide = (ch.join(F.broadcast(top), species, "left_semi")
             .withColumn("_slot", F.col("jahr") * 100 + F.col("kalenderwoche"))
             .where(F.col("_slot").isin(*keys))

@@ -40,11 +40,13 @@ def import_detections(detections: DataFrame, weather_observations: DataFrame,
     return ImportResult(complete, out, period, chosen, weather, enrich(complete, weather))
 
 
-def weather_from_stations(spark: SparkSession, chosen: DataFrame, base_dir: str) -> DataFrame:
+def weather_from_stations(spark: SparkSession, chosen: DataFrame, base_dir: str,
+                          optional: tuple[str, ...] = ()) -> DataFrame:
     """Read the staged observation file of every chosen station (W3 → W4–W6).
 
     The chosen list has one row per weather variable (≤ 7), so collecting the
-    links is bounded.
+    links is bounded.  Measurements that no chosen station makes are named in
+    ``optional`` and become NULL; any other that is missing raises.
     """
     links = [f"{base_dir.rstrip('/')}/{r.link}" for r in chosen.select("link").collect()]
-    return weather_table(load_weather(spark, links))
+    return weather_table(load_weather(spark, links), optional=optional)

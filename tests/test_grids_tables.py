@@ -108,3 +108,15 @@ def test_weekly_change_wide_year_collision(spark):
     wide = tables.weekly_change_wide(_df(spark, rows), "2024-01-17", n_weeks=4)  # ISO week 3
     # weeks 1 and 2 of both years; the first week overall has no previous week
     assert wide.columns[1:] == ["KW 2/2023", "KW 1/2024", "KW 2/2024"]
+
+
+def test_top_list_ranks_pairs_of_names(spark):
+    """A name with two scientific names enters by each pair's own count, as in the top list."""
+    rows = [("A", "a1")] * 3 + [("A", "a2")] * 3 + [("B", "b")] * 5 + [("C", "c")] * 4
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 1, 10), *r) for r in rows],
+                               "zeitstempel timestamp_ntz, deutscher_name string, wissenschaftlicher_name string")
+    assert {r.deutscher_name for r in grids.top_shares(df, 2).collect()} == {"B", "C"}
+    assert {r.deutscher_name: r.absolut for r in grids.top_shares(df, 3).collect()} == {"A": 6, "B": 5, "C": 4}
+    assert {(r.deutscher_name, r.anzahl) for r in grids.top_daily(df, 2).collect()} == {("B", 5), ("C", 4)}
+    from dawnchorus.operators.models import top_names
+    assert top_names(df, 2) == ["B", "C"] and top_names(df, 4) == ["B", "C", "A"]

@@ -1,13 +1,15 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from dawnchorus.plans import report
 from dawnchorus.plans.catalog import Tables
 from dawnchorus.plans.ingest import import_detections, weather_from_stations
 from dawnchorus.plans.study import event_study
-from dawnchorus.sources.weather import write_observation_file
+from dawnchorus.sources.weather import PRODUCT_NAMES, write_observation_file
 from tests.conftest import SF
 
 
@@ -29,14 +31,17 @@ def test_weather_from_chosen_stations(spark):
     t = Tables(spark, SF)
     base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     obs = t.observations()
-    files = {"a.csv": (1, {"tt_tu_lufttemperatur": "TT_TU.Lufttemperatur"}),
-             "b.csv": (3, {"v_n_bedeckungsgrad": "V_N.Bedeckungsgrad"})}
+    files = {"a.csv": (1, {"tt_tu_lufttemperatur": "TT_TU"}),
+             "b.csv": (3, {"v_n_bedeckungsgrad": "V_N"})}
     for name, (station, cols) in files.items():
         write_observation_file(obs.where(F.col("stations_id") == station).select(
             F.col("stations_id").alias("STATIONS_ID"), F.col("mess_datum").alias("MESS_DATUM"),
             *[F.col(a).alias(b) for a, b in cols.items()]), os.path.join(base, name))
     chosen = spark.createDataFrame([(1, "a.csv"), (3, "b.csv")], "station long, link string")
-    wx = weather_from_stations(spark, chosen, base)
+    with pytest.raises(ValueError):
+        weather_from_stations(spark, chosen, base)
+    absent = tuple(c for c in PRODUCT_NAMES.values() if c not in ("tt_tu_lufttemperatur", "v_n_bedeckungsgrad"))
+    wx = weather_from_stations(spark, chosen, base, absent)
     assert wx.count() == obs.select("mess_datum").distinct().count()
     assert wx.where(F.col("lufttemperatur").isNull()).count() == 0
     assert wx.where(F.col("luftdruck").isNotNull()).count() == 0     # no file for it -> NULL
