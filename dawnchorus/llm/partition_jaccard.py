@@ -5,7 +5,7 @@ Two sets of sizes r <= s with a Jaccard similarity of at least 0.8 differ in at
 them than a pair may differ in elements; so the sets of a pair agree entirely on some
 segments (pigeonhole).  Documents are joined on the hashes of their segments:
 
-* *Size bands.*  Sets of a band (sizes within a factor of 1.5) share one number of
+* *Size bands.*  Sets of a band (sizes within a factor of 1.35) share one number of
   segments; a set small enough for a partner in the band below also enters there.
 * *One-deletion neighbourhoods.*  For some segments (all, in small sets) a set also
   enters its segment with each one element left out, which finds partners that differ
@@ -17,7 +17,8 @@ segments (pigeonhole).  Documents are joined on the hashes of their segments:
 
 Copies of a text are merged before, and within a bucket of the join the members are
 first compared with one representative only; all other pairs of a bucket are compared
-only where their components still differ.  So a group of n near copies costs about n
+only where their components still differ, and for this the costs are counted anew:
+members of one component cost each other nothing.  So a group of n near copies costs about n
 comparisons, no link between components is lost, and no bucket's pairs are written out.
 
 Defined results: a null, empty or blank text has no shingles, and is linked with
@@ -40,7 +41,7 @@ from dawnchorus.llm.common import ascii_lower, map_batches, materialize
 from dawnchorus.llm.components import connected_components
 
 WORDS = 5
-BAND_RATIO = 1.5
+BAND_RATIO = 1.35
 #: Ids of documents to compare that are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -104,7 +105,7 @@ class Band:
     @property
     def segments(self) -> int:
         need = self.differ + 1
-        return need if self.most <= 24 else need + need // 5
+        return need if self.most <= 24 else need + need // 4
 
     @property
     def deletions(self) -> int:
@@ -225,23 +226,22 @@ def _shared_buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, kept.filter("tag < 0")
 
 
-def _allocate(buckets: DataFrame) -> DataFrame:
-    """Bucket rows with own (is it the set's own band) and probes.
-
-    Each set passes over its costliest segments as far as there are some to spare; it
-    probes with the others.
-    """
-    facts = buckets.repartition("doc").select(
-        "key", "doc", "cost", _fact(0, _SPARE_BITS).alias("spare"), _fact(_SPARE_BITS, 1).alias("below"),
+def _facts(buckets: DataFrame) -> DataFrame:
+    """Bucket rows with the fields of their tag."""
+    return buckets.select(
+        "key", "doc", "cost", _fact(0, _SPARE_BITS).alias("spare"), (_fact(_SPARE_BITS, 1) == 0).alias("own"),
         (1 + _fact(_SPARE_BITS + 1, 1)).alias("weight"), _fact(_SPARE_BITS + 2, 0).alias("segment"))
-    one = Window.partitionBy("doc", "below", "segment")
-    ordered = Window.partitionBy("doc", "below").orderBy(F.desc("segment_cost"), "segment", "key")
-    facts = facts.withColumn("segment_cost", F.sum("cost").over(one))
-    facts = facts.withColumn("first", F.row_number().over(one.orderBy("key")) == 1)
-    facts = facts.withColumn("used", F.sum(F.when(F.col("first"), F.col("weight")).otherwise(0)).over(
-        ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return facts.select("key", "doc", "segment", "weight", "spare", (F.col("below") == 0).alias("own"),
-                        (F.col("used") > F.col("spare")).alias("probes"))
+
+
+def _allocate(rows: DataFrame) -> DataFrame:
+    """Add whether a set probes with the row: it passes over its costliest segments, as far as there are some to spare."""
+    one = Window.partitionBy("doc", "own", "segment")
+    ordered = Window.partitionBy("doc", "own").orderBy(F.desc("segment_cost"), "segment", "key")
+    rows = rows.repartition("doc").withColumn("segment_cost", F.sum("cost").over(one))
+    rows = rows.withColumn("first", F.row_number().over(one.orderBy("key")) == 1)
+    used = F.sum(F.when(F.col("first"), F.col("weight")).otherwise(0)).over(
+        ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("probes", used > F.col("spare")).drop("segment_cost", "first", "cost")
 
 
 def _sharing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -262,26 +262,27 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
     sizes, buckets = _shared_buckets(docs)
-    rows = materialize(_allocate(buckets), "bucket-rows")
+    rows = materialize(_allocate(_facts(buckets)), "bucket-rows")
     # First round: the members of a bucket against its smallest probing document.
     first = F.min(F.when(F.col("probes"), F.col("doc"))).over(Window.partitionBy("key"))
-    starred = materialize(rows.select("key", "doc", "own", "probes").withColumn("rep", first)
-                          .filter("rep is not null and (own or probes)"), "starred")
-    stars = materialize(_sized(starred.filter("doc <> rep").select(
-        F.greatest("doc", "rep").alias("a"), F.least("doc", "rep").alias("b")).distinct(), sizes), "stars")
+    stars = (rows.select("key", "doc", "own", "probes").withColumn("rep", first)
+             .filter("doc <> rep and (own or probes)")
+             .select(F.greatest("doc", "rep").alias("a"), F.least("doc", "rep").alias("b")).distinct())
+    stars = materialize(_sized(stars, sizes), "stars")
     links = verified(_sharing(stars, rows), docs, percent)
-    # Second round: buckets in which some member has another component than the representative.
+    # Second round, between components: what lies in the same component costs nothing now, so
+    # every set passes over the segments that most documents of other components share.
     label = connected_components(links)
-    named = lambda c, name: label.select(F.col("id").alias(c), F.col("component").alias(name))
-    apart = (starred.filter("doc <> rep").select("doc", "rep").distinct()
-             .join(named("doc", "doc_label"), "doc", "left").join(named("rep", "rep_label"), "rep", "left")
-             .filter(F.coalesce("doc_label", "doc") != F.coalesce("rep_label", "rep")).select("doc", "rep"))
-    open_keys = starred.join(apart, ["doc", "rep"], "left_semi").select("key").distinct()
-    open_rows = materialize(starred.join(open_keys, "key", "left_semi").join(named("doc", "label"), "doc", "left")
-                            .select("key", "doc", "probes", F.coalesce("label", "doc").alias("label")), "open-buckets")
-    left, right = open_rows.filter("probes").alias("l"), open_rows.alias("r")
+    side = F.broadcast(label) if label.count() <= MOST_BROADCAST else label
+    labelled = (rows.drop("probes").join(side.withColumnRenamed("id", "doc"), "doc", "left")
+                .withColumn("label", F.coalesce("component", "doc")).drop("component"))
+    everyone, same = Window.partitionBy("key"), Window.partitionBy("key", "label")
+    mixed = labelled.repartition("key").withColumn(
+        "cost", F.count(F.lit(1)).over(everyone) - F.count(F.lit(1)).over(same)).filter("cost > 0")
+    open_rows = materialize(_allocate(mixed).select("key", "doc", "own", "label", "probes"), "open-buckets")
+    left, right = open_rows.filter("probes").alias("l"), open_rows.filter("own or probes").alias("r")
     more = (left.join(right, F.col("l.key") == F.col("r.key"))
-            .filter("l.label <> r.label")
+            .filter("l.label <> r.label and (l.own or r.own)")
             .select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct())
     more = materialize(_sized(more.join(stars, ["a", "b"], "left_anti"), sizes), "more-pairs")
     return sizes, links.unionByName(verified(_sharing(more, rows), docs, percent))
