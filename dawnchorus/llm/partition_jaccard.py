@@ -42,6 +42,8 @@ from dawnchorus.llm.components import connected_components
 
 WORDS = 5
 BAND_RATIO = 1.35
+#: Sets up to this size take one-deletion neighbourhoods of all segments: few rows, and half may be passed over.
+ALL_DELETIONS = 128
 #: Ids of documents to compare that are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -105,11 +107,11 @@ class Band:
     @property
     def segments(self) -> int:
         need = self.differ + 1
-        return need if self.most <= 24 else need + need // 4
+        return need if self.most <= ALL_DELETIONS else need + need // 3
 
     @property
     def deletions(self) -> int:
-        return 0 if self.differ == 0 else self.segments if self.most <= 24 else 1 + self.segments // 64
+        return 0 if self.differ == 0 else self.segments if self.most <= ALL_DELETIONS else 1 + self.segments // 64
 
     @property
     def spare(self) -> int:
