@@ -5,9 +5,9 @@ hashed.  For each host and line the distinct documents are
 counted; a line that stands in more than ``max_documents`` of them and in more
 than ``max_share`` of the host's documents is removed, and a document that keeps
 less than ``least_left`` of its word characters is rejected as depleted.  Copies of one
-text must not make its own lines look like boilerplate, so the documents of a line are
-told apart by the smallest hash of their other lines: copies and most near copies count
-once, and so do all documents that consist of the line alone.
+text must not make its own lines look like boilerplate, so documents are told apart by
+a hash of their whole list of normalised lines: copies count once, near copies count
+each, and documents without a line do not count.
 
 Beside it stand rules on the document alone: too few words, or too many words in
 repeated 8-word windows.
@@ -110,18 +110,16 @@ def document_facts(docs: DataFrame, text: str = "text", host: str = "source", do
         "rid", "doc_id", "host", "n_words",
         F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("word_chars"),
         "n_symbols", "n_dup_lines", repeated_words(F.col("windows")).alias("n_repeat_words"),
-        F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["key"]))), 1, 2).alias("smallest"), "lines")
+        F.when(F.size("lines") > 0, F.xxhash64(F.transform("lines", lambda x: x["key"]))).alias("document"), "lines")
 
 
 def frequent_lines(facts: DataFrame, limits: Limits) -> DataFrame:
     """Keys of lines above the limits, and in how many distinct documents of their host they stand."""
-    lines = facts.select("host", F.explode("lines").alias("line"), F.get("smallest", F.lit(0)).alias("first"),
-                         F.get("smallest", F.lit(1)).alias("second"))
-    other = F.coalesce(F.when(F.col("line.key") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(0))
+    lines = facts.select("host", "document", F.explode("lines").alias("line"))
     counts = (lines.groupBy(F.col("line.key").alias("key")).agg(
-        F.count_distinct(other).alias("n_documents"), F.first("host").alias("host"))
+        F.count_distinct("document").alias("n_documents"), F.first("host").alias("host"))
         .filter(F.col("n_documents") > limits.max_documents))
-    hosts = facts.groupBy("host").agg(F.count_distinct(F.get("smallest", F.lit(0))).alias("host_documents"))
+    hosts = facts.groupBy("host").agg(F.count_distinct("document").alias("host_documents"))
     return (counts.join(hosts, "host")
             .filter(F.col("n_documents") > limits.max_share * F.col("host_documents"))
             .select("key", "n_documents"))
@@ -141,6 +139,6 @@ def apply_quality_rules(docs: DataFrame, limits: Limits | None = None, text: str
             | (100 * F.col("n_repeat_words") > limits.most_repeated_percent * F.col("n_words")))
     gone = F.coalesce(F.col("removed_chars"), F.lit(0).cast("long"))
     depleted = (gone > 0) & ((F.col("word_chars") - gone) < limits.least_left * F.col("word_chars"))
-    return (facts.drop("lines", "smallest").join(removed, "rid", "left")
+    return (facts.drop("lines", "document").join(removed, "rid", "left")
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     base.alias("base_failed"), (~base & ~depleted).alias("kept"), gone.alias("removed_chars")))

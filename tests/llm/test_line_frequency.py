@@ -56,5 +56,20 @@ def test_frequent_lines_are_removed_per_host(spark):
     assert loose.filter("kept").count() == len(rows)
 
 
+def test_documents_of_several_shared_lines(spark):
+    rng = random.Random(7)
+    shared = [_text(rng, 3) for _ in range(20)]
+    rows = [(i, "\n".join([*shared, _text(rng, 2)]), "hot") for i in range(200)]  # depleted
+    rows += [(500 + i, "\n".join([*shared, _text(rng, 200)]), "hot") for i in range(20)]  # keep enough of their own
+    rows += [(1000 + i, _text(rng, 30), "hot") for i in range(300)]
+    copy = "\n".join(_text(rng, 20) for _ in range(3))
+    rows += [(2000 + i, copy, "hot") for i in range(100)]  # copies count once
+    got = apply_quality_rules(docs(spark, rows)).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(200))
+    # every shared line stands in 220 documents, so all 20 of them go
+    chars = sum(len(x.replace(" ", "")) for x in shared)
+    assert all(r.removed_chars == (chars if r.doc_id < 1000 else 0) for r in got)
+
+
 def test_empty_table(spark):
     assert apply_quality_rules(docs(spark, [])).collect() == []
