@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dawnchorus.functions.labels import MIN_PER_DAY, PERIOD_FROM
-from dawnchorus.operators.ranking import global_row_number
+from dawnchorus.operators.ranking import exact_quartiles, global_row_number
 
 
 def freq_rank(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
@@ -125,8 +125,8 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = False) -
 
     One aggregate pass over all columns, then ``stack`` to long form.  Quartiles
     are approximate by default (``percentile_approx``: bounded memory);
-    ``exact`` follows R (linear interpolation) and holds every distinct value
-    of a column in one task, for small inputs.
+    ``exact`` follows R (linear interpolation) and takes them from the
+    range-partitioned counts of the values, which are checkpointed when called.
     """
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                T.DoubleType, T.DecimalType)
@@ -134,7 +134,7 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = False) -
 
     def q(c, p):
         x = F.col(c).cast("double")
-        return F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, p, 10000).cast("double")
+        return F.lit(None).cast("double") if exact else F.percentile_approx(x, p, 10000).cast("double")
 
     aggs = []
     for i, c in enumerate(cols):
@@ -148,9 +148,13 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact: bool = False) -
     parts = ", ".join(
         f"'{c}', '{types[c]}', a{i}_min, a{i}_q1, a{i}_med, a{i}_mean, a{i}_q3, a{i}_max, a{i}_na"
         for i, c in enumerate(cols))
-    return wide.selectExpr(
+    long = wide.selectExpr(
         f"stack({len(cols)}, {parts}) as "
         "(spalte, typ, minimum, q1, median, mittelwert, q3, maximum, anzahl_na)")
+    if not exact:
+        return long
+    return (long.drop("q1", "median", "q3").join(exact_quartiles(df, {c: F.col(c) for c in cols}), "spalte", "left")
+            .select(*long.columns))
 
 
 def profile_levels(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -161,14 +165,19 @@ def profile_levels(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def profile_times(df: DataFrame, cols: list[str], exact: bool = False) -> DataFrame:
-    """I8 for time columns: min, quartiles, mean, max (whole seconds) and NULL count in one pass."""
-    frames = []
+    """I8 for time columns: min, quartiles, mean, max (whole seconds) and NULL count; ``exact`` as in ``profile``."""
+    frames, numbers = [], {}
+    stamp = lambda x: F.timestamp_seconds(F.floor(x)).cast("timestamp_ntz")
     for c in cols:
         seconds = F.unix_seconds(F.col(c).cast("timestamp"))
-        at = lambda p, x=seconds: (F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, p, 10000))
-        stamp = lambda x: F.timestamp_seconds(F.floor(x)).cast("timestamp_ntz")
+        numbers[c] = seconds
+        at = lambda p, x=seconds: (F.lit(None).cast("long") if exact else F.percentile_approx(x, p, 10000))
         frames.append(F.struct(
             F.lit(c).alias("spalte"), stamp(F.min(seconds)).alias("minimum"), stamp(at(0.25)).alias("q1"),
             stamp(at(0.5)).alias("median"), stamp(F.avg(seconds)).alias("mittelwert"), stamp(at(0.75)).alias("q3"),
             stamp(F.max(seconds)).alias("maximum"), F.count_if(F.col(c).isNull()).alias("anzahl_na")))
-    return df.agg(F.array(*frames).alias("z")).select(F.inline("z"))
+    long = df.agg(F.array(*frames).alias("z")).select(F.inline("z"))
+    if not exact:
+        return long
+    return (long.drop("q1", "median", "q3").join(exact_quartiles(df, numbers), "spalte", "left")
+            .withColumns({q: stamp(F.col(q)) for q in ("q1", "median", "q3")}).select(*long.columns))

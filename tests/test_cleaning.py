@@ -104,6 +104,28 @@ def test_profile_approx(spark):
     assert abs(r.median - 500) <= 2 and r.minimum == 1 and r.maximum == 1000
 
 
+def test_exact_quartiles_are_dealt_out(spark):
+    import numpy as np
+    df = spark.range(2000).selectExpr(
+        "cast(id * id % 977 as double) / 4 as x", "if(id % 3 = 0, null, cast(id % 7 as int)) as y",
+        "cast(null as double) as z", "if(id = 5, 8.5D, null) as w",
+        "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * id % 5003) as t").repartition(5)
+    rows = df.toPandas()
+    profile = cleaning.profile(df, ["x", "y", "z", "w"], exact=True)
+    got = {r.spalte: r for r in profile.collect()}
+    for c in ("x", "y", "w"):
+        want = np.quantile(rows[c].dropna(), [0, 0.25, 0.5, 0.75, 1])
+        assert np.allclose([got[c].minimum, got[c].q1, got[c].median, got[c].q3, got[c].maximum], want, rtol=1e-12)
+        assert got[c].anzahl_na == rows[c].isna().sum()
+    assert (got["z"].q1, got["z"].median, got["z"].q3, got["z"].anzahl_na) == (None, None, None, 2000)
+    times = cleaning.profile_times(df, ["t"], exact=True)
+    seconds = np.quantile([(t - dt.datetime(2024, 1, 1)).total_seconds() for t in rows["t"]], [0.25, 0.5, 0.75])
+    r = times.first()
+    assert [r.q1, r.median, r.q3] == [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(x)) for x in seconds]
+    for frame in (profile, times):  # no aggregate that holds every value of a column
+        assert "percentile" not in frame._jdf.queryExecution().toString()
+
+
 def test_complete_days_independent_of_session_zone(spark):
     rows = [(dt.datetime(2024, 3, d, h), "A") for d in (1, 2, 3, 6) for h in (0, 12, 23)]
     df = spark.createDataFrame(rows, "zeitstempel timestamp_ntz, deutscher_name string")
