@@ -80,11 +80,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read back: computed once, with no lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet below the shared folder and read back: computed once, with no lineage.
+
+    The shuffle files of the writing query go when it has ended: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables, once their last reader has run."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            file = sc._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(sc._jsc.hadoopConfiguration()).delete(file, True)
 
 
 _SHIPPED: set[str] = set()
