@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dawnchorus.session import ship_package, written
+from dawnchorus.session import dropped, ship_package, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -31,6 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def drop_table(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last reader has run; nothing lazy may read them any more."""
+    dropped(*tables)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` whose workers have the package."""
     ship_package(df.sparkSession)

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.llm.cap_filters import near_duplicates
+from dawnchorus.llm.chunk_bpe import round_trip_digests as chunked_digests
 from dawnchorus.llm.common import hash60_sql, read_table, uniform_sql
 from dawnchorus.llm.dom_marginals import extract_main_text
+from dawnchorus.llm.filter_audit import LEAST_DISTINCT_PERCENT, LEAST_WORDS, MOST_CAPITALS_PERCENT, audit_filters
 from dawnchorus.llm.importance_resampling import resample
 from dawnchorus.llm.license_diagonals import K, LICENSES, PHRASES, scan_licenses
 from dawnchorus.llm.line_frequency import Limits, apply_quality_rules
@@ -21,6 +23,7 @@ from dawnchorus.llm.partition_jaccard import jaccard_components
 from dawnchorus.llm.poisson_mixing import mix_sources
 from dawnchorus.llm.recursive_bpe import round_trip_digests
 from dawnchorus.llm.url_reputation import Reputation, judge_urls, path_of
+from dawnchorus.llm.word_runs import run_digests, with_planted_periods
 
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -96,9 +99,32 @@ def op10_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def word_vocabulary() -> str:
+    """The tokenizers library's file of a BPE vocabulary with word ends."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_digests(read_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, chosen by the checksum of their id, is made periodic first."""
+    docs = read_table(spark, sf_dir, "documents")
+    return run_digests(docs, with_planted_periods(F.col("text"), F.col("doc_id")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_reputation, op2_license_diagonals, op3_line_frequency, op4_ordinal_toxicity, op5_importance_resampling,
-    op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard, op9_cap_filters, op10_dom_marginals)}
+    op6_recursive_bpe, op7_poisson_mixing, op8_partition_jaccard, op9_cap_filters, op10_dom_marginals,
+    op11_chunk_bpe, op12_word_runs, op13_filter_audit)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -232,10 +258,46 @@ counted AS (SELECT d.*, first_k + len(list_filter(cs, lambda c: c <= {uniform_sq
 SELECT {columns}, CAST(mix_copy AS INT) AS mix_copy FROM (SELECT *, unnest(range(0, CAST(copies AS BIGINT))) AS mix_copy FROM counted)"""
 
 
+def _op13_sql() -> str:
+    space = r"[\x20\x09-\x0D]+"
+    letters = "ABCDE"
+    order = " || ".join(f"p{i}.l" for i in range(1, 6))
+    tables = ", ".join(f"l p{i}" for i in range(1, 6))
+    differ = " AND ".join(f"p{i}.l <> p{j}.l" for i in range(1, 6) for j in range(i + 1, 6))
+    return rf"""
+WITH l AS (SELECT unnest(string_split('A,B,C,D,E', ',')) AS l),
+o AS (SELECT {order} AS filter_order FROM {tables} WHERE {differ}),
+d0 AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+d1 AS (SELECT *, list_filter(string_split_regex(body, '{space}'), lambda x: x <> '') AS words,
+       min(doc_id) OVER (PARTITION BY body) AS first_id FROM d0),
+d2 AS (SELECT doc_id, part, [len(words) < {LEAST_WORDS},
+       {LEAST_DISTINCT_PERCENT} * len(words) > 100 * len(list_distinct(words)),
+       100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > {MOST_CAPITALS_PERCENT} * length(body),
+       regexp_matches(body, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails FROM d1),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (coalesce(good, false)) AS good,
+      count(*) FILTER (coalesce(toxic, false)) AS toxic FROM d2 LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+s AS (SELECT part, filter_order, g.step, substr(filter_order, g.step, 1) AS filter, n, good, toxic,
+      len(list_filter(fails, lambda f: f)) AS n_fails,
+      fails[strpos('{letters}', substr(filter_order, g.step, 1))] AS failed,
+      list_bool_or([false] || list_transform(range(1, g.step), lambda i: fails[strpos('{letters}', substr(filter_order, i, 1))])) AS gone
+      FROM m, o, LATERAL (SELECT unnest(range(1, 6)) AS step) g),
+r AS (SELECT part, filter_order, step, filter,
+      CAST(coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0) AS BIGINT) AS kept,
+      CAST(coalesce(sum(n) FILTER (NOT gone AND failed), 0) AS BIGINT) AS removed,
+      CAST(coalesce(sum(n) FILTER (gone AND failed), 0) AS BIGINT) AS redundant,
+      CAST(coalesce(sum(n) FILTER (failed AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+      CAST(coalesce(sum(good) FILTER (NOT gone AND failed), 0) AS BIGINT) AS good_lost,
+      CAST(coalesce(sum(toxic) FILTER (NOT gone AND failed), 0) AS BIGINT) AS toxic_lost FROM s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+
 ORACLE_SQL = {
     "op1_url_reputation": _op1_sql(),
     "op2_license_diagonals": _op2_sql(),
     "op3_line_frequency": _op3_sql(),
     "op7_poisson_mixing": mixing_sql("documents", "doc_id, text, lang, source, n_chars", 0.0,
                                      "(SELECT count(*) FROM documents)"),
+    "op13_filter_audit": _op13_sql(),
 }
