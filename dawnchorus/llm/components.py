@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import materialize
+from dawnchorus.llm.common import drop_table, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,5 +46,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
                             F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("mark")).first()
         if state["n"] == 0 or state == before:
             return current.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-        before = state
-        current = materialize(_small_star(_large_star(current)), "edges")
+        before, last = state, current
+        current = materialize(_small_star(_large_star(last)), "edges")
+        drop_table(last)

@@ -7,28 +7,35 @@ segments (pigeonhole).  Documents are joined on the hashes of their segments:
 
 * *Size bands.*  Sets of a band (sizes within a factor of 1.35) share one number of
   segments; a set small enough for a partner in the band below also enters there.
-* *One-deletion neighbourhoods.*  For some segments (all, in small sets) a set also
-  enters its segment with each one element left out, which finds partners that differ
-  there in one element; such a segment counts for two in the pigeonhole.
-* *Cost-based allocation.*  There are more segments than needed.  What is to spare
-  lets each probing set pass over its costliest segments: those that most documents
-  share, as counted over all documents.
+* *Open documents.*  There are a third more segments than needed, so the sets of a pair
+  agree on more of them than the ``spare`` ones.  A set that shares no more than that with
+  any others has no partner and is done with; this is counted by document, with no pair written out.
+* *Stars.*  Each open document is compared with the one representative that it shares most
+  segments with.  What is linked takes one label, buckets of one label count no more,
+  and so on as long as documents are closed this way: n near copies cost about n comparisons.
+* *The finest partition.*  For what is still open every shingle is a segment of its own: only documents
+  stay open that share enough of their shingles with others of a size that they may be similar to.
+* *One-deletion neighbourhoods, by cost.*  Only what is still open enters each segment with
+  each one element left out as well, which finds partners that differ there in one
+  element.  Such an agreement weighs one and a whole one two, and again only documents that share
+  more weight than may be missing stay open.  Each of them passes over its costliest segments,
+  as many as are to spare, and meets the others in the remaining buckets.
 * *Exact verification.*  Every candidate pair is compared by its actual shingles.
 
-Copies of a text are merged before, and within a bucket of the join the members are
-first compared with one representative only; all other pairs of a bucket are compared
-only where their components still differ, and for this the costs are counted anew:
-members of one component cost each other nothing.  So a group of n near copies costs about n
-comparisons, no link between components is lost, and no bucket's pairs are written out.
+A bucket's members within one batch of rows are reduced to the first of them before the
+shuffle, so a bucket that a third of all documents share has a row a batch there, not a row a document.
+Copies of a text are merged before.  No bucket's pairs are written out while its documents can be closed otherwise.
 
 Defined results: a null, empty or blank text has no shingles, and is linked with
 nothing; a text of fewer than five words has one shingle, all its words; rows with a
-null id take no part (component null); rows of one id are one document, whatever their
-texts; an empty table gives an empty result.  Other columns of the input are not read.
+null id take no part (component null); rows of one id with different texts are judged each by
+its own text, and repeated rows alike; an empty table gives an empty result.  Other columns of the input
+are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,15 +44,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import ascii_lower, map_batches, materialize
+from dawnchorus.llm.common import drop_table, map_batches, materialize
 from dawnchorus.llm.components import connected_components
 
 WORDS = 5
 BAND_RATIO = 1.35
-#: Sets up to this size take one-deletion neighbourhoods of all segments: few rows, and half may be passed over.
-ALL_DELETIONS = 128
 #: Ids of documents to compare that are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Bucket rows of a batch in which members of one bucket are reduced to the first.
+BLOCK_ROWS = 2_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                          0xA0761D6478BD642F], dtype=np.uint64)
@@ -90,7 +97,11 @@ def similar(a: set, b: set, percent: int = 80) -> bool:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes up to ``most``; a segment of the first ``deletions`` counts for two, so ``spare`` may be passed over."""
+    """Sizes up to ``most``; the sets of a similar pair agree on more than ``spare`` segments.
+
+    With one-deletion neighbourhoods whole agreement weighs 2 and a difference of one element 1; the
+    pair's agreements then weigh more than ``spare_weight``.
+    """
 
     number: int
     most: int
@@ -107,15 +118,15 @@ class Band:
     @property
     def segments(self) -> int:
         need = self.differ + 1
-        return need if self.most <= ALL_DELETIONS else need + need // 3
+        return need + -(-need // 3) if self.differ else 1
 
     @property
-    def deletions(self) -> int:
-        return 0 if self.differ == 0 else self.segments if self.most <= ALL_DELETIONS else 1 + self.segments // 64
+    def spare(self) -> int:
+        return self.segments - self.differ - 1
 
     @property
-    def spare(self) -> int:
-        return self.segments + self.deletions - self.differ - 1
+    def spare_weight(self) -> int:
+        return 2 * self.segments - self.differ - 1
 
 
 def band_tops(most: int) -> list[int]:
@@ -133,72 +144,82 @@ def bands_of(size: int) -> list[Band]:
     return [own, below] if below and below.reach >= size else [own]
 
 
-#: How a row's tag packs its facts: -(1 + (((segment * 2 + deletion) * 2 + below) << 20 | spare)).
-_SPARE_BITS = 20
+#: How a row's tag packs its facts: ((segment << 24 | spare) << 1 | below) << 1 | part of the segment only.
+_SPARE_BITS = 24
+_SEGMENT = f"shiftright(tag, {_SPARE_BITS + 2})"
+_SPARE = f"shiftright(tag, 2) & {(1 << _SPARE_BITS) - 1}"
+_BELOW = "(tag & 2) = 2"
+_WEIGHT = "if((tag & 1) = 1, 1, 2)"
 
 
-def signatures(hashes: np.ndarray, band: Band, below: bool) -> tuple[np.ndarray, np.ndarray]:
+def signatures(hashes: np.ndarray, band: Band, below: bool, deletions: bool) -> tuple[np.ndarray, np.ndarray]:
     """The set's bucket keys in a band and the tag of each."""
     m = band.segments
     place = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # grows with the hash, so it is sorted
     edges = np.searchsorted(place, np.arange(m + 1, dtype=np.uint64))
     mixed = mix(hashes + np.uint64(0x632BE59BD9B4E019))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    whole = sums[edges[1:]] - sums[edges[:-1]]
-    segment = np.arange(m, dtype=np.uint64)
-    last = edges[band.deletions]  # elements before it are in segments with neighbourhoods
-    inner = place[:last]
-    keys = np.concatenate([whole, whole[inner] - mixed[:last]])
-    at = np.concatenate([segment, inner])
+    keys = sums[edges[1:]] - sums[edges[:-1]]
+    at = np.arange(m, dtype=np.uint64)
+    if deletions:
+        keys, at = np.concatenate([keys, keys[place] - mixed]), np.concatenate([at, place])
     salt = np.uint64((band.number + 1) * 0x9FB21C651E98DF25 % (1 << 64))
     keys = mix(keys + mix(at * np.uint64(0xD1B54A32D192ED03) + salt))
-    facts = (at.astype(np.int64) * 2 + (at < band.deletions)) * 2 + int(below)
-    return keys.view(np.int64), -(1 + (facts << _SPARE_BITS | min(band.spare, (1 << _SPARE_BITS) - 1)))
+    spare = min(band.spare_weight if deletions else band.spare, (1 << _SPARE_BITS) - 1)
+    tags = ((at.astype(np.int64) << _SPARE_BITS | spare) << 1 | int(below)) << 1
+    tags[m:] |= 1
+    return keys.view(np.int64), tags
 
 
-def signature_rows(docs: DataFrame) -> DataFrame:
-    """(key, doc, tag) for each bucket of each document, and one row with its set's size as the tag."""
+def signature_rows(docs: DataFrame, deletions: bool = False) -> DataFrame:
+    """(key, doc, tag, lead) for each bucket of each document, and one row a document with the tag -1 - set size.
+
+    ``lead`` is null for the only member of a bucket within a batch, else the batch's first member of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs_, tags, n = [], [], [], 0
+            keys, tags, docs_, counts, n = [], [], [], [], 0
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hashes = shingle_hashes(text)
                 bands = bands_of(len(hashes)) if len(hashes) else []
-                parts = [signatures(hashes, band, i == 1) for i, band in enumerate(bands)]
+                parts = [signatures(hashes, band, i == 1, deletions) for i, band in enumerate(bands)]
                 keys += [mix(np.array([doc], np.int64).view(np.uint64)).view(np.int64), *[p[0] for p in parts]]
-                tags += [np.array([len(hashes)]), *[p[1] for p in parts]]
-                docs_.append((doc, 1 + sum(len(p[0]) for p in parts)))
-                n += docs_[-1][1]
-                if n > 200_000:
-                    yield _rows(keys, docs_, tags)
-                    keys, docs_, tags, n = [], [], [], 0
+                tags += [np.array([-1 - len(hashes)]), *[p[1] for p in parts]]
+                docs_.append(doc)
+                counts.append(1 + sum(len(p[0]) for p in parts))
+                n += counts[-1]
+                if n > BLOCK_ROWS:
+                    yield from _rows(keys, tags, docs_, counts)
+                    keys, tags, docs_, counts, n = [], [], [], [], 0
             if keys:
-                yield _rows(keys, docs_, tags)
-
-    return map_batches(docs, run, "key long, doc long, tag long")
+                yield from _rows(keys, tags, docs_, counts)
 
+    return map_batches(docs, run, "key long, doc long, tag long, lead long")
 
-def _rows(keys: list, docs: list, tags: list) -> pa.RecordBatch:
-    ids, counts = zip(*docs, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, np.int64), counts)),
-         pa.array(np.concatenate(tags).astype(np.int64))], names=["key", "doc", "tag"])
 
+def _rows(keys: list, tags: list, docs: list, counts: list) -> Iterator[pa.RecordBatch]:
+    key, tag = np.concatenate(keys), np.concatenate(tags).astype(np.int64)
+    doc = np.repeat(np.array(docs, np.int64), counts)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    start = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    group = np.cumsum(start) - 1
+    lead, alone = np.empty_like(doc), np.empty(len(doc), bool)
+    lead[order] = doc[order][np.flatnonzero(start)][group]
+    alone[order] = (np.bincount(group) == 1)[group]
+    table = pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(tag), pa.array(lead, mask=alone)],
+                                       names=["key", "doc", "tag", "lead"])
+    yield from (table.slice(i, 200_000) for i in range(0, len(key), 200_000))
 
-def _fact(shift: int, bits: int) -> Column:
-    """A field of the packed tag."""
-    value = F.shiftright(-F.col("tag") - 1, shift)
-    return value if bits == 0 else value.bitwiseAND((1 << bits) - 1)
 
-
-def _with_text(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, text_a, text_b); only texts of documents in pairs leave the scan, as long as their ids are few."""
+def _with_text(pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, text_a, text_b) and the table of ids that it reads; only texts of documents in pairs leave the scan, as long as their ids are few."""
     ids = materialize(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(),
                       "compare-ids")
     texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc")
     return (pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"))
+            .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")), ids
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -215,45 +236,87 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
             ids = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
             yield ids.filter(pa.array(keep, pa.bool_()))
 
-    texts = _with_text(pairs, docs).select("a", "b", "text_a", "text_b")
-    return materialize(map_batches(texts, run, "a long, b long"), "verified")
-
+    texts, ids = _with_text(pairs, docs)
+    found = materialize(map_batches(texts.select("a", "b", "text_a", "text_b"), run, "a long, b long"), "verified")
+    drop_table(ids)
+    return found
 
-def _shared_buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Set sizes (doc, size), and the rows of buckets that several documents share, with the bucket's count."""
-    rows = signature_rows(docs)
-    counted = rows.withColumn("cost", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    kept = materialize(counted.filter("tag >= 0 or cost > 1"), "buckets")
-    sizes = kept.filter("tag >= 0").groupBy("doc").agg(F.max("tag").alias("size"))
-    return sizes, kept.filter("tag < 0")
 
+def _shared_rows(docs: DataFrame, deletions: bool = False) -> DataFrame:
+    """The rows (key, doc, tag, rep) of buckets that several documents share, and those of the sets' sizes.
 
-def _facts(buckets: DataFrame) -> DataFrame:
-    """Bucket rows with the fields of their tag."""
-    return buckets.select(
-        "key", "doc", "cost", _fact(0, _SPARE_BITS).alias("spare"), (_fact(_SPARE_BITS, 1) == 0).alias("own"),
-        (1 + _fact(_SPARE_BITS + 1, 1)).alias("weight"), _fact(_SPARE_BITS + 2, 0).alias("segment"))
-
+    A batch's later members of a bucket are known to share it, and are dealt out by themselves.
+    """
+    rows = signature_rows(docs, deletions)
+    later = F.col("lead") != F.col("doc")
+    bucket = Window.partitionBy(F.when(later, F.xxhash64("key", "doc", "tag")).otherwise(F.col("key")))
+    counted = rows.select("*", F.count(F.lit(1)).over(bucket).alias("n"), F.min("doc").over(bucket).alias("first"))
+    return materialize(counted.filter("tag < 0 or lead is not null or n > 1").select(
+        "key", "doc", "tag", F.when(later, F.col("lead")).otherwise(F.col("first")).alias("rep")), "buckets")
+
+
+def _weighed(rows: DataFrame) -> DataFrame:
+    """(doc, below, segment) of the rows with the weight of an agreement there, and the weight to spare."""
+    facts = rows.select("doc", F.expr(_BELOW).alias("below"), F.expr(_SEGMENT).alias("segment"), F.expr(_SPARE).alias("spare"),
+                        F.expr(_WEIGHT).alias("weight"))
+    return facts.repartition("doc").groupBy("doc", "below", "segment", "spare").agg(F.max("weight").alias("weight"))
+
+
+def _still_open(rows: DataFrame, deletions: bool = False) -> DataFrame:
+    """The rows of those documents, by band, whose agreements weigh more than what is to spare."""
+    weight = F.sum("weight") if deletions else F.count(F.lit(1))
+    some = (_weighed(rows).groupBy("doc", "below", "spare").agg(weight.alias("all_weight"))
+            .filter("all_weight > spare").select("doc", "below"))
+    return rows.withColumn("below", F.expr(_BELOW)).join(some, ["doc", "below"], "left_semi").drop("below")
+
+
+def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows with the label of their document: its component's, or at first its own."""
+    rows = rows.drop("label", "rep")
+    if label is None:
+        return rows.withColumn("label", F.col("doc"))
+    side = F.broadcast(label) if label.count() <= MOST_BROADCAST else label
+    return (rows.join(side.select(F.col("id").alias("doc"), "component"), "doc", "left")
+            .withColumn("label", F.coalesce("component", "doc")).drop("component"))
 
-def _allocate(rows: DataFrame) -> DataFrame:
-    """Add whether a set probes with the row: it passes over its costliest segments, as far as there are some to spare."""
-    one = Window.partitionBy("doc", "own", "segment")
-    ordered = Window.partitionBy("doc", "own").orderBy(F.desc("segment_cost"), "segment", "key")
-    rows = rows.repartition("doc").withColumn("segment_cost", F.sum("cost").over(one))
-    rows = rows.withColumn("first", F.row_number().over(one.orderBy("key")) == 1)
-    used = F.sum(F.when(F.col("first"), F.col("weight")).otherwise(0)).over(
-        ordered.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("probes", used > F.col("spare")).drop("segment_cost", "first", "cost")
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Labelled rows (key, doc, label, ...) of buckets with several labels, each with ``rep``, a member of another label.
 
-def _sharing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Only pairs that agree on more segments than may be passed over, as every similar pair does."""
-    side = lambda c: rows.select("key", F.col("doc").alias(c), F.col("own").alias(f"own_{c}"), "segment", "weight", "spare")
-    common = (pairs.join(side("a"), "a").join(side("b").drop("segment", "weight", "spare"), ["key", "b"])
-              .filter("own_a or own_b"))
-    return (common.groupBy("a", "b", "segment").agg(F.first("weight").alias("weight"), F.first("spare").alias("spare"))
-            .groupBy("a", "b").agg(F.sum("weight").alias("agree"), F.max("spare").alias("spare"))
-            .filter("agree > spare").select("a", "b"))
+    The representative is the member whose buckets are the fullest: of a text and its variants the one that
+    shares most with all of them.  Members of its own label have none.
+    """
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    met = rows.join(size.select("key", "n"), "key")
+    score = met.groupBy("doc").agg(F.sum(F.when(F.expr(_BELOW), 0).otherwise(F.col("n"))).alias("score"))
+    hub = (met.select("key", "doc", "label").join(score, "doc").groupBy("key")
+           .agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "label")).alias("top")))
+    rep = F.when(F.col("label") != F.col("top.label"), -F.col("top.minus"))
+    return met.drop("n").join(hub, "key").withColumn("rep", rep).drop("top")
+
+
+def _best_pairs(rows: DataFrame) -> DataFrame:
+    """Each document, by band, with the representative that it shares most rows with: (a, b), a > b."""
+    best = (rows.filter("rep is not null").groupBy("doc", F.expr(_BELOW).alias("below"), "rep").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("doc", "below").agg(F.max(F.struct("n", (-F.col("rep")).alias("minus"))).alias("top")))
+    rep = -F.col("top.minus")
+    return best.select(F.greatest("doc", rep).alias("a"), F.least("doc", rep).alias("b")).distinct()
+
+
+def _allocated_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b) of labelled rows: each set passes over its costliest segments, as far as there is weight to
+    spare, and meets what shares a bucket of the others."""
+    cost = rows.groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
+    costly = rows.join(cost, "key").withColumns(
+        {"segment": F.expr(_SEGMENT), "spare": F.expr(_SPARE), "below": F.expr(_BELOW), "weight": F.expr(_WEIGHT)})
+    by_segment = (costly.filter("not below").repartition("doc").groupBy("doc", "segment", "spare")
+                  .agg(F.sum("cost").alias("cost"), F.max("weight").alias("weight")))
+    ordered = Window.partitionBy("doc").orderBy(F.desc("cost"), "segment").rowsBetween(Window.unboundedPreceding, 0)
+    probing = by_segment.withColumn("used", F.sum("weight").over(ordered)).filter("used > spare").select("doc", "segment")
+    left = costly.filter("not below").join(probing, ["doc", "segment"], "left_semi").select("key", "doc", "label").alias("l")
+    right = rows.select("key", "doc", "label").alias("r")
+    return (left.join(right, F.col("l.key") == F.col("r.key")).filter("l.label <> r.label")
+            .select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct())
 
 
 def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -263,71 +326,177 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     """
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
-    sizes, buckets = _shared_buckets(docs)
-    rows = materialize(_allocate(_facts(buckets)), "bucket-rows")
-    # First round: the members of a bucket against its smallest probing document.
-    first = F.min(F.when(F.col("probes"), F.col("doc"))).over(Window.partitionBy("key"))
-    stars = (rows.select("key", "doc", "own", "probes").withColumn("rep", first)
-             .filter("doc <> rep and (own or probes)")
-             .select(F.greatest("doc", "rep").alias("a"), F.least("doc", "rep").alias("b")).distinct())
-    stars = materialize(_sized(stars, sizes), "stars")
-    links = verified(_sharing(stars, rows), docs, percent)
-    # Second round, between components: what lies in the same component costs nothing now, so
-    # every set passes over the segments that most documents of other components share.
-    label = connected_components(links)
-    side = F.broadcast(label) if label.count() <= MOST_BROADCAST else label
-    labelled = (rows.drop("probes").join(side.withColumnRenamed("id", "doc"), "doc", "left")
-                .withColumn("label", F.coalesce("component", "doc")).drop("component"))
-    everyone, same = Window.partitionBy("key"), Window.partitionBy("key", "label")
-    mixed = labelled.repartition("key").withColumn(
-        "cost", F.count(F.lit(1)).over(everyone) - F.count(F.lit(1)).over(same)).filter("cost > 0")
-    open_rows = materialize(_allocate(mixed).select("key", "doc", "own", "label", "probes"), "open-buckets")
-    left, right = open_rows.filter("probes").alias("l"), open_rows.filter("own or probes").alias("r")
-    more = (left.join(right, F.col("l.key") == F.col("r.key"))
-            .filter("l.label <> r.label and (l.own or r.own)")
-            .select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct())
-    more = materialize(_sized(more.join(stars, ["a", "b"], "left_anti"), sizes), "more-pairs")
-    return sizes, links.unionByName(verified(_sharing(more, rows), docs, percent))
+    shared = _shared_rows(docs)
+    sizes = materialize(shared.filter("tag < 0").select("doc", (-1 - F.col("tag")).alias("size")).distinct(), "sizes")
+    rows = materialize(_still_open(shared.filter("tag >= 0")), "open-rows")
+    drop_table(shared)
+    links, label, before = None, None, None
+    while True:
+        last, rows = rows, materialize(_still_open(_mixed(_labelled(rows, label))), "open-rows")
+        drop_table(last)
+        left = rows.select("doc").distinct().count()
+        if before is not None and left > 0.9 * before:
+            break
+        before = left
+        pairs = materialize(_sized(_best_pairs(rows), sizes), "stars")
+        found = verified(pairs, docs, percent)
+        drop_table(pairs)
+        links = found if links is None else materialize(links.unionByName(found), "links")
+        label = connected_components(links)
+        if left == 0:
+            return sizes, links
+    ids = materialize(rows.select("doc").distinct(), "open-ids")
+    drop_table(rows)
+    texts = _only(docs, ids)
+    # Every shingle a segment of its own.
+    fine = materialize(_labelled(shingle_rows(texts), label), "shingle-rows")
+    for turn in itertools.count():
+        last, fine = fine, materialize(_feasible(_labelled(fine, label)), "shingle-rows")
+        drop_table(last)
+        now = fine.select("doc").distinct().count()
+        if now == 0:
+            return sizes, links
+        pairs = materialize(_sized(_hub_pairs(fine, turn), sizes), "stars")
+        found = verified(pairs, docs, percent)
+        new, tried = found.count(), pairs.count()
+        drop_table(pairs)
+        links = materialize(links.unionByName(found), "links")
+        label = connected_components(links)
+        if now > 0.9 * left and 20 * new < tried:
+            break
+        left = now
+    common = materialize(fine.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("common")), "common")
+    ids = materialize(fine.select("doc").distinct(), "open-ids")
+    drop_table(fine)
+    # What is still open, with one-deletion neighbourhoods.
+    near = _shared_rows(_only(docs, ids), deletions=True)
+    rows = materialize(_still_open(_mixed(_labelled(near.filter("tag >= 0"), label)), deletions=True), "open-rows")
+    pairs = materialize(_sized(_allocated_pairs(rows), common), "more-pairs")
+    drop_table(near, rows)
+    return sizes, links.unionByName(verified(pairs, docs, percent))
+
+
+def _feasible(rows: DataFrame) -> DataFrame:
+    """The shingle rows that a partner may share, of documents that may have one.
+
+    A pair has 4 / 9 of both sizes in common at least.  So the sizes of a document and of the smallest one of another
+    label that has a shingle bound what must be in common; documents that have not so much in common with all others go.
+    """
+    rows = rows.select("key", "doc", "size", "label")
+    each = rows.groupBy("key", "label").agg(F.min("size").alias("least"))
+    ends = each.groupBy("key").agg(F.min("least").alias("first"), F.min_by("label", "least").alias("first_label"),
+                                   F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
+    second = each.join(ends, "key").filter("label <> first_label").groupBy("key").agg(F.min("least").alias("second"))
+    other = F.when(F.col("label") == F.col("first_label"), F.col("second")).otherwise(F.col("first"))
+    met = rows.join(ends, "key").join(second, "key").select("key", "doc", "size", "label", other.alias("other"))
+    common = met.groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
+    near = met.join(common, "doc").filter("4 * (size + other) <= 9 * common").drop("common")
+    enough = (near.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("common"), F.min("other").alias("other"))
+              .filter("4 * (size + other) <= 9 * common").select("doc"))
+    return near.drop("other").join(enough, "doc", "left_semi")
+
+
+def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each document with the one of its shingles' hubs that it has most in common with: (a, b), a > b.
+
+    A shingle's hub is the smallest set that has it, in later turns one by chance.
+    """
+    rank = F.col("size") if turn == 0 else F.xxhash64(F.lit(turn), "label", "doc")
+    hubs = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("doc").alias("rep"), F.col("label").alias("rep_label"))).alias("hub"))
+    met = rows.join(hubs, "key").filter("label <> hub.rep_label").groupBy("doc", F.col("hub.rep").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("doc").agg(F.max(F.struct("n", (-F.col("rep")).alias("minus"))).alias("top"))
+    rep = -F.col("top.minus")
+    return best.select(F.greatest("doc", rep).alias("a"), F.least("doc", rep).alias("b")).distinct()
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc", "left_semi")
+
+
+def shingle_rows(docs: DataFrame) -> DataFrame:
+    """(key, doc, size) for each distinct shingle of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes = shingle_hashes(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), doc, np.int64)),
+                                                  pa.array(np.full(len(hashes), len(hashes), np.int64))], names=["key", "doc", "size"])
+
+    return map_batches(docs, run, "key long, doc long, size long").distinct()
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Only pairs whose sizes allow the similarity."""
-    of = lambda c: sizes.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"))
+    """Only pairs whose sizes, and what each has in common with any others (at most its size), allow the similarity."""
+    most = "common" if "common" in sizes.columns else "size"
+    of = lambda c: sizes.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"), F.col(most).alias(f"most_{c}"))
     return (pairs.join(of("a"), "a").join(of("b"), "b")
-            .filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)").select("a", "b"))
+            .filter("9 * least(most_a, most_b) >= 4 * (size_a + size_b)").select("a", "b"))
+
+
+def _with_body(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc, text, body): the id as a long, the text and its hash."""
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select(
+        "doc", "text", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+def _members(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+    """(doc, body, rep, number, size, component, component_id), one row per row of ``docs``.
+
+    ``number`` is the text's own: the smallest id that has it, or a negative one where an id is the smallest of several texts.
+    """
+    given = _with_body(docs, text, doc_id)
+    hashed = materialize(given.select("doc", "body"), "text-hashes")
+    smallest = hashed.filter("doc is not null").groupBy("body").agg(F.min("doc").alias("rep"))
+    several = smallest.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    own = -1 - F.xxhash64("body").bitwiseAND((1 << 62) - 1)
+    numbers = materialize(smallest.join(several, "rep", "left").select(
+        "body", "rep", F.when(F.col("texts").isNull(), F.col("rep")).otherwise(own).alias("number")), "text-numbers")
+    odd = materialize(numbers.filter("number < 0 and number <> rep").select(F.col("rep").alias("doc"), "body", "number"), "odd-numbers")
+    owners = materialize(hashed.join(numbers, "body", "left"), "text-owners")
+    # Ids that are the smallest of no text have copies only.
+    spare = materialize(owners.filter("doc is not null").groupBy("doc").agg(F.max((F.col("doc") == F.col("rep")).cast("int")).alias("goes"))
+                        .filter("goes = 0").select("doc"), "text-copies")
+    texts = given.filter("doc is not null").join(
+        F.broadcast(spare) if spare.count() <= MOST_BROADCAST else spare, "doc", "left_anti")
+    if odd.count():  # rows of an id with several texts
+        several_of = odd.select("doc", "body", "number")
+        texts = texts.join(several_of, ["doc", "body"], "left").withColumn("doc", F.coalesce("number", "doc"))
+    sizes, links = link_similar(texts.select("doc", "text"), percent)
+    label = connected_components(links).select(F.col("id").alias("number"), "component")
+    out = (numbers.join(sizes.select(F.col("doc").alias("number"), "size"), "number", "left").join(label, "number", "left")
+           .withColumn("component", F.coalesce("component", "number")))
+    out = materialize(out, "text-components")
+    worded = out.filter("size > 0")
+    lowest = worded.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = worded.join(lowest, "component").select("body", "rep", "number", "size", "component", "component_id")
+    return owners.select("doc", "body").join(found, "body", "left")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id (the smallest doc_id reachable)."""
-    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Copies are found by the hash of the text in lower case; each text goes on with its smallest id.
-    hashed = materialize(given.select("doc", F.md5(ascii_lower(F.col("text")).cast("binary")).alias("body"),
-                                      F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded")), "text-hashes")
-    smallest = hashed.groupBy("body").agg(F.min("doc").alias("rep"))
-    owners = materialize(hashed.join(smallest, "body").select("doc", "rep", "worded"), "text-owners")
-    # A document goes on if it is the smallest of some text it has.
-    spare = materialize(owners.groupBy("doc").agg(F.max((F.col("doc") == F.col("rep")).cast("int")).alias("goes"))
-                        .filter("doc is not null and goes = 0").select("doc"), "text-copies")
-    texts = given.filter("doc is not null").join(spare, "doc", "left_anti")
-    sizes, links = link_similar(texts, percent)
-    same_text = owners.filter("worded and doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    label = connected_components(links.unionByName(same_text))
-    out = (owners.join(sizes.select(F.col("doc").alias("rep"), "size"), "rep", "left")
-           .join(label.select(F.col("id").alias("doc"), "component"), "doc", "left"))
-    return out.select(F.col("doc").alias("doc_id"), F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"),
-                      F.coalesce("component", "doc").alias("component_id"))
+    rows = _members(docs, text, doc_id, percent)
+    return rows.select(F.col("doc").alias("doc_id"),
+                       F.when(F.col("doc").isNull(), 0).otherwise(F.coalesce("size", F.lit(0))).cast("long").alias("n_shingles"),
+                       F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, once each; rows with a null id stay.
+    """One row of each component: one with its smallest id; of the texts of that id the one with the smallest number.
 
-    Only ids are compared and joined; those that go are broadcast as long as they are few.
+    Rows with a null id, and rows without words, stay; of repeated rows of such an id and text one stays, too.
+    Only ids and hashes of texts are compared and joined; those that go are broadcast as long as they are few.
     """
-    members = materialize(jaccard_components(docs, text, doc_id), "members").filter("doc_id is not null")
-    ids = members.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("goes"),
-                                        F.count(F.lit(1)).alias("rows"))
-    special = materialize(ids.filter("goes = 1 or rows > 1").select(F.col("doc_id").alias("special_id"), "goes"), "special-ids")
-    side = F.broadcast(special) if special.count() <= MOST_BROADCAST else special
-    of = docs[f"`{doc_id}`"] == side["special_id"]
-    repeated = docs.join(side.filter("goes = 0"), of, "left_semi").dropDuplicates([doc_id])
+    rows = materialize(_members(docs, text, doc_id, 80), "members").filter("doc is not null")
+    chosen = rows.filter("doc = component_id").groupBy("component").agg(F.min("number").alias("chosen"))
+    judged = rows.join(chosen, "component", "left").groupBy("doc", "body").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.when(F.col("size").isNotNull() & ~((F.col("doc") == F.col("component_id")) & (F.col("number") == F.col("chosen"))), 1)
+              .otherwise(0)).alias("goes"))
+    special = materialize(judged.filter("goes = 1 or rows > 1").select(
+        F.col("doc").alias("special_doc"), F.col("body").alias("special_body"), "goes"), "special-rows")
+    side = F.broadcast(special) if special.count() <= MOST_BROADCAST // 4 else special
+    of = ((docs[f"`{doc_id}`"].cast("long") == side["special_doc"])
+          & (F.md5(F.coalesce(docs[f"`{text}`"], F.lit("")).cast("binary")) == side["special_body"]))
+    repeated = docs.join(side.filter("goes = 0"), of, "left_semi").dropDuplicates([doc_id, text])
     return docs.join(side, of, "left_anti").unionByName(repeated)

@@ -9,17 +9,20 @@ from dawnchorus.llm.partition_jaccard import (Band, band_tops, bands_of, jaccard
 from tests.llm.helpers import SF, docs, jaccard_components as brute, shingle_set, with_clashes
 
 
-def _keys(hashes):
-    out = {}
-    for i, band in enumerate(bands_of(len(hashes))):
-        keys, tags = signatures(hashes, band, i == 1)
-        facts = -tags - 1 >> 20
-        out[band.number] = (keys, facts >> 2, (facts >> 1 & 1) + 1, band)
-    return out
+def _weights(one, other, deletions):
+    """For the band of the smaller set: {segment: weight} of the first set's agreements, and the weight to spare."""
+    own = bands_of(min(len(one), len(other)))[0].number
+    band = next(b for b in bands_of(len(one)) if b.number == own)
+    keys, tags = signatures(one, band, False, deletions)
+    met = np.isin(keys, signatures(other, next(b for b in bands_of(len(other)) if b.number == own), False, deletions)[0])
+    weights = {}
+    for tag in tags[met]:
+        weights[tag >> 26] = max(weights.get(tag >> 26, 0), 1 if not deletions or tag & 1 else 2)
+    return weights, band.spare_weight if deletions else band.spare
 
 
 def test_pigeonhole_holds_for_every_size_and_worst_partner():
-    """A pair at the limit shares buckets in segments that weigh more than what a set may pass over."""
+    """A pair at the limit agrees on more segments, and weight, than may be passed over, as either set counts it."""
     rng = np.random.default_rng(0)
     for size in [*range(1, 60), 75, 100, 101, 180, 400, 1500, 6000]:
         for trial in range(6):
@@ -35,13 +38,10 @@ def test_pigeonhole_holds_for_every_size_and_worst_partner():
             both = len(np.intersect1d(big, small))
             if 100 * both < 80 * (len(big) + len(small) - both):
                 continue
-            probe, index = _keys(big), _keys(small)
-            own = bands_of(len(small))[0].number
-            assert own in probe
-            keys, segment, weight, band = probe[own]
-            hit = np.isin(keys, index[own][0])
-            weights = {s: w for s, w in zip(segment[hit], weight[hit], strict=True)}
-            assert sum(weights.values()) > band.spare, size
+            for one, other in ((big, small), (small, big)):
+                for deletions in (False, True):
+                    weights, spare = _weights(one, other, deletions)
+                    assert sum(weights.values()) > spare, size
 
 
 def test_bands():
@@ -49,7 +49,8 @@ def test_bands():
     assert all(a < b for a, b in zip(tops, tops[1:], strict=False))
     for most in tops:
         band = Band(0, most)
-        assert band.segments + band.deletions - band.spare == band.differ + 1 and band.spare >= 0
+        assert band.segments - band.spare == band.differ + 1 and band.spare >= 0
+        assert 2 * band.segments - band.spare_weight == band.differ + 1
     for size in range(1, 3000):
         smallest = -(-4 * size // 5)
         numbers = {b.number for b in bands_of(size)}
@@ -100,6 +101,18 @@ def test_keep_one_of_each(spark):
     assert keep_one_of_each(docs(spark, [])).collect() == []
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row by its own text: none is lost, and sizes are those of the text."""
+    a, b = "a b c d e f", "u v w x y z q r"
+    rows = [(1, a), (1, b), (2, a), (7, b), (1, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, rows)).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (1, 4, 1), (2, 2, 1), (7, 4, 1)]
+    kept = sorted((r.doc_id, r.text) for r in keep_one_of_each(docs(spark, rows)).collect())
+    assert kept == [(1, a), (1, b)]
+    rows = [(1, a), (1, b), (2, a)]
+    assert sorted((r.doc_id, r.text) for r in keep_one_of_each(docs(spark, rows)).collect()) == [(1, a), (1, b)]
+
+
 def test_hashes_count_shingles():
     for text in ["", "a", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e", "x " * 100]:
         assert len(shingle_hashes(text)) == len(shingle_set(text))
