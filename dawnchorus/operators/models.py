@@ -5,15 +5,18 @@ coefficient chart data (M10), Poisson trends (M11, M12)."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dawnchorus.functions.calendar import hour24
 from dawnchorus.functions.labels import CI_Z, SIGNIFICANCE, TERM_LABELS
@@ -104,19 +107,51 @@ def kendall(matrix: DataFrame, cols: list[str], triangle: bool = False) -> DataF
     out = cells.groupBy("a", "b").applyInPandas(_kendall_group, _KENDALL_SCHEMA)
     if triangle:
         return out
-    flipped = out.select(F.col("vogelart").alias("term"), F.col("term").alias("vogelart"),
-                         "korrelation", "n")
-    return out.unionByName(flipped)
+    # Both directions from the one result: the fit is planned, and run, once.
+    both = F.array(F.struct("term", "vogelart"), F.struct(F.col("vogelart").alias("term"), F.col("term").alias("vogelart")))
+    return out.select(F.explode(both).alias("p"), "korrelation", "n").select("p.*", "korrelation", "n")
+
+
+def principal_order(pairs: DataFrame, cols: list[str], absolute: bool = False) -> list[str]:
+    """M3's column order: the variables by their score on the first principal component of the correlation matrix.
+
+    ``pairs`` (term, vogelart, korrelation) has each pair once or twice; a missing correlation counts as 0, a
+    variable with itself as 1.  Rows of the matrix are the cases, its columns, centred, the variables, and scores ascend.  The
+    component's sign is fixed by its loading of greatest size (the first of equals) being positive; equal scores go
+    by the given order.  At most k² numbers come to the driver, k being the number of columns.
+    """
+    at = {c: i for i, c in enumerate(cols)}
+    m = np.eye(len(cols))
+    for r in pairs.filter(F.col("term").isin(cols) & F.col("vogelart").isin(cols)).select("term", "vogelart", "korrelation").collect():
+        value = 0.0 if r["korrelation"] is None else r["korrelation"]
+        m[at[r["term"]], at[r["vogelart"]]] = m[at[r["vogelart"]], at[r["term"]]] = abs(value) if absolute else value
+    if not cols:
+        return []
+    centred = m - m.mean(axis=0)
+    loading = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+    sizes = np.round(np.abs(loading), 9)
+    loading = loading * np.sign(loading[int(np.argmax(sizes))] or 1.0)
+    scores = np.round(centred @ loading, 9)
+    return [cols[i] for i in np.argsort(scores, kind="stable")]
 
 
 def corr_pairs(df: DataFrame, k: int = 10, ts: str = "zeitstempel", species: str = SPECIES,
-               fill: int | None = None, digits: int = 2, weight: str | None = None) -> DataFrame:
+               fill: int | None = None, digits: int = 2, weight: str | None = None,
+               order: str = "frequency") -> DataFrame:
     """M3: one triangle of the top-``k`` Kendall matrix in long form, NULLs
-    removed, rounded.  Variable order = frequency rank."""
+    removed, rounded.  ``order='frequency'``: by frequency rank; ``'principal'``: by the first
+    principal component of the matrix, which is written once for that (k(k−1)/2 rows)."""
     names = top_names(df, k, species, weight)
-    m = hour_matrix(df, k, fill, ts, species, names, weight)
-    return (kendall(m, names, triangle=True)
-            .where(F.col("korrelation").isNotNull())
+    pairs = kendall(hour_matrix(df, k, fill, ts, species, names, weight), names, triangle=True)
+    if order == "principal":
+        pairs = written(pairs, "kendall")
+        place = F.create_map(*[F.lit(v) for i, c in enumerate(principal_order(pairs, names)) for v in (c, i)]) if names else F.lit(None)
+        later = place[F.col("term")] > place[F.col("vogelart")] if names else F.lit(True)
+        pairs = pairs.select(F.when(later, F.col("term")).otherwise(F.col("vogelart")).alias("term"),
+                             F.when(later, F.col("vogelart")).otherwise(F.col("term")).alias("vogelart"), "korrelation")
+    elif order != "frequency":
+        raise ValueError("order is 'frequency' or 'principal'")
+    return (pairs.where(F.col("korrelation").isNotNull())
             .select("term", "vogelart", F.round("korrelation", digits).alias("korrelation")))
 
 
@@ -175,24 +210,28 @@ def normalize(df: DataFrame, cols: list[str], eager: bool = False) -> DataFrame:
 
 
 class OlsFit:
-    """A fitted OLS model with R-style summaries as DataFrames."""
-
-    def __init__(self, spark, model, y, xs, n):
-        self.spark, self.model, self.y, self.xs, self.n = spark, model, y, xs, n
-        s = model.summary
-        k = len(xs)
-        self.k = k
-        self.r2 = float(s.r2)
-        self.r2adj = float(s.r2adj)
-        self.rss = float(s.meanSquaredError) * n
-        self.df_res = n - k - 1
-        se = list(s.coefficientStandardErrors)
-        tv = list(s.tValues)
-        # Spark puts the intercept last; R first.
+    """A fitted OLS model with R-style summaries as DataFrames.
+
+    Made from sufficient statistics: ``n`` complete cases, the means and the population covariance matrix of
+    (y, xs).  Raises when the predictors are linearly dependent or the cases too few.
+    """
+
+    def __init__(self, spark, y: str, xs: list[str], n: int, means: np.ndarray, cov: np.ndarray):
+        self.spark, self.y, self.xs, self.n, self.k = spark, y, xs, n, len(xs)
+        self.df_res = n - self.k - 1
+        if self.df_res < 0:
+            raise ValueError(f"{n} complete cases are too few for {self.k} predictors and an intercept")
+        b, self.rss, inverse = _solve_ols(n, cov)
+        total = n * cov[0, 0]
+        self.r2 = float(1 - self.rss / total) if total > 0 else float("nan")
+        self.r2adj = 1 - (1 - self.r2) * (n - 1) / self.df_res if self.df_res else float("nan")
+        s2 = self.rss / self.df_res if self.df_res else float("nan")
+        x = means[1:]
+        se = [math.sqrt(s2 * (1 / n + x @ inverse @ x))] + [math.sqrt(s2 * v) for v in np.diag(inverse)]
         self.terms = ["(Intercept)"] + list(xs)
-        self.estimates = [float(model.intercept)] + [float(v) for v in model.coefficients]
-        self.std_errors = [se[-1]] + se[:-1]
-        self.t_values = [tv[-1]] + tv[:-1]
+        self.estimates = [float(means[0] - b @ x)] + b.tolist()
+        self.std_errors = [float(v) for v in se]
+        self.t_values = [e / v if v else float("nan") for e, v in zip(self.estimates, self.std_errors)]
 
     def tidy(self, p_values: bool = True) -> DataFrame:
         """M9: term, estimate, std_error, statistic[, p_value]."""
@@ -225,25 +264,93 @@ class OlsFit:
         return self.spark.createDataFrame([tuple(row.values())], T.StructType(fields))
 
 
+def _solve_ols(n: int, cov: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Slopes, residual sum of squares, and the inverse of the predictors' centred cross-products.
+
+    Solved on correlations, so that the scale of a column does not decide whether it counts as dependent.
+    """
+    scale = np.sqrt(np.diag(cov)[1:])
+    if (scale == 0).any() or not np.isfinite(cov).all():
+        raise ValueError("a predictor is constant or not finite")
+    corr = cov[1:, 1:] / np.outer(scale, scale)
+    if np.linalg.eigvalsh(corr)[0] < 1e-12 * len(scale):
+        raise ValueError("the predictors are linearly dependent")
+    inverse = np.linalg.inv(corr) / np.outer(scale, scale)
+    b = inverse @ cov[1:, 0]
+    rss = n * float(cov[0, 0] - 2 * b @ cov[1:, 0] + b @ cov[1:, 1:] @ b)
+    return b, max(rss, 0.0), inverse / n
+
+
+def _moments(columns: list[str], standardize: bool) -> list:
+    """One aggregate's columns: complete cases, means and covariances over them, and scales over all rows.
+
+    Spark merges centred moments, so large means cost no digits.
+    """
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    complete = reduce(lambda a, b: a & b, [v.isNotNull() for v in x])
+    kept = [F.when(complete, v) for v in x]
+    out = [F.count(F.when(complete, 1)).alias("n"), F.array(*[F.avg(v) for v in kept]).alias("means"),
+           F.array(*[F.covar_pop(kept[i], kept[j]) for i in range(len(x)) for j in range(i + 1)]).alias("cov")]
+    if standardize:
+        out += [F.array(*[F.avg(v) for v in x]).alias("centre"), F.array(*[F.stddev_samp(v) for v in x]).alias("scale")]
+    return out
+
+
+def _matrix(row, k: int, standardize: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, means, covariances) of one aggregated row, on the scale of the z-scores if wanted."""
+    if not row["n"]:
+        raise ValueError("there is no complete case")
+    means, cov, flat = np.array(row["means"], float), np.zeros((k, k)), iter(row["cov"])
+    for i in range(k):
+        for j in range(i + 1):
+            cov[i, j] = cov[j, i] = next(flat)
+    if standardize:
+        if any(s in (None, 0.0) for s in row["scale"]):
+            raise ValueError("a column is constant")
+        scale = np.array(row["scale"], float)
+        means, cov = (means - np.array(row["centre"], float)) / scale, cov / np.outer(scale, scale)
+    return int(row["n"]), means, cov
+
+
 def ols(df: DataFrame, y: str, xs: list[str], standardize: bool = True) -> OlsFit:
     """M6 + M7: standardise every column (target included, statistics over all
     rows), keep complete cases, fit OLS with intercept by the normal equations.
 
-    The model columns are persisted (memory, spilling to disk) for the fit's
-    passes — statistics, XᵀX, summary — so the upstream plan runs once.
+    One aggregate over one scan gives means and covariances (map-side partial sums, one
+    row to the driver); the k × k system is solved there.  Nothing is persisted.
     """
-    base = df.select(y, *xs).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        data = normalize(base, [y] + xs, eager=True) if standardize else base
-        data = data.dropna(subset=[y] + xs)
-        vec = VectorAssembler(inputCols=xs, outputCol="_features").transform(data)
-        lr = LinearRegression(featuresCol="_features", labelCol=y, solver="normal",
-                              standardization=False, regParam=0.0, fitIntercept=True)
-        model = lr.fit(vec)
-        # the summary's statistics are computed while the rows are persisted
-        return OlsFit(df.sparkSession, model, y, xs, int(model.summary.numInstances))
-    finally:
-        base.unpersist()
+    row = df.agg(*_moments([y, *xs], standardize)).first()
+    return OlsFit(df.sparkSession, y, list(xs), *_matrix(row, len(xs) + 1, standardize))
+
+
+def grouped_ols(df: DataFrame, by: str, y: str, xs: list[str], standardize: bool = False) -> DataFrame:
+    """M7 for each value of ``by``: group, term, estimate, std_error, r_squared and n.
+
+    One grouped aggregate (partial sums before the shuffle, one row a group after it); the small systems are
+    solved in tasks, whatever the number of groups.  Groups without a fit (too few cases, dependent or
+    constant predictors) have one row with a null term and estimate.
+    """
+    ship_package(df.sparkSession)
+    rows = df.groupBy(F.col(f"`{by}`").alias("group")).agg(*_moments([y, *xs], standardize))
+    schema = T.StructType([rows.schema["group"], *T._parse_datatype_string(
+        "term string, estimate double, std_error double, r_squared double, n long").fields])
+    kind, width, terms = to_arrow_type(rows.schema["group"].dataType), len(xs) + 1, list(xs)
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    n, means, cov = _matrix(row, width, standardize)
+                    fit = OlsFit(None, y, terms, n, means, cov)
+                    out += [(row["group"], t, e, s, fit.r2, n) for t, e, s in zip(fit.terms, fit.estimates, fit.std_errors)]
+                except ValueError:
+                    out.append((row["group"], None, None, None, None, row["n"]))
+            types = [kind, pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
+                                             names=schema.names)
+
+    return rows.mapInArrow(solve, schema).withColumnRenamed("group", by)
 
 
 def forest(tidy: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:

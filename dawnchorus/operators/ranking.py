@@ -35,6 +35,21 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "rang") -> Da
     return ranked.withColumn(name, rank.cast("long")).drop("_pid", "_mid", "_first", "_off")
 
 
+def global_running_sum(df: DataFrame, order_cols: list, value: str, name: str) -> DataFrame:
+    """``value`` summed over all rows up to each one, in ``order_cols`` order (which must be total).
+
+    Range-partitioned and sorted by Spark; sums run inside each range, and a table of one row a range
+    (bounded by their number) gives what lies before it.
+    """
+    shared_dir(df.sparkSession)  # make sure a reliable checkpoint folder exists
+    ranges = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_pid").agg(F.sum(value).alias("_part")).select("_pid", F.sum("_part").over(before).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = F.sum(value).over(inside) + F.coalesce(F.col("_off"), F.lit(0))
+    return ranges.join(F.broadcast(offsets), "_pid").withColumn(name, run).drop("_pid", "_off")
+
+
 def exact_quartiles(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """(spalte, q1, median, q3) of each named number, NULLs left out, linear interpolation.
 

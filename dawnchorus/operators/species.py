@@ -3,13 +3,16 @@ frequency table (R5), first-seen species (R6, R6b), weekly change (R7)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.calendar import iso_week, iso_year, simple_week
 from dawnchorus.functions.labels import MIN_OBSERVATIONS
 from dawnchorus.operators.counting import n_rows
-from dawnchorus.operators.ranking import global_row_number
+from dawnchorus.operators.ranking import global_row_number, global_running_sum
+from dawnchorus.session import written
 
 SPECIES = "deutscher_name"
 SCIENTIFIC = "wissenschaftlicher_name"
@@ -134,6 +137,30 @@ def new_species(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeits
                         F.col(species).alias("neue_vogelarten"))
 
 
+def running_set(df: DataFrame, order: list[str], col: str) -> DataFrame:
+    """R6b/R6c in general: the running union of the values of ``col`` over the groups of ``order``, ascending.
+
+    One row for each value that a group holds: the ``order`` columns, ``col``, ``ist_neu`` (in no earlier group),
+    ``anzahl_neu`` (new values of the group) and ``anzahl_alle`` (values of all groups so far).  The union itself is
+    never put into a row: at any group it is the new values of the groups up to there.
+    A value's first group is a grouped minimum, so no fold is run in order; the sizes are
+    running sums of one row a group, dealt out by ranges.  NULL is no value; a group of NULLs comes first, and a group
+    that holds no value has no row.
+    """
+    seen = df.where(F.col(col).isNotNull()).groupBy(*order, col).agg(F.lit(1).alias("_one")).drop("_one")
+    group = F.struct(*[F.col(c) for c in order])
+    first = seen.groupBy(F.col(col).alias("_value")).agg(F.min(group).alias("_first"))
+    # a window of one value's groups could hold them all in one task; the minimum is merged before the shuffle
+    rows = (seen.join(first, F.col(col) == F.col("_value"))
+            .select(*order, col, group.eqNullSafe(F.col("_first")).alias("ist_neu")))
+    rows = written(rows, "running-set")
+    sizes = rows.groupBy(*order).agg(F.sum(F.col("ist_neu").cast("long")).alias("anzahl_neu"))
+    sizes = global_running_sum(sizes, [F.col(c).asc_nulls_first() for c in order], "anzahl_neu", "anzahl_alle")
+    keep = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in order]
+    return (rows.alias("r").join(sizes.alias("s"), reduce(lambda a, b: a & b, keep))
+            .select(*[F.col(f"r.{c}").alias(c) for c in [*order, col, "ist_neu"]], "s.anzahl_neu", "s.anzahl_alle"))
+
+
 def running_species_set(df: DataFrame, min_obs: int = MIN_OBSERVATIONS,
                         ts: str = "zeitstempel", species: str = SPECIES,
                         weight: str | None = None) -> DataFrame:

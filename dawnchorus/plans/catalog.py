@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.functions.calendar import simple_week
 from dawnchorus.functions.labels import TABLE_LABELS
 from dawnchorus.operators import cleaning, grids, models, species, study, tables, weather
 from dawnchorus.plans import report
@@ -516,6 +517,61 @@ def q_report_sink(spark, sf_dir):
     return spark.read.parquet(paths["top_bottom_vogelarten"])
 
 
+def q_report_manifest(spark, sf_dir):
+    """All datasets of a report verified after the writing"""
+    t = _t(spark, sf_dir)
+    d, path = t.by_user(), scratch_path(spark, "report")
+    report.write_verified_report(spark, {
+        "top_bottom_vogelarten": tables.top_bottom(d), "haeufigkeiten": species.species_frequency(d),
+        "neue_vogelarten": species.new_species(d), "unterbrechungen": tables.outage_table(t.user_outages())}, path)
+    return report.verify_report(spark, path)
+
+
+def _weeks(df):
+    d = F.to_date("zeitstempel")
+    return df.select(F.year(d).alias("jahr"), simple_week(d).alias("kalenderwoche"), "deutscher_name")
+
+
+def q_running_set(spark, sf_dir):
+    """R6b / R6c in general, over weeks"""
+    return species.running_set(_weeks(_t(spark, sf_dir).by_user()), ["jahr", "kalenderwoche"], "deutscher_name")
+
+
+def q_running_set_customers(spark, sf_dir):
+    """R6b / R6c in general, over weeks of several years"""
+    return species.running_set(_weeks(_t(spark, sf_dir).by_customer()), ["jahr", "kalenderwoche"], "deutscher_name")
+
+
+def q_kendall_users(spark, sf_dir):
+    """M2 where the top ten restricts"""
+    d = _t(spark, sf_dir).by_user()
+    names = models.top_names(d)
+    k = models.kendall(models.hour_matrix(d, names=names), names)
+    return rounded(k.select("term", "vogelart", "korrelation", "n"))
+
+
+def q_corr_pairs_principal(spark, sf_dir):
+    """M3 in the order of the first principal component"""
+    return rounded(models.corr_pairs(_t(spark, sf_dir).by_type(), order="principal"))
+
+
+def q_grouped_ols(spark, sf_dir):
+    """M7 for each supplier"""
+    return rounded(models.grouped_ols(_t(spark, sf_dir).raw("lineitem"), "l_suppkey", "l_extendedprice", ["l_quantity"]), 4)
+
+
+def q_station_periods(spark, sf_dir):
+    """I6 for each station"""
+    return cleaning.station_periods(_t(spark, sf_dir).by_user(), from_ts=EVENTS_FROM, min_per_day=3)
+
+
+def q_station_complete_days(spark, sf_dir):
+    """I7 for each station"""
+    t = _t(spark, sf_dir)
+    d = t.by_user()
+    return cleaning.complete_station_days(d, cleaning.station_periods(d, from_ts=EVENTS_FROM, min_per_day=3), t.user_outages())
+
+
 # --- many species over several years: thresholds cut, first weeks spread ------
 
 def q_species_count_customers(spark, sf_dir):
@@ -693,6 +749,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weather_times": q_weather_times,
     "formatted_top_bottom": q_formatted_top_bottom,
     "report_sink": q_report_sink,
+    "report_manifest": q_report_manifest,
+    "running_set": q_running_set,
+    "running_set_customers": q_running_set_customers,
+    "kendall_users": q_kendall_users,
+    "corr_pairs_principal": q_corr_pairs_principal,
+    "grouped_ols": q_grouped_ols,
+    "station_periods": q_station_periods,
+    "station_complete_days": q_station_complete_days,
     "species_count_customers": q_species_count_customers,
     "top_species_customers": q_top_species_customers,
     "bottom_species_customers": q_bottom_species_customers,

@@ -746,6 +746,56 @@ def build() -> dict[str, str]:
         s[f"{name}_customers"] = s[name].replace(DU, DC)
     s["new_species_wide_customers"] = new_wide(53).replace(DU, DC)
 
+    s["report_manifest"] = " UNION ALL ".join(
+        f"SELECT CAST({nr} AS INTEGER) AS nr, '{name}' AS name, count(*) AS zeilen, count(*) AS gelesen, true AS stimmt FROM ({s[q]}) _q"
+        for nr, (name, q) in enumerate((("top_bottom_vogelarten", "top_bottom"), ("haeufigkeiten", "species_frequency"),
+                                        ("neue_vogelarten", "new_species"), ("unterbrechungen", "outage_table")), 1))
+    s["running_set"] = f"""WITH {DU},
+        g AS (SELECT DISTINCT CAST(year(d) AS INTEGER) AS jahr, CAST((dayofyear(d) - 1) // 7 + 1 AS INTEGER) AS kalenderwoche,
+            deutscher_name FROM (SELECT CAST(zeitstempel AS DATE) AS d, deutscher_name FROM du) _x WHERE deutscher_name IS NOT NULL),
+        f AS (SELECT *, row_number() OVER (PARTITION BY deutscher_name
+            ORDER BY jahr NULLS FIRST, kalenderwoche NULLS FIRST) = 1 AS ist_neu FROM g),
+        z AS (SELECT jahr, kalenderwoche, count(*) FILTER (ist_neu) AS anzahl_neu FROM f GROUP BY 1, 2),
+        c AS (SELECT *, CAST(sum(anzahl_neu) OVER (ORDER BY jahr NULLS FIRST, kalenderwoche NULLS FIRST) AS BIGINT) AS anzahl_alle FROM z)
+        SELECT f.*, c.anzahl_neu, c.anzahl_alle FROM f JOIN c ON f.jahr IS NOT DISTINCT FROM c.jahr
+            AND f.kalenderwoche IS NOT DISTINCT FROM c.kalenderwoche"""
+    s["running_set_customers"] = s["running_set"].replace(DU, DC)
+    s["kendall_users"] = f"WITH {DU}, {_hour_counts('du')}, {_KENDALL} " + rounded("SELECT * FROM kt", ["korrelation"])
+    # The matrix of centred cross-products, squared and scaled 30 times, is the first component's projector.
+    s["corr_pairs_principal"] = f"""WITH RECURSIVE {DT}, {_hour_counts('dt')}, {_KENDALL},
+        m AS (SELECT a.r AS i, b.r AS j, CASE WHEN a.r = b.r THEN 1.0 ELSE coalesce(kt.korrelation, 0) END AS v FROM top a
+            CROSS JOIN top b LEFT JOIN kt ON kt.term = a.deutscher_name AND kt.vogelart = b.deutscher_name),
+        cm AS (SELECT i, j, v - avg(v) OVER (PARTITION BY j) AS v FROM m),
+        g AS (SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS DOUBLE) AS v FROM cm a JOIN cm b ON a.i = b.i GROUP BY 1, 2),
+        sq AS (SELECT 0 AS step, i, j, v / (SELECT max(abs(v)) FROM g) AS v FROM g
+            UNION ALL SELECT step, i, j, v / max(abs(v)) OVER () FROM (SELECT a.step + 1 AS step, a.i, b.j, sum(a.v * b.v) AS v
+                FROM sq a JOIN sq b ON a.j = b.i WHERE a.step < 30 GROUP BY 1, 2, 3) _s),
+        p AS (SELECT * FROM sq WHERE step = 30),
+        lead AS (SELECT i AS l FROM p WHERE i = j ORDER BY round(v, 9) DESC, i LIMIT 1),
+        load AS (SELECT p.i, p.v / sqrt(d.v) AS v FROM p, lead, p d WHERE p.j = l AND d.i = l AND d.j = l),
+        place AS (SELECT deutscher_name, row_number() OVER (ORDER BY score, r) AS place FROM (
+            SELECT top.deutscher_name, top.r, round(sum(cm.v * load.v), 9) AS score FROM cm JOIN load ON load.i = cm.j
+            JOIN top ON top.r = cm.i GROUP BY 1, 2) _p)
+        """ + rounded("""SELECT kt.term, kt.vogelart, round(kt.korrelation, 2) AS korrelation FROM kt
+        JOIN place a ON a.deutscher_name = kt.term JOIN place b ON b.deutscher_name = kt.vogelart
+        WHERE a.place > b.place AND kt.korrelation IS NOT NULL""", ["korrelation"])
+    s["grouped_ols"] = """WITH g AS (SELECT l_suppkey, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2,
+            regr_count(y, x) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_avgx(y, x) AS mx
+            FROM (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x FROM lineitem) _l GROUP BY 1),
+        e AS (SELECT *, sqrt((1 - r2) * syy / (n - 2)) AS sigma FROM g)
+        SELECT l_suppkey, '(Intercept)' AS term, round((a) * 1e4) / 1e4 AS estimate, round((sigma * sqrt(1.0 / n + mx * mx / sxx)) * 1e4) / 1e4 AS std_error,
+            round((r2) * 1e4) / 1e4 AS r_squared, CAST(n AS BIGINT) AS n FROM e
+        UNION ALL SELECT l_suppkey, 'l_quantity', round(b * 1e4) / 1e4, round(sigma / sqrt(sxx) * 1e4) / 1e4, round(r2 * 1e4) / 1e4, CAST(n AS BIGINT) FROM e"""
+    station_period = f"""sday AS (SELECT station, CAST(zeitstempel AS DATE) AS d, count(*) FILTER (zeitstempel >= TIMESTAMP '{EVENTS_FROM}') AS n
+            FROM du WHERE zeitstempel IS NOT NULL AND station IS NOT NULL GROUP BY 1, 2),
+        sper AS (SELECT * FROM (SELECT station, min(d) FILTER (n >= 3) AS beginn, max(d) AS ende FROM sday GROUP BY 1) _p WHERE beginn IS NOT NULL)"""
+    s["station_periods"] = f"""WITH {DU}, {station_period}
+        SELECT *, CAST(ende - beginn + 1 AS INTEGER) AS dauer FROM sper"""
+    s["station_complete_days"] = f"""WITH {DU}, {_outages('du')}, {station_period},
+        edges AS (SELECT station, beginn AS d FROM outg UNION SELECT station, ende FROM outg)
+        SELECT du.* FROM du JOIN sper USING (station) WHERE CAST(du.zeitstempel AS DATE) BETWEEN sper.beginn AND sper.ende
+        AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.station = du.station AND e.d = CAST(du.zeitstempel AS DATE))"""
+
     s["labelled_top_bottom"] = f"""SELECT rang AS "Rang", top10 AS "Top 10 Vogelarten",
         top10_haeufigkeit AS "Top 10 Erkennungen", bottom10 AS "Bottom 10 Vogelarten",
         bottom10_haeufigkeit AS "Bottom 10 Erkennungen" FROM ({s['formatted_top_bottom']}) _l"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from dawnchorus.functions.labels import TABLE_LABELS
 from dawnchorus.operators import grids, models, species, tables
@@ -71,6 +74,52 @@ def write_report(datasets: dict[str, DataFrame], directory: str, fmt: str = "par
     return paths
 
 
+_MANIFEST = "nr int, name string, pfad string, format string, zeilen long, pruefsumme decimal(38,0)"
+
+
+def _totals(df: DataFrame) -> list:
+    """Number of rows, and a sum of their hashes that does not depend on their order."""
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("zeilen"), F.coalesce(F.sum(row_hash), F.lit(0)).cast("decimal(38,0)").alias("pruefsumme")]
+
+
+def write_verified_report(spark: SparkSession, datasets: dict[str, DataFrame], directory: str) -> DataFrame:
+    """T8 with a manifest: write every dataset as Parquet ``{nr}_{name}``, and ``manifest`` beside them.
+
+    Row counts and hash totals are observed while the rows are written (no second pass over the plan), so the
+    manifest says what the job put out and ``verify_report`` whether that is what can be read.
+    """
+    rows = []
+    for nr, (name, df) in enumerate(datasets.items(), start=1):
+        path, seen = f"{directory.rstrip('/')}/{nr}_{name}", Observation(f"report-{nr}-{uuid.uuid4().hex[:8]}")
+        df.observe(seen, *_totals(df)).write.mode("overwrite").parquet(path)
+        found = seen.get
+        rows.append((nr, name, path, "parquet", found["zeilen"], found["pruefsumme"]))
+    manifest = spark.createDataFrame(rows, _MANIFEST)
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{directory.rstrip('/')}/manifest")
+    return manifest
+
+
+def verify_report(spark: SparkSession, directory: str) -> DataFrame:
+    """The manifest of a written report with ``gelesen`` (rows read back) and ``stimmt`` (counts and totals agree).
+
+    A dataset that is missing or cannot be read has a null count and does not agree.
+    """
+    rows = []
+    # one row a dataset of the report
+    for m in spark.read.schema(_MANIFEST).parquet(f"{directory.rstrip('/')}/manifest").collect():
+        try:
+            df = spark.read.format(m["format"]).load(m["pfad"])
+            got = df.agg(*_totals(df)).first()
+        except Exception as error:  # noqa: BLE001  a missing or damaged dataset is a result here
+            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error) and "FAILED_READ_FILE" not in str(error):
+                raise
+            got = {"zeilen": None, "pruefsumme": None}
+        same = (got["zeilen"], got["pruefsumme"]) == (m["zeilen"], m["pruefsumme"])
+        rows.append((m["nr"], m["name"], m["zeilen"], got["zeilen"], same))
+    return spark.createDataFrame(rows, "nr int, name string, zeilen long, gelesen long, stimmt boolean")
+
+
 def species_overview(df: DataFrame) -> dict[str, DataFrame]:
     """Descriptive statistics printed by the reference before the models."""
     return {
@@ -84,4 +133,5 @@ def species_overview(df: DataFrame) -> dict[str, DataFrame]:
 
 
 __all__ = ["chart_daily_detections", "chart_daily_species", "chart_top_daily",
-           "report_tables", "report_charts", "write_report", "species_overview"]
+           "report_tables", "report_charts", "write_report", "write_verified_report",
+           "verify_report", "species_overview"]

@@ -141,3 +141,19 @@ def test_complete_days_independent_of_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got["UTC"] == got["America/Los_Angeles"] == got["Asia/Tokyo"]
     assert [t.day for t in got["UTC"]] == [2, 2, 2]      # Mar 3 and Mar 6 end/start the outage
+
+
+def test_periods_and_complete_days_of_each_station(spark):
+    """Every station by its own period; an outage of one station does not touch another."""
+    import datetime as dt
+    day = lambda n: dt.datetime(2024, 1, n, 10)
+    rows = [(day(n), "a") for n in (2, 3, 3, 4, 9) for _ in (0, 1)] + [(day(n), "b") for n in (3, 5, 5, 6, 7, 8)]
+    rows += [(day(4), "c"), (None, "a"), (day(4), None)]
+    df = spark.createDataFrame(rows, "zeitstempel timestamp_ntz, station string")
+    periods = cleaning.station_periods(df, from_ts="2024-01-03", min_per_day=2)
+    assert {(r.station, r.beginn.day, r.ende.day, r.dauer) for r in periods.collect()} == {("a", 3, 9, 7), ("b", 5, 8, 4)}
+    gaps = cleaning.outages(df, partition="station")
+    got = sorted((r.station, r.zeitstempel.day) for r in cleaning.complete_station_days(df, periods, gaps).collect())
+    # station a: 4 and 9 are an outage's edges; b: 3 and 5 are, and 3 lies before its period
+    assert got == [("a", 3)] * 4 + [("b", 6), ("b", 7), ("b", 8)]
+    assert cleaning.complete_station_days(df.limit(0), periods, gaps).collect() == []

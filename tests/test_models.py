@@ -98,6 +98,62 @@ def test_ols_matches_numpy(spark):
     assert g.p_value < 1e-10
 
 
+def test_ols_scans_once_and_refuses_what_has_no_fit(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    big = 1e9 + rng.normal(size=500)   # a large mean must not cost digits
+    y = 3 + 2 * (big - 1e9) + 0.1 * rng.normal(size=500)
+    df = spark.createDataFrame([(float(a), float(b), float(2 * b), 1.0) for a, b in zip(y, big)], "y double, x double, twice double, one double")
+    fit = models.ols(df, "y", ["x"], standardize=False)
+    slope = np.polyfit(big - 1e9, y, 1)[0]
+    assert fit.estimates[1] == pytest.approx(slope, rel=1e-6)
+    for xs in (["x", "twice"], ["one"]):
+        with pytest.raises(ValueError):
+            models.ols(df, "y", xs)
+    with pytest.raises(ValueError):
+        models.ols(df.limit(2), "y", ["x", "twice"], standardize=False)
+    with pytest.raises(ValueError):
+        models.ols(df.limit(0), "y", ["x"])
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+
+
+def test_grouped_ols_equals_single_fits(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(g * x + rng.normal()), float(x), float(z)) for g in range(1, 6) for x, z in rng.normal(size=(40, 2))]
+    rows += [(9, 1.0, 1.0, 2.0), (9, 2.0, None, 1.0), (8, 1.0, 1.0, 1.0), (8, 2.0, 1.0, 3.0), (8, 2.5, 1.0, 4.0), (8, 0.0, 1.0, 0.0), (None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, y double, x double, z double")
+    got = models.grouped_ols(df, "g", "y", ["x", "z"], standardize=True).collect()
+    for g in range(1, 6):
+        fit = models.ols(df.where(f"g = {g}"), "y", ["x", "z"])
+        mine = {r.term: r for r in got if r.g == g}
+        for t, e, s in zip(fit.terms, fit.estimates, fit.std_errors):
+            assert mine[t].estimate == pytest.approx(e, abs=1e-9) and mine[t].std_error == pytest.approx(s, rel=1e-9)
+            assert mine[t].r_squared == pytest.approx(fit.r2) and mine[t].n == 40
+    assert [(r.g, r.term, r.n) for r in got if r.g in (None, 8, 9)] and all(r.term is None for r in got if r.g in (None, 8, 9))
+
+
+def test_principal_order(spark):
+    names = list("abcd")
+    corr = {("b", "a"): 0.9, ("c", "a"): -0.7, ("c", "b"): -0.6, ("d", "a"): 0.1, ("d", "b"): None, ("d", "c"): 0.2}
+    pairs = spark.createDataFrame([(t, v, k) for (t, v), k in corr.items()], "term string, vogelart string, korrelation double")
+    m = np.eye(4)
+    for (t, v), k in corr.items():
+        m[names.index(t), names.index(v)] = m[names.index(v), names.index(t)] = k or 0.0
+    centred = m - m.mean(0)
+    u, s, vt = np.linalg.svd(centred)
+    load = vt[0] * np.sign(vt[0][np.argmax(np.abs(vt[0]))])
+    assert models.principal_order(pairs, names) == [names[i] for i in np.argsort(centred @ load)]
+    assert models.principal_order(pairs, names)[0] in "ac" and models.principal_order(pairs, []) == []
+    assert models.principal_order(pairs.limit(0), ["q"]) == ["q"]
+
+
+def test_kendall_is_planned_once(spark):
+    m = spark.createDataFrame([(1, 2, 3), (2, 1, 3), (3, 3, 1), (4, None, 0)], "a int, b int, c int")
+    k = models.kendall(m, ["a", "b", "c"])
+    assert k._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    rows = {(r.term, r.vogelart): (r.korrelation, r.n) for r in k.collect()}
+    assert len(rows) == 6 and all(rows[a, b] == rows[b, a] for a, b in rows)
+
+
 def test_poisson_trend_matches_irls(spark):
     base = dt.date(2024, 3, 1)
     counts = [5, 7, None, 9, 12, 11, 15, 18, None, 22]

@@ -83,3 +83,16 @@ def test_write_report_csv(spark):
     assert os.path.basename(paths["zwei"]) == "2_zwei"
     back = spark.read.option("header", True).csv(paths["eins"]).collect()
     assert [tuple(r) for r in back] == [("1", "a")]
+
+
+def test_verified_report_notices_what_is_missing_or_changed(spark, tmp_path):
+    from dawnchorus.plans import report
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "n int, s string")
+    report.write_verified_report(spark, {"a": a, "leer": a.limit(0), "b": a.select("n"), "c": a}, str(tmp_path))
+    rows = report.verify_report(spark, str(tmp_path)).orderBy("nr").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", 3, 3, True), (2, "leer", 0, 0, True), (3, "b", 3, 3, True), (4, "c", 3, 3, True)]
+    a.withColumn("s", a.n.cast("string")).write.mode("overwrite").parquet(str(tmp_path / "1_a"))
+    (tmp_path / "3_b").rename(tmp_path / "moved")
+    a.limit(2).write.mode("overwrite").parquet(str(tmp_path / "4_c"))
+    rows = report.verify_report(spark, str(tmp_path)).orderBy("nr").collect()
+    assert [(r.gelesen, r.stimmt) for r in rows] == [(3, False), (0, True), (None, False), (2, False)]

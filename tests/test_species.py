@@ -117,3 +117,26 @@ def test_weekly_change_existing_weeks_only(spark):
             species.weekly_change(_df(spark, rows), "2024-01-22", existing_weeks_only=True).collect()}
     assert full == 5                                     # 2 years x 3 weeks, first dropped
     assert only == {(2024, 1), (2024, 3)}                # (2023, 2) is the first -> dropped
+
+
+def test_running_set(spark):
+    rows = [(2, "x"), (1, "b"), (1, "a"), (1, "a"), (3, "a"), (3, "c"), (None, "z"), (4, None), (5, "b"), (5, "z")]
+    df = spark.createDataFrame(rows, "g int, v string")
+    got = [(r.g, r.v, r.ist_neu, r.anzahl_neu, r.anzahl_alle) for r in species.running_set(df, ["g"], "v").collect()]
+    assert sorted(got, key=str) == sorted([(None, "z", True, 1, 1), (1, "a", True, 2, 3), (1, "b", True, 2, 3), (2, "x", True, 1, 4),
+                                           (3, "a", False, 1, 5), (3, "c", True, 1, 5), (5, "b", False, 0, 5), (5, "z", False, 0, 5)], key=str)
+    assert species.running_set(df.limit(0), ["g"], "v").collect() == []
+
+
+def test_running_set_against_a_fold(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 3), rng.randint(0, 20), rng.randint(0, 80)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, v int")
+    seen, want = set(), set()
+    for g in sorted({r[:2] for r in rows}):
+        values = {r[2] for r in rows if r[:2] == g}
+        new = values - seen
+        seen |= values
+        want |= {(*g, v, v in new, len(new), len(seen)) for v in values}
+    assert {tuple(r) for r in species.running_set(df, ["a", "b"], "v").collect()} == want
