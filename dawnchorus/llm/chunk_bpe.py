@@ -34,6 +34,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ REACH = 24
 MEAN_CHUNK = 1024
 #: Insides shorter than this are left to their texts: a reference is larger than their ids.
 LEAST_INSIDE = 64
-KNOWN = 300_000
+KNOWN = 500_000
 SLAB = 1 << 16
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -99,6 +100,22 @@ def insides(body: bytes) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def word_parts(word: bytes) -> list[bytes]:
+    """A word without its closing marks, and these: no match holds both a letter and a mark.
+
+    Words of ASCII letters alone are taken in lower case, as the vocabulary does.
+    """
+    core = word.rstrip(b".,;:!?")
+    letters = core.isalpha()  # of bytes: ASCII only
+    if not letters:
+        last = core.decode()[-1:]
+        if len(core) == len(word) or not (last.isalpha() and last < "\u0250"):
+            return [word]
+    elif len(core) == len(word):
+        return [core.lower()]
+    return [core.lower() if letters else core, word[len(core):]]
+
+
 class Words:
     """Ids of words by the tokenizers library, each word asked for once; lives in one task."""
 
@@ -110,24 +127,27 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.type = id_type(vocabulary)
+        self.code = {"<u2": "H", "<u4": "I"}[self.type]
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> bytes:
         """The packed ids of words that white space parts."""
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
+        new = set(words).difference(known)
+        if new:
             if len(known) > KNOWN:
                 known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(c.ids, self.type).tobytes()) for w, c in zip(new, coded, strict=True))
-            return b"".join(map(known.__getitem__, words))
+                new = set(words)
+            split = {w: word_parts(w) for w in new}
+            parts = list({p for ps in split.values() for p in ps}.difference(known))
+            coded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+            known.update((p, array(self.code, c.ids).tobytes()) for p, c in zip(parts, coded, strict=True))
+            known.update((w, b"".join(map(known.__getitem__, ps))) for w, ps in split.items())
+        return b"".join(map(known.__getitem__, words))
 
     def window(self, text: bytes) -> bytes:
         """The packed ids of a window, encoded as one text."""
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.type).tobytes()
+        return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def repaired(self, left: list[bytes], join: bytes, right: list[bytes]) -> bytes:
         """Ids of ``join``, the text across one or more cuts, with the words beside it in the chunks.
