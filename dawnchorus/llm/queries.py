@@ -222,14 +222,14 @@ win AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS v
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS c FROM win) WHERE c > 1),
 covered AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat
         FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM rep) GROUP BY rid),
-l0 AS (SELECT rid, host, unnest(string_split(body, chr(10))) AS line FROM d),
-l AS (SELECT rid, host, line, {hash60_sql(f"host || chr(10) || {norm}")} AS key,
+l0 AS (SELECT rid, host, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS pos FROM d),
+l AS (SELECT rid, host, line, pos, {hash60_sql(f"host || chr(10) || {norm}")} AS key,
       length(regexp_replace(line, '{space}', '', 'g')) AS n
       FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-ld AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, list_sort(list(DISTINCT key)) AS keys FROM l GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT keys[1]) AS hn FROM d LEFT JOIN ld USING (rid) GROUP BY host),
-freq AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT coalesce(CASE WHEN key = keys[1] THEN keys[2] ELSE keys[1] END, 0)) AS c
-         FROM l JOIN ld USING (rid) GROUP BY 1, 2)
+ld AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, md5(string_agg(CAST(key AS VARCHAR), ',' ORDER BY pos)) AS document
+       FROM l GROUP BY rid),
+hosts AS (SELECT host, count(DISTINCT document) AS hn FROM d LEFT JOIN ld USING (rid) GROUP BY host),
+freq AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT document) AS c FROM l JOIN ld USING (rid) GROUP BY 1, 2)
          JOIN hosts USING (host) WHERE c > {p.max_documents} AND c > {p.max_share} * hn),
 gone AS (SELECT rid, sum(n) AS g FROM l JOIN freq USING (host, key) GROUP BY rid),
 f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(body, '{space}', '', 'g')) AS BIGINT) AS word_chars,
