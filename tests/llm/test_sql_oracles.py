@@ -26,15 +26,11 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_line_frequency_where_lines_are_frequent(spark):
     """At this size lines exceed the limits, and documents are rejected for them."""
-    import duckdb
-
-    from dawnchorus.llm.queries import ORACLE_SQL, QUERIES
-
     large = "/root/testdata/sf0.1"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{large}/documents.parquet'")
