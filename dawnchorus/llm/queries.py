@@ -180,26 +180,33 @@ FROM p JOIN v USING (host) LEFT JOIN fit ON fit.host = p.host AND fit.path = p.p
 
 def _op2_sql() -> str:
     templates = [*PHRASES, *LICENSES]
-    rows = ", ".join(f"({i}, {max(len(t.text.split()) - K + 1, 1)}, {str(t.exact).lower()}, '{t.label}', '{t.text}')"
-                     for i, t in enumerate(templates))
+    rows = ", ".join(f"({i}, {max(len(t.text.split()) - K + 1, 1)}, {str(t.exact).lower()}, '{t.label}', '{t.text}', "
+                     f"CAST({t.telling_positions(K)} AS BIGINT[]))" for i, t in enumerate(templates))
     text = _LOWER.format("coalesce(text, '')")
     return rf"""
-WITH t0(tpl, size, exact, label, body) AS (VALUES {rows}),
-t AS (SELECT tpl, size, exact, label, g.i AS tpos, array_to_string(string_split(body, ' ')[g.i + 1:g.i + {K}], ' ') AS gram
+WITH t0(tpl, size, exact, label, body, telling) AS (VALUES {rows}),
+t AS (SELECT tpl, size, exact, label, telling, g.i AS tpos, array_to_string(string_split(body, ' ')[g.i + 1:g.i + {K}], ' ') AS gram
       FROM t0, LATERAL (SELECT unnest(range(0, size)) AS i) g),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({text},
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 g AS (SELECT rid, i - 1 AS pos, array_to_string(words[i:i + {K - 1}], ' ') AS gram
       FROM (SELECT rid, words, unnest(range(1, len(words) - {K - 2})) AS i FROM d)),
-votes AS (SELECT DISTINCT rid, tpl, size, exact, label, pos - tpos AS diagonal, tpos FROM g JOIN t USING (gram)),
+votes AS (SELECT DISTINCT rid, tpl, size, exact, label, telling, pos - tpos AS diagonal, tpos FROM g JOIN t USING (gram)),
 diagonals AS (SELECT DISTINCT rid, tpl, exact, diagonal FROM votes),
 islands AS (SELECT *, sum(CASE WHEN exact OR before IS NULL OR diagonal - before > 3 THEN 1 ELSE 0 END)
       OVER (PARTITION BY rid, tpl ORDER BY diagonal) AS island
       FROM (SELECT *, lag(diagonal) OVER (PARTITION BY rid, tpl ORDER BY diagonal) AS before FROM diagonals)),
-spans AS (SELECT rid, tpl, island, any_value(label) AS label, bool_or(votes.exact) AS exact,
-      count(DISTINCT tpos) / any_value(size) AS coverage, min(diagonal + tpos) AS start
-      FROM votes JOIN (SELECT rid, tpl, diagonal, island FROM islands) USING (rid, tpl, diagonal) GROUP BY 1, 2, 3),
-ok AS (SELECT *, CASE WHEN exact THEN coverage = 1 ELSE coverage >= 0.7 END AS accepted FROM spans),
+member AS (SELECT * FROM votes JOIN (SELECT rid, tpl, diagonal, island FROM islands) USING (rid, tpl, diagonal)),
+spans AS (SELECT rid, tpl, island, any_value(label) AS label, any_value(size) AS size, bool_or(exact) AS exact,
+      count(DISTINCT tpos) AS covered, count(DISTINCT tpos) / any_value(size) AS coverage, min(diagonal + tpos) AS start,
+      count(DISTINCT tpos) FILTER (list_contains(telling, tpos)) = any_value(len(telling)) AS told FROM member GROUP BY 1, 2, 3),
+place AS (SELECT rid, tpl, island, tpos, row_number() OVER (PARTITION BY rid, diagonal + tpos
+      ORDER BY coverage DESC, covered DESC, tpl, island, tpos DESC) AS rank
+      FROM member JOIN (SELECT rid, tpl, island, coverage, covered FROM spans WHERE NOT exact AND told AND coverage >= 0.7)
+      USING (rid, tpl, island)),
+won AS (SELECT rid, tpl, island, count(DISTINCT tpos) AS won FROM place WHERE rank = 1 GROUP BY 1, 2, 3),
+ok AS (SELECT *, CASE WHEN exact THEN coverage = 1 ELSE coalesce(won / size >= 0.7, false) END AS accepted
+      FROM spans LEFT JOIN won USING (rid, tpl, island)),
 r AS (SELECT rid, count(*) FILTER (exact AND accepted) AS n_base, min(start) FILTER (exact AND accepted) AS first_word,
       max(start) FILTER (exact AND accepted) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND accepted) AS base_labels,

@@ -50,5 +50,31 @@ def test_templates_with_edits(spark):
     assert (span.label, span.start) == ("mit", 1)
 
 
+def test_every_notice_gets_its_own_label_alone(spark):
+    """Also inside other text, with a word put in, and two notices one after the other."""
+    texts = [(i, f"Copyright 2020 the authors. {t.text.capitalize()}. More words follow here.") for i, t in enumerate(LICENSES)]
+    n = len(texts)
+    pairs = [(i, (i + 7) % n) for i in range(n)]
+    texts += [(n + i, f"{LICENSES[a].text}\n\n{LICENSES[b].text}") for i, (a, b) in enumerate(pairs)]
+    got = {r.doc_id: r.labels for r in scan_licenses(docs(spark, texts)).collect()}
+    for i, t in enumerate(LICENSES):
+        assert got[i] == t.label
+    for i, (a, b) in enumerate(pairs):
+        assert got[n + i] == ",".join(sorted({LICENSES[a].label, LICENSES[b].label}))
+
+
+def test_kin_notices(spark):
+    notice = "This work is licensed under a Creative Commons {} International License."
+    rows = {1: notice.format("Attribution 4.0"), 2: notice.format("Attribution-NonCommercial-ShareAlike 4.0"),
+            3: notice.format("Attribution-NoDerivatives 4.0"),
+            4: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+               "Public License as published by the Free Software Foundation",
+            5: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+               "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+            6: (notice.format("Attribution 4.0") + " ") * 2000 + notice.format("Attribution-ShareAlike 4.0")}
+    got = {r.doc_id: r.labels for r in scan_licenses(docs(spark, list(rows.items()))).collect()}
+    assert got == {1: "cc-by", 2: "cc-by-nc-sa", 3: "cc-by-nd", 4: "lgpl", 5: "mpl-2", 6: "cc-by,cc-by-sa"}
+
+
 def test_empty_table(spark):
     assert scan_licenses(docs(spark, [])).collect() == []
