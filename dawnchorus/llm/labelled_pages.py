@@ -17,7 +17,7 @@ CONTENT_FRAMES = (
     "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<article class='post'>{}</article>",
     "<div class='content'>{}</div>", "<div id='content'><div class='entry-content'>{}</div></div>",
     "<section class='story'>{}</section>", "<div id='main'><div class='article-body'>{}</div></div>",
-    "<div class='post-text'>{}</div>", "<div>{}</div>", "<section>{}</section>", "{}",
+    "<div class='post-text'>{}</div>", "<div>{}</div>", "<section>{}</section>", "{}", "{}", "{}", "{}",
 )
 MENUS = ("<nav>{}</nav>", "<nav class='menu'>{}</nav>", "<div class='menu'>{}</div>", "<div class='navbar'>{}</div>",
          "<ul class='nav'>{}</ul>", "<div id='navigation'>{}</div>", "<div class='breadcrumb'>{}</div>", "<menu>{}</menu>")
@@ -26,7 +26,8 @@ HEADERS = ("<header>{}</header>", "<div class='header'>{}</div>", "<div id='mast
 FOOTERS = ("<footer>{}</footer>", "<div class='footer'>{}</div>", "<div id='footer'>{}</div>",
            "<footer class='site-footer'>{}</footer>", "<div class='copyright'>{}</div>")
 SIDEBARS = ("<aside>{}</aside>", "<div class='sidebar'>{}</div>", "<div id='sidebar'>{}</div>", "<aside class='related'>{}</aside>",
-            "<div class='related-links'>{}</div>", "<div class='widget'>{}</div>", "<section class='recommended'>{}</section>")
+            "<div class='related-links'>{}</div>", "<div class='widget'>{}</div>", "<section class='recommended'>{}</section>", "<div class='teaser'>{}</div>",
+            "<div class='share'>{}</div>", "<div class='social'>{}</div>", "<div class='more-stories'>{}</div>")
 NOTICES = ("<div class='cookie-notice'>{}</div>", "<div class='cookie'>{}</div>", "<div class='notice'>{}</div>",
            "<div id='consent'>{}</div>", "<div class='alert'>{}</div>", "<div class='popup'>{}</div>", "<dialog>{}</dialog>",
            "<section class='newsletter'>{}</section>", "<p class='notice'>{}</p>", "<div class='gdpr-banner'>{}</div>")
@@ -52,7 +53,7 @@ def _sentence(rng: random.Random, low: int, high: int) -> str:
 
 
 def _links(rng: random.Random) -> str:
-    links = [f"<a href='/'>{_words(rng, 1, 4)}</a>" for _ in range(rng.randint(2, 9))]
+    links = [f"<a href='/'>{_words(rng, 1, 4)}</a>" for _ in range(rng.randint(1, 9))]
     if rng.random() < 0.6:
         return "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
     return rng.choice((" ", " | ", "<br>")).join(links)
@@ -118,8 +119,9 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
     for _ in range(count):
         blocks = [f"<h1>{_words(rng, 1, 12)}</h1>"] if rng.random() < 0.8 else []
         blocks += [_paragraph(rng) for _ in range(rng.randint(1, 14))]
-        if rng.random() < 0.35:  # a part that is not main text inside the main container
-            inner = rng.choice(((ADVERTS, _prose), (SIDEBARS, _links), (NOTICES, _prose), (COMMENTS, _comments), (FORMS, _form)))
+        if rng.random() < 0.5:  # a part that is not main text inside the main container
+            inner = rng.choice(((ADVERTS, _prose), (SIDEBARS, _links), (SIDEBARS, _prose), (NOTICES, _prose), (COMMENTS, _comments),
+                                (COMMENTS, _comments), (FORMS, _form)))
             blocks.insert(rng.randint(1, len(blocks)), _labelled("other", rng.choice(inner[0]), inner[1](rng)))
         frame = rng.choice(CONTENT_FRAMES)
         if frame == "{}":
@@ -127,8 +129,15 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
         else:
             main = _labelled("main", frame, "".join(blocks))
         alone = rng.random() < 0.3  # nothing but the main text
-        body = main if alone else "".join([*some(parts), main, *some(after)])
+        before, behind = ([], []) if alone else (some(parts), some(after))
+        if rng.random() < 0.12:  # cells of a table as columns of the page
+            cells = [_labelled("other", "<td>{}</td>", _links(rng)), f"<td>{main}</td>"]
+            if rng.random() < 0.4:
+                cells.append(_labelled("other", "<td>{}</td>", rng.choice((_links, _prose))(rng)))
+            main = f"<table><tr>{''.join(cells)}</tr></table>"
+        body = "".join([*before, main, *behind])
         if rng.random() < 0.3:
-            body = rng.choice(("<div id='wrapper'>{}</div>", "<div class='container'>{}</div>", "<div class='page'>{}</div>")).format(body)
+            body = rng.choice(("<div id='wrapper'>{}</div>", "<div class='container'>{}</div>", "<div class='page'>{}</div>",
+                               "<div>{}</div>", "<center>{}</center>")).format(body)
         pages.append(body if rng.random() < 0.2 else f"<html><body>{body}</body></html>")
     return pages

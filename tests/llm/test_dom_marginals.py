@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,48 @@ def test_pages(spark, model):
     assert dom.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+HEAD = "<div class='header'>Site of many things</div>"
+ARTICLE = ("<h1>The title of it</h1><p>First paragraph of the story is here, and long enough.</p><p>Second one, a bit longer than the "
+           "first one was, with words.</p><p>Third and last, it ends.</p>")
+FOOT = "<div class='footer'>Copyright 2020 all rights reserved</div>"
+LAYOUTS = {
+    "flat": f"<body>{HEAD}{ARTICLE}{FOOT}</body>", "one wrapper": f"<body><div>{HEAD}{ARTICLE}{FOOT}</div></body>",
+    "wrapper and menu": f"<body><div class='wrapper'>{HEAD}<nav><a href=/>Home</a></nav>{ARTICLE}{FOOT}</div></body>",
+    "table": f"<body><table><tr><td><a href='/'>Home</a></td><td>{ARTICLE}</td></tr></table></body>",
+    "compound name": f"<article>{ARTICLE}<section class='usercomments'><p>I liked it.</p><p>Me too, well.</p></section></article>",
+    "teaser": f"<body><article>{ARTICLE}<div class='teaser'>Read on the next story of ours</div></article></body>",
+    "unknown names": f"<body><div class='xyz'>{ARTICLE}</div><div class='foo'><a>Home</a> <a>About</a></div></body>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(model, layout):
+    assert dom.main_text(LAYOUTS[layout], model) == "\n".join(re.findall(r"<(?:h1|p)>(.*?)</", ARTICLE))
+
+
+@pytest.mark.parametrize("source, texts", [
+    ("<p>a</p><canvas><p>b</p><p>c</p>", ["a", "b", "c"]), ("<p>a<object><b>x</b></object>b<audio>c", ["a", "bc"]),
+    ("<p>f <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> g", ["f x=2 g"]),
+    ("<p>a<svg><title>t</title><g><svg><text>in</text></svg>no</g></svg>b</p>c", ["ab", "c"]),
+    ("<p title=\"a>b\">c<p title='d>e", ["c", "e"]), ("a < b <3 c", ["a < b <3 c"]), ("x<a href='", ["x<a href='"]),
+    ("<script>if (a<b) '</p>'</script>y<textarea>z", ["y", "z"]),
+    ("<table><tr><td>1<td>2<tr><td>3</table><ul><li>a<li>b<ul><li>c</ul><li>d</ul>", list("123abcd")),
+])
+def test_markup(source, texts):
+    assert [t for t in dom.parse(source).text if t] == texts
+
+
+@pytest.mark.parametrize("unit, rest", [("<a ", ""), ('<a x=">"', "'"), ("<!", ""), ("<canvas>", ""), ("<textarea>", ""), ("<!--", ""),
+                                        ("<li></li>", ""), ("<p class", " " * 100_000)])
+def test_hostile_markup_takes_time_in_proportion(unit, rest):
+    """A megabyte; quadratic time would be hours."""
+    nested = "<li><ul>" + "<div>" * 50_000 if unit == "<li></li>" else ""
+    began = time.monotonic()
+    dom.contract(dom.parse(nested + unit * (1_000_000 // len(unit)) + rest))
+    dom.contract(dom.parse("".join(f"<div class=k{i}>" for i in range(50_000)) + "x"))
+    assert time.monotonic() - began < 30
+
+
 def test_whole_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op10_dom_marginals"](spark, SF).collect():
