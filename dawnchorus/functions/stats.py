@@ -31,8 +31,8 @@ def _betacf(a: float, b: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function of a={a}, b={b}, x={x} did not converge")
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -64,60 +64,50 @@ def t_sf2(t: float, df: float) -> float:
     return betainc_reg(df / 2.0, 0.5, df / (df + t * t))
 
 
-def weighted_kendall_tau_b(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Kendall's tau-b of observations given as distinct (x, y) cells with
-    multiplicities ``w``; exact, O(cells log cells) without enumerating pairs.
+def weighted_concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """S = Σ over pairs of cells of sgn(dx)·sgn(dy)·w·w', without enumerating pairs.
 
-    S = Σ_{pairs} sgn(dx)·sgn(dy) is obtained from 2-D dominance sums: cells are
-    processed in ascending x; a Fenwick tree over y ranks holds the weight of
-    cells with smaller x.
+    In the order of (x, y), pairs are told by the highest bit in which the ranks of
+    their y differ: within equal higher bits, one running sum a bit counts them all.
+    Pairs of equal x, which that order counts as concordant, are taken off again.
+    Cells may repeat; O(cells log² cells) in vectorized steps.
     """
-    w = w.astype(np.float64)
-    n = w.sum()
-    if n < 2:
-        return float("nan")
-    n0 = n * (n - 1) / 2
+    if len(w) == 0:
+        return 0.0
+    w = np.asarray(w, np.float64)
     _, xi = np.unique(x, return_inverse=True)
-    yu, yi = np.unique(y, return_inverse=True)
+    _, yi = np.unique(y, return_inverse=True)
+    order = np.lexsort((yi, xi))
+    xi, yi, w = xi[order], yi[order], w[order]
     wx = np.bincount(xi, weights=w)
-    wy = np.bincount(yi, weights=w)
-    n1 = float((wx * (wx - 1) / 2).sum())
-    n2 = float((wy * (wy - 1) / 2).sum())
-    m = len(yu)
-    tree = np.zeros(m + 1)
-
-    def add(i, v):
-        i += 1
-        while i <= m:
-            tree[i] += v
-            i += i & -i
-
-    def prefix(i):  # weight of ranks < i
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
+    first = np.concatenate(([True], (xi[1:] != xi[:-1]) | (yi[1:] != yi[:-1])))
+    cells = np.add.reduceat(w, np.flatnonzero(first))  # equal cells are one
+    total = -(float((wx * wx).sum()) - float((cells * cells).sum())) / 2
+    for bit in range(int(yi.max()).bit_length()):
+        prefix = yi >> (bit + 1)
+        by = np.argsort(prefix, kind="stable")
+        group, one, v = prefix[by], (yi[by] >> bit) & 1 == 1, w[by]
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(group)])))
+        zeros = np.cumsum(np.where(one, 0.0, v))
+        before = zeros - np.repeat((zeros - np.where(one, 0.0, v))[starts], sizes)
+        weight = np.add.reduceat(np.where(one, 0.0, v), starts)
+        # Of the group's zeros those before a one are smaller and stand earlier, the rest later.
+        total += float((v * (2 * before - np.repeat(weight, sizes)))[one].sum())
+    return total
+
+
+def kendall_tau_b(s: float, n: float, x_ties: float, y_ties: float) -> float:
+    """tau-b of S, the number of observations and the pairs tied in x and in y."""
+    pairs = n * (n - 1) / 2
+    scale = math.sqrt(max((pairs - x_ties) * (pairs - y_ties), 0.0))
+    return s / scale if n >= 2 and scale > 0 else float("nan")
 
-    order = np.lexsort((yi, xi))
-    xs, ys, ws = xi[order], yi[order], w[order]
-    s_total = 0.0
-    inserted = 0.0
-    start = 0
-    c = len(xs)
-    while start < c:
-        end = start
-        while end < c and xs[end] == xs[start]:
-            end += 1
-        for k in range(start, end):
-            below = prefix(ys[k])
-            above = inserted - prefix(ys[k] + 1)
-            s_total += ws[k] * (below - above)
-        for k in range(start, end):
-            add(ys[k], ws[k])
-            inserted += ws[k]
-        start = end
-    denom = math.sqrt((n0 - n1) * (n0 - n2))
-    if denom == 0:
-        return float("nan")
-    return s_total / denom
+
+def weighted_kendall_tau_b(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Kendall's tau-b of observations given as (x, y) cells with multiplicities ``w``."""
+    def ties(values):
+        sums = np.bincount(np.unique(values, return_inverse=True)[1], weights=w) if len(values) else np.zeros(0)
+        return float((sums * (sums - 1) / 2).sum())
+
+    return kendall_tau_b(weighted_concordance(x, y, w), float(np.sum(w)), ties(x), ties(y))

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from dawnchorus.functions.calendar import hour24
 from dawnchorus.functions.labels import CI_Z, SIGNIFICANCE, TERM_LABELS
-from dawnchorus.functions.stats import f_sf, t_sf2, weighted_kendall_tau_b
+from dawnchorus.functions.stats import f_sf, t_sf2, weighted_concordance
 from dawnchorus.operators.counting import n_rows
 from dawnchorus.operators.species import SCIENTIFIC, SPECIES, top_species
 from dawnchorus.session import ship_package, written
@@ -65,29 +65,31 @@ def hour_matrix(df: DataFrame, k: int = 10, fill: int | None = None, ts: str = "
     return m
 
 
-_KENDALL_SCHEMA = T.StructType([
-    T.StructField("term", T.StringType()),
-    T.StructField("vogelart", T.StringType()),
-    T.StructField("korrelation", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-])
+def _concordance_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    s = weighted_concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
+    return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "s": [s]})
 
 
-def _kendall_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    tau = weighted_kendall_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-    return pd.DataFrame({"term": [pdf["a"].iloc[0]], "vogelart": [pdf["b"].iloc[0]],
-                         "korrelation": [None if math.isnan(tau) else tau],
-                         "n": [int(pdf["w"].sum())]})
+def _blocks(bounds: str, value: str):
+    """2 × (boundaries below the value), plus one when it is a boundary itself."""
+    below = F.size(F.filter(bounds, lambda b: b < F.col(value)))
+    return 2 * below + F.array_contains(bounds, F.col(value)).cast("int")
 
 
-def kendall(matrix: DataFrame, cols: list[str], triangle: bool = False) -> DataFrame:
+def kendall(matrix: DataFrame, cols: list[str], triangle: bool = False, blocks: int = 256,
+            whole: int = 200_000) -> DataFrame:
     """M2: Kendall's tau-b between every pair of ``cols`` (pairwise-complete).
 
     Per row the value pairs of all column pairs are emitted (``k(k−1)/2`` per
-    row, fixed by the number of columns), reduced to distinct (x, y) cells
-    with a weight (map-side partial aggregation), and each column pair's cells
-    go to one ``applyInPandas`` call that computes tau-b in O(cells·log) —
-    the cell count is bounded by distinct value pairs, not by rows.
+    row, fixed by the number of columns) and reduced to distinct (x, y) cells
+    with a weight (map-side partial aggregation).  The cells of a pair are cut
+    into blocks along x and along y at quantiles (a mergeable sketch; ``blocks``
+    along each; a pair of at most ``whole`` cells is one block), and every two cells
+    with different x and y are counted in one of three kinds of group: cells of one
+    block of x; those of one block of y, by their blocks of x; the two-way table
+    of blocks.  So a group holds about a ``blocks``-th of a pair's cells (or 4·blocks²
+    table cells), whatever the data; a value that many cells share is a boundary, so
+    it is a block of its own and has nothing to count within.
 
     ``triangle=True`` returns one triangle: ``term`` is the later column in
     ``cols`` order and ``vogelart`` the earlier one; otherwise both directions.
@@ -104,7 +106,37 @@ def kendall(matrix: DataFrame, cols: list[str], triangle: bool = False) -> DataF
              .select("p.*")
              .where(F.col("x").isNotNull() & F.col("y").isNotNull())
              .groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-    out = cells.groupBy("a", "b").applyInPandas(_kendall_group, _KENDALL_SCHEMA)
+    quantiles = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    cut = F.count(F.lit(1)) > whole
+    none = F.array().cast("array<double>")
+
+    def bounds(c):
+        return F.when(cut, F.array_sort(F.array_distinct(F.percentile_approx(c, quantiles)))).otherwise(none).alias(f"{c}_bounds")
+
+    # k(k−1)/2 rows of fixed size, so they are broadcast.
+    facts = cells.groupBy("a", "b").agg(F.sum("w").alias("n"), bounds("x"), bounds("y"))
+    placed = (cells.join(F.broadcast(facts.drop("n")), ["a", "b"])
+              .select("a", "b", "x", "y", "w", (F.size("x_bounds") > 0).alias("cut"),
+                      _blocks("x_bounds", "x").alias("bx"), _blocks("y_bounds", "y").alias("by")))
+    by_x = placed.where("bx % 2 = 0").select("a", "b", F.lit(0).alias("kind"), F.col("bx").alias("part"), "x", "y", "w")
+    as_block = F.col("bx").cast("double").alias("x")
+    by_y = (placed.where("cut and by % 2 = 0").groupBy("a", "b", "bx", "by", "y").agg(F.sum("w").alias("w"))
+            .select("a", "b", F.lit(1).alias("kind"), F.col("by").alias("part"), as_block, "y", "w"))
+    table = (placed.where("cut").groupBy("a", "b", "bx", "by").agg(F.sum("w").alias("w"))
+             .select("a", "b", F.lit(2).alias("kind"), F.lit(0).alias("part"), as_block, F.col("by").cast("double").alias("y"), "w"))
+    parts = (by_x.unionByName(by_y).unionByName(table).groupBy("a", "b", "kind", "part")
+             .applyInPandas(_concordance_group, "a string, b string, s double")
+             .groupBy("a", "b").agg(F.sum("s").alias("s")))
+
+    def ties(c):
+        sums = cells.groupBy("a", "b", c).agg(F.sum("w").cast("double").alias("t"))
+        return sums.groupBy("a", "b").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"{c}_ties"))
+
+    joined = (facts.select("a", "b", "n").join(ties("x"), ["a", "b"]).join(ties("y"), ["a", "b"]).join(parts, ["a", "b"], "left"))
+    all_pairs = F.col("n") * (F.col("n") - 1) / 2
+    scale = F.sqrt(F.greatest((all_pairs - F.col("x_ties")) * (all_pairs - F.col("y_ties")), F.lit(0.0)))
+    out = joined.select(F.col("a").alias("term"), F.col("b").alias("vogelart"),
+                        F.when((F.col("n") >= 2) & (scale > 0), F.coalesce("s", F.lit(0.0)) / scale).alias("korrelation"), "n")
     if triangle:
         return out
     # Both directions from the one result: the fit is planned, and run, once.

@@ -92,17 +92,18 @@ def weekly_change_wide(df: DataFrame, as_of: str, k: int = 10, n_weeks: int = 4,
 def new_species_wide(df: DataFrame, min_obs: int = MIN_OBSERVATIONS, ts: str = "zeitstempel",
                      species: str = SPECIES, weeks: list[int] | None = None) -> DataFrame:
     """T4: new species per week as columns ``KW <week>``, numbered rows, blanks
-    for missing cells.  Like the reference, weeks are grouped by their label
-    (week number), across years; columns stand in the order in which the weeks
-    first appear, or as given in ``weeks``."""
+    for missing cells.  Like the reference, species are numbered within a week's label
+    (week number), across years, and species of different years stand in different
+    rows, so that a number can come once for each year; columns stand in the order in
+    which the weeks first appear, or as given in ``weeks``."""
     ns = written(new_species(df, min_obs, ts, species), "new-species")  # one row per species
     w = Window.partitionBy("kalenderwoche").orderBy("jahr", "neue_vogelarten")
     numbered = ns.withColumn("nummer", F.row_number().over(w))
     if weeks is None:
         first = ns.groupBy("kalenderwoche").agg(F.min("jahr").alias("jahr")).orderBy("jahr", "kalenderwoche")
         weeks = [r["kalenderwoche"] for r in first.collect()]  # at most 53
-    wide = (numbered.groupBy("nummer").pivot("kalenderwoche", weeks)
-            .agg(F.first("neue_vogelarten")))
+    wide = (numbered.groupBy("nummer", "jahr").pivot("kalenderwoche", weeks)
+            .agg(F.first("neue_vogelarten")).drop("jahr"))
     wide = wide.withColumnsRenamed({str(x): f"KW {x}" for x in weeks})
     return wide.fillna("", subset=[f"KW {x}" for x in weeks])
 

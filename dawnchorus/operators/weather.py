@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dawnchorus.functions.calendar import floor_hour, pick, season_label, season_ordinal
-from dawnchorus.functions.geo import haversine_km
+from dawnchorus.functions.geo import SphereGrid, haversine_km
 from dawnchorus.functions.labels import (
     CLOUD_LABELS, PRECIPITATION_LABELS, STATION_RADIUS_KM, WEATHER_RENAMES,
     WEATHER_VARIABLES,
@@ -54,14 +54,46 @@ def nearby_stations(stations: DataFrame, position: DataFrame,
     return out.dropna()
 
 
-def best_station(df: DataFrame) -> DataFrame:
-    """Per variable the station with the newest data; nearest breaks ties,
-    then the station id.  Exactly one row per variable (``WindowGroupLimit``
-    keeps only the top row per partition before the final window)."""
-    w = Window.partitionBy("var").orderBy(F.desc("bis_datum"), F.asc("dist"),
+def last_positions(det: DataFrame, by: str = "station", ts: str = "zeitstempel", lat: str = "breitengrad",
+                   lon: str = "laengengrad") -> DataFrame:
+    """The latest position of each ``by`` (microphone): (by, lat, lon); ties as in ``last_position``."""
+    key = F.struct(F.col(ts), F.col(lat), F.col(lon))
+    return det.where(F.col(ts).isNotNull()).groupBy(by).agg(
+        F.max_by(F.col(lat), key).alias("lat"), F.max_by(F.col(lon), key).alias("lon"))
+
+
+def stations_near(stations: DataFrame, positions: DataFrame, by: str = "station", radius_km: float = STATION_RADIUS_KM,
+                  res: str = "hourly", per: str = "recent", variables: list[str] | None = None,
+                  lat: str = "geo_breite", lon: str = "geo_laenge") -> DataFrame:
+    """W1 for many positions ``(by, lat, lon)``: each with every station within the radius.
+
+    An equi-join on the cells of a grid on the sphere: a station is in one cell, a place
+    in the few cells that its circle can reach, so a pair meets at most once, and only
+    neighbours meet; then the exact distance.  Positions at one place are searched for once.
+    Rows with any NULL are dropped, as in ``nearby_stations``.
+    """
+    variables = variables or WEATHER_VARIABLES
+    grid = SphereGrid(radius_km)
+    wanted = stations.where((F.col("res") == res) & (F.col("per") == per) & F.col("var").isin(*variables))
+    wanted = wanted.dropna().withColumn("_cell", grid.cell(lat, lon))
+    places = (positions.select("lat", "lon").distinct()
+              .select("lat", "lon", F.explode(grid.cells_near("lat", "lon")).alias("_cell")))
+    found = (places.join(wanted, "_cell")
+             .withColumn("dist", haversine_km("lat", "lon", F.col(lat), F.col(lon)))
+             .where(F.col("dist") <= radius_km).drop("_cell"))
+    return positions.select(by, "lat", "lon").dropna().join(found, ["lat", "lon"]).select(by, *stations.columns, "dist")
+
+
+def best_station(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Per variable (and per ``by``, for many positions) the station with the newest
+    data; nearest breaks ties, then the station id.  Exactly one row per variable
+    (``WindowGroupLimit`` keeps only the top row per partition before the final window)."""
+    keys = [by] if by else []
+    w = Window.partitionBy(*keys, "var").orderBy(F.desc("bis_datum"), F.asc("dist"),
                                           F.asc("stations_id"))
     top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
     return top.select(
+        *[F.col(k).alias("position") for k in keys],
         F.col("stations_id").alias("station"),
         F.col("stationsname").alias("ort"),
         F.col("var").alias("wettervariable"),

@@ -60,8 +60,8 @@ DO = """dord AS (SELECT o_orderdate AS zeitstempel, lower(o_orderpriority) AS wi
     CAST(51.85 AS DOUBLE) AS breitengrad, CAST(6.62 AS DOUBLE) AS laengengrad,
     CAST(0.0 AS DOUBLE) AS ueberlappung FROM orders)"""
 
-OBS = """hr AS (SELECT date_trunc('hour', ts) AS mess_datum, max(value) AS v, min(user_id) AS u
-    FROM events WHERE event_type = 'error' GROUP BY 1),
+OBS = """hr AS (SELECT date_trunc('hour', ts) AS mess_datum, max({'u': user_id, 'v': value}).v AS v, min(user_id) AS u
+    FROM events GROUP BY 1),
 obs AS (
   SELECT CAST(1 AS BIGINT) AS stations_id, mess_datum, v % 30 - 5 AS tt_tu_lufttemperatur,
     v % 100 AS rf_tu_relative_feuchte, CAST(NULL AS DOUBLE) AS p_luftdruck_nn,
@@ -470,6 +470,20 @@ def build() -> dict[str, str]:
         ORDER BY bis_datum DESC, dist ASC, stations_id ASC) AS rn FROM nearby) _n WHERE rn = 1""",
         ["entfernung"])
 
+    # every user's last position with every station: all pairs, by brute force
+    of_users = STATIONS[:STATIONS.index("pos AS (")] + """pos AS (SELECT station AS position, p.lat, p.lon FROM (
+        SELECT station, max({'t': zeitstempel, 'lat': breitengrad, 'lon': laengengrad}) AS p
+        FROM du WHERE zeitstempel IS NOT NULL GROUP BY station)),
+    """ + STATIONS[STATIONS.index("near AS ("):].replace("SELECT st.*,", "SELECT pos.position, st.*,")
+    s["stations_near"] = f"WITH {DU}, {of_users} " + rounded(
+        "SELECT position, count(*) AS stationen, min(dist) AS naechste, max(dist) AS fernste FROM nearby GROUP BY 1",
+        ["naechste", "fernste"])
+    s["best_stations_near"] = f"WITH {DU}, {of_users} " + rounded(
+        """SELECT position, stations_id AS station, stationsname AS ort, var AS wettervariable,
+        dist AS entfernung, url AS link FROM (SELECT *, row_number() OVER (PARTITION BY position, var
+        ORDER BY bis_datum DESC, dist ASC, stations_id ASC) AS rn FROM nearby) _n WHERE rn = 1""",
+        ["entfernung"])
+
     wx_sql = rounded("SELECT * FROM wx", WX_DOUBLES)
     s["weather_files"] = f"WITH {OBS}, {COL}, {WX} {wx_sql}"
     s["hourly_weather"] = s["weather_files"]
@@ -671,8 +685,8 @@ def build() -> dict[str, str]:
                           for w in range(1, last + 1))
         return f"""WITH {DU}, {_new_species()},
         num AS (SELECT CAST(row_number() OVER (PARTITION BY kalenderwoche ORDER BY jahr, neue_vogelarten) AS INTEGER)
-            AS nummer, kalenderwoche, neue_vogelarten FROM ns)
-        SELECT nummer, {cells} FROM num GROUP BY nummer"""
+            AS nummer, jahr, kalenderwoche, neue_vogelarten FROM ns)
+        SELECT nummer, {cells} FROM num GROUP BY nummer, jahr"""
 
     s["new_species_wide"] = new_wide(5)
 

@@ -99,17 +99,16 @@ def detections_by_customer(orders: DataFrame) -> DataFrame:
 def weather_observations(events: DataFrame) -> DataFrame:
     """Raw hourly readings of three stations, stacked like the loaded files.
 
-    The 'error' events of an hour give one reading (their largest value and
-    smallest user id).  Station 1 measures temperature and humidity, station 2
+    All events of an hour give one reading (the value of the largest user id, and
+    the smallest user id).  Station 1 measures temperature and humidity, station 2
     pressure and soil temperature, station 3 the sky: precipitation, cloud
     cover, sunshine and wind.  Columns a station does not measure are NULL, so
     the collapse step (W4) sums exactly one value per hour and column.  Codes
     can leave their legal range (precipitation 2, cloud 9) and wind is missing
     for a quarter of the hours.
     """
-    hourly = (events.where(F.col("event_type") == "error")
-              .groupBy(floor_hour("ts").alias("mess_datum"))
-              .agg(F.max("value").alias("_v"), F.min("user_id").alias("_u")))
+    hourly = (events.groupBy(floor_hour("ts").alias("mess_datum"))
+              .agg(F.max(F.struct("user_id", "value"))["value"].alias("_v"), F.min("user_id").alias("_u")))
     v, fv, u = F.col("_v"), F.floor(F.col("_v")), F.col("_u")
     null = F.lit(None).cast("double")
     cols = {
@@ -133,7 +132,7 @@ def weather_observations(events: DataFrame) -> DataFrame:
 
 
 def detections_without_errors(events: DataFrame) -> DataFrame:
-    """Detections that meet the hourly weather built from the 'error' events."""
+    """Detections that meet the hourly weather: all events but the 'error' ones."""
     return detections_by_type(events.where(F.col("event_type") != "error"))
 
 

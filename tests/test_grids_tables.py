@@ -76,6 +76,15 @@ def test_new_species_wide(spark):
     assert [(r.nummer, r["KW 1"], r["KW 2"]) for r in w] == [(1, "a", "c"), (2, "b", "")]
 
 
+def test_new_species_wide_over_years(spark):
+    """A number comes once for each year that has a species under it."""
+    rows = ([(dt.datetime(2023, 1, 3, 8), "a")] * 10 + [(dt.datetime(2023, 1, 4, 8), "b")] * 10
+            + [(dt.datetime(2024, 1, 2, 8), "c")] * 10 + [(dt.datetime(2024, 1, 9, 8), "d")] * 10)
+    w = tables.new_species_wide(_df(spark, rows))
+    assert w.columns == ["nummer", "KW 1", "KW 2"]
+    assert sorted(tuple(r) for r in w.collect()) == [(1, "", "d"), (1, "a", ""), (2, "b", ""), (3, "c", "")]
+
+
 def test_event_study(spark):
     rows = ([(dt.datetime(2024, 3, 3, 8), "Amsel")] * 3 + [(dt.datetime(2024, 3, 4, 8), "x")]
             + [(dt.datetime(2024, 3, 10, 8), "x")] * 4 + [(dt.datetime(2024, 3, 16, 8), "Amsel")])

@@ -146,6 +146,28 @@ def test_principal_order(spark):
     assert models.principal_order(pairs.limit(0), ["q"]) == ["q"]
 
 
+@pytest.mark.parametrize("blocks", [2, 5, 16])
+def test_kendall_in_blocks(spark, blocks):
+    """Cut into blocks against the kernel on the whole pair; a value of x and one of y hold a third each."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    x = np.where(rng.random(n) < 0.34, 7.0, rng.integers(0, 900, n))
+    y = np.where(rng.random(n) < 0.34, 3.0, x // 2 + rng.integers(0, 400, n))
+    m = spark.createDataFrame([(float(a), float(b), 1.0) for a, b in zip(x, y)], "p double, q double, same double")
+    got = {(r.term, r.vogelart): (r.korrelation, r.n) for r in
+           models.kendall(m, ["p", "q", "same"], triangle=True, blocks=blocks, whole=0).collect()}
+    want = weighted_kendall_tau_b(x, y, np.ones(n))
+    assert got[("q", "p")][0] == pytest.approx(want, abs=1e-12) and got[("q", "p")][1] == n
+    assert got[("same", "p")] == (None, n)
+    small = [(a, b) for a, b in zip(x[:80], y[:80])]
+    assert weighted_kendall_tau_b(x[:80], y[:80], np.ones(80)) == pytest.approx(brute_tau_b(*zip(*small)), abs=1e-12)
+
+
+def test_incomplete_beta_raises_without_convergence():
+    with pytest.raises(ArithmeticError):
+        f_sf(1.0, 1e14, 1e14)
+
+
 def test_kendall_is_planned_once(spark):
     m = spark.createDataFrame([(1, 2, 3), (2, 1, 3), (3, 3, 1), (4, None, 0)], "a int, b int, c int")
     k = models.kendall(m, ["a", "b", "c"])

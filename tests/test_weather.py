@@ -1,4 +1,8 @@
 import datetime as dt
+import math
+import random
+
+import pytest
 
 from dawnchorus.operators import weather
 
@@ -75,3 +79,29 @@ def test_service_files_as_delivered(spark, tmp_path):
     absent = [c for c in weather.WEATHER_RENAMES if c not in rows[0].__fields__]
     optional = ("rs_ind_niederschlagsindikator", "v_n_bedeckungsgrad", *absent)
     assert weather.to_weather(load_weather(spark, [str(one)]), optional=(*optional, "f_windgeschwindigkeit")).count() == 3
+
+
+@pytest.mark.parametrize("radius", [50.0, 700.0, 9000.0])
+def test_stations_near_many_positions(spark, radius):
+    """Against every pair: poles, the date line, repeated places, missing coordinates."""
+    rng = random.Random(5)
+    points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)]
+    points += [(90.0, 0.0), (-90.0, 17.0), (89.9, 10.0), (89.9, -170.0), (0.0, 180.0), (0.1, -180.0), (0.0, 179.9), (60.0, -179.99)]
+    points += [(a + rng.uniform(-0.4, 0.4) * (abs(a) < 89), b) for a, b in points]
+    spots = [(i, a, b) for i, (a, b) in enumerate(points[::2])] + [(900, 0.0, 180.0), (901, 0.0, 180.0), (902, None, 1.0)]
+    index = [(i, f"s{i}", "wind", "hourly", "recent", dt.date(2024, 1, 1 + i % 3), a, b, f"u{i}") for i, (a, b) in enumerate(points)]
+    stations = spark.createDataFrame(index, "stations_id int, stationsname string, var string, res string, per string, "
+                                            "bis_datum date, geo_breite double, geo_laenge double, url string")
+    positions = spark.createDataFrame(spots, "station int, lat double, lon double")
+    found = weather.stations_near(stations, positions, radius_km=radius, variables=["wind"])
+    got = [(r.station, r.stations_id) for r in found.collect()]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = [(i, s[0]) for i, a, b in spots if a is not None for s in index if km(a, b, s[6], s[7]) <= radius]
+    assert sorted(got) == sorted(want) and want
+    best = weather.best_station(found, "station").collect()
+    assert len(best) == len({i for i, _ in want})
