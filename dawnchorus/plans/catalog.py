@@ -19,6 +19,7 @@ from dawnchorus.functions.calendar import simple_week
 from dawnchorus.functions.labels import TABLE_LABELS
 from dawnchorus.operators import cleaning, grids, models, species, study, tables, weather
 from dawnchorus.plans import report
+from dawnchorus.plans.cube import detection_cube, distinct_at, distinct_exactly, distinct_sketches, sketch_bound
 from dawnchorus.session import scratch_path, written
 from dawnchorus.sources import archive, detections as det_src, testdata as td
 from dawnchorus.sources.weather import PRODUCT_NAMES, load_weather, write_observation_file
@@ -447,6 +448,34 @@ def q_hour_grid_species(spark, sf_dir):
     return grids.hour_grid(_t(spark, sf_dir).by_type(), "species")
 
 
+def q_hour_grid_clock(spark, sf_dir):
+    """C8 with every hour of the clock and missing days"""
+    return grids.hour_grid(td.detections_round_the_clock(_t(spark, sf_dir).raw("orders")), "count")
+
+
+def q_hour_grid_clock_species(spark, sf_dir):
+    """C9 with every hour of the clock and missing days"""
+    return grids.hour_grid(td.detections_round_the_clock(_t(spark, sf_dir).raw("orders")), "species")
+
+
+def q_corr_pairs_users(spark, sf_dir):
+    """M3 where the top ten restricts"""
+    return rounded(models.corr_pairs(_t(spark, sf_dir).by_user()))
+
+
+def q_distinct_sketches(spark, sf_dir):
+    """R2 / C5 from daily sketches united to weeks, months and years: exact counts, and whether the estimate keeps its bound"""
+    cube = detection_cube(_t(spark, sf_dir).by_customer())
+    daily = written(distinct_sketches(cube), "day-sketches")
+    out = None
+    for grain in ("day", "week", "month", "year"):
+        near = F.abs(F.col("geschaetzt") - F.col("genau")) <= F.greatest(F.lit(sketch_bound()) * F.col("genau"), F.lit(1.0))
+        one = (distinct_exactly(cube, grain).join(distinct_at(daily, grain), "beginn")
+               .select(F.lit(grain).alias("einheit"), "beginn", "genau", near.alias("im_rahmen")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_caption(spark, sf_dir):
     """C10"""
     t = _t(spark, sf_dir)
@@ -634,7 +663,6 @@ def q_single_trend(spark, sf_dir):
 # --- the same outputs from the count cube -----------------------------------
 
 def _cube(frame):
-    from dawnchorus.plans.cube import detection_cube
     return detection_cube(frame)
 
 
@@ -711,6 +739,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearby_stations": q_nearby_stations,
     "best_stations": q_best_stations,
     "stations_near": q_stations_near,
+    "hour_grid_clock": q_hour_grid_clock,
+    "hour_grid_clock_species": q_hour_grid_clock_species,
+    "corr_pairs_users": q_corr_pairs_users,
+    "distinct_sketches": q_distinct_sketches,
     "best_stations_near": q_best_stations_near,
     "weather_files": q_weather_files,
     "weather_collapse": q_weather_collapse,

@@ -13,7 +13,9 @@ loss) so the outputs built on it do not recompute the raw aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.calendar import floor_hour
@@ -21,6 +23,9 @@ from dawnchorus.operators import grids, models, species, study
 from dawnchorus.session import shared_dir
 
 WEIGHT = "n"
+#: log2 of a sketch's registers: at most 4 KB each.
+SKETCH_BITS = 12
+GRAINS = ("day", "week", "month", "quarter", "year")
 
 
 def detection_cube(df: DataFrame, ts: str = "zeitstempel",
@@ -56,3 +61,38 @@ def counted_outputs(cube: DataFrame, as_of: str) -> dict[str, DataFrame]:
 
 def study_from_cube(cube: DataFrame, species_name: str, start: str, end: str) -> DataFrame:
     return study.weekly_share(cube, species_name, start, end, weight=WEIGHT)
+
+
+def sketch_bound(bits: int = SKETCH_BITS, sigmas: float = 4.0) -> float:
+    """Relative error that an estimate of united sketches keeps within, but for one in some 10,000
+    (``sigmas`` standard errors of 1.04 / sqrt(registers))."""
+    return sigmas * 1.04 / math.sqrt(2 ** bits)
+
+
+def distinct_sketches(cube: DataFrame, value: str = "deutscher_name", ts: str = "zeitstempel", bits: int = SKETCH_BITS) -> DataFrame:
+    """One HyperLogLog sketch of the values a day: ``tag``, ``skizze``.
+
+    Sums of daily distinct counts say nothing of a week; sketches unite to any
+    grain, so no coarser count goes back to the values.  A table of one row a day, to be stored.
+    NULL values are not counted.
+    """
+    return (cube.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("tag"))
+            .agg(F.hll_sketch_agg(value, bits).alias("skizze")))
+
+
+def _begin(grain: str, c: str) -> Column:
+    if grain not in GRAINS:
+        raise ValueError(f"one of {GRAINS}, not {grain}")
+    return F.to_date(F.date_trunc(grain, c))
+
+
+def distinct_at(sketches: DataFrame, grain: str) -> DataFrame:
+    """Estimated distinct values a ``grain`` from stored sketches: ``beginn``, ``geschaetzt``; see ``sketch_bound``."""
+    return sketches.groupBy(_begin(grain, "tag").alias("beginn")).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("skizze")).alias("geschaetzt"))
+
+
+def distinct_exactly(cube: DataFrame, grain: str, value: str = "deutscher_name", ts: str = "zeitstempel") -> DataFrame:
+    """The exact way: ``beginn``, ``genau``.  Values are first made distinct (partial aggregation), then counted."""
+    pairs = cube.where(F.col(ts).isNotNull()).select(_begin(grain, ts).alias("beginn"), value).distinct()
+    return pairs.groupBy("beginn").agg(F.count(value).alias("genau"))

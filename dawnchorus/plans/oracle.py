@@ -642,6 +642,16 @@ def build() -> dict[str, str]:
         (DT, "dt"), "count(DISTINCT deutscher_name) + max(CASE WHEN deutscher_name IS NULL THEN 1 ELSE 0 END)",
         "anzahl_vogelarten")
 
+    clock = DO.replace("o_orderdate AS zeitstempel", """CAST(DATE '1992-01-01' AS TIMESTAMP) + to_days(CAST(2 *
+        datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER)) + to_hours(o_orderkey % 24) AS zeitstempel""")
+    s["hour_grid_clock"] = hour_grid((clock, "dord"), "count(*)", "anzahl_erkennungen")
+    s["hour_grid_clock_species"] = hour_grid(
+        (clock, "dord"), "count(DISTINCT deutscher_name) + max(CASE WHEN deutscher_name IS NULL THEN 1 ELSE 0 END)",
+        "anzahl_vogelarten")
+    s["distinct_sketches"] = f"WITH {DC} " + " UNION ALL ".join(
+        f"""SELECT '{g}' AS einheit, CAST(date_trunc('{g}', zeitstempel) AS DATE) AS beginn,
+        count(DISTINCT deutscher_name) AS genau, true AS im_rahmen FROM du GROUP BY 1, 2""" for g in ("day", "week", "month", "year"))
+
     s["caption"] = f"WITH {DT}, {_period('dt')} " + rounded(
         """SELECT translate(format('{:,}', (SELECT count(*) FROM dt)), ',.', '.,') AS n_text,
             strftime(per.beginn, '%d.%m.%Y') AS beginn_text, strftime(per.ende, '%d.%m.%Y') AS ende_text,
@@ -775,6 +785,7 @@ def build() -> dict[str, str]:
             AND f.kalenderwoche IS NOT DISTINCT FROM c.kalenderwoche"""
     s["running_set_customers"] = s["running_set"].replace(DU, DC)
     s["kendall_users"] = f"WITH {DU}, {_hour_counts('du')}, {_KENDALL} " + rounded("SELECT * FROM kt", ["korrelation"])
+    s["corr_pairs_users"] = s["corr_pairs"].replace(DT, DU).replace(_hour_counts("dt"), _hour_counts("du"))
     # The matrix of centred cross-products, squared and scaled 30 times, is the first component's projector.
     s["corr_pairs_principal"] = f"""WITH RECURSIVE {DT}, {_hour_counts('dt')}, {_KENDALL},
         m AS (SELECT a.r AS i, b.r AS j, CASE WHEN a.r = b.r THEN 1.0 ELSE coalesce(kt.korrelation, 0) END AS v FROM top a

@@ -87,6 +87,17 @@ def detections_from_orders(orders: DataFrame) -> DataFrame:
         _confidence(F.col("o_totalprice") / 1000), F.lit(0.7), F.lit(51.85), F.lit(6.62)))
 
 
+def detections_round_the_clock(orders: DataFrame) -> DataFrame:
+    """Hours of a real clock with gaps: order dates drawn out to every second day, at
+    the hour of the order's number; priority = species."""
+    first = F.lit("1992-01-01").cast("date")
+    day = F.date_add(first, 2 * F.date_diff(F.to_date("o_orderdate"), first)).cast("timestamp_ntz")
+    clock = orders.withColumn("_ts", day + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int")))
+    return clock.select(*_detection_cols(
+        "_ts", F.col("o_orderpriority"), F.lower("o_orderpriority"),
+        _confidence(F.col("o_totalprice") / 1000), F.lit(0.7), F.lit(51.85), F.lit(6.62)))
+
+
 def detections_by_customer(orders: DataFrame) -> DataFrame:
     """Many species over a long calendar: every customer is a species.  Some have
     fewer than ten rows, and first weeks spread over several years."""

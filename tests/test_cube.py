@@ -1,6 +1,8 @@
+import pytest
+
 from dawnchorus.operators import grids, models, species
 from dawnchorus.plans.catalog import Tables
-from dawnchorus.plans.cube import counted_outputs, detection_cube
+from dawnchorus.plans.cube import counted_outputs, detection_cube, distinct_at, distinct_exactly, distinct_sketches, sketch_bound
 from tests.conftest import SF
 
 
@@ -30,3 +32,18 @@ def test_cube_outputs_equal_raw(spark):
     _same(out["haeufigste_vogelarten"], grids.top_shares(raw))
     _same(out["top_vogelarten_zeitverlauf"], grids.top_daily(raw))
     _same(out["stunden_matrix"], models.hour_matrix(raw))
+
+
+def test_sketches_unite_to_any_grain(spark):
+    """20,000 values over 40 days, each on several of them, with NULLs."""
+    raw = spark.range(0, 60_000).selectExpr(
+        "timestamp_ntz'2024-01-30 05:00:00' + make_dt_interval(cast(hash(id) % 20 as int) + 20) as zeitstempel",
+        "if(id % 50 = 0, null, concat('a', id % 20000)) as deutscher_name")
+    daily = distinct_sketches(raw)
+    for grain in ("day", "month", "year"):
+        rows = distinct_exactly(raw, grain).join(distinct_at(daily, grain), "beginn").collect()
+        assert rows and all(abs(r.geschaetzt - r.genau) <= sketch_bound() * r.genau for r in rows)
+    assert distinct_exactly(raw, "year").first().genau == 19_600
+    assert distinct_at(distinct_sketches(raw.limit(0)), "week").count() == 0
+    with pytest.raises(ValueError):
+        distinct_at(daily, "minute")
