@@ -51,6 +51,8 @@ WORDS = 5
 BAND_RATIO = 1.35
 #: Ids of documents to compare that are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Comparisons for one link found, beyond which no more stars are tried.
+MOST_VAIN = 20
 #: Bucket rows of a batch in which members of one bucket are reduced to the first.
 BLOCK_ROWS = 2_000_000
 
@@ -340,31 +342,36 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
         before = left
         pairs = materialize(_sized(_best_pairs(rows), sizes), "stars")
         found = verified(pairs, docs, percent)
+        new, tried = found.count(), pairs.count()
         drop_table(pairs)
         links = found if links is None else materialize(links.unionByName(found), "links")
         label = connected_components(links)
         if left == 0:
             return sizes, links
+        if MOST_VAIN * new < tried:
+            break
     ids = materialize(rows.select("doc").distinct(), "open-ids")
     drop_table(rows)
     texts = _only(docs, ids)
     # Every shingle a segment of its own.
-    fine = materialize(_labelled(shingle_rows(texts), label), "shingle-rows")
+    fine, before, stale = materialize(shingle_rows(texts), "shingle-rows"), None, True
     for turn in itertools.count():
-        last, fine = fine, materialize(_feasible(_labelled(fine, label)), "shingle-rows")
+        last, fine = fine, materialize(_feasible(_labelled(fine, label) if stale else fine), "shingle-rows")
         drop_table(last)
-        now = fine.select("doc").distinct().count()
+        now = fine.count()
         if now == 0:
             return sizes, links
         pairs = materialize(_sized(_hub_pairs(fine, turn), sizes), "stars")
         found = verified(pairs, docs, percent)
         new, tried = found.count(), pairs.count()
         drop_table(pairs)
-        links = materialize(links.unionByName(found), "links")
-        label = connected_components(links)
-        if now > 0.9 * left and 20 * new < tried:
+        stale = new > 0
+        if stale:
+            links = materialize(links.unionByName(found), "links")
+            label = connected_components(links)
+        if before is not None and now > 0.9 * before and 4 * new <= tried:
             break
-        left = now
+        before = now
     common = materialize(fine.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("common")), "common")
     ids = materialize(fine.select("doc").distinct(), "open-ids")
     drop_table(fine)
@@ -379,16 +386,14 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
 def _feasible(rows: DataFrame) -> DataFrame:
     """The shingle rows that a partner may share, of documents that may have one.
 
-    A pair has 4 / 9 of both sizes in common at least.  So the sizes of a document and of the smallest one of another
-    label that has a shingle bound what must be in common; documents that have not so much in common with all others go.
+    A pair has 4 / 9 of both sizes in common at least.  A shingle's partners are no smaller than the smallest document
+    that has it, so that size and the document's own bound what must be in common; documents that have not so much in
+    common with those of other labels go.
     """
     rows = rows.select("key", "doc", "size", "label")
-    each = rows.groupBy("key", "label").agg(F.min("size").alias("least"))
-    ends = each.groupBy("key").agg(F.min("least").alias("first"), F.min_by("label", "least").alias("first_label"),
-                                   F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-    second = each.join(ends, "key").filter("label <> first_label").groupBy("key").agg(F.min("least").alias("second"))
-    other = F.when(F.col("label") == F.col("first_label"), F.col("second")).otherwise(F.col("first"))
-    met = rows.join(ends, "key").join(second, "key").select("key", "doc", "size", "label", other.alias("other"))
+    ends = (rows.groupBy("key").agg(F.min("size").alias("other"), F.min("label").alias("low"), F.max("label").alias("high"))
+            .filter("low < high").select("key", "other"))
+    met = rows.join(ends, "key")
     common = met.groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
     near = met.join(common, "doc").filter("4 * (size + other) <= 9 * common").drop("common")
     enough = (near.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("common"), F.min("other").alias("other"))
