@@ -172,15 +172,14 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-
-
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = "resample",
              most_labelled: int = 50_000, text: str = "text", doc_id: str = "doc_id",
              columns: list[str] | None = None) -> DataFrame:
     """Every row packed as ``row`` (all its columns, or those named) with n_grams, log_weight, key and kept.
 
     ``labels`` (doc_id, good).  Without ``k``, as many documents are drawn as have a log
-    weight over the cut that best parts the labelled good from the labelled bad.
+    weight over the cut that best parts the labelled good from the labelled bad; of several
+    texts of a labelled id the least weight counts for the cut.
     """
     roles = materialize(labelled_roles(labels, most_labelled), "resample-roles")
     ratio = fit(docs, roles, text, doc_id)
@@ -188,8 +187,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str
     scored = materialize(weigh(docs, ratio, text, columns).withColumn("key", key), "resample-scores")
     if k is None:
         sample = (scored.select(F.col("row").getField(doc_id).alias("doc_id"), "log_weight")
-                  .join(F.broadcast(roles.filter("role > 1")), "doc_id").select("log_weight", "role")
-                  .orderBy("log_weight").limit(4 * most_labelled).collect())
+                  .join(F.broadcast(roles.filter("role > 1")), "doc_id")
+                  .groupBy("doc_id", "role").agg(F.min("log_weight").alias("log_weight")).collect())  # one row a role
         cut = _cut(sample)
         k = scored.filter(F.col("log_weight") >= F.lit(float(cut))).count()
     # Keys are below 2^40 in size; at a resolution of 2^-20 they are whole numbers.

@@ -1,3 +1,8 @@
+import hashlib
+import math
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -54,6 +59,41 @@ def test_gumbel_top_k_draws_k_and_in_proportion(spark):
     assert quality.resample(docs(spark, rows), labels, k=5000).filter("kept").count() == 2000
 
 
+def test_weights_keys_and_choice_equal_brute_force(spark):
+    """Labelled ids repeat with other texts; k follows from the cut."""
+    rng = random.Random(3)
+    good, bad = "the sea lies calm under a pale morning sky".split(), "BUY now !! cheap $$ CLICK here win".split()
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(3, 30)))) for i in range(120)]
+    rows += [(7, "calm sea " * n) for n in range(1, 40)] + [(8, "BUY CLICK win " * n) for n in range(1, 40)]
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(90)], "doc_id long, good boolean")
+    roles = {r.doc_id: r.role for r in quality.labelled_roles(labels).collect()}
+    ratio = quality.fit(docs(spark, rows), spark.createDataFrame(list(roles.items()), "doc_id long, role int"))
+    weight = [float(ratio[quality.buckets(t)].sum()) for _, t in rows]
+
+    def key(i, w):
+        u = (int(hashlib.md5(f"resample|{i}".encode()).hexdigest()[:15], 16) + 0.5) / 2**60
+        return w - math.log(-math.log(u))
+
+    keys = [key(i, w) for (i, _), w in zip(rows, weight, strict=True)]
+    least = {}
+    for (i, _), w in zip(rows, weight, strict=True):
+        if roles.get(i, 1) > 1:
+            least[i] = min(w, least.get(i, w))
+    kind = {r: sorted(w for i, w in least.items() if roles[i] == r) for r in (2, 3)}
+    at = sorted(set(least.values()))
+    cuts = [-math.inf, *[(a + b) / 2 for a, b in zip(at, at[1:], strict=False)], math.inf]
+    gain = [sum(w < c for w in kind[3]) / len(kind[3]) - 2 * sum(w < c for w in kind[2]) / len(kind[2]) for c in cuts]
+    cut = cuts[gain.index(max(gain))]
+    k = sum(w >= cut for w in weight)
+    assert 0 < k < len(rows)
+    last = sorted(keys, reverse=True)[k - 1]
+    expected = sorted((rows[n][0], rows[n][1], round(weight[n], 6), round(keys[n], 6), keys[n] >= last) for n in range(len(rows)))
+    got = quality.resample(docs(spark, rows), labels).collect()
+    found = sorted((r.row.doc_id, r.row.text, round(r.log_weight, 6), round(r.key, 6), r.kept) for r in got)
+    assert [f[:2] + f[4:] for f in found] == [e[:2] + e[4:] for e in expected]
+    assert np.allclose([f[2:4] for f in found], [e[2:4] for e in expected], atol=1e-5)
+
+
 @pytest.mark.parametrize("values", [[5, 3, 3, -7, 0, 2**62, -2**62, -1], [0], [-(1 << 63), (1 << 63) - 1, 1]])
 def test_radix_selection(spark, values):
     frame = spark.createDataFrame([(v,) for v in values], "v long")
@@ -102,6 +142,22 @@ def test_severity_follows_grades(spark):
     assert all(r.toxic == (i % 3 > 0) for i, r in got.items())
 
 
+def test_severity_equals_brute_force(spark):
+    rng = random.Random(4)
+    words = "calm sea bad badly badness awful1 AWFUL stone stones Stoney".split()
+    rows = [(i, " ".join(rng.choice(words[:2] if i % 3 == 0 else words) for _ in range(rng.randint(1, 25)))) for i in range(200)]
+    grades = spark.createDataFrame([(i, i % 3) for i in range(200)], "doc_id long, grade int")
+    model = toxicity.fit(docs(spark, rows), grades)
+    for r in toxicity.score_severity(docs(spark, rows), model).collect():
+        met = re.findall(r"[^\W\d_]+", r.row.text.lower())
+        score = 0.0
+        for term, at in model.terms.items():
+            n = sum(w == term or (term[-1] == "-" and len(w) >= len(term) and w.startswith(term[:-1])) for w in met)
+            score += model.weights[at] * math.log1p(100 * n / max(len(met), 1))
+        above = [1 / (1 + math.exp(c - score)) for c in model.cuts]
+        assert math.isclose(r.severity, sum(above), abs_tol=1e-9) and r.toxic == (above[0] >= model.level)
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "bad bad"), (3, "word " * 60000), (3, "bad"), (4, "fine")]
     given = with_clashes(docs(spark, rows))
