@@ -69,19 +69,30 @@ def stations_near(stations: DataFrame, positions: DataFrame, by: str = "station"
 
     An equi-join on the cells of a grid on the sphere: a station is in one cell, a place
     in the few cells that its circle can reach, so a pair meets at most once, and only
-    neighbours meet; then the exact distance.  Positions at one place are searched for once.
-    Rows with any NULL are dropped, as in ``nearby_stations``.
+    neighbours meet; then the exact distance.  The pairs are made last and leave the join as a
+    stream: none is shuffled or sorted here.  Rows with any NULL are dropped, as in ``nearby_stations``.
     """
     variables = variables or WEATHER_VARIABLES
     grid = SphereGrid(radius_km)
     wanted = stations.where((F.col("res") == res) & (F.col("per") == per) & F.col("var").isin(*variables))
     wanted = wanted.dropna().withColumn("_cell", grid.cell(lat, lon))
-    places = (positions.select("lat", "lon").distinct()
-              .select("lat", "lon", F.explode(grid.cells_near("lat", "lon")).alias("_cell")))
-    found = (places.join(wanted, "_cell")
-             .withColumn("dist", haversine_km("lat", "lon", F.col(lat), F.col(lon)))
-             .where(F.col("dist") <= radius_km).drop("_cell"))
-    return positions.select(by, "lat", "lon").dropna().join(found, ["lat", "lon"]).select(by, *stations.columns, "dist")
+    places = (positions.select(by, "lat", "lon").dropna()
+              .select(by, "lat", "lon", F.explode(grid.cells_near("lat", "lon")).alias("_cell")))
+    return (places.join(wanted, "_cell")
+            .withColumn("dist", haversine_km("lat", "lon", F.col(lat), F.col(lon)))
+            .where(F.col("dist") <= radius_km).select(by, *stations.columns, "dist"))
+
+
+def newest_at_each_place(stations: DataFrame, lat: str = "geo_breite", lon: str = "geo_laenge") -> DataFrame:
+    """The stations that ``best_station`` can choose: of those at one place that measure one variable
+    (at one resolution and period) the newest, then the one with the smallest id.
+
+    From any position the stations of a place are equally far, so no other can come before it; a search for
+    many positions then pairs them with places, not with every station there.  Rows with any NULL, which the
+    searches drop, are dropped first.
+    """
+    w = Window.partitionBy("var", "res", "per", lat, lon).orderBy(F.desc("bis_datum"), F.asc("stations_id"))
+    return stations.dropna().withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def best_station(df: DataFrame, by: str | None = None) -> DataFrame:

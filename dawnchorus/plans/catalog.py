@@ -163,21 +163,22 @@ def q_best_stations(spark, sf_dir):
         weather.nearby_stations(t.stations(), weather.last_position(t.by_type()))))
 
 
-def _stations_by_user(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return weather.stations_near(t.stations(), weather.last_positions(t.by_user()).withColumnRenamed("station", "position"), "position")
+def _stations_by_user(t, stations):
+    return weather.stations_near(stations, weather.last_positions(t.by_user()).withColumnRenamed("station", "position"), "position")
 
 
 def q_stations_near(spark, sf_dir):
     """W1 for the position of every user: figures of the stations in reach"""
-    found = _stations_by_user(spark, sf_dir)
+    t = _t(spark, sf_dir)
+    found = _stations_by_user(t, t.stations())
     return rounded(found.groupBy("position").agg(
         F.count(F.lit(1)).alias("stationen"), F.min("dist").alias("naechste"), F.max("dist").alias("fernste")))
 
 
 def q_best_stations_near(spark, sf_dir):
     """W2 for the position of every user"""
-    return rounded(weather.best_station(_stations_by_user(spark, sf_dir), "position"))
+    t = _t(spark, sf_dir)
+    return rounded(weather.best_station(_stations_by_user(t, weather.newest_at_each_place(t.stations())), "position"))
 
 
 # Observation files as the weather service ships them: one per station, headers

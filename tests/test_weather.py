@@ -5,6 +5,7 @@ import random
 import pytest
 
 from dawnchorus.operators import weather
+from dawnchorus.plans import catalog
 
 
 def test_collapse_sums_and_missing_zero(spark):
@@ -105,3 +106,26 @@ def test_stations_near_many_positions(spark, radius):
     assert sorted(got) == sorted(want) and want
     best = weather.best_station(found, "station").collect()
     assert len(best) == len({i for i, _ in want})
+
+
+def test_best_stations_near_pairs_do_not_grow_with_stations_of_a_place(spark, tmp_path, monkeypatch):
+    """Four times the suppliers at the same places make the same pairs, and the choice is that among all stations."""
+    pairs, best = [], weather.best_station
+
+    def counting(df, by=None):
+        pairs.append(df.count())
+        return best(df, by)
+
+    monkeypatch.setattr(weather, "best_station", counting)
+    span = 7 * 5 * 4 * 17 * 13  # everything that a station's row says of its key repeats after it
+    events = [(dt.datetime(2024, 1, 1, i), u, "view", 1.0, "{}") for u in (0, 40, 350) for i in range(2)]
+    for times in (1, 4):
+        keys = [k + i * span for k in range(0, 300) for i in range(times)]
+        d = tmp_path / str(times)
+        spark.createDataFrame([(k, f"s{k}", k % 4 + 1) for k in keys], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+        spark.createDataFrame([(k, dt.datetime(1998, 1, 1 + (k * 7) % 11)) for k in keys], "l_suppkey long, l_shipdate timestamp_ntz").write.parquet(f"{d}/lineitem.parquet")
+        spark.createDataFrame(events, "ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+        t = catalog._t(spark, str(d))
+        everyone = catalog.rounded(best(catalog._stations_by_user(t, t.stations()), "position"))
+        assert sorted(catalog.q_best_stations_near(spark, str(d)).collect()) == sorted(everyone.collect()) != []
+    assert pairs[0] == pairs[1] > 0
