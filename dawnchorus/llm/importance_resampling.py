@@ -24,6 +24,7 @@ other columns go through packed, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, uniform, unpack
+from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, slices, uniform, unpack
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, roles: DataFrame, text: str = "text", doc_id: str = "do
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS + 2, np.int64), np.zeros(BUCKETS + 2, np.int64)
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
             for body, chosen in zip(batch.column("body").to_pylist(), batch.column("target").to_pylist(), strict=True):
                 found = np.bincount(buckets(body), minlength=BUCKETS + 2)
                 raw += found
@@ -123,8 +124,8 @@ def weigh(docs: DataFrame, log_ratio: np.ndarray, text: str = "text", columns: l
 
     def make():
         def score(texts: list[str]) -> tuple[list, list]:
-            found = [buckets(t) for t in texts]
-            return [len(b) for b in found], [float(ratio.value[b].sum()) for b in found]
+            found = [(len(b), float(ratio.value[b].sum())) for b in map(buckets, texts)]
+            return [n for n, _ in found], [w for _, w in found]
         return score
 
     return score_rows(docs, text, {"n_grams": "long", "log_weight": "double"}, make, columns)

@@ -21,6 +21,7 @@ their names.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, unpack
+from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, slices, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(3, 8)
@@ -102,7 +103,7 @@ def choose_terms(rows: DataFrame, most_features: int, least_documents: int = 3,
     """
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
             tables = [list(term_counts(t)[0]) for t in batch.column("body").to_pylist()]
             toxic = np.repeat(np.array([g > 0 for g in batch.column("grade").to_pylist()], bool), [len(t) for t in tables])
             yield pa.RecordBatch.from_arrays([pa.array([x for t in tables for x in t], pa.string()), pa.array(toxic)],
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, grades: DataFrame, most_labelled: int = 15_000, most_fe
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
             found = [values(*known_counts(t, known.value)) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("grade"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())),

@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dawnchorus.llm import importance_resampling as quality
 from dawnchorus.llm import ordinal_toxicity as toxicity
+from dawnchorus.llm.common import SLICE_ROWS, map_batches, materialize, score_rows
 from dawnchorus.llm.queries import good_labels, toxic_labels
 from tests.llm.helpers import docs, with_clashes
 
@@ -165,3 +167,28 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity_filter(given, none).count() == len(rows)  # nothing learned, nothing flagged
     assert toxicity.toxicity_filter(given, none).columns == given.columns
     assert toxicity.toxicity_filter(docs(spark, []), none).collect() == []
+
+
+def test_texts_are_scored_some_at_a_time_and_go_once(spark):
+    """A batch's texts are never all Python objects at once, a text of the packed row is not sent beside it, and
+    what is written gets its Arrow batches by bytes."""
+    docs = spark.range(0, 1300, 1, 1).selectExpr("id as doc_id", "if(id = 7, null, repeat('ab ', 10000)) as text")
+
+    def make():
+        return lambda texts: ([len(texts)] * len(texts), [len(t) for t in texts])
+
+    for columns in (None, ["text"], ["doc_id"]):
+        scored = score_rows(docs, "text", {"met": "long", "size": "long"}, make, columns)
+        rows = scored.select("met", "size").collect()
+        assert max(r.met for r in rows) <= SLICE_ROWS and sorted({r.size for r in rows}) == [0, 30000] and len(rows) == 1300
+        plan = scored._jdf.queryExecution().analyzed().toString()
+        assert ("AS body" in plan) == (columns == ["doc_id"])
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    assert max(r.n for r in materialize(map_batches(docs, sizes, "n long"), "sizes").collect()) < 16 << 20
+    assert spark.conf.get(key) == before
