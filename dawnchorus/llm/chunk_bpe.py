@@ -20,8 +20,8 @@ agreement of the whole text; ``tests/llm`` holds all ids against the library.
 
 Texts move once, by the key of the text (copies are merged before); of ids only
 those of texts with shared chunks move.  A chunk that very many texts hold is a hot key of the
-join with references only, which the adaptive skew join splits.  A task keeps the ids of
-at most ``KNOWN`` words.
+join with references only, which the adaptive skew join splits.  A worker keeps the ids of
+at most ``KNOWN`` words, from task to task.
 
 Defined results: a null or empty text has no ids and decodes to the empty string;
 repeated rows are all returned; an empty table gives an empty result.  Other columns of
@@ -36,6 +36,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ def word_parts(word: bytes) -> list[bytes]:
 
 
 class Words:
-    """Ids of words by the tokenizers library, each word asked for once; lives in one task."""
+    """Ids of words by the tokenizers library, each word asked for once; at most ``KNOWN`` words are kept."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
@@ -133,8 +134,10 @@ class Words:
     def encode(self, words: list[bytes]) -> bytes:
         """The packed ids of words that white space parts."""
         known = self.known
-        new = set(words).difference(known)
-        if new:
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:  # some are asked for the first time
+            new = set(words).difference(known)
             if len(known) > KNOWN:
                 known.clear()
                 new = set(words)
@@ -164,6 +167,13 @@ class Words:
         return self.window(join)
 
 
+@lru_cache(maxsize=1)
+def worker_words(vocabulary: str) -> Words:
+    """The words that a worker knows, kept from task to task: most words of a task have been met before it."""
+    return Words(vocabulary)
+
+
+@lru_cache(maxsize=1)
 def id_type(vocabulary: str) -> str:
     """Two bytes an id where the vocabulary allows it."""
     found = json.loads(vocabulary)
@@ -240,6 +250,7 @@ class Digest:
         return self.n, self.hashes[0].hexdigest(), self.hashes[1].hexdigest()
 
 
+@lru_cache(maxsize=1)
 def spellings(vocabulary: str) -> tuple[list[bytes], list[bytes]]:
     """For each id its decimal text, and its token as the library decodes it.
 
@@ -273,7 +284,7 @@ def _pieces(texts: DataFrame, vocabulary, whole: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, spelt = Words(vocabulary.value), spellings(vocabulary.value)
+        words, spelt = worker_words(vocabulary.value), spellings(vocabulary.value)
         schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t])
                             for c, t in (x.split() for x in _PIECES.split(", "))])
         for batch in batches:

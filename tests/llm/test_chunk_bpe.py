@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dawnchorus.llm import chunk_bpe
 from dawnchorus.llm.chunk_bpe import Words, chunk_ends, decode_documents, encode_documents, encode_text, round_trip_digests
 from dawnchorus.llm.common import read_table
 from dawnchorus.llm.queries import word_vocabulary
@@ -109,3 +110,27 @@ def test_many_texts_share_one_chunk(spark, library):
     texts = dict(rows)
     for r in round_trip_digests(docs(spark, rows).repartition(7, F.col("doc_id")), VOCABULARY).collect():
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == _want(library, texts[r.doc_id])
+
+
+def test_words_stay_known_from_task_to_task(monkeypatch):
+    """A worker's second task asks only for words that it has not met, and finds the same ids."""
+    vocabulary = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    first = chunk_bpe.worker_words(vocabulary)
+    ids = first.encode([b"some", b"quite", b"Common,", b"words"])
+
+    class Counting:
+        asked = []
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    second = chunk_bpe.worker_words(vocabulary)
+    monkeypatch.setattr(second, "tokenizer", Counting(second.tokenizer))
+    assert second.encode([b"some", b"quite", b"Common,", b"words"]) == ids == chunk_bpe.Words(vocabulary).encode([b"some", b"quite", b"Common,", b"words"])
+    assert Counting.asked == []
+    second.encode([b"words", b"unheardofhere"])
+    assert Counting.asked == ["unheardofhere"]
