@@ -10,16 +10,19 @@ segments (pigeonhole).  Documents are joined on the hashes of their segments:
 * *Open documents.*  There are a third more segments than needed, so the sets of a pair
   agree on more of them than the ``spare`` ones.  A set that shares no more than that with
   any others has no partner and is done with; this is counted by document, with no pair written out.
-* *Stars.*  Each open document is compared with the one representative that it shares most
-  segments with.  What is linked takes one label, buckets of one label count no more,
-  and so on as long as documents are closed this way: n near copies cost about n comparisons.
+* *Stars.*  Each open document is compared with the one representative, a bucket's first member, that it
+  shares most segments with.  What is linked takes one label, and buckets of one label count no more.
 * *The finest partition.*  For what is still open every shingle is a segment of its own: only documents
   stay open that share enough of their shingles with others of a size that they may be similar to.
-* *One-deletion neighbourhoods, by cost.*  Only what is still open enters each segment with
-  each one element left out as well, which finds partners that differ there in one
-  element.  Such an agreement weighs one and a whole one two, and again only documents that share
-  more weight than may be missing stay open.  Each of them passes over its costliest segments,
-  as many as are to spare, and meets the others in the remaining buckets.
+* *Allocation by cost.*  Each of them passes over its costliest shingles, as many as are to spare, and meets
+  the others in the remaining buckets.  All order shingles alike, so the cheapest one that a pair has in common
+  remains for both, and nothing else in common comes after it.  As long as there would be many meetings and stars at the
+  shingles' hubs find links, those go first: n near copies cost about n comparisons.
+* *One-deletion neighbourhoods.*  What would still meet others enters each segment with each one element
+  left out as well, which finds partners that differ there in one element.  Such an agreement weighs one and a
+  whole one two, and again only documents that share more weight than may be missing stay open.
+* *Parities.*  A pair that meets differs in at least as many elements as there are segments, of a partition into
+  1024, in which one set has an odd and the other an even number; if these are too many it is no candidate.
 * *Exact verification.*  Every candidate pair is compared by its actual shingles.
 
 A bucket's members within one batch of rows are reduced to the first of them before the
@@ -51,8 +54,10 @@ WORDS = 5
 BAND_RATIO = 1.35
 #: Ids of documents to compare that are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
-#: Comparisons for one link found, beyond which no more stars are tried.
-MOST_VAIN = 20
+#: Shingle rows for one meeting in a bucket, below which stars are tried first.
+ROWS_A_MEETING = 4
+#: Words of 64 segments whose parities are compared.
+PARITIES = 16
 #: Bucket rows of a batch in which members of one bucket are reduced to the first.
 BLOCK_ROWS = 2_000_000
 
@@ -282,43 +287,51 @@ def _labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
             .withColumn("label", F.coalesce("component", "doc")).drop("component"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Labelled rows (key, doc, label, ...) of buckets with several labels, each with ``rep``, a member of another label.
-
-    The representative is the member whose buckets are the fullest: of a text and its variants the one that
-    shares most with all of them.  Members of its own label have none.
-    """
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    met = rows.join(size.select("key", "n"), "key")
-    score = met.groupBy("doc").agg(F.sum(F.when(F.expr(_BELOW), 0).otherwise(F.col("n"))).alias("score"))
-    hub = (met.select("key", "doc", "label").join(score, "doc").groupBy("key")
-           .agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "label")).alias("top")))
-    rep = F.when(F.col("label") != F.col("top.label"), -F.col("top.minus"))
-    return met.drop("n").join(hub, "key").withColumn("rep", rep).drop("top")
+def _apart(rows: DataFrame) -> DataFrame:
+    """The labelled rows (key, doc, label, ...) of buckets with several labels."""
+    ends = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return rows.join(ends.select("key"), "key", "left_semi")
 
 
 def _best_pairs(rows: DataFrame) -> DataFrame:
     """Each document, by band, with the representative that it shares most rows with: (a, b), a > b."""
-    best = (rows.filter("rep is not null").groupBy("doc", F.expr(_BELOW).alias("below"), "rep").agg(F.count(F.lit(1)).alias("n"))
+    best = (rows.filter("rep <> doc").groupBy("doc", F.expr(_BELOW).alias("below"), "rep").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("doc", "below").agg(F.max(F.struct("n", (-F.col("rep")).alias("minus"))).alias("top")))
     rep = -F.col("top.minus")
     return best.select(F.greatest("doc", rep).alias("a"), F.least("doc", rep).alias("b")).distinct()
 
 
-def _allocated_pairs(rows: DataFrame) -> DataFrame:
-    """Candidates (a, b) of labelled rows: each set passes over its costliest segments, as far as there is weight to
-    spare, and meets what shares a bucket of the others."""
+def _allocated(rows: DataFrame) -> DataFrame:
+    """Of shingle rows (key, doc, size, label) those that a set does not pass over, with their ``place`` in its order.
+
+    A set has 4 / 5 of its shingles in common with a partner at least, so it passes over one less of the costliest.
+    All sets order shingles alike, the costliest first: what a pair has in common ends with a shingle that neither passes over,
+    and the pair has no more in common than that shingle's place in either.
+    """
     cost = rows.groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
-    costly = rows.join(cost, "key").withColumns(
-        {"segment": F.expr(_SEGMENT), "spare": F.expr(_SPARE), "below": F.expr(_BELOW), "weight": F.expr(_WEIGHT)})
-    by_segment = (costly.filter("not below").repartition("doc").groupBy("doc", "segment", "spare")
-                  .agg(F.sum("cost").alias("cost"), F.max("weight").alias("weight")))
-    ordered = Window.partitionBy("doc").orderBy(F.desc("cost"), "segment").rowsBetween(Window.unboundedPreceding, 0)
-    probing = by_segment.withColumn("used", F.sum("weight").over(ordered)).filter("used > spare").select("doc", "segment")
-    left = costly.filter("not below").join(probing, ["doc", "segment"], "left_semi").select("key", "doc", "label").alias("l")
-    right = rows.select("key", "doc", "label").alias("r")
-    return (left.join(right, F.col("l.key") == F.col("r.key")).filter("l.label <> r.label")
-            .select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct())
+    ordered = Window.partitionBy("doc").orderBy(F.desc("cost"), "key")
+    placed = rows.join(cost, "key").withColumn("place", F.row_number().over(ordered))
+    return _apart(placed.filter("5 * place >= 4 * size").drop("cost"))
+
+
+def _meetings(rows: DataFrame) -> int:
+    """How many pairs of different labels meet in all buckets."""
+    by_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    pairs = by_label.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    return int(pairs.agg(F.sum("pairs")).first()[0] or 0)
+
+
+def _allocated_pairs(rows: DataFrame, parity: DataFrame) -> DataFrame:
+    """Candidates (a, b), a > b, of allocated rows: those that meet in a bucket where they may have enough in common,
+    and whose ``parity`` differs in no more segments than they may differ in elements."""
+    names = [f"parity_{i}" for i in range(PARITIES)]
+    rows = rows.select("key", "doc", "size", "label", "place").join(parity, "doc")
+    left, right = rows.alias("l"), rows.alias("r")
+    differ = " + ".join(f"bit_count(l.{p} ^ r.{p})" for p in names)
+    may = ("l.doc > r.doc and l.label <> r.label and 9 * least(l.place, r.place) >= 4 * (l.size + r.size) "
+           f"and 9 * ({differ}) <= l.size + r.size")
+    return (left.join(right, (F.col("l.key") == F.col("r.key")) & F.expr(may))
+            .select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct())
 
 
 def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -332,35 +345,24 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     sizes = materialize(shared.filter("tag < 0").select("doc", (-1 - F.col("tag")).alias("size")).distinct(), "sizes")
     rows = materialize(_still_open(shared.filter("tag >= 0")), "open-rows")
     drop_table(shared)
-    links, label, before = None, None, None
-    while True:
-        last, rows = rows, materialize(_still_open(_mixed(_labelled(rows, label))), "open-rows")
-        drop_table(last)
-        left = rows.select("doc").distinct().count()
-        if before is not None and left > 0.9 * before:
-            break
-        before = left
-        pairs = materialize(_sized(_best_pairs(rows), sizes), "stars")
-        found = verified(pairs, docs, percent)
-        new, tried = found.count(), pairs.count()
-        drop_table(pairs)
-        links = found if links is None else materialize(links.unionByName(found), "links")
-        label = connected_components(links)
-        if left == 0:
-            return sizes, links
-        if MOST_VAIN * new < tried:
-            break
-    ids = materialize(rows.select("doc").distinct(), "open-ids")
+    pairs = materialize(_sized(_best_pairs(rows), sizes), "stars")
+    links = verified(pairs, docs, percent)
+    drop_table(pairs)
+    label = connected_components(links)
+    ids = materialize(_still_open(_apart(_labelled(rows, label))).select("doc").distinct(), "open-ids")
     drop_table(rows)
-    texts = _only(docs, ids)
     # Every shingle a segment of its own.
-    fine, before, stale = materialize(shingle_rows(texts), "shingle-rows"), None, True
+    fine, before, stale = materialize(shingle_rows(_only(docs, ids)), "shingle-rows"), None, True
     for turn in itertools.count():
         last, fine = fine, materialize(_feasible(_labelled(fine, label) if stale else fine), "shingle-rows")
         drop_table(last)
         now = fine.count()
         if now == 0:
             return sizes, links
+        met = materialize(_allocated(fine), "allocated")
+        if ROWS_A_MEETING * _meetings(met) <= now or before is not None and now > 0.9 * before and 4 * new <= tried:
+            break
+        drop_table(met)
         pairs = materialize(_sized(_hub_pairs(fine, turn), sizes), "stars")
         found = verified(pairs, docs, percent)
         new, tried = found.count(), pairs.count()
@@ -369,17 +371,16 @@ def link_similar(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
         if stale:
             links = materialize(links.unionByName(found), "links")
             label = connected_components(links)
-        if before is not None and now > 0.9 * before and 4 * new <= tried:
-            break
         before = now
-    common = materialize(fine.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("common")), "common")
-    ids = materialize(fine.select("doc").distinct(), "open-ids")
     drop_table(fine)
-    # What is still open, with one-deletion neighbourhoods.
+    # What would still meet others, with one-deletion neighbourhoods.
+    ids = materialize(met.select("doc").distinct(), "open-ids")
     near = _shared_rows(_only(docs, ids), deletions=True)
-    rows = materialize(_still_open(_mixed(_labelled(near.filter("tag >= 0"), label)), deletions=True), "open-rows")
-    pairs = materialize(_sized(_allocated_pairs(rows), common), "more-pairs")
-    drop_table(near, rows)
+    ids = materialize(_still_open(_apart(_labelled(near.filter("tag >= 0"), label)), deletions=True).select("doc").distinct(), "open-ids")
+    drop_table(near)
+    parity = materialize(parity_rows(_only(docs, ids)), "parities")
+    pairs = materialize(_allocated_pairs(met, parity), "more-pairs")
+    drop_table(met, parity)
     return sizes, links.unionByName(verified(pairs, docs, percent))
 
 
@@ -418,6 +419,29 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc", "left_semi")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 ``PARITIES`` segments of the universe: whether the set has an odd number of elements there."""
+    segment = (hashes % np.uint64(64 * PARITIES)).astype(np.int64)
+    return np.packbits(np.bincount(segment, minlength=64 * PARITIES) % 2 == 1).view(np.int64)
+
+
+def parity_rows(docs: DataFrame) -> DataFrame:
+    """(doc, parity_0, ...): the parities of each document's set.
+
+    Two sets differ in at least as many elements as there are segments of different parity.
+    """
+    names = [f"parity_{i}" for i in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, PARITIES), np.int64)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found[i] = parities(shingle_hashes(text))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *[pa.array(c) for c in found.T]], names=["doc", *names])
+
+    return map_batches(docs, run, ", ".join(["doc long", *[f"{n} long" for n in names]]))
+
+
 def shingle_rows(docs: DataFrame) -> DataFrame:
     """(key, doc, size) for each distinct shingle of a document."""
 
@@ -432,11 +456,10 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Only pairs whose sizes, and what each has in common with any others (at most its size), allow the similarity."""
-    most = "common" if "common" in sizes.columns else "size"
-    of = lambda c: sizes.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"), F.col(most).alias(f"most_{c}"))
+    """Only pairs whose sizes allow the similarity."""
+    of = lambda c: sizes.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"))
     return (pairs.join(of("a"), "a").join(of("b"), "b")
-            .filter("9 * least(most_a, most_b) >= 4 * (size_a + size_b)").select("a", "b"))
+            .filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)").select("a", "b"))
 
 
 def _with_body(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

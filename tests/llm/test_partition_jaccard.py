@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from dawnchorus.llm import partition_jaccard
 from dawnchorus.llm.components import connected_components
 from dawnchorus.llm.partition_jaccard import (Band, band_tops, bands_of, jaccard_components, keep_one_of_each,
                                               shingle_hashes, signatures)
@@ -87,6 +88,42 @@ def test_against_brute_force(spark):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def _crowd(rng, n):
+    """Texts of ten sections, of which all but two are the same in all, and the two are shared with a few others."""
+    section = lambda name: " ".join(f"{name}-{i}" for i in range(12))
+    out = []
+    for i in range(n):
+        own = rng.sample(range(10), 2)
+        out.append((i, " ".join(section(f"s{k}v{rng.randrange(n // 40)}" if k in own else f"s{k}") for k in range(10))))
+    return out
+
+
+def test_a_crowd_below_the_limit_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Documents that share much with very many, and with few as much as a link needs, make few candidates."""
+    rows = _crowd(random.Random(11), 240)
+    tried, links = [], partition_jaccard.verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(partition_jaccard, "verified", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert sum(tried) < 10 * len(rows), tried
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 300, 400)]
+    texts = ["", "a", " ".join(words), " ".join(words[:350]), " ".join([*words[:200], "x", *words[201:]]), " ".join(words * 20)]
+    found = [partition_jaccard.parities(shingle_hashes(t)) for t in texts]
+    for a, p in zip(texts, found, strict=True):
+        for b, q in zip(texts, found, strict=True):
+            differ = sum(int(x).bit_count() for x in (p ^ q).view(np.uint64))
+            assert differ <= len(shingle_set(a) ^ shingle_set(b)) and (a != b or differ == 0)
+
+
 def test_whole_table(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in table.collect()])
