@@ -55,7 +55,7 @@ BAND_RATIO = 1.35
 #: Ids of documents to compare that are broadcast; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Shingle rows for one meeting in a bucket, below which stars are tried first.
-ROWS_A_MEETING = 4
+ROWS_A_MEETING = 1
 #: Words of 64 segments whose parities are compared.
 PARITIES = 16
 #: Bucket rows of a batch in which members of one bucket are reduced to the first.
@@ -394,12 +394,11 @@ def _feasible(rows: DataFrame) -> DataFrame:
     rows = rows.select("key", "doc", "size", "label")
     ends = (rows.groupBy("key").agg(F.min("size").alias("other"), F.min("label").alias("low"), F.max("label").alias("high"))
             .filter("low < high").select("key", "other"))
-    met = rows.join(ends, "key")
-    common = met.groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
-    near = met.join(common, "doc").filter("4 * (size + other) <= 9 * common").drop("common")
-    enough = (near.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("common"), F.min("other").alias("other"))
-              .filter("4 * (size + other) <= 9 * common").select("doc"))
-    return near.drop("other").join(enough, "doc", "left_semi")
+    of_doc = Window.partitionBy("doc")
+    common = F.count(F.lit(1)).over(of_doc)
+    near = rows.join(ends, "key").withColumn("common", common).filter("4 * (size + other) <= 9 * common")
+    enough = near.withColumns({"common": common, "least": F.min("other").over(of_doc)}).filter("4 * (size + least) <= 9 * common")
+    return enough.select("key", "doc", "size", "label")
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
