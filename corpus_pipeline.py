@@ -2,7 +2,7 @@
 
 Each stage takes the documents that its predecessor kept and returns a DataFrame; all
 but the last return the columns of ``documents``.  ``run`` writes every stage's result
-to the shared folder and reads it again for the next.
+to the shared folder and reads it again for the next; what the next has read goes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import materialize, read_table
+from dawnchorus.llm.common import drop_table, materialize, read_table
 from dawnchorus.llm.importance_resampling import quality_filter
 from dawnchorus.llm.ordinal_toxicity import toxicity_filter
 from dawnchorus.llm.partition_jaccard import keep_one_of_each
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_table(before)
     return docs

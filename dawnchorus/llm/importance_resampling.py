@@ -31,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, slices, uniform, unpack
+from dawnchorus.llm.common import drop_table, hash60, map_batches, materialize, score_rows, slices, uniform, unpack
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -173,32 +173,54 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = "resample",
-             most_labelled: int = 50_000, text: str = "text", doc_id: str = "doc_id",
-             columns: list[str] | None = None) -> DataFrame:
-    """Every row packed as ``row`` (all its columns, or those named) with n_grams, log_weight, key and kept.
+def _keyed(docs: DataFrame, ratio: np.ndarray, seed: str, text: str, doc_id: str, columns: list[str] | None) -> DataFrame:
+    """``weigh`` with each row's key and its place: keys are below 2^40 in size, at a resolution of 2^-20 they are whole numbers."""
+    key = F.col("log_weight") - F.log(-F.log(uniform(seed, F.col("row").getField(doc_id))))
+    return weigh(docs, ratio, text, columns).withColumn("key", key).withColumn(
+        "place", F.round(F.col("key") * float(1 << 20)).cast("long"))
 
-    ``labels`` (doc_id, good).  Without ``k``, as many documents are drawn as have a log
-    weight over the cut that best parts the labelled good from the labelled bad; of several
-    texts of a labelled id the least weight counts for the cut.
-    """
+
+def _drawn(least: int | None) -> Column:
+    return F.lit(False) if least is None else F.col("place") >= least
+
+
+def _draw(docs: DataFrame, labels: DataFrame, k: int | None, seed: str, most_labelled: int, text: str, doc_id: str,
+          columns: list[str] | None) -> tuple[DataFrame, np.ndarray, int | None]:
+    """The written scores, the model and the least place that is drawn (None: no row is)."""
     roles = materialize(labelled_roles(labels, most_labelled), "resample-roles")
     ratio = fit(docs, roles, text, doc_id)
-    key = F.col("log_weight") - F.log(-F.log(uniform(seed, F.col("row").getField(doc_id))))
-    scored = materialize(weigh(docs, ratio, text, columns).withColumn("key", key), "resample-scores")
+    scored = materialize(_keyed(docs, ratio, seed, text, doc_id, columns), "resample-scores")
     if k is None:
         sample = (scored.select(F.col("row").getField(doc_id).alias("doc_id"), "log_weight")
                   .join(F.broadcast(roles.filter("role > 1")), "doc_id")
                   .groupBy("doc_id", "role").agg(F.min("log_weight").alias("log_weight")).collect())  # one row a role
         cut = _cut(sample)
         k = scored.filter(F.col("log_weight") >= F.lit(float(cut))).count()
-    # Keys are below 2^40 in size; at a resolution of 2^-20 they are whole numbers.
-    places = scored.select(F.round(F.col("key") * float(1 << 20)).cast("long").alias("place"))
-    least = kth_largest(places, "place", k)
-    kept = F.lit(False) if least is None else F.round(F.col("key") * float(1 << 20)).cast("long") >= least
-    return scored.withColumn("kept", kept)
+    least = kth_largest(scored, "place", k)
+    drop_table(roles)
+    return scored, ratio, least
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that are drawn, with the columns of ``docs``."""
-    return resample(docs, labels, **options).filter("kept").select(unpack(docs.columns))
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = "resample",
+             most_labelled: int = 50_000, text: str = "text", doc_id: str = "doc_id",
+             columns: list[str] | None = None) -> DataFrame:
+    """Every row packed as ``row`` (all its columns, or those named) with n_grams, log_weight, key and kept.
+
+    ``labels`` (doc_id, good).  Without ``k``, as many documents are drawn as have a log
+    weight over the cut that best parts the labelled good from the labelled bad; of several
+    texts of a labelled id the least weight counts for the cut.
+    """
+    scored, _, least = _draw(docs, labels, k, seed, most_labelled, text, doc_id, columns)
+    return scored.withColumn("kept", _drawn(least)).drop("place")
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str = "resample",
+                   most_labelled: int = 50_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows that ``resample`` draws, with the columns of ``docs``.
+
+    Only ids and scores are written to find the k-th key; rows are weighed once more as they are taken, so that no
+    second copy of all texts lies on disk.
+    """
+    scored, ratio, least = _draw(docs, labels, k, seed, most_labelled, text, doc_id, [doc_id])
+    drop_table(scored)
+    return _keyed(docs, ratio, seed, text, doc_id, None).filter(_drawn(least)).select(unpack(docs.columns))

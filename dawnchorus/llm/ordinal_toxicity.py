@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.llm.common import hash60, map_batches, materialize, score_rows, slices, unpack
+from dawnchorus.llm.common import drop_table, hash60, map_batches, materialize, score_rows, slices, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(3, 8)
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, grades: DataFrame, most_labelled: int = 15_000, most_fe
     rows = training_rows(docs, grades, most_labelled, text, doc_id)
     terms = choose_terms(rows, most_features)
     if not terms:
+        drop_table(rows)
         return None
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, grades: DataFrame, most_labelled: int = 15_000, most_fe
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grade int, at array<int>, x array<float>"
     sample = map_batches(rows, features, schema).toArrow().sort_by("doc_id")
+    drop_table(rows)
     sizes = np.array([len(a) for a in sample["at"].to_pylist()], np.int64)
     at = sample["at"].combine_chunks().flatten().to_numpy().astype(np.int64)
     x = sample["x"].combine_chunks().flatten().to_numpy().astype(np.float64)
@@ -206,6 +208,7 @@ def grade_by_terms(docs: DataFrame, labels: DataFrame, most_labelled: int = 15_0
     chosen = training_rows(docs, simple, most_labelled, text, doc_id)
     scored = materialize(score_severity(chosen.select("doc_id", "body", "grade"), model, "body")
                          .select("row.doc_id", "row.grade", "severity"), "grades")
+    drop_table(chosen)
     bounds = scored.filter("grade > 0").approxQuantile("severity", [i / (grades - 1) for i in range(1, grades - 1)], 0.001)
     level = F.lit(1)
     for bound in bounds:

@@ -2,9 +2,12 @@
 
 import collections
 import re
+from pathlib import Path
 
 from pyspark.sql import types as T
 
+from dawnchorus.session import shared_dir
+
 SF = "/root/testdata/sf0.001"
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -27,6 +30,12 @@ def with_clashes(frame):
     return frame
 
 
+def scratch(spark):
+    """Bytes of each file that lies below the shared folder, by its table's folder and its name."""
+    root = Path(shared_dir(spark).removeprefix("file:"), "dawnchorus")
+    return {(p.parent.name, p.name): p.stat().st_size for p in root.rglob("*.parquet")}
+
+
 def shingle_set(text):
     lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)

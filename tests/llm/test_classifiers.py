@@ -11,7 +11,7 @@ from dawnchorus.llm import importance_resampling as quality
 from dawnchorus.llm import ordinal_toxicity as toxicity
 from dawnchorus.llm.common import SLICE_ROWS, map_batches, materialize, score_rows
 from dawnchorus.llm.queries import good_labels, toxic_labels
-from tests.llm.helpers import docs, with_clashes
+from tests.llm.helpers import docs, scratch, with_clashes
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -113,6 +113,22 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality_filter(docs(spark, []), labels).collect() == []
 
 
+def test_quality_filter_leaves_no_copy_of_the_texts(spark):
+    """It takes what ``resample`` draws; no scratch file that outlives the call holds the texts."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(200)]), " ".join(f"{rng.getrandbits(40):x}" for _ in range(rng.randint(0, 400)))) for _ in range(400)]
+    rows += rows[:50] + [(3, None), (4, "")]
+    given = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 3 > 0) for i in range(150)], "doc_id long, good boolean")
+    for k in (None, 100, 0):
+        before = scratch(spark)
+        got = quality.quality_filter(given, labels, k=k).collect()
+        left = sum(n for p, n in scratch(spark).items() if p not in before)
+        assert left < 0.05 * sum(len(t or "") for _, t in rows)
+        want = quality.resample(given, labels, k=k).filter("kept").collect()
+        assert sorted(map(repr, got)) == sorted(repr(r.row) for r in want) and bool(got) == (k != 0)
+
+
 def test_toxicity_on_held_out_labels(spark, table):
     train, held = _split(toxic_labels(spark, LARGER))
     got = {r.doc_id: r for r in toxicity.judge_toxicity(with_clashes(table), train)
@@ -169,6 +185,16 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity_filter(docs(spark, []), none).collect() == []
 
 
+def test_toxicity_filter_leaves_no_training_texts(spark):
+    rows = [(i, "calm words about the sea " * 4 + "bad awful " * (i % 3)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, toxic int")
+    before = scratch(spark)
+    for some in (labels, labels.filter("toxic = 0")):
+        kept = {r.doc_id for r in toxicity.toxicity_filter(docs(spark, rows), some).collect()}
+        assert kept == {i for i in range(300) if i % 3 == 0 or some is not labels}
+    assert not [p for p in scratch(spark) if p not in before and p[0].startswith("grade-rows")]
+
+
 def test_texts_are_scored_some_at_a_time_and_go_once(spark):
     """A batch's texts are never all Python objects at once, a text of the packed row is not sent beside it, and
     what is written gets its Arrow batches by bytes."""

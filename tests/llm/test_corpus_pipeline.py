@@ -5,7 +5,7 @@ import corpus_pipeline
 from dawnchorus.llm.common import materialize, read_table
 from dawnchorus.llm.queries import QUERIES
 from dawnchorus.llm.recursive_bpe import read_ranks
-from tests.llm.helpers import jaccard_components
+from tests.llm.helpers import jaccard_components, scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -50,3 +50,13 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "test-stage")
     assert docs.collect() == []
+
+
+def test_run_keeps_the_last_stage_only(spark, monkeypatch):
+    """What a stage has read goes when its own result is written."""
+    stages = [(name, lambda s, docs, d, least=i: docs.filter(f"doc_id > {least}")) for i, name in enumerate("abc")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    before = scratch(spark)
+    docs = corpus_pipeline.run(spark, SF)
+    assert docs.count() == read_table(spark, SF, "documents").filter("doc_id > 2").count()
+    assert {p[0][:8] for p in scratch(spark) if p not in before} == {"stage-c-"}
